@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymill.llm import chat, mixing, simhash, winnow
+from waymill.llm import chat, mixing, simhash, suffix_dedup, winnow
 from waymill.llm.common import table
 
 #: The conversation that op4 adds: texts full of control strings.
@@ -24,12 +24,16 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "weight", "block", "position", "copies")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op4_chat_formatting, op5_benchmark_decontamination, op10_source_mixing)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op4_chat_formatting, op5_benchmark_decontamination, op9_suffix_array_dedup, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
