@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymill.llm import chat, mixing, simhash, suffix_dedup, winnow
+from waymill.llm import chat, lattice, mixing, simhash, suffix_dedup, toxicity, winnow
 from waymill.llm.common import table
 
 #: The conversation that op4 adds: texts full of control strings.
@@ -24,6 +24,15 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return winnow.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -33,7 +42,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op4_chat_formatting, op5_benchmark_decontamination, op9_suffix_array_dedup, op10_source_mixing)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op4_chat_formatting, op5_benchmark_decontamination, op6_embedding_near_dedup, op7_toxicity, op9_suffix_array_dedup, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

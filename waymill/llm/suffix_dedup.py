@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from waymill.llm.common import written
 
@@ -419,8 +420,9 @@ def removed_runs(lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndarray:
     return np.stack([lo[at], np.append(reach[at[1:] - 1], reach[-1])], axis=1)
 
 
-def dedup(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """For every row (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the kept text if asked.
+def dedup(docs: DataFrame, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """For every row (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, the kept text if asked,
+    and the columns to carry along.
 
     A byte goes if a string of MATCH bytes over it also starts earlier: in a smaller doc_id or earlier
     in the same text. Strings are judged on the input and never cross documents. Null texts are empty;
@@ -429,9 +431,9 @@ def dedup(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     each loses the ranges found in any. ``kept_text`` leaves out characters that a cut broke.
     Equal contexts are told by 128 bits of hash. An empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *carry)
     spans = repeated_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("at"))
-    both = docs.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "at")
+    both = docs.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "at", *carry)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * keep_text
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.string()] * keep_text
 
@@ -448,7 +450,10 @@ def dedup(docs: DataFrame, keep_text: bool = False) -> DataFrame:
                 row = (doc, len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest())
                 out.append((*row, kept.decode("utf-8", "ignore")) if keep_text else row)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], names)
+                columns = [pa.array(list(c), t) for c, t in zip(zip(*out), kinds)]
+                yield pa.RecordBatch.from_arrays([*columns, *(batch.column(c) for c in carry)], [*names, *carry])
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
-    return both.mapInArrow(run, schema)
+    schema = T.StructType()
+    for name in names:
+        schema = schema.add(name, "string" if name.startswith("kept") else "long")
+    return both.mapInArrow(run, T.StructType([*schema.fields, *(docs.schema[c] for c in carry)]))
