@@ -43,6 +43,12 @@ def ascii_lower(column):
     return F.translate(column, UPPER, LOWER)
 
 
+def let(value, body):
+    """``body(value)`` with the value computed once. A projection alone would be inlined into lambdas,
+    and computed again for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def local_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """For each of n nodes the smallest node that the edges (i, j) connect it with."""
     label = np.arange(n)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymill.llm.common import ascii_lower, written
+from waymill.llm.common import ascii_lower, let, written
 
 #: Everything in ASCII but digits and letters separates words; all other characters belong to them.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -27,15 +27,17 @@ def window_starts(w, span: int):
     return F.when(F.size(w) >= span, F.sequence(F.lit(1), F.size(w) - span + 1)).otherwise(F.array().cast("array<int>"))
 
 
-def minima(w, grams, span: int, gram: int):
-    """The least hash among the grams of each window; ``grams`` are the hashes of all grams."""
-    if span == gram:
-        return grams
-    return F.transform(window_starts(w, span), lambda s: F.array_min(F.slice(grams, s, span - gram + 1)))
+def minima(w, span: int, gram: int):
+    """For each window the least hash of its grams, words hashed once, grams over the words' hashes."""
 
+    def over_words(hashes):
+        return F.transform(window_starts(hashes, gram), lambda s: F.xxhash64(*[F.get(hashes, s + (i - 1)) for i in range(gram)]))
 
-def gram_hashes(w, gram: int):
-    return F.transform(window_starts(w, gram), lambda s: F.xxhash64(F.slice(w, s, gram)))
+    def over_grams(grams):
+        return F.transform(window_starts(grams, span - gram + 1), lambda s: F.least(*[F.get(grams, s + (i - 1)) for i in range(span - gram + 1)]))
+
+    grams = let(F.transform(w, lambda x: F.xxhash64(x)), over_words)
+    return grams if span == gram else let(grams, over_grams)
 
 
 def joined_windows(w, starts, span: int):
@@ -43,9 +45,9 @@ def joined_windows(w, starts, span: int):
     return F.transform(starts, lambda s: F.struct(s.alias("s"), F.concat_ws(" ", F.slice(w, s, span)).alias("win")))
 
 
-def shared_starts(w, least, span: int, wanted):
-    """Starts of the windows whose minimum is among the wanted hashes."""
-    return F.filter(window_starts(w, span), lambda s: F.array_contains(wanted, F.get(least, s - 1)))
+def shared_windows(w, span: int, gram: int, wanted):
+    """The windows whose minimum is among the wanted hashes."""
+    return let(minima(w, span, gram), lambda least: joined_windows(w, F.filter(window_starts(w, span), lambda s: F.array_contains(wanted, F.get(least, s - 1))), span))
 
 
 def contamination(docs: DataFrame, bench: DataFrame, span: int = 10, gram: int = 5) -> DataFrame:
@@ -62,9 +64,8 @@ def contamination(docs: DataFrame, bench: DataFrame, span: int = 10, gram: int =
     items = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words(F.col("text").cast("string")).alias("w")).where(F.size("w") > 0)
     sides = []
     for n in range(1, span + 1):
-        k = min(gram, n)
-        part = items.where(F.size("w") >= n if n == span else F.size("w") == n).withColumn("g", gram_hashes(F.col("w"), k))
-        part = part.select("item_id", minima(F.col("w"), F.col("g"), n, k).alias("fp"), joined_windows(F.col("w"), window_starts(F.col("w"), n), n).alias("at"))
+        part = items.where(F.size("w") >= n if n == span else F.size("w") == n)
+        part = part.select("item_id", minima(F.col("w"), n, min(gram, n)).alias("fp"), let(F.col("w"), lambda w: joined_windows(w, window_starts(w, n), n)).alias("at"))
         sides.append(part.select("item_id", F.lit(n).alias("n"), F.explode(F.arrays_zip("fp", "at")).alias("r")).select("item_id", "n", "r.fp", "r.at.win"))
     windows = sides[0]
     for side in sides[1:]:
@@ -78,9 +79,7 @@ def contamination(docs: DataFrame, bench: DataFrame, span: int = 10, gram: int =
     found = None
     tokens = keyed.select("key", words(F.col("text")).alias("w"))
     for n in sizes:
-        k = min(gram, n)
-        prints = tokens.where(F.size("w") >= n).withColumn("g", gram_hashes(F.col("w"), k))
-        prints = prints.select("key", F.lit(n).alias("n"), F.explode(F.array_distinct(minima(F.col("w"), F.col("g"), n, k))).alias("fp"))
+        prints = tokens.select("key", F.lit(n).alias("n"), F.explode(F.array_distinct(minima(F.col("w"), n, min(gram, n)))).alias("fp"))
         hits = prints.join(kept, ["n", "fp"], "left_semi")
         found = hits if found is None else found.unionByName(hits)
     counted = keyed.select("doc_id", "key", F.size(words(F.col("text"))).cast("long").alias("n_words"))
@@ -93,10 +92,7 @@ def contamination(docs: DataFrame, bench: DataFrame, span: int = 10, gram: int =
     texts = keyed.join(suspects.hint("shuffle_hash"), "key").withColumn("w", words(F.col("text"))).drop("text", "doc_id")
     extended = None
     for n in sorted(sizes):
-        k = min(gram, n)
-        with_grams = texts.where(F.size(F.col(str(n))) > 0).withColumn("g", gram_hashes(F.col("w"), k)).withColumn("m", minima(F.col("w"), F.col("g"), n, k))
-        starts = shared_starts(F.col("w"), F.col("m"), n, F.col(str(n)))
-        at = with_grams.select("key", F.lit(n).alias("n"), F.explode(joined_windows(F.col("w"), starts, n)).alias("r"))
+        at = texts.where(F.size(F.col(str(n))) > 0).select("key", F.lit(n).alias("n"), F.explode(let(F.col("w"), lambda w: shared_windows(w, n, min(gram, n), F.col(str(n))))).alias("r"))
         at = at.select("key", "n", "r.s", "r.win")
         extended = at if extended is None else extended.unionByName(at)
     extended = written(extended.join(windows.select("n", "win").distinct(), ["n", "win"]), "winnow-hits")
