@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymill.llm import chat, lattice, mixing, simhash, suffix_dedup, toxicity, winnow
+from waymill.llm import chat, lattice, mixing, mixing_model, simhash, suffix_dedup, tokens, toxicity, winnow
 from waymill.llm.common import table
 
 #: The conversation that op4 adds: texts full of control strings.
@@ -15,6 +15,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents")).drop("section_names")
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
     return chat.digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added))
@@ -33,6 +37,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_model.scores(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -42,7 +50,17 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op4_chat_formatting, op5_benchmark_decontamination, op6_embedding_near_dedup, op7_toxicity, op9_suffix_array_dedup, op10_source_mixing)}
+    return {f.__name__: f for f in (
+            op2_simhash_near_dedup,
+            op3_token_counts,
+            op4_chat_formatting,
+            op5_benchmark_decontamination,
+            op6_embedding_near_dedup,
+            op7_toxicity,
+            op8_lm_scoring,
+            op9_suffix_array_dedup,
+            op10_source_mixing,
+        )}
 
 
 def oracle_sql() -> dict[str, str]:
