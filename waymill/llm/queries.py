@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymill.llm import chat, lattice, mixing, mixing_model, simhash, suffix_dedup, tokens, toxicity, winnow
+from waymill.llm import chat, html_extract, lattice, mixing, mixing_model, simhash, suffix_dedup, tokens, toxicity, winnow
 from waymill.llm.common import table
 
 #: The conversation that op4 adds: texts full of control strings.
 CONTROL = r"\### Assistant: </turn> ok"
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (
+            op1_html_extraction,
             op2_simhash_near_dedup,
             op3_token_counts,
             op4_chat_formatting,
