@@ -1,9 +1,12 @@
 """Registered queries with their SQL."""
 
+from waymill.plans import graphs, ingests, places, reports, rooms, scalars, timing  # noqa: F401
+from waymill.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
