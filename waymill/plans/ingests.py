@@ -1 +1,146 @@
-"""Queries."""
+"""Queries of staging, rules and table maintenance, over two runs made of orders."""
+
+from pyspark.sql import functions as F
+
+from waymill.functions.scalars import is_active
+from waymill.operators import ingest, rules
+from waymill.plans.derived import points, points_sql, run, run_sql, runs_with
+from waymill.plans.registry import query, table
+
+_WITH = f"WITH {runs_with()}"
+_RULES_SQL = {
+    "NAME_MISSING": "SELECT source_id, to_json({'name': name})::VARCHAR AS detail FROM cur WHERE coalesce(trim(name), '') = ''",
+    "COORD_MISSING": "SELECT source_id, to_json({'name': name})::VARCHAR AS detail FROM cur WHERE x_5186 IS NULL",
+    "STATUS_DATE_CONFLICT": "SELECT source_id, coalesce(biz_status_name, '-') || '/' || coalesce(closed_date::VARCHAR, '-') AS detail FROM cur WHERE (biz_status_name NOT IN ('영업/정상', '영업') AND closed_date IS NULL) OR (biz_status_name IN ('영업/정상', '영업') AND closed_date IS NOT NULL)",
+    "DATE_LOGIC_ERROR": "SELECT source_id, to_json({'licensed_date': licensed_date::VARCHAR, 'closed_date': closed_date::VARCHAR})::VARCHAR AS detail FROM cur WHERE licensed_date > closed_date",
+    "DUPLICATE_NAME_ADDR": "SELECT source_id, to_json({'name': name, 'address': jibun_address, 'group_size': n})::VARCHAR AS detail FROM (SELECT *, count(*) OVER (PARTITION BY name, jibun_address) AS n FROM cur WHERE name IS NOT NULL) WHERE n > 1",
+}
+
+
+@query(f"{_WITH} {_RULES_SQL['NAME_MISSING']}")
+def rule_name_missing(spark, sf_dir):
+    return rules.name_missing(run(spark, sf_dir, True), None)
+
+
+@query(f"{_WITH} {_RULES_SQL['COORD_MISSING']}")
+def rule_coord_missing(spark, sf_dir):
+    return rules.coord_missing(run(spark, sf_dir, True), None)
+
+
+@query(f"{_WITH} {_RULES_SQL['STATUS_DATE_CONFLICT']}")
+def rule_status_conflict(spark, sf_dir):
+    found = rules.status_date_conflict(run(spark, sf_dir, True), None)
+    field = lambda c: F.coalesce(F.get_json_object("detail", f"$.{c}"), F.lit("-"))
+    return found.select("source_id", F.concat(field("status"), F.lit("/"), field("closed_date")).alias("detail"))
+
+
+@query(f"{_WITH} {_RULES_SQL['DATE_LOGIC_ERROR']}")
+def rule_date_logic(spark, sf_dir):
+    return rules.date_logic(run(spark, sf_dir, True), None)
+
+
+@query(f"{_WITH} {_RULES_SQL['DUPLICATE_NAME_ADDR']}")
+def rule_duplicate(spark, sf_dir):
+    return rules.duplicate_name_address(run(spark, sf_dir, True), None)
+
+
+@query(f"{_WITH} SELECT c.source_id, to_json({{'moved_m': round(sqrt((c.x_5186 - p.x_5186) * (c.x_5186 - p.x_5186) + (c.y_5186 - p.y_5186) * (c.y_5186 - p.y_5186)), 1)}})::VARCHAR AS detail FROM cur c JOIN prev p USING (source_id) WHERE sqrt((c.x_5186 - p.x_5186) * (c.x_5186 - p.x_5186) + (c.y_5186 - p.y_5186) * (c.y_5186 - p.y_5186)) > 10")
+def rule_moved(spark, sf_dir):
+    return rules.coord_moved(run(spark, sf_dir, True), run(spark, sf_dir, False))
+
+
+_ALL_SQL = " UNION ALL ".join(f"SELECT '{code}' AS rule_code, source_id FROM ({sql})" for code, sql in _RULES_SQL.items())
+_MOVED_SQL = "SELECT 'COORD_MOVED', c.source_id FROM cur c JOIN prev p USING (source_id) WHERE sqrt((c.x_5186 - p.x_5186) * (c.x_5186 - p.x_5186) + (c.y_5186 - p.y_5186) * (c.y_5186 - p.y_5186)) > 10"
+
+
+@query(f"{_WITH} SELECT rule_code, CASE WHEN rule_code IN ('NAME_MISSING', 'COORD_MISSING') THEN 'ERROR' ELSE 'WARN' END AS severity, count(*) AS n FROM ({_ALL_SQL} UNION ALL {_MOVED_SQL}) GROUP BY ALL")
+def rule_summary(spark, sf_dir):
+    return rules.summary(rules.findings(run(spark, sf_dir, True), run(spark, sf_dir, False), 2))
+
+
+@query(f"{_WITH} SELECT source_id, NOT (coalesce(trim(name), '') = '' OR x_5186 IS NULL) AS is_valid FROM cur")
+def rule_apply(spark, sf_dir):
+    cur = run(spark, sf_dir, True)
+    return rules.apply(cur, rules.findings(cur)).select("source_id", "is_valid")
+
+
+@query(f"{_WITH}, j AS (SELECT p.source_id AS p, c.source_id AS c, p.biz_status_name IN ('영업/정상', '영업') AS pa, c.biz_status_name IN ('영업/정상', '영업') AS ca FROM prev p FULL OUTER JOIN cur c USING (source_id)) SELECT count(*) FILTER (p IS NULL) AS n_new, count(*) FILTER (p IS NOT NULL AND c IS NOT NULL) AS n_kept, count(*) FILTER (c IS NULL) AS n_vanished, count(*) FILTER (pa AND NOT ca) AS n_closed FROM j")
+def run_diff(spark, sf_dir):
+    active = F.col("biz_status_name").isin("영업/정상", "영업")
+    return ingest.run_diff(run(spark, sf_dir, False), run(spark, sf_dir, True), active)
+
+
+def _serving(df):
+    status = F.when(is_active(F.col("biz_status_name")), "ACTIVE").otherwise("CLOSED")
+    return df.where("x_5186 IS NOT NULL AND trim(name) <> ''").select(F.lit("A").alias("source"), "source_id", "name", F.coalesce("road_address", "jibun_address").alias("address"), status.alias("status"))
+
+
+def _served(spark, sf_dir):
+    old = _serving(run(spark, sf_dir, False)).withColumn("first_seen", F.lit(1)).withColumn("last_seen", F.lit(1))
+    return ingest.upsert(old, _serving(run(spark, sf_dir, True)), ["source", "source_id"], 2)
+
+
+_SERVING = "SELECT 'A' AS source, source_id, name, coalesce(road_address, jibun_address) AS address, CASE WHEN coalesce(biz_status_name, '') IN ('영업/정상', '영업') THEN 'ACTIVE' ELSE 'CLOSED' END AS status FROM {t} WHERE x_5186 IS NOT NULL AND trim(name) <> ''"
+_UPSERT = f"{_WITH}, o AS ({_SERVING.format(t='prev')}), n AS ({_SERVING.format(t='cur')}), u AS (SELECT source, source_id, coalesce(n.name, o.name) AS name, coalesce(n.address, o.address) AS address, coalesce(n.status, o.status) AS status, CASE WHEN o.source_id IS NULL THEN 2 ELSE 1 END AS first_seen, CASE WHEN n.source_id IS NULL THEN 1 ELSE 2 END AS last_seen FROM o FULL OUTER JOIN n USING (source, source_id))"
+
+
+@query(f"{_UPSERT} SELECT * FROM u")
+def upsert_serving(spark, sf_dir):
+    return _served(spark, sf_dir)
+
+
+@query(f"{_UPSERT} SELECT status, last_seen, count(*) AS n FROM (SELECT CASE WHEN status = 'ACTIVE' AND last_seen < 2 THEN 'CLOSED' ELSE status END AS status, last_seen FROM u) GROUP BY ALL")
+def vanished_closed(spark, sf_dir):
+    return ingest.close_vanished(_served(spark, sf_dir), 2).groupBy("status", "last_seen").agg(F.count("*").alias("n"))
+
+
+@query("WITH k AS (SELECT p_brand AS raw, min(p_type) AS category FROM part WHERE p_size < 10 GROUP BY 1), f AS (SELECT p_brand AS raw, max(p_type) AS category FROM part GROUP BY 1) SELECT * FROM k UNION ALL SELECT * FROM f WHERE raw NOT IN (SELECT raw FROM k)")
+def dict_upsert(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    known = p.where("p_size < 10").groupBy(F.col("p_brand").alias("raw")).agg(F.min("p_type").alias("category"))
+    return ingest.insert_absent(known, p.groupBy(F.col("p_brand").alias("raw")).agg(F.max("p_type").alias("category")), "raw")
+
+
+_RUNS = "SELECT event_type AS source, event_id % 17 AS run_id, value FROM events WHERE (event_id % 17) % 3 <> 0"
+
+
+@query(f"WITH r AS ({_RUNS}), d AS (SELECT DISTINCT source, run_id FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY run_id DESC) AS k FROM d) SELECT source, run_id, count(*) AS n FROM r WHERE (source, run_id) NOT IN (SELECT (source, run_id) FROM k WHERE k > 7) GROUP BY ALL")
+def retention(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").selectExpr("event_type AS source", "event_id % 17 AS run_id", "value").where("run_id % 3 <> 0")
+    return ingest.prune(rows, 7).groupBy("source", "run_id").agg(F.count("*").alias("n"))
+
+
+_LEDGER = "SELECT event_type AS source, event_id AS id, CASE WHEN event_id % 5 = 0 THEN 'FAILED' WHEN event_id % 7 = 0 THEN 'SKIPPED' ELSE 'SUCCESS' END AS status, floor(value * 10)::BIGINT AS rows_valid FROM events"
+_LEDGER_SPARK = ["event_type AS source", "event_id AS id", "CASE WHEN event_id % 5 = 0 THEN 'FAILED' WHEN event_id % 7 = 0 THEN 'SKIPPED' ELSE 'SUCCESS' END AS status", "CAST(floor(value * 10) AS BIGINT) AS rows_valid"]
+
+
+@query(f"SELECT *, coalesce(rows_valid < 0.7 * before, false) AS dropped FROM (SELECT source, id, status, rows_valid, lag(rows_valid) OVER (PARTITION BY source ORDER BY id) AS before FROM ({_LEDGER}) WHERE status = 'SUCCESS')")
+def valid_drop(spark, sf_dir):
+    return ingest.valid_drop(table(spark, sf_dir, "events").selectExpr(*_LEDGER_SPARK))
+
+
+@query(f"SELECT source, max(id) AS id FROM ({_LEDGER}) WHERE status = 'SUCCESS' AND source = 'click' GROUP BY source")
+def last_success(spark, sf_dir):
+    return ingest.last_success(table(spark, sf_dir, "events").selectExpr(*_LEDGER_SPARK), "click").select("source", "id")
+
+
+@query("SELECT * EXCLUDE k FROM (SELECT user_id, event_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1")
+def keep_last(spark, sf_dir):
+    return ingest.keep_last(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")
+
+
+@query("SELECT * EXCLUDE k FROM (SELECT conv_id, turn, role, length(text)::BIGINT AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE k = 1")
+def keep_first(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").cast("long").alias("chars"))
+    return ingest.keep_first(c, "conv_id", "turn")
+
+
+@query("WITH f AS (SELECT l_returnflag AS source, l_suppkey % 9 AS run_id, l_linestatus AS rule FROM lineitem WHERE l_suppkey % 9 <> 8 OR l_returnflag = 'N') SELECT source, run_id, rule, count(*) AS n FROM f JOIN (SELECT source, max(run_id) AS run_id FROM f GROUP BY 1) USING (source, run_id) GROUP BY ALL")
+def validation_summary(spark, sf_dir):
+    f = table(spark, sf_dir, "lineitem").selectExpr("l_returnflag AS source", "l_suppkey % 9 AS run_id", "l_linestatus AS rule").where("run_id <> 8 OR source = 'N'")
+    return ingest.latest_with_findings(f).groupBy("source", "run_id", "rule").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT count(x) AS located, count(*) FILTER (NOT (x BETWEEN 150000 AND 228000 AND y BETWEEN 500000 AND 600000)) AS outside, count(*) FILTER (NOT (x BETWEEN 150000 AND 228000 AND y BETWEEN 500000 AND 600000)) / count(x) AS ratio, count(*) FILTER (NOT (x BETWEEN 150000 AND 228000 AND y BETWEEN 500000 AND 600000)) / count(x) > 0.01 AS alarm FROM {points_sql('part')}")
+def out_of_box(spark, sf_dir):
+    return ingest.out_of_box(points(spark, sf_dir, "part"), "x", "y", (150_000.0, 500_000.0, 228_000.0, 600_000.0))

@@ -1 +1,109 @@
-"""Queries."""
+"""Queries of leg times, headways, boarding weights and transfers."""
+
+from pyspark.sql import functions as F
+
+from waymill.functions.scalars import representative
+from waymill.operators import timing, transfers
+from waymill.plans.derived import STOPS_SQL, stops
+from waymill.plans.registry import query, table
+
+_GAPS = f"""g AS (SELECT line, station, direction, (arrive // 3600) % 24 AS hour, arrive - lag(arrive) OVER (PARTITION BY line, station, direction, day ORDER BY arrive, id) AS gap FROM {STOPS_SQL}),
+h AS (SELECT line, station, direction, hour::INTEGER AS hour, median(gap)::DOUBLE AS seconds, count(*) AS samples FROM g WHERE gap BETWEEN 1 AND 3600 GROUP BY ALL)"""
+
+
+@query(f"""SELECT line, a, b, median(run)::DOUBLE AS seconds, count(*) AS samples FROM (SELECT line, station AS a, lead(station) OVER w AS b, lead(depart) OVER w - depart AS run FROM {STOPS_SQL}
+  WINDOW w AS (PARTITION BY line, direction, train, day ORDER BY arrive, id)) WHERE run BETWEEN 1 AND 1800 AND a <> b GROUP BY ALL""")
+def leg_times(spark, sf_dir):
+    return timing.leg_times(stops(spark, sf_dir), "day")
+
+
+@query(f"WITH {_GAPS} SELECT * FROM h")
+def headways_by_hour(spark, sf_dir):
+    return timing.headways(stops(spark, sf_dir), "day")
+
+
+@query(f"SELECT line, station, list_sort(list_distinct(list(((arrive // 3600) % 24)::INTEGER))) AS hours FROM {STOPS_SQL} GROUP BY ALL")
+def service_hours(spark, sf_dir):
+    return timing.service_hours(stops(spark, sf_dir))
+
+
+@query(f"""WITH {_GAPS}, s AS (SELECT DISTINCT line, station, ((arrive // 3600) % 24)::INTEGER AS hour FROM {STOPS_SQL} WHERE arrive % 4 <> 0), w AS (SELECT line, station, hour, greatest(1, round_even(median(seconds) / 2, 0))::INTEGER AS wait FROM h GROUP BY ALL),
+p AS (SELECT line, station, unnest(range(24))::INTEGER AS hour FROM (SELECT DISTINCT line, station FROM w) SEMI JOIN s USING (line, station)),
+f AS (SELECT p.line, p.station, p.hour, last_value(wait IGNORE NULLS) OVER (PARTITION BY p.line, p.station ORDER BY p.hour ROWS UNBOUNDED PRECEDING) AS b, first_value(wait IGNORE NULLS) OVER (PARTITION BY p.line, p.station ORDER BY p.hour ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a
+  FROM p LEFT JOIN w USING (line, station, hour))
+SELECT line, station, f.hour::BIGINT AS hour, CASE WHEN s.hour IS NULL THEN -1 ELSE coalesce(b, a) END::INTEGER AS weight FROM f LEFT JOIN s USING (line, station, hour)""")
+def board_weights(spark, sf_dir):
+    s = stops(spark, sf_dir)
+    w = timing.board_weights(timing.headways(s, "day"), timing.service_hours(s.where("arrive % 4 <> 0")))
+    return w.select("line", "station", F.posexplode("by_hour").alias("hour", "weight")).select("line", "station", F.col("hour").cast("long").alias("hour"), F.col("weight").cast("int").alias("weight"))
+
+
+_DAYS = "SELECT user_id AS route, event_type AS a, day(ts) AS day, {h} FROM events WHERE user_id % 3 = 0 GROUP BY 1, 2, 3"
+_HOURS = [f"h{i:02d}" for i in range(24)]
+_HOURS_SQL = ", ".join(f"coalesce(max(CASE WHEN hour(ts) % 6 = {i % 6} AND event_id % 24 <> {i} THEN floor(value)::INTEGER END), 0) AS h{i:02d}" for i in range(24))
+
+
+@query(f"""WITH d AS ({_DAYS.format(h=_HOURS_SQL)}), u AS (UNPIVOT d ON {', '.join(_HOURS)} INTO NAME hour VALUE v),
+m AS (SELECT route, a, hour, CASE WHEN count(*) FILTER (v > 0) > count(*) * 0.5 THEN greatest(1, least(3600, round_even(median(v) FILTER (v > 0), 0))) ELSE -1 END::INTEGER AS w FROM u GROUP BY ALL)
+SELECT route, a, list(w ORDER BY hour) AS by_hour, CASE WHEN count(*) FILTER (w <> -1) = 0 THEN -1 ELSE round_even(median(w) FILTER (w <> -1), 0) END::INTEGER AS weight FROM m GROUP BY route, a""")
+def section_majority(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where("user_id % 3 = 0").withColumn("day", F.dayofmonth("ts"))
+    each = [F.coalesce(F.max(F.when((F.hour("ts") % 6 == i % 6) & (F.col("event_id") % 24 != i), F.floor("value").cast("int"))), F.lit(0)).alias(h) for i, h in enumerate(_HOURS)]
+    days = e.groupBy(F.col("user_id").alias("route"), F.col("event_type").alias("a"), "day").agg(*each)
+    out = timing.section_hours(days, ["route", "a"], _HOURS)
+    return out.select("route", "a", F.col("by_hour").cast("array<int>").alias("by_hour"), representative(F.col("by_hour")).alias("weight"))
+
+
+@query(f"WITH {_GAPS}, r AS (SELECT unnest(range(1, 10))::VARCHAR AS line, 600.0 AS reference) SELECT line, median(seconds) AS measured, reference::DOUBLE AS reference, round(median(seconds) / reference, 9) AS ratio, greatest(median(seconds) / reference, reference / median(seconds)) <= 2 AS ok FROM h JOIN r USING (line) GROUP BY line, reference")
+def headway_reference_check(spark, sf_dir):
+    reference = spark.createDataFrame([(str(i), 600.0) for i in range(1, 10)], "line string, reference double")
+    out = timing.reference_check(timing.headways(stops(spark, sf_dir), "day"), reference)
+    return out.withColumn("ratio", F.round("ratio", 9))
+
+
+@query(f"WITH {_GAPS} SELECT count(seconds) AS n, median(seconds) AS median, round(quantile_cont(seconds, 0.95), 6) AS p95, max(seconds) AS most, count(*) FILTER (seconds > 1800) AS n_over FROM h")
+def headway_quantiles(spark, sf_dir):
+    q = timing.quantiles(timing.headways(stops(spark, sf_dir), "day"), F.col("seconds"), 1800)
+    return q.withColumn("p95", F.round("p95", 6))
+
+
+@query("SELECT DISTINCT 'R' || (l_suppkey % 40) AS route FROM lineitem WHERE 'R' || (l_suppkey % 40) NOT IN (SELECT 'R' || s_suppkey FROM supplier WHERE s_suppkey % 3 <> 0)")
+def routes_without_headway(spark, sf_dir):
+    sections = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("R"), F.col("l_suppkey") % 40).alias("route"))
+    known = table(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0").select(F.concat(F.lit("R"), "s_suppkey").alias("route"))
+    return timing.known_headways(sections, known)[1]
+
+
+# Transfers of stations (suppliers) between lines (line numbers), measured or by distance.
+_MEASURED = "SELECT 'S' || (l_suppkey % 60) AS station, l_linenumber::VARCHAR AS line_a, (l_partkey % 7 + 1)::VARCHAR AS line_b, (round_even(median(60 + l_quantity * 4), 0))::INTEGER AS sec FROM lineitem WHERE l_linenumber <> l_partkey % 7 + 1 AND l_suppkey % 2 = 0 GROUP BY ALL"
+_DISTANCE = "SELECT 'S' || (l_suppkey % 60) AS station, l_linenumber::VARCHAR AS line_a, (l_partkey % 7 + 1)::VARCHAR AS line_b, (min(10 + l_quantity * 3))::INTEGER AS sec FROM lineitem WHERE l_linenumber <> l_partkey % 7 + 1 AND l_suppkey % 3 = 0 GROUP BY ALL"
+
+
+def _transfers(spark, sf_dir):
+    x = table(spark, sf_dir, "lineitem").where("l_linenumber <> l_partkey % 7 + 1")
+    keys = [F.concat(F.lit("S"), F.col("l_suppkey") % 60).alias("station"), F.col("l_linenumber").cast("string").alias("line_a"), (F.col("l_partkey") % 7 + 1).cast("string").alias("line_b")]
+    measured = x.where("l_suppkey % 2 = 0").groupBy(*keys).agg(F.bround(F.percentile(60 + F.col("l_quantity") * 4, F.lit(0.5))).cast("int").alias("sec"))
+    distance = x.where("l_suppkey % 3 = 0").groupBy(*keys).agg(F.min(10 + F.col("l_quantity") * 3).cast("int").alias("sec"))
+    return measured, distance
+
+
+_CALIBRATED = f"""m AS ({_MEASURED}), d AS ({_DISTANCE}), o AS (SELECT round_even(median(m.sec - d.sec), 0)::INTEGER AS off FROM m JOIN d USING (station, line_a, line_b)),
+c AS (SELECT station, line_a, line_b, sec, 'MEASURED' AS source FROM m UNION ALL SELECT station, line_a, line_b, greatest(1, sec + off)::INTEGER, 'CALIBRATED' FROM (SELECT * FROM d ANTI JOIN m USING (station, line_a, line_b)), o)"""
+
+
+@query(f"WITH {_CALIBRATED} SELECT * FROM c")
+def transfer_calibration(spark, sf_dir):
+    return transfers.calibrated(*_transfers(spark, sf_dir))
+
+
+@query(f"WITH {_CALIBRATED} SELECT station, greatest(1, round_even(median(sec) / 2, 0))::INTEGER AS sec FROM c GROUP BY station")
+def station_traverse(spark, sf_dir):
+    return transfers.station_traverse(transfers.calibrated(*_transfers(spark, sf_dir)))
+
+
+@query()
+def traverse_fixpoint(spark, sf_dir):
+    """Platform walks raised pair by pair in a fixed order; tested against hand-made stations."""
+    t = transfers.calibrated(*_transfers(spark, sf_dir))
+    ordered = t.withColumn("ord", F.concat("line_a", F.lit(" "), "line_b"))
+    return transfers.raised(ordered, transfers.station_traverse(t))
