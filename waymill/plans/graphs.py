@@ -1 +1,210 @@
-"""Queries."""
+"""Queries of graph assembly, search, matrices and routes, on a graph made of order lines."""
+
+from pyspark.sql import functions as F
+
+from waymill.operators import graph, routes, search
+from waymill.plans.derived import EDGES_SQL, edges, hourly, points, points_sql
+from waymill.plans.registry import query, table
+
+_OPEN = "(SELECT src, dst, CASE WHEN (src + dst + {h}) % 6 = 0 THEN -1 ELSE w + {h} % 5 END AS w FROM " + EDGES_SQL + ")"
+ORIGINS, TARGETS, HOURS = [0, 5, 17, 42], [3, 11, 29, 77, 101, 123, 150, 188], (2, 8, 19)
+
+
+def _graph(spark, sf_dir):
+    return hourly(edges(spark, sf_dir)).select("src", "dst", F.col("w").alias("weight_sec"), "by_hour")
+
+
+@query(f"SELECT count(*) AS edges, count(DISTINCT src) AS sources, sum(w)::BIGINT AS total, max(w)::BIGINT AS most, count(*) FILTER ((src + dst + 8) % 6 = 0) AS shut_at_8 FROM {EDGES_SQL}")
+def graph_edges(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    return g.agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"), F.sum("weight_sec").alias("total"), F.max("weight_sec").cast("long").alias("most"), F.count_if(F.get("by_hour", F.lit(8)) < 0).alias("shut_at_8"))
+
+
+@query(f"SELECT src, dst, w::BIGINT AS w FROM {_OPEN.format(h=19)} WHERE w >= 0")
+def open_edges(spark, sf_dir):
+    return graph.open_edges(_graph(spark, sf_dir), 19)
+
+
+@query(f"WITH e AS {EDGES_SQL} SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT src FROM e) AND p_partkey NOT IN (SELECT dst FROM e)")
+def isolated_nodes(spark, sf_dir):
+    return graph.isolated(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), edges(spark, sf_dir))
+
+
+@query(f"SELECT node, degree, coalesce(sum(degree) OVER (ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS head FROM (SELECT src AS node, count(*) AS degree FROM {EDGES_SQL} GROUP BY 1)")
+def csr_head(spark, sf_dir):
+    return graph.heads(edges(spark, sf_dir))
+
+
+@query(f"WITH p AS {points_sql('part')} SELECT round(max(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / w), 6) AS speed, count(*) AS n FROM {_OPEN.format(h=8)} e JOIN p a ON a.id = e.src JOIN p b ON b.id = e.dst WHERE w > 0")
+def max_edge_speed(spark, sf_dir):
+    p = points(spark, sf_dir, "part").select("id", "x", "y")
+    e = graph.open_edges(_graph(spark, sf_dir), 8).where("w > 0")
+    j = e.join(p.toDF("src", "ax", "ay"), "src").join(p.toDF("dst", "bx", "by"), "dst")
+    d = F.sqrt((F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by")))
+    return j.agg(F.round(F.max(d / F.col("w")), 6).alias("speed"), F.count("*").alias("n"))
+
+
+def _stations(spark, sf_dir):
+    s = points(spark, sf_dir, "supplier")
+    return s.select(F.concat(F.lit("S"), F.col("id")).alias("source_id"), "name", "x", "y")
+
+
+def _walks(spark, sf_dir):
+    return graph.walk_nodes(points(spark, sf_dir, "customer").select("id", "x", "y"))
+
+
+@query(f"""SELECT kind, count(*) AS n, sum(w)::BIGINT AS seconds, round(sum(d), 3) AS metres FROM (SELECT 'ACCESS' AS kind, greatest(1, round_even(d / 1.2, 0))::INTEGER AS w, d FROM (SELECT s.id, min(sqrt((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y))) AS d
+  FROM {points_sql('supplier')} s JOIN {points_sql('customer')} c ON (c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y) <= 1000000 GROUP BY 1) CROSS JOIN range(2)) GROUP BY kind""")
+def access_edges(spark, sf_dir):
+    stops = graph.stop_nodes(_stations(spark, sf_dir), "SUBWAY")
+    e, _ = graph.access_edges(stops, _walks(spark, sf_dir))
+    return e.groupBy("kind").agg(F.count("*").alias("n"), F.sum("weight_sec").alias("seconds"), F.round(F.sum("distance_m"), 3).alias("metres"))
+
+
+@query(f"SELECT count(*) AS skipped FROM {points_sql('supplier')} s WHERE NOT EXISTS (SELECT 1 FROM {points_sql('customer')} c WHERE (c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y) <= 1000000)")
+def access_skipped(spark, sf_dir):
+    _, none = graph.access_edges(graph.stop_nodes(_stations(spark, sf_dir), "SUBWAY"), _walks(spark, sf_dir))
+    return none.agg(F.count("*").alias("skipped"))
+
+
+# Platforms: the lines (line numbers) that serve a station (supplier); one in three has a branch too.
+_PLATFORMS = "SELECT DISTINCT 'S' || (l_suppkey % 60) AS station, CASE WHEN l_linenumber = 2 AND l_suppkey % 3 = 0 THEN '2성수지선' ELSE l_linenumber::VARCHAR END AS line FROM lineitem WHERE l_partkey % 4 = 0"
+_KNOWN = "SELECT 'S' || (l_suppkey % 60) AS station, l_linenumber::VARCHAR AS line_a, (l_partkey % 7 + 1)::VARCHAR AS line_b, (min(60 + l_quantity))::INTEGER AS sec FROM lineitem WHERE l_partkey % 31 = 0 GROUP BY ALL"
+
+
+def _platforms(spark, sf_dir):
+    x = table(spark, sf_dir, "lineitem").where("l_partkey % 4 = 0")
+    line = F.when((F.col("l_linenumber") == 2) & (F.col("l_suppkey") % 3 == 0), "2성수지선").otherwise(F.col("l_linenumber").cast("string"))
+    return x.select(F.concat(F.lit("S"), F.col("l_suppkey") % 60).alias("station"), line.alias("line")).distinct()
+
+
+def _known(spark, sf_dir):
+    x = table(spark, sf_dir, "lineitem").where("l_partkey % 31 = 0")
+    return x.groupBy(F.concat(F.lit("S"), F.col("l_suppkey") % 60).alias("station"), F.col("l_linenumber").cast("string").alias("line_a"), (F.col("l_partkey") % 7 + 1).cast("string").alias("line_b")).agg(F.min(60 + F.col("l_quantity")).cast("int").alias("sec"))
+
+
+@query(f"""SELECT a.station, a.line AS line_a, b.line AS line_b, (CASE WHEN a.line LIKE '%지선' OR b.line LIKE '%지선' THEN 180 WHEN regexp_replace(a.line, '(급행|성수지선|신정지선)$', '') = regexp_replace(b.line, '(급행|성수지선|신정지선)$', '') THEN 30 ELSE coalesce(k.sec, 180) END)::INTEGER AS sec,
+  a.line LIKE '%지선' OR b.line LIKE '%지선' OR k.sec IS NULL AS fallback FROM ({_PLATFORMS}) a JOIN ({_PLATFORMS}) b ON a.station = b.station AND a.line <> b.line LEFT JOIN ({_KNOWN}) k ON k.station = a.station AND k.line_a = a.line AND k.line_b = b.line""")
+def transfer_edges(spark, sf_dir):
+    return graph.transfer_seconds(_platforms(spark, sf_dir), _known(spark, sf_dir))
+
+
+def _built(spark, sf_dir):
+    """Nodes and edges of all kinds; a platform's wait is made of its line."""
+    stations = _stations(spark, sf_dir)
+    served = _platforms(spark, sf_dir).select(F.col("station").alias("source_id"), "line").join(stations.select("source_id"), "source_id", "left_semi")
+    waits = served.withColumn("by_hour", F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.when(h < 5, -1).otherwise(120 + F.length("line") * 10 + h).cast("short")))
+    waits = waits.withColumn("by_hour", F.when(F.col("line") != "7", F.col("by_hour")))
+    stops, walks = graph.stop_nodes(stations, "SUBWAY"), _walks(spark, sf_dir)
+    nodes = walks.unionByName(stops).unionByName(graph.platform_nodes(served, stations, "SUBWAY"))
+    board, alight = graph.board_edges(waits, None, "SUBWAY")
+    access, _ = graph.access_edges(stops, walks)
+    legs = served.select("line", F.col("source_id").alias("a")).join(served.select("line", F.col("source_id").alias("b")), "line").where("a < b AND substr(b, 2) = cast(substr(a, 2) + 1 AS string)")
+    rides = graph.ride_edges(legs.withColumn("seconds", F.lit(100.0)), "SUBWAY")
+    known = graph.transfer_seconds(served.withColumnRenamed("source_id", "station"), _known(spark, sf_dir))
+    transfers = graph.transfer_edges(known, waits.where("by_hour IS NOT NULL"), "SUBWAY")
+    out = board
+    for e in (alight, access, rides, transfers):
+        out = out.unionByName(e)
+    return nodes, out
+
+
+@query(f"""WITH p AS (SELECT station, line FROM ({_PLATFORMS}) WHERE substr(station, 2)::BIGINT IN (SELECT s_suppkey FROM supplier)),
+a AS (SELECT count(DISTINCT s.id) AS n FROM {points_sql('supplier')} s JOIN {points_sql('customer')} c ON (c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y) <= 1000000)
+SELECT 'NODE' AS what, 'WALK' AS kind, 'WALK' AS mode, count(*) AS count FROM customer UNION ALL SELECT 'NODE', 'STOP', 'SUBWAY', count(*) FROM supplier UNION ALL SELECT 'NODE', 'PLATFORM', 'SUBWAY', count(*) FROM p
+UNION ALL SELECT 'EDGE', 'BOARD', 'SUBWAY', count(*) FROM p WHERE line <> '7' UNION ALL SELECT 'EDGE', 'ALIGHT', 'SUBWAY', count(*) FROM p UNION ALL SELECT 'EDGE', 'ACCESS', 'SUBWAY', 2 * n FROM a
+UNION ALL SELECT 'EDGE', 'RIDE', 'SUBWAY', count(*) FROM p a JOIN p b ON a.line = b.line AND a.station < b.station AND substr(b.station, 2)::BIGINT = substr(a.station, 2)::BIGINT + 1
+UNION ALL SELECT 'EDGE', 'TRANSFER', 'SUBWAY', count(*) FROM p a JOIN p b ON a.station = b.station AND a.line <> b.line WHERE b.line <> '7'""")
+def graph_counts(spark, sf_dir):
+    return graph.counts(*_built(spark, sf_dir))
+
+
+def _recursive(hour: int | None) -> str:
+    """Distances from all ORIGINS in an hour."""
+    open_ = EDGES_SQL if hour is None else _OPEN.format(h=hour)
+    seeds = " UNION ALL ".join(f"SELECT {o}::BIGINT, {o}::BIGINT, 0::BIGINT" for o in ORIGINS)
+    return f"""e AS MATERIALIZED (SELECT src, dst, w FROM {open_} WHERE w >= 0),
+r(o, n, d) USING KEY (o, n) AS (SELECT * FROM ({seeds}) UNION (SELECT r.o, e.dst, min(r.d + e.w) FROM r JOIN e ON e.src = r.n LEFT JOIN recurring.r k ON k.o = r.o AND k.n = e.dst WHERE k.d IS NULL OR r.d + e.w < k.d GROUP BY r.o, e.dst))"""
+
+
+def _origins(spark, hours):
+    return spark.createDataFrame([(o, h) for o in ORIGINS for h in hours], "origin long, hour int")
+
+
+@query(f"WITH RECURSIVE {_recursive(19)} SELECT o AS origin, n AS target, d::BIGINT AS seconds FROM r WHERE n IN ({', '.join(map(str, TARGETS))})")
+def shortest_path_one_to_many(spark, sf_dir):
+    out = search.one_to_many(_graph(spark, sf_dir), _origins(spark, [19]), TARGETS)
+    return out.select("origin", "target", "seconds")
+
+
+@query(f"WITH RECURSIVE {_recursive(8)} SELECT o AS origin, count(*) AS reached, sum(d)::BIGINT AS total, max(d)::BIGINT AS most FROM r GROUP BY o")
+def all_reachable(spark, sf_dir):
+    out = search.one_to_many(_graph(spark, sf_dir), _origins(spark, [8]))
+    return out.groupBy("origin").agg(F.count("*").alias("reached"), F.sum("seconds").alias("total"), F.max("seconds").alias("most"))
+
+
+@query(f"WITH RECURSIVE {_recursive(None)} SELECT o AS origin, count(*) AS reached, sum(d)::BIGINT AS total FROM r GROUP BY o")
+def relaxed_paths(spark, sf_dir):
+    """The same distances by rounds of joins, for graphs too large to broadcast."""
+    out = search.relaxed(graph.open_edges(_graph(spark, sf_dir), None), _origins(spark, [0]).select("origin"))
+    return out.groupBy("origin").agg(F.count("*").alias("reached"), F.sum("d").alias("total"))
+
+
+_MEMBERS = "(SELECT unnest([0, 5, 17, 42])::BIGINT AS member_id UNION ALL SELECT -1)"
+
+
+def _cells(spark, sf_dir, hour):
+    reached = search.one_to_many(_graph(spark, sf_dir), _origins(spark, [hour]), [*TARGETS, 5])
+    members = spark.createDataFrame([(o, o) for o in ORIGINS] + [(-1, None)], "member_id long, origin long")
+    places = spark.createDataFrame([(t, t) for t in [*TARGETS, 5]] + [(-2, None)], "place_id long, node long")
+    return search.matrix(reached, members, places)
+
+
+_CELLS = f"""c AS (SELECT p.place_id, m.member_id, CASE WHEN p.place_id = m.member_id THEN 0 ELSE r.d END::BIGINT AS seconds FROM (SELECT unnest([{', '.join(map(str, TARGETS))}, 5, -2])::BIGINT AS place_id) p CROSS JOIN {_MEMBERS} m LEFT JOIN r ON r.o = m.member_id AND r.n = p.place_id),
+k AS (SELECT *, CASE WHEN place_id = -2 OR member_id = -1 THEN 'NO_WALK_NETWORK' WHEN seconds IS NULL THEN 'UNREACHABLE' END AS reason FROM c)"""
+
+
+@query(f"WITH RECURSIVE {_recursive(19)}, {_CELLS} SELECT * FROM k")
+def travel_matrix(spark, sf_dir):
+    return _cells(spark, sf_dir, 19)
+
+
+@query(f"WITH RECURSIVE {_recursive(8)}, {_CELLS} SELECT place_id, arg_min(member_id, (seconds, member_id)) AS fastest, min(seconds) AS seconds, (SELECT max(seconds) FROM k) AS most FROM k WHERE seconds IS NOT NULL GROUP BY place_id")
+def matrix_fastest_cell(spark, sf_dir):
+    cells = _cells(spark, sf_dir, 8).where("seconds IS NOT NULL")
+    most = cells.agg(F.max("seconds").alias("most"))
+    best = cells.groupBy("place_id").agg(F.min_by("member_id", F.struct("seconds", "member_id")).alias("fastest"), F.min("seconds").alias("seconds"))
+    return best.crossJoin(F.broadcast(most))
+
+
+@query(f"WITH RECURSIVE {_recursive(2)}, {_CELLS} SELECT reason, count(*) AS n FROM k WHERE reason IS NOT NULL GROUP BY 1")
+def unreachable_cells(spark, sf_dir):
+    return _cells(spark, sf_dir, 2).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query()
+def hour_sensitivity(spark, sf_dir):
+    """How travel times differ between hours: each pair's least and most seconds, and settled nodes. Each hour's search has SQL of its own above."""
+    out = search.one_to_many(_graph(spark, sf_dir), _origins(spark, HOURS), TARGETS)
+    return out.groupBy("origin", "target").agg(F.count("*").alias("hours"), F.min("seconds").alias("least"), F.max("seconds").alias("most"), F.max("settled").alias("settled"))
+
+
+# Steps of routes: lines of an order as edges of a path, kinds by part and supplier.
+_STEPS = "SELECT l_orderkey AS route, l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey AS seq, CASE l_partkey % 5 WHEN 0 THEN 'WALK' WHEN 1 THEN 'ACCESS' ELSE 'RIDE' END AS kind, CASE WHEN l_partkey % 5 > 1 THEN cast(l_suppkey % 2 as {s}) END AS line, cast(l_quantity as bigint) AS seconds, CASE WHEN l_partkey % 5 < 2 THEN l_quantity * 1.5 END AS distance_m"
+
+
+@query(f"""WITH s AS (SELECT route, seq, CASE WHEN kind = 'ACCESS' THEN 'WALK' ELSE kind END AS kind, line, seconds, distance_m FROM ({_STEPS.format(s='varchar')} FROM lineitem)),
+b AS (SELECT *, CASE WHEN lag(kind) OVER w IS NULL OR kind <> lag(kind) OVER w OR line IS DISTINCT FROM lag(line) OVER w THEN 1 ELSE 0 END AS new FROM s WINDOW w AS (PARTITION BY route ORDER BY seq)),
+l AS (SELECT *, sum(new) OVER (PARTITION BY route ORDER BY seq) AS leg FROM b)
+SELECT route, leg::BIGINT AS leg, min(kind) AS kind, max(line) AS line, sum(seconds)::BIGINT AS seconds, count(*) FILTER (kind = 'RIDE') AS stops, coalesce(sum(distance_m), 0)::DOUBLE AS distance_m FROM l GROUP BY route, leg""")
+def route_legs(spark, sf_dir):
+    steps = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS route", "l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey AS seq", "CASE l_partkey % 5 WHEN 0 THEN 'WALK' WHEN 1 THEN 'ACCESS' ELSE 'RIDE' END AS kind", "CASE WHEN l_partkey % 5 > 1 THEN cast(l_suppkey % 2 AS string) END AS line", "cast(l_quantity AS bigint) AS seconds", "CASE WHEN l_partkey % 5 < 2 THEN l_quantity * 1.5 END AS distance_m")
+    return routes.legs(steps)
+
+
+@query(f"""WITH s AS (SELECT route, seq, CASE WHEN kind = 'ACCESS' THEN 'WALK' ELSE kind END AS kind, line, seconds, distance_m FROM ({_STEPS.format(s='varchar')} FROM lineitem)),
+b AS (SELECT *, CASE WHEN lag(kind) OVER w IS NULL OR kind <> lag(kind) OVER w OR line IS DISTINCT FROM lag(line) OVER w THEN 1 ELSE 0 END AS new FROM s WINDOW w AS (PARTITION BY route ORDER BY seq))
+SELECT route, sum(seconds)::BIGINT AS seconds, greatest(0, count(*) FILTER (new = 1 AND kind = 'RIDE') - 1)::BIGINT AS transfers, coalesce(sum(distance_m), 0)::DOUBLE AS walk_m FROM b GROUP BY route""")
+def route_totals(spark, sf_dir):
+    t = routes.totals(route_legs(spark, sf_dir))
+    return t.select("route", "seconds", F.col("transfers").cast("long").alias("transfers"), "walk_m")

@@ -1 +1,90 @@
-"""Queries."""
+"""Queries of rooms, members and bookmarks, made of orders and events."""
+
+from pyspark.sql import functions as F
+
+from waymill.operators import rooms as op
+from waymill.plans.registry import query, table
+
+_MEMBERS = "SELECT user_id % 40 AS room_id, user_id, min(ts) AS joined_at, max(CASE WHEN event_type = 'click' THEN ts END) AS origin_set_at, max(CASE WHEN event_type = 'purchase' THEN event_id % 900 END) AS origin_node_id, max(CASE WHEN event_type = 'purchase' THEN event_id % 3 END) AS origin_build_id FROM events GROUP BY ALL"
+_BOOKMARKS = "SELECT event_id AS id, user_id % 40 AS room_id, user_id AS added_by, event_id % 500 AS poi_id, ts AS created_at FROM events WHERE event_type = 'view'"
+_ROOMS = "SELECT user_id % 40 AS room_id, min(user_id) AS owner_id, min(ts) AS created_at FROM events GROUP BY 1"
+
+
+def _members(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    buys = F.col("event_type") == "purchase"
+    return e.groupBy((F.col("user_id") % 40).alias("room_id"), "user_id").agg(
+        F.min("ts").alias("joined_at"),
+        F.max(F.when(F.col("event_type") == "click", F.col("ts"))).alias("origin_set_at"),
+        F.max(F.when(buys, F.col("event_id") % 900)).alias("origin_node_id"),
+        F.max(F.when(buys, F.col("event_id") % 3)).alias("origin_build_id"),
+    )
+
+
+def _bookmarks(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where("event_type = 'view'")
+    return e.selectExpr("event_id AS id", "user_id % 40 AS room_id", "user_id AS added_by", "event_id % 500 AS poi_id", "ts AS created_at")
+
+
+def _rooms(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy((F.col("user_id") % 40).alias("room_id")).agg(F.min("user_id").alias("owner_id"), F.min("ts").alias("created_at"))
+
+
+@query(f"SELECT room_id, id FROM (SELECT room_id, id, row_number() OVER (PARTITION BY room_id ORDER BY created_at, id) AS k FROM ({_BOOKMARKS})) WHERE k <= 30")
+def room_capacity(spark, sf_dir):
+    return op.capped(_bookmarks(spark, sf_dir), "room_id", ["created_at", "id"], op.BOOKMARKS).select("room_id", "id")
+
+
+@query(f"SELECT m.*, coalesce(b.bookmarks, 0) AS bookmarks, m.origins > 0 AND coalesce(b.bookmarks, 0) > 0 AS ready FROM (SELECT room_id, count(*) AS members, count(origin_node_id) AS origins, count(*) FILTER (origin_build_id <> 2) AS stale FROM ({_MEMBERS}) GROUP BY 1) m LEFT JOIN (SELECT room_id, count(*) AS bookmarks FROM ({_BOOKMARKS}) GROUP BY 1) b USING (room_id)")
+def room_view(spark, sf_dir):
+    return op.room_view(_members(spark, sf_dir), _bookmarks(spark, sf_dir), 2)
+
+
+@query(f"SELECT r.room_id, r.owner_id, m.user_id, r.owner_id = m.user_id AS is_mine, n.members FROM ({_ROOMS}) r JOIN ({_MEMBERS}) m USING (room_id) JOIN (SELECT room_id, count(*) AS members FROM ({_MEMBERS}) GROUP BY 1) n USING (room_id)")
+def my_rooms(spark, sf_dir):
+    m = _members(spark, sf_dir).select("room_id", "user_id")
+    n = m.groupBy("room_id").agg(F.count("*").alias("members"))
+    out = _rooms(spark, sf_dir).join(m, "room_id").join(n, "room_id")
+    return out.select("room_id", "owner_id", "user_id", (F.col("owner_id") == F.col("user_id")).alias("is_mine"), "members")
+
+
+@query(f"SELECT room_id, user_id FROM (SELECT room_id, user_id, row_number() OVER (PARTITION BY room_id ORDER BY joined_at, user_id) AS k FROM ({_MEMBERS}) m WHERE (room_id, user_id) NOT IN (SELECT (room_id, owner_id) FROM ({_ROOMS}))) WHERE k = 1")
+def next_owner(spark, sf_dir):
+    return op.next_owner(_members(spark, sf_dir), _rooms(spark, sf_dir).select("room_id", F.col("owner_id").alias("user_id")))
+
+
+@query(f"SELECT room_id, greatest(r.created_at, m.m, b.b) AS at FROM ({_ROOMS}) r LEFT JOIN (SELECT room_id, max(greatest(joined_at, origin_set_at)) AS m FROM ({_MEMBERS}) GROUP BY 1) m USING (room_id) LEFT JOIN (SELECT room_id, max(created_at) AS b FROM ({_BOOKMARKS}) GROUP BY 1) b USING (room_id)")
+def last_activity(spark, sf_dir):
+    return op.last_activity(_rooms(spark, sf_dir), _members(spark, sf_dir), _bookmarks(spark, sf_dir))
+
+
+@query("SELECT local_day, event_id FROM (SELECT (ts + INTERVAL 9 HOUR)::DATE AS local_day, event_id, row_number() OVER (PARTITION BY (ts + INTERVAL 9 HOUR)::DATE ORDER BY ts, event_id) AS k FROM events) WHERE k <= 50")
+def daily_cap(spark, sf_dir):
+    return op.daily_cap(table(spark, sf_dir, "events").select("ts", "event_id"), "ts", "event_id", 50).select("local_day", "event_id")
+
+
+@query(f"SELECT b.id, b.room_id FROM ({_BOOKMARKS}) b JOIN ({_ROOMS}) r USING (room_id) WHERE b.added_by = 7 OR r.owner_id = 7 OR r.owner_id = 7")
+def bookmark_permission(spark, sf_dir):
+    return op.deletable(_bookmarks(spark, sf_dir), _rooms(spark, sf_dir), F.lit(7)).select("id", "room_id")
+
+
+@query(f"SELECT b.id, b.poi_id, p_name AS name, (p_partkey * 7919 % 60000 + 170000)::DOUBLE AS x FROM ({_BOOKMARKS}) b JOIN part ON p_partkey = b.poi_id")
+def bookmark_snapshot(spark, sf_dir):
+    from waymill.plans.derived import points
+
+    return op.frozen(_bookmarks(spark, sf_dir), points(spark, sf_dir, "part")).select("id", "poi_id", "name", "x")
+
+
+@query("SELECT c_custkey AS user_id, CASE WHEN c_acctbal < 0 THEN 'withdrawn ' || c_custkey ELSE c_name END AS name FROM customer")
+def anonymised_users(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return op.anonymised(c.select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name")), c.where("c_acctbal < 0").select(F.col("c_custkey").alias("user_id")))
+
+
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, epoch(ts)::BIGINT AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT, event_id) AS k FROM events),
+r AS (SELECT user_id, event_id, k, t AS begun, 1 AS n, true AS allowed FROM e WHERE k = 1 UNION ALL
+  SELECT e.user_id, e.event_id, e.k, CASE WHEN e.t >= r.begun + 86400 THEN e.t ELSE r.begun END, CASE WHEN e.t >= r.begun + 86400 THEN 1 ELSE least(3, r.n + 1) END, e.t >= r.begun + 86400 OR r.n < 3 FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT user_id, event_id, allowed FROM r""")
+def rate_limit_fixed_window(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", F.date_trunc("second", "ts").alias("ts"), "event_id")
+    return op.limited(e, "user_id", "ts", 3, 86_400).select("user_id", "event_id", "allowed")
