@@ -204,3 +204,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, **options) -> DataF
     out = rows.join(named, (rows.embedding == named.embedding) & rows.vec_id.isNotNull(), "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+
+
+ORACLE_SQL = """
+WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND list_sum(list_transform(embedding, lambda v: abs(v))) > 0),
+p AS MATERIALIZED (SELECT a.vec_id AS i, b.vec_id AS j FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.95),
+r(n, root) USING KEY (n) AS (SELECT vec_id, vec_id FROM embeddings UNION (SELECT p.j, min(r.root) FROM r JOIN p ON p.i = r.n JOIN recurring.r k ON k.n = p.j WHERE r.root < k.root GROUP BY p.j))
+SELECT v.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, r.root::BIGINT AS component_id, v.vec_id = r.root AS kept FROM embeddings v JOIN r ON r.n = v.vec_id LEFT JOIN (SELECT i, count(*) AS n FROM p GROUP BY i) c ON c.i = v.vec_id
+"""
