@@ -119,12 +119,13 @@ def graph_counts(spark, sf_dir):
     return graph.counts(*_built(spark, sf_dir))
 
 
-def _recursive(hour: int | None) -> str:
-    """Distances from all ORIGINS in an hour."""
+def _recursive(hour: int | None, tag: str = "") -> str:
+    """Distances from all ORIGINS in an hour, as table r with a tag."""
     open_ = EDGES_SQL if hour is None else _OPEN.format(h=hour)
     seeds = " UNION ALL ".join(f"SELECT {o}::BIGINT, {o}::BIGINT, 0::BIGINT" for o in ORIGINS)
-    return f"""e AS MATERIALIZED (SELECT src, dst, w FROM {open_} WHERE w >= 0),
-r(o, n, d) USING KEY (o, n) AS (SELECT * FROM ({seeds}) UNION (SELECT r.o, e.dst, min(r.d + e.w) FROM r JOIN e ON e.src = r.n LEFT JOIN recurring.r k ON k.o = r.o AND k.n = e.dst WHERE k.d IS NULL OR r.d + e.w < k.d GROUP BY r.o, e.dst))"""
+    e, r = f"e{tag}", f"r{tag}"
+    return f"""{e} AS MATERIALIZED (SELECT src, dst, w FROM {open_} WHERE w >= 0),
+{r}(o, n, d) USING KEY (o, n) AS (SELECT * FROM ({seeds}) UNION (SELECT {r}.o, {e}.dst, min({r}.d + {e}.w) FROM {r} JOIN {e} ON {e}.src = {r}.n LEFT JOIN recurring.{r} k ON k.o = {r}.o AND k.n = {e}.dst WHERE k.d IS NULL OR {r}.d + {e}.w < k.d GROUP BY {r}.o, {e}.dst))"""
 
 
 def _origins(spark, hours):
@@ -182,11 +183,12 @@ def unreachable_cells(spark, sf_dir):
     return _cells(spark, sf_dir, 2).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {', '.join(_recursive(h, f'_{h}') for h in HOURS)}, u AS ({' UNION ALL '.join(f'SELECT * FROM r_{h}' for h in HOURS)})
+SELECT o AS origin, n AS target, count(*) AS hours, min(d)::BIGINT AS least, max(d)::BIGINT AS most FROM u WHERE n IN ({', '.join(map(str, TARGETS))}) GROUP BY o, n""")
 def hour_sensitivity(spark, sf_dir):
-    """How travel times differ between hours: each pair's least and most seconds, and settled nodes. Each hour's search has SQL of its own above."""
+    """How travel times differ between hours: each pair's least and most seconds."""
     out = search.one_to_many(_graph(spark, sf_dir), _origins(spark, HOURS), TARGETS)
-    return out.groupBy("origin", "target").agg(F.count("*").alias("hours"), F.min("seconds").alias("least"), F.max("seconds").alias("most"), F.max("settled").alias("settled"))
+    return out.groupBy("origin", "target").agg(F.count("*").alias("hours"), F.min("seconds").alias("least"), F.max("seconds").alias("most"))
 
 
 # Steps of routes: lines of an order as edges of a path, kinds by part and supplier.

@@ -135,9 +135,39 @@ def bbox_ratio(spark, sf_dir):
     return c.agg(F.count("*").alias("n"), F.round(F.avg(inside.cast("int")), 9).alias("ratio"))
 
 
-@query()
+def _arc_sql(e: crs.Ellipsoid, lat: str) -> str:
+    q = e.e2
+    return f"{e.a} * ({1 - q / 4 - 3 * q**2 / 64 - 5 * q**3 / 256} * {lat} - {3 * q / 8 + 3 * q**2 / 32 + 45 * q**3 / 1024} * sin(2 * {lat}) + {15 * q**2 / 256 + 45 * q**3 / 1024} * sin(4 * {lat}) - {35 * q**3 / 3072} * sin(6 * {lat}))"
+
+
+def _to_5186_sql(points_: str) -> str:
+    """The whole chain from 5174 in SQL: inverse projection, datum step, forward projection."""
+    p, o, d = crs.EPSG_5174, crs.EPSG_5186, crs.KOREAN_1985
+    b, g = p.ellipsoid, o.ellipsoid
+    q, ep = b.e2, b.e2 / (1 - b.e2)
+    e1 = (1 - (1 - q) ** 0.5) / (1 + (1 - q) ** 0.5)
+    gq, gp = g.e2, g.e2 / (1 - g.e2)
+    rx, ry, rz = (v / 3600 * 3.141592653589793 / 180 for v in d.r)
+    k = 1 + d.ppm * 1e-6
+    lat0 = f"radians({p.lat0})"
+    n = f"{b.a} / sqrt(1 - {q} * sin(phi) * sin(phi))"
+    turn = "".join(f", t{i + 1} AS (SELECT *, atan2(z + {gq * g.a} * sin(o{i}) / sqrt(1 - {gq} * sin(o{i}) * sin(o{i})), flat) AS o{i + 1} FROM {'g' if i == 0 else f't{i}'})" for i in range(4))
+    return f"""WITH a AS (SELECT id, x, (y - {p.north} + {_arc_sql(b, lat0)}) / {b.a * (1 - q / 4 - 3 * q**2 / 64 - 5 * q**3 / 256)} AS mu FROM {points_}),
+b AS (SELECT *, mu + {3 * e1 / 2 - 27 * e1**3 / 32} * sin(2 * mu) + {21 * e1**2 / 16 - 55 * e1**4 / 32} * sin(4 * mu) + {151 * e1**3 / 96} * sin(6 * mu) + {1097 * e1**4 / 512} * sin(8 * mu) AS f FROM a),
+c AS (SELECT *, {ep} * cos(f) * cos(f) AS k, tan(f) * tan(f) AS t, 1 - {q} * sin(f) * sin(f) AS q FROM b), e AS (SELECT *, {b.a} / sqrt(q) AS n, (x - {p.east}) / ({b.a} / sqrt(q)) AS d FROM c),
+l AS (SELECT id, f - (n * tan(f) * q * sqrt(q) / {b.a * (1 - q)}) * d * d * (0.5 - d * d * ((5 + 3 * t + 10 * k - 4 * k * k - {9 * ep}) / 24 - (61 + 90 * t + 298 * k + 45 * t * t - {252 * ep} - 3 * k * k) * d * d / 720)) AS phi,
+  radians({p.lon0}) + d * (1 - d * d * ((1 + 2 * t + k) / 6 - (5 - 2 * k + 28 * t - 3 * k * k + {8 * ep} + 24 * t * t) * d * d / 120)) / cos(f) AS lam FROM e),
+u AS (SELECT id, {n} * cos(phi) * cos(lam) - {d.pivot[0]} AS u, {n} * cos(phi) * sin(lam) - {d.pivot[1]} AS v, {n} * {1 - q} * sin(phi) - {d.pivot[2]} AS w FROM l),
+m AS (SELECT id, {k} * (u + {rz} * v - {ry} * w) + {d.pivot[0] + d.t[0]} AS x, {k} * (v - {rz} * u + {rx} * w) + {d.pivot[1] + d.t[1]} AS y, {k} * (w + {ry} * u - {rx} * v) + {d.pivot[2] + d.t[2]} AS z FROM u),
+g AS (SELECT *, sqrt(x * x + y * y) AS flat, atan2(z, sqrt(x * x + y * y) * {1 - gq}) AS o0 FROM m){turn},
+h AS (SELECT id, o4 AS phi, (atan2(y, x) - radians({o.lon0})) * cos(o4) AS a, {g.a} / sqrt(1 - {gq} * sin(o4) * sin(o4)) AS n, tan(o4) * tan(o4) AS t, {gp} * cos(o4) * cos(o4) AS k FROM t4)
+SELECT id, round({o.east} + n * a * (1 + a * a * ((1 - t + k) / 6 + (5 - 18 * t + t * t + 72 * k - {58 * gp}) * a * a / 120)), 3) AS east,
+  round({o.north} + {_arc_sql(g, 'phi')} - {_arc_sql(g, lat0)} + n * tan(phi) * a * a * (0.5 + a * a * ((5 - t + 9 * k + 4 * k * k) / 24 + (61 - 58 * t + t * t + 600 * k - {330 * gp}) * a * a / 720)), 3) AS north FROM h"""
+
+
+@query(_to_5186_sql(points_sql("customer")))
 def crs_5174_to_5186(spark, sf_dir):
-    """Register coordinates in the map's system; the chain of series is tested against known points."""
+    """Register coordinates in the map's system; the chain of series is also tested against known points."""
     p = crs.to_5186(points(spark, sf_dir, "customer"), "x", "y", "east", "north")
     return p.select("id", F.round("east", 3).alias("east"), F.round("north", 3).alias("north"))
 
