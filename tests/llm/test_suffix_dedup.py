@@ -50,6 +50,7 @@ def test_matches_brute_force(make_docs, odd_texts, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT_SHARD", 3 if hot == 2 else 4096)
     monkeypatch.setattr(suffix_dedup, "PIECE", 3000)
     monkeypatch.setattr(suffix_dedup, "BATCH", 9000)
+    monkeypatch.setattr(suffix_dedup, "SENT", 5000)
     monkeypatch.setattr(suffix_dedup, "SHARDS", 7)
     texts = corpus(odd_texts)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(make_docs(texts)).collect()}

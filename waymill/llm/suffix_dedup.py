@@ -28,8 +28,9 @@ from pyspark.sql import types as T
 from waymill.llm.common import written
 
 MATCH, GRAM = 100, 32
-#: Bytes hashed at once, bytes of a batch, bytes of text for each shard, and the fewest shards.
-PIECE, BATCH, SHARD, SHARDS = 4_000_000, 64_000_000, 8_000_000, 64
+#: Bytes hashed at once, bytes of a batch, bytes of contexts and windows sent at once, bytes of text for
+#: each shard, and the fewest shards.
+PIECE, BATCH, SENT, SHARD, SHARDS = 2_000_000, 64_000_000, 16_000_000, 8_000_000, 64
 #: A gram with this many contexts in one batch, or this many in one shard, is dealt out by window instead.
 HOT_BATCH, HOT_SHARD = 32, 4096
 
@@ -185,7 +186,7 @@ def batch_suffixes(docs: DataFrame, shards: int) -> DataFrame:
     """Blobs of each batch's suffix array by shard (kind 0), and of spans repeated inside a batch (kind 1)."""
 
     def flush(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        columns = [np.concatenate(x).astype(t) for x, t in zip(zip(*parts), ENTRY[:6])]
+        columns = [np.concatenate(x) for x in zip(*parts)]
         columns, spans = merged([*columns, np.zeros(len(columns[0]), np.uint8)])
         if not len(columns[0]):
             return
@@ -214,7 +215,7 @@ def batch_suffixes(docs: DataFrame, shards: int) -> DataFrame:
             h, c, first, count, offset = suffixes(data, ends)
             of = np.searchsorted(ends, first, side="right")
             begin = np.append(0, ends[:-1])
-            parts.append((h, c, ids[of], first - begin[of] + starts[of], count, offset))
+            parts.append(tuple(x.astype(t) for x, t in zip((h, c, ids[of], first - begin[of] + starts[of], count, offset), ENTRY)))
             size += len(data)
             if size >= BATCH:
                 yield from flush(parts)
@@ -345,7 +346,7 @@ def window_keys(texts: DataFrame, shards: int) -> DataFrame:
                     data = np.frombuffer(text, np.uint8)
                     hot.append((*hashed_windows(data, lo[which] + step, gram[which].view(U), gap[which] - step), np.full(len(which), doc, np.int64), lo[which] + step))
                     size += 24 * len(which)
-                if size >= BATCH:
+                if size >= SENT:
                     yield from flush(cold, hot, first)
                     cold, hot, size = [], [], 0
         yield from flush(cold, hot, first)
