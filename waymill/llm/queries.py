@@ -69,4 +69,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": chat.ORACLE_SQL, "op5_benchmark_decontamination": winnow.ORACLE_SQL, "op6_embedding_near_dedup": lattice.ORACLE_SQL}
+    return {"op4_chat_formatting": chat.ORACLE_SQL, "op5_benchmark_decontamination": winnow.ORACLE_SQL, "op6_embedding_near_dedup": lattice.ORACLE_SQL, "op9_suffix_array_dedup": suffix_dedup.ORACLE_SQL}

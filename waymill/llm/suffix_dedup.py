@@ -29,8 +29,9 @@ from waymill.llm.common import written
 
 MATCH, GRAM = 100, 32
 #: Bytes hashed at once, bytes of a batch, bytes of contexts and windows sent at once, bytes of text for
-#: each shard, and the fewest shards.
-PIECE, BATCH, SENT, SHARD, SHARDS = 2_000_000, 64_000_000, 16_000_000, 8_000_000, 64
+#: each shard, and the fewest and most shards: beyond a terabyte shards grow instead, since each batch sends
+#: a blob to each, and partitions hold several.
+PIECE, BATCH, SENT, SHARD, SHARDS, MOST, PARTITIONS = 2_000_000, 64_000_000, 16_000_000, 8_000_000, 64, 131_072, 32_768
 #: A gram with this many contexts in one batch, or this many in one shard, is dealt out by window instead.
 HOT_BATCH, HOT_SHARD = 32, 4096
 
@@ -300,7 +301,7 @@ def scan_levels(blobs: DataFrame, shards: int) -> DataFrame:
                 j = at[i : i + 100_000]
                 yield found_batch(doc[j], lo[j], lo[j].astype(np.int64) + count[j], h[j], offset[j], hot[j])
 
-    return blobs.repartition(shards, "shard").sortWithinPartitions("shard", "first").select("shard", "kind", "n", "blob").mapInArrow(run, FOUND)
+    return blobs.repartition(min(shards, PARTITIONS), "shard").sortWithinPartitions("shard", "first").select("shard", "kind", "n", "blob").mapInArrow(run, FOUND)
 
 
 def window_keys(texts: DataFrame, shards: int) -> DataFrame:
@@ -394,14 +395,14 @@ def settle_windows(blobs: DataFrame, shards: int) -> DataFrame:
                 if len(spans[0]):
                     yield found_batch(*spans)
 
-    return blobs.repartition(shards, "shard").sortWithinPartitions("shard").select("shard", "kind", "n", "blob").mapInArrow(run, FOUND)
+    return blobs.repartition(min(shards, PARTITIONS), "shard").sortWithinPartitions("shard").select("shard", "kind", "n", "blob").mapInArrow(run, FOUND)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, lo, hi): ranges of window starts whose windows also start earlier, for rows (doc_id, text)."""
     docs = docs.where("doc_id IS NOT NULL AND octet_length(text) >= 100")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(SHARDS, -(-total // SHARD))
+    shards = min(MOST, max(SHARDS, -(-total // SHARD)))
     found = written(scan_levels(batch_suffixes(docs, shards), shards), "suffix-found")
     at = found.where("gram IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "gram", "gap", "hot")).alias("at"))
     open_texts = docs.join(at.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "at")
@@ -458,3 +459,21 @@ def dedup(docs: DataFrame, keep_text: bool = False, carry: tuple[str, ...] = ())
     for name in names:
         schema = schema.add(name, "string" if name.startswith("kept") else "long")
     return both.mapInArrow(run, T.StructType([*schema.fields, *(docs.schema[c] for c in carry)]))
+
+
+#: Every window by its digest: the first by (doc_id, position) stays, runs of the others are cut.
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS h FROM documents),
+w AS (SELECT doc_id, unnest(range(1, octet_length(h) - 98)) AS pos, h FROM d WHERE octet_length(h) >= 100),
+k AS (SELECT doc_id, pos, md5(array_slice(h, pos, pos + 99)) AS k FROM w),
+again AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS n FROM k) WHERE n > 1),
+steps AS (SELECT doc_id, pos, pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS gap FROM again),
+numbered AS (SELECT doc_id, pos, count(*) FILTER (gap IS NULL OR gap > 100) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM steps),
+runs AS (SELECT doc_id, min(pos) AS lo, max(pos) + 99 AS hi FROM numbered GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, count(*) AS n_spans, sum(hi - lo + 1) AS n_removed, max(hi) AS last FROM runs GROUP BY doc_id),
+pieces AS (SELECT doc_id, lo, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) + 1 AS a, lo - 1 AS b FROM runs),
+heads AS (SELECT doc_id, string_agg(hex(array_slice(h, a, b)), '' ORDER BY lo) AS kept FROM pieces JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, octet_length(h)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, '') || hex(array_slice(h, (coalesce(last, 0) + 1)::BIGINT, octet_length(h)::BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN cuts USING (doc_id) LEFT JOIN heads USING (doc_id)
+"""
