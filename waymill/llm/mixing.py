@@ -13,6 +13,8 @@ from waymill.llm.common import written
 #: Exponents tried in one pass over the sources; ROUNDS passes leave an interval of GRID ** -ROUNDS.
 GRID, ROUNDS = 64, 4
 BLOCK_TOKENS = 200_000
+#: Bits of a block's hash that name its range in the running sums.
+SPAN_BITS = 12
 
 
 @dataclass(frozen=True)
@@ -87,14 +89,14 @@ def mix(docs: DataFrame, target: Target = Target(), seed: int = 17, block_tokens
     sources = written(rows.groupBy("_s").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")), "mix-sources")
     t = exponent(sources, target)
     shares = sources.withColumn("p", F.when(F.col("tokens") > 0, F.pow(F.col("tokens").cast("double"), F.lit(t))).otherwise(0.0).cast("decimal(38,12)"))
-    sums = shares.agg(F.sum("p").alias("z"), F.sum("tokens").alias("all"))
-    plan = shares.crossJoin(F.broadcast(sums)).select(
+    z, total = shares.agg(F.sum("p").cast("double"), F.sum("tokens")).first()
+    plan = shares.select(
         "_s",
         "tokens",
-        F.coalesce(F.try_divide(F.col("p").cast("double"), F.col("z").cast("double")), F.lit(0.0)).alias("weight"),
+        (F.col("p").cast("double") / z if z else F.lit(0.0)).alias("weight"),
         F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.lit(block_tokens))).cast("long").alias("blocks"),
         F.lit(target.budget).alias("budget"),
-        "all",
+        F.lit(total).cast("long").alias("all"),
     )
     plan = plan.withColumn("due", F.floor(F.col("budget") * F.col("all") * F.col("weight")).cast("long"))
     plan = plan.withColumn("passes", F.when(F.col("tokens") > 0, F.floor(F.col("due") / F.col("tokens"))).otherwise(0).cast("long")).withColumn("rest", F.col("due") - F.col("passes") * F.col("tokens")).select("_s", "weight", "blocks", "passes", "rest")
@@ -105,9 +107,14 @@ def mix(docs: DataFrame, target: Target = Target(), seed: int = 17, block_tokens
     placed = rows.join(plan, "_s").withColumn("_h", order).withColumn("block", F.pmod(F.col("_h"), F.col("blocks")))
     placed = placed.withColumn("_b", F.xxhash64(F.lit(seed + 1), F.col("_s"), F.col("block")))
     small = placed.select("_s", "_b", "block", "_h", "doc_id", "n_tokens", "rest")
-    totals = small.groupBy("_s", "_b").agg(F.sum("n_tokens").alias("t"))
-    before = totals.withColumn("before", F.sum("t").over(W.partitionBy("_s").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)))
-    before = before.select("_s", "_b", F.coalesce("before", F.lit(0)).alias("before"))
+    # Blocks stand in the order of their hash; its top bits make ranges, so that even a source of very many
+    # blocks is summed over 2**SPAN_BITS ranges first and inside each range then.
+    totals = small.groupBy("_s", "_b").agg(F.sum("n_tokens").alias("t")).withColumn("_r", F.shiftright("_b", 64 - SPAN_BITS))
+    ranges = totals.groupBy("_s", "_r").agg(F.sum("t").alias("t"))
+    ranges = ranges.select("_s", "_r", F.sum("t").over(W.partitionBy("_s").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)).alias("low"))
+    within = F.sum("t").over(W.partitionBy("_s", "_r").orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
+    before = totals.withColumn("high", within).join(ranges, ["_s", "_r"])
+    before = before.select("_s", "_b", (F.coalesce("low", F.lit(0)) + F.coalesce("high", F.lit(0))).alias("before"))
     inside = W.partitionBy("_s", "_b").orderBy("_h").rowsBetween(W.unboundedPreceding, 0)
     keys = small.groupBy("_s", "_b", "_h").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("same"), F.max("rest").alias("rest"))
     ends = keys.join(before, ["_s", "_b"]).withColumn("end", F.col("before") + F.sum("t").over(inside))
