@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from waymill.operators import spatial
+
 MEMBERS, BOOKMARKS, DAILY = 10, 30, 50_000
 
 
@@ -32,6 +34,37 @@ def next_owner(members: DataFrame, leaving: DataFrame) -> DataFrame:
     return rest.groupBy("room_id").agg(F.min_by("user_id", F.struct("joined_at", "user_id")).alias("user_id"))
 
 
+def left(rooms: DataFrame, members: DataFrame, bookmarks: DataFrame, leaving: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rooms, members and bookmarks after members (room_id, user_id) left at once.
+
+    A room that nobody stays in goes with its bookmarks; one whose owner left gets the earliest member
+    who stays. Bookmarks of those who left stay with the room.
+    """
+    stay = members.join(leaving, ["room_id", "user_id"], "left_anti")
+    gone = members.select("room_id").distinct().join(stay.select("room_id").distinct(), "room_id", "left_anti")
+    heirs = next_owner(members, leaving).withColumnRenamed("user_id", "_heir")
+    lost = leaving.select("room_id", F.col("user_id").alias("owner_id")).distinct().withColumn("_lost", F.lit(True))
+    kept = rooms.join(gone, "room_id", "left_anti").join(lost, ["room_id", "owner_id"], "left").join(heirs, "room_id", "left")
+    owner = F.when(F.col("_lost"), F.col("_heir")).otherwise(F.col("owner_id")).alias("owner_id")
+    return kept.select(*[owner if c == "owner_id" else F.col(c) for c in rooms.columns]), stay, bookmarks.join(gone, "room_id", "left_anti")
+
+
+def resnapped(members: DataFrame, nodes: DataFrame, build_id: int, radius: float = 2000.0) -> DataFrame:
+    """Members whose origin (x, y) belongs to another build get the nearest node (id, x, y) of this one.
+
+    Node ids of different builds mean different places, so that the build decides and not whether the id
+    exists. Without a node in reach the origin is of this build and has no node.
+    """
+    stale = F.col("x").isNotNull() & ~F.col("origin_build_id").eqNullSafe(F.lit(build_id))
+    at = members.where(stale).select("user_id", "room_id", F.col("x").alias("lx"), F.col("y").alias("ly"))
+    at = at.withColumn("_member", F.struct("room_id", "user_id"))
+    found = spatial.nearest(at, nodes.select(F.col("id").alias("node"), F.col("x").alias("rx"), F.col("y").alias("ry")), radius, "_member", "node")
+    new = found.select("_member.room_id", "_member.user_id", "node", F.col("distance").alias("_snap"))
+    joined = members.join(new, ["room_id", "user_id"], "left").withColumn("_stale", stale)
+    changed = {"origin_node_id": F.col("node"), "origin_snap_m": F.col("_snap"), "origin_build_id": F.lit(build_id)}
+    return joined.select(*[F.when(F.col("_stale"), changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in members.columns])
+
+
 def last_activity(rooms: DataFrame, members: DataFrame, bookmarks: DataFrame) -> DataFrame:
     """(room_id, at): the latest of what happened in each room; what didn't happen is skipped."""
     m = members.groupBy("room_id").agg(F.max(F.greatest("joined_at", "origin_set_at")).alias("m"))

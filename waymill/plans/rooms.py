@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from waymill.operators import rooms as op
+from waymill.plans.derived import points, points_sql
 from waymill.plans.registry import query, table
 
 _MEMBERS = "SELECT user_id % 40 AS room_id, user_id, min(ts) AS joined_at, max(CASE WHEN event_type = 'click' THEN ts END) AS origin_set_at, max(CASE WHEN event_type = 'purchase' THEN event_id % 900 END) AS origin_node_id, max(CASE WHEN event_type = 'purchase' THEN event_id % 3 END) AS origin_build_id FROM events GROUP BY ALL"
@@ -88,3 +89,25 @@ SELECT user_id, event_id, allowed FROM r""")
 def rate_limit_fixed_window(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", F.date_trunc("second", "ts").alias("ts"), "event_id")
     return op.limited(e, "user_id", "ts", 3, 86_400).select("user_id", "event_id", "allowed")
+
+
+@query(f"""WITH m AS ({_MEMBERS}), r AS ({_ROOMS}), b AS ({_BOOKMARKS}), stay AS (SELECT * FROM m WHERE NOT (user_id % 3 = 0 OR room_id % 7 = 0)),
+heirs AS (SELECT room_id, arg_min(user_id, (joined_at, user_id)) AS heir, count(*) AS members FROM stay GROUP BY 1), n AS (SELECT room_id, count(*) AS bookmarks FROM b GROUP BY 1)
+SELECT room_id, CASE WHEN owner_id % 3 = 0 OR room_id % 7 = 0 THEN heir ELSE owner_id END AS owner_id, members, coalesce(bookmarks, 0) AS bookmarks FROM r JOIN heirs USING (room_id) LEFT JOIN n USING (room_id)""")
+def rooms_left(spark, sf_dir):
+    m = _members(spark, sf_dir)
+    rooms, stay, marks = op.left(_rooms(spark, sf_dir), m, _bookmarks(spark, sf_dir), m.where("user_id % 3 = 0 OR room_id % 7 = 0").select("room_id", "user_id"))
+    members = stay.groupBy("room_id").agg(F.count("*").alias("members"))
+    marked = marks.groupBy("room_id").agg(F.count("*").alias("bookmarks"))
+    return rooms.join(members, "room_id").join(marked, "room_id", "left").select("room_id", "owner_id", "members", F.coalesce("bookmarks", F.lit(0)).alias("bookmarks"))
+
+
+@query(f"""WITH m AS (SELECT c_nationkey::BIGINT AS room_id, id AS user_id, x, y, id % 3 AS build, CASE WHEN id % 3 > 0 THEN id % 50 END AS node FROM {points_sql('customer')} JOIN customer ON c_custkey = id),
+p AS (SELECT user_id, s.id AS node, sqrt((s.x - m.x) * (s.x - m.x) + (s.y - m.y) * (s.y - m.y)) AS d FROM m JOIN {points_sql('supplier')} s ON sqrt((s.x - m.x) * (s.x - m.x) + (s.y - m.y) * (s.y - m.y)) <= 2000),
+n AS (SELECT user_id, arg_min(node, (d, node)) AS node, min(d) AS d FROM p GROUP BY 1)
+SELECT room_id, user_id, CASE WHEN build = 2 THEN m.node ELSE n.node END AS origin_node_id, CASE WHEN build <> 2 THEN round(d, 6) END AS origin_snap_m, 2::BIGINT AS origin_build_id FROM m LEFT JOIN n USING (user_id)""")
+def resnapped_origins(spark, sf_dir):
+    c = points(spark, sf_dir, "customer").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey"), "id")
+    m = c.select(F.col("c_nationkey").cast("long").alias("room_id"), F.col("id").alias("user_id"), "x", "y", F.expr("CASE WHEN id % 3 > 0 THEN id % 50 END").alias("origin_node_id"), F.lit(None).cast("double").alias("origin_snap_m"), F.expr("id % 3").alias("origin_build_id"))
+    out = op.resnapped(m, points(spark, sf_dir, "supplier"), 2)
+    return out.select("room_id", "user_id", "origin_node_id", F.round("origin_snap_m", 6).alias("origin_snap_m"), "origin_build_id")

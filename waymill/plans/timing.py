@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from waymill.functions.scalars import representative
-from waymill.operators import timing, transfers
+from waymill.operators import stations, timing, transfers
 from waymill.plans.derived import STOPS_SQL, stops
 from waymill.plans.registry import query, table
 
@@ -107,3 +107,21 @@ def traverse_fixpoint(spark, sf_dir):
     t = transfers.calibrated(*_transfers(spark, sf_dir))
     ordered = t.withColumn("ord", F.concat("line_a", F.lit(" "), "line_b"))
     return transfers.raised(ordered, transfers.station_traverse(t))
+
+
+@query("""WITH master AS (SELECT CASE WHEN s_suppkey % 4 > 0 THEN (s_suppkey % 9 + 1)::VARCHAR END AS line, 'stop ' || (s_suppkey % 30) || CASE WHEN s_suppkey % 2 = 0 THEN '(x)' ELSE '' END AS station, 37.0 + s_suppkey % 97 / 1000.0 AS lat, 127.0 + s_suppkey % 89 / 1000.0 AS lon, s_suppkey AS place, 'stop' || (s_suppkey % 30) AS name FROM supplier),
+wanted AS (SELECT DISTINCT (c_custkey % 9 + 1)::VARCHAR AS line, 'stop ' || (c_custkey % 36) AS station, 'stop' || (c_custkey % 36) AS name FROM customer),
+l AS (SELECT line, name, arg_min(lat, place) AS lat, arg_min(lon, place) AS lon FROM master WHERE line IS NOT NULL GROUP BY ALL), n AS (SELECT name, arg_min(lat, place) AS lat, arg_min(lon, place) AS lon FROM master GROUP BY ALL)
+SELECT w.line, w.station, coalesce(l.lat, n.lat)::DOUBLE AS lat, coalesce(l.lon, n.lon)::DOUBLE AS lon FROM wanted w LEFT JOIN l USING (line, name) LEFT JOIN n USING (name) WHERE coalesce(l.lat, n.lat) IS NOT NULL""")
+def station_lookup(spark, sf_dir):
+    k = F.col("s_suppkey")
+    master = table(spark, sf_dir, "supplier").select(
+        F.when(k % 4 > 0, (k % 9 + 1).cast("string")).alias("line"),
+        F.concat(F.lit("stop "), (k % 30).cast("string"), F.when(k % 2 == 0, "(x)").otherwise("")).alias("station"),
+        (37.0 + k % 97 / 1000.0).alias("lat"),
+        (127.0 + k % 89 / 1000.0).alias("lon"),
+        k.alias("place"),
+    )
+    c = F.col("c_custkey")
+    wanted = table(spark, sf_dir, "customer").select((c % 9 + 1).cast("string").alias("line"), F.concat(F.lit("stop "), (c % 36).cast("string")).alias("station")).distinct()
+    return stations.located(wanted, master)[0]
