@@ -165,15 +165,3 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, seed: int
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents with one of each group of near duplicates, the one with the smallest doc_id.
-
-    Rows with a null doc_id all stay; of rows that repeat a kept doc_id one stays.
-    """
-    found = written(near_duplicates(docs, **options).where("doc_id = component_id").groupBy("doc_id").count(), "simhash-kept")
-    kept = docs.join(found.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
-    if found.where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
