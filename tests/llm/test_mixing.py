@@ -65,3 +65,35 @@ def test_odd_rows(spark, make_docs):
     rows = mixing.mix(docs).collect()
     assert len(rows) == 5 and {r.source for r in rows} == {"1", "2", None}
     assert mixing.mix(make_docs([None, ""])).where("copies > 1").count() == 0
+
+
+def shares_of(tokens, t):
+    p = [(x / max(tokens)) ** t for x in tokens]
+    return [x / sum(p) for x in p]
+
+
+def test_sources_more_equal_than_the_target_are_sharpened(spark):
+    tokens = [1_000_000 - 20_000 * i for i in range(20)]
+    df = spark.createDataFrame([(t,) for t in tokens], "tokens long")
+    t = mixing.exponent(df, Target())
+    assert t > 1 and entropy(shares_of(tokens, t)) == pytest.approx(0.9 * math.log(20), abs=1e-4)
+    with pytest.warns(UserWarning, match="within its repeats"):
+        t = mixing.exponent(df, Target(entropy=0.5, repeats=2.0))
+    assert t > 1 and shares_of(tokens, t)[0] * sum(tokens) / tokens[0] == pytest.approx(2, abs=1e-4)
+    with pytest.warns(UserWarning, match="natural"):
+        assert mixing.exponent(spark.createDataFrame([(5,)] * 3, "tokens long"), Target()) == 1
+
+
+@pytest.mark.parametrize("n", [3, 7, 49])
+def test_equal_sources_lose_no_document_by_rounding(spark, n):
+    """49 * (1 / 49) is less than one in floats; so are other products of shares and totals."""
+    rows = [(i, f"s{i % n}", "word " * (1 + i // n)) for i in range(3 * n)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for target in (Target(), Target(entropy=None)):
+        assert {r.copies for r in mixing.mix(docs, target).collect()} == {1}
+
+
+def test_blocks_follow_rows(spark):
+    docs = spark.range(200).selectExpr("id AS doc_id", "'s' AS source", "'' AS text")
+    got = mixing.mix(docs, block_rows=10).collect()
+    assert len({r.block for r in got}) > 10 and {r.copies for r in got} == {1}
