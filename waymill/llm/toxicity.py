@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from waymill.llm.common import written
+
 #: Labelled rows that a model is fitted on at most, features it keeps, folds, and lengths of word beginnings.
 SAMPLE, FEATURES, FOLDS, BEGINNINGS = 20_000, 1024, 5, (4, 5)
 #: A feature is kept if its rate differs between the classes by so many standard errors.
@@ -89,30 +91,45 @@ def fit(row: np.ndarray, of: np.ndarray, earlier: np.ndarray, y: np.ndarray, m:
     return w
 
 
+#: A cut that no probability reaches.
+NEVER = 1.01
+
+
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The cut with the best F1 of out-of-fold probabilities, halfway to the next one below."""
-    if not y.any() or y.all():
+    """The cut with the best F1 of out-of-fold probabilities, halfway to the next one below.
+
+    Where no cut does better than calling every row positive, the model tells nothing apart, and
+    none is called positive: the cut is out of reach.
+    """
+    if not y.any():
+        return NEVER
+    if y.all():
         return 0.5
     order = np.argsort(-p, kind="stable")
     hits = np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    every = f1[-1]
     f1[:-1][p[order][:-1] == p[order][1:]] = 0
     at = int(f1.argmax())
-    below = p[order[at + 1]] if at + 1 < len(p) else 0.0
-    return float(np.clip((p[order[at]] + below) / 2, 0.02, 0.98))
+    if at == len(p) - 1 or f1[at] <= every:
+        return NEVER
+    return float(np.clip((p[order[at]] + p[order[at + 1]]) / 2, 0.02, 0.98))
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample: int = SAMPLE) -> Chain:
     """A chain over ``categories`` (name: SQL condition over the labels) fitted on a bounded sample of labelled rows.
 
     The sample is the ``sample`` labelled rows with the least hash of doc_id; it bounds what reaches the
-    driver. Counts of features are combined inside tasks; only features whose rate differs
+    driver. Of documents that share an id the least text counts. Counts of features are combined inside tasks; only features whose rate differs
     clearly between the classes of some category are kept, at most FEATURES of them.
     """
     names = list(categories)
     chosen = labels.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), *[F.expr(f"({c})").cast("int").alias(f"y_{n}") for n, c in categories.items()])
     chosen = chosen.dropna().orderBy(F.xxhash64("doc_id"), *chosen.columns).limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("text", *[f"y_{n}" for n in names])
+    ids = chosen.select("doc_id").distinct()
+    # One text for each id: rows that repeat an id would otherwise multiply what the sample bounds.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = written(texts.join(F.broadcast(chosen), "doc_id").select("text", *[f"y_{n}" for n in names]), "toxicity-labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -206,7 +223,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     """Documents scored by a chain that is trained on their labels (doc_id, quality, toxic).
 
     Labels that are null or whose document is missing aren't used; rows that repeat a label
-    count as often as they come. Without labels, or with labels of one class, every document gets
-    that class's rate. An empty table gives no rows.
+    count as often as they come. Without labels, or where no word tells the classes apart, every document gets
+    the rate of the labels and none is called toxic; only where all labels are toxic, all are. An empty
+    table gives no rows.
     """
     return score(docs, train(docs, labels, CATEGORIES, sample))
