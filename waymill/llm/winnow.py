@@ -14,7 +14,7 @@ from waymill.llm.common import ascii_lower, let, written
 
 #: Everything in ASCII but digits and letters separates words; all other characters belong to them.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Kept benchmark hashes are broadcast up to this many rows of 12 bytes, and joined by shuffle beyond.
+#: Windows of the benchmark and their hashes are broadcast up to this many rows, and joined by shuffle beyond.
 BROADCAST_ROWS = 500_000
 
 
@@ -50,6 +50,11 @@ def shared_windows(w, span: int, gram: int, wanted):
     return let(minima(w, span, gram), lambda least: joined_windows(w, F.filter(window_starts(w, span), lambda s: F.array_contains(wanted, F.get(least, s - 1))), span))
 
 
+def tagged(n: int, name: str):
+    """A lambda that puts a window's length beside a value."""
+    return lambda x: F.struct(F.lit(n).alias("n"), x.alias(name))
+
+
 def contamination(docs: DataFrame, bench: DataFrame, span: int = 10, gram: int = 5) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of documents (doc_id, text).
 
@@ -60,7 +65,7 @@ def contamination(docs: DataFrame, bench: DataFrame, span: int = 10, gram: int =
     are equal; an item without id counts under the id ''. Empty tables give no rows or no hits.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    keyed = docs.withColumn("key", F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))))
+    keyed = docs.withColumn("key", F.struct(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")))
     items = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words(F.col("text").cast("string")).alias("w")).where(F.size("w") > 0)
     sides = []
     for n in range(1, span + 1):
@@ -73,29 +78,37 @@ def contamination(docs: DataFrame, bench: DataFrame, span: int = 10, gram: int =
     windows = written(windows.distinct(), "winnow-windows")
     kept = windows.select("n", "fp").distinct()
     sizes = {r["n"]: r["rows"] for r in kept.groupBy("n").agg(F.count("*").alias("rows")).collect()}
-    if sum(sizes.values()) <= BROADCAST_ROWS:
+    small = windows.count() <= BROADCAST_ROWS
+    if small:
         kept = F.broadcast(kept)
 
+    lengths = sorted(sizes)
     found = None
-    tokens = keyed.select("key", words(F.col("text")).alias("w"))
-    for n in sizes:
-        prints = tokens.select("key", F.lit(n).alias("n"), F.explode(F.array_distinct(minima(F.col("w"), n, min(gram, n)))).alias("fp"))
-        hits = prints.join(kept, ["n", "fp"], "left_semi")
-        found = hits if found is None else found.unionByName(hits)
+    if lengths:
+        # One pass and one split of each text for all lengths of windows.
+        def prints(w):
+            return F.concat(*[F.transform(F.array_distinct(minima(w, n, min(gram, n))), tagged(n, "fp")) for n in lengths])
+
+        found = keyed.select("key", F.explode(let(words(F.col("text")), prints)).alias("r")).select("key", "r.n", "r.fp").join(kept, ["n", "fp"], "left_semi")
     counted = keyed.select("doc_id", "key", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     none = F.sha2(F.lit(""), 256)
     if found is None:
         return counted.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"))
 
     # The windows of documents with a shared hash, kept where their minimum is one of the shared ones.
-    suspects = found.groupBy("key").pivot("n", sorted(sizes)).agg(F.collect_set("fp"))
-    texts = keyed.join(suspects.hint("shuffle_hash"), "key").withColumn("w", words(F.col("text"))).drop("text", "doc_id")
-    extended = None
-    for n in sorted(sizes):
-        at = texts.where(F.size(F.col(str(n))) > 0).select("key", F.lit(n).alias("n"), F.explode(let(F.col("w"), lambda w: shared_windows(w, n, min(gram, n), F.col(str(n))))).alias("r"))
-        at = at.select("key", "n", "r.s", "r.win")
-        extended = at if extended is None else extended.unionByName(at)
-    extended = written(extended.join(windows.select("n", "win").distinct(), ["n", "win"]), "winnow-hits")
+    suspects = found.groupBy("key").pivot("n", lengths).agg(F.collect_set("fp"))
+    texts = keyed.join(suspects.hint("shuffle_hash"), "key").drop("doc_id")
+
+    def shared(w):
+        each = [F.transform(shared_windows(w, n, min(gram, n), F.col(str(n))), tagged(n, "at")) for n in lengths]
+        none = F.array().cast("array<struct<n:int,at:struct<s:int,win:string>>>")
+        return F.concat(*[F.when(F.size(str(n)) > 0, e).otherwise(none) for n, e in zip(lengths, each)])
+
+    at = texts.select("key", F.explode(let(words(F.col("text")), shared)).alias("r")).select("key", "r.n", "r.at.s", "r.at.win")
+    known = windows.select("n", "win").distinct()
+    # A window of one common word is one hot key; broadcast windows meet it where it is, and beyond that
+    # skewed partitions of the join are split at run time.
+    extended = written(at.join(F.broadcast(known) if small else known, ["n", "win"]), "winnow-hits")
     covered = F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("s", "n")), lambda x: F.sequence(x["s"], x["s"] + x["n"] - 1))))
     hit = extended.groupBy("key").agg(F.size(covered).cast("long").alias("n_hit"))
     named = extended.select("key", "n", "win").distinct().join(windows.select("n", "win", "item_id"), ["n", "win"]).select("key", "item_id").distinct()
