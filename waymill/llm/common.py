@@ -15,6 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame, *columns, without=()) -> DataFrame:
+    """Rows with their columns in one struct ``_row`` beside the given columns, so that no name can clash.
+    Columns in ``without`` travel beside the struct only, where they are given."""
+    kept = [docs[f"`{c}`"] for c in docs.columns if c not in without]
+    return docs.select(F.struct(*kept).alias("_row") if kept else F.struct(F.lit(None).alias("_")).alias("_row"), *columns)
+
+
+def unpacked(df: DataFrame, *columns, without=()) -> DataFrame:
+    """The columns of ``_row`` but those in ``without``, with further columns behind them."""
+    names = [f.name for f in df.schema["_row"].dataType.fields if f.name not in without]
+    return df.select(*[df["_row"].getField(n).alias(n) for n in names], *columns)
+
+
 def ascii_lower(column):
     return F.translate(column, UPPER, LOWER)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from waymill.llm.common import written
+from waymill.llm.common import packed, unpacked, written
 
 #: Exponents tried in one pass over the sources; ROUNDS passes leave an interval of GRID ** -ROUNDS.
 GRID, ROUNDS = 64, 4
@@ -101,6 +101,11 @@ def _ln(x: float) -> float:
     return math.log(x)
 
 
+def _number(*parts):
+    """Sixty bits of the MD5 of the parts, which SQL elsewhere knows too."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
+
+
 def mix(docs: DataFrame, target: Target = Target(), seed: int = 17, block_tokens: int = BLOCK_TOKENS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The rows of documents (source, text, ...) with n_tokens, weight, block, position and copies.
 
@@ -111,13 +116,17 @@ def mix(docs: DataFrame, target: Target = Target(), seed: int = 17, block_tokens
     ``copies`` is how often a document is used (0: not at all); ``position`` orders one pass.
 
     A null source is a source of its own; null and empty texts have no tokens and follow their
-    neighbours in the block; repeated rows are rows of their own. Clashing column names are replaced.
-    An empty table gives no rows.
+    neighbours in the block; repeated rows are rows of their own. Input columns with the names of the five new ones
+    are replaced, any other is kept. An empty table gives no rows.
     """
     own = ["n_tokens", "weight", "block", "position", "copies"]
-    rows = docs.drop(*[c for c in docs.columns if c in own])
-    rows = rows.withColumn("n_tokens", count_tokens(F.col("text"))).withColumn("_s", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
-    sources = written(rows.groupBy("_s").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")), "mix-sources")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    order = _number(F.lit(seed), name, F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text)
+    keyed = packed(docs, name.alias("_s"), order.alias("_h"))
+    # Texts are split once; all that follows reads these narrow rows.
+    marked = written(docs.select(name.alias("_s"), order.alias("_h"), count_tokens(text).alias("n_tokens")), "mix-rows")
+    sources = written(marked.groupBy("_s").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")), "mix-sources")
     t = exponent(sources, target)
     # Shares are whole numbers, and tokens due are divided exactly: a natural mixture is whole passes.
     largest = sources.agg(F.max("tokens")).first()[0] or 1
@@ -136,21 +145,20 @@ def mix(docs: DataFrame, target: Target = Target(), seed: int = 17, block_tokens
 
     if sources.count() <= 10_000:
         plan = F.broadcast(plan)
-    order = F.xxhash64(F.lit(seed), F.col("_s"), F.coalesce("text", F.lit("")), F.col("doc_id"))
-    placed = rows.join(plan, "_s").withColumn("_h", order).withColumn("block", F.pmod(F.col("_h"), F.col("blocks")))
-    placed = placed.withColumn("_b", F.xxhash64(F.lit(seed + 1), F.col("_s"), F.col("block")))
-    small = placed.select("_s", "_b", "block", "_h", "doc_id", "n_tokens", "rest")
+    small = marked.join(plan, "_s").withColumn("block", F.col("_h") % F.col("blocks"))
+    small = small.withColumn("_b", _number(F.lit(seed + 1), F.col("_s"), F.col("block").cast("string")))
     # Blocks stand in the order of their hash; its top bits make ranges, so that even a source of very many
     # blocks is summed over 2**SPAN_BITS ranges first and inside each range then.
-    totals = small.groupBy("_s", "_b").agg(F.sum("n_tokens").alias("t")).withColumn("_r", F.shiftright("_b", 64 - SPAN_BITS))
+    totals = small.groupBy("_s", "_b").agg(F.sum("n_tokens").alias("t")).withColumn("_r", F.shiftright("_b", 60 - SPAN_BITS))
     ranges = totals.groupBy("_s", "_r").agg(F.sum("t").alias("t"))
     ranges = ranges.select("_s", "_r", F.sum("t").over(W.partitionBy("_s").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)).alias("low"))
     within = F.sum("t").over(W.partitionBy("_s", "_r").orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
     before = totals.withColumn("high", within).join(ranges, ["_s", "_r"])
     before = before.select("_s", "_b", (F.coalesce("low", F.lit(0)) + F.coalesce("high", F.lit(0))).alias("before"))
     inside = W.partitionBy("_s", "_b").orderBy("_h").rowsBetween(W.unboundedPreceding, 0)
-    keys = small.groupBy("_s", "_b", "_h").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("same"), F.max("rest").alias("rest"))
-    ends = keys.join(before, ["_s", "_b"]).withColumn("end", F.col("before") + F.sum("t").over(inside))
-    ends = ends.select("_s", "_b", "_h", F.col("end").alias("position"), (F.col("end") <= F.col("rest")).alias("more"))
-    out = placed.join(ends, ["_s", "_b", "_h"])
-    return out.select(*[rows[c] for c in rows.columns if c not in ("_s", "n_tokens")], "n_tokens", "weight", "block", "position", (F.col("passes") + F.col("more").cast("long")).alias("copies"))
+    same = [F.max(c).alias(c) for c in ("n_tokens", "weight", "block", "passes", "rest")]
+    keys = small.groupBy("_s", "_b", "_h").agg(F.sum("n_tokens").alias("t"), *same)
+    ends = keys.join(before, ["_s", "_b"]).withColumn("position", F.col("before") + F.sum("t").over(inside))
+    copies = F.col("passes") + (F.col("position") <= F.col("rest")).cast("long")
+    ends = ends.select("_s", "_h", "n_tokens", "weight", "block", "position", copies.alias("copies"))
+    return unpacked(keyed.join(ends, ["_s", "_h"]), *own, without=own)
