@@ -20,7 +20,7 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.count_tokens(table(spark, sf_dir, "documents")).drop("section_names")
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), ("source", "text"), tokens.bare_lines).drop("section_names")
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

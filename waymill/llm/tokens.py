@@ -18,23 +18,28 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 Section = tuple[str, int, int]
 
 
+def vocabulary(path: str = VOCABULARY) -> bytes:
+    """The vocabulary file, about a megabyte, read by the driver alone."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
 @lru_cache(maxsize=2)
-def encoder(path: str):
+def encoder(ranks_of: bytes):
     """The encoding of a vocabulary file and the bytes of each token."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_of.splitlines())}
     sizes = np.zeros(max(ranks.values()) + 1, np.int64)
     for token, rank in ranks.items():
         sizes[rank] = len(token)
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes
 
 
-def token_spans(text: str, path: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
+def token_spans(text: str, ranks_of: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Character spans [start, end) of the tokens of a whole text. Tokens join to the text's UTF-8, so that
     lengths give their places; a token with a part of a character spans that character."""
-    encoding, sizes = encoder(path)
+    encoding, sizes = encoder(ranks_of)
     ids = np.array(encoding.encode_ordinary(text), np.int64)
     end = np.cumsum(sizes[ids])
     start = end - sizes[ids]
@@ -55,6 +60,11 @@ def lines(text: str) -> list[Section]:
     return out
 
 
+def bare_lines(text: str) -> list[Section]:
+    """Sections of the lines that aren't blank, without their line feeds, named by their number."""
+    return [(name, a, b - text.endswith("\n", a, b)) for name, a, b in lines(text) if text[a:b].strip()]
+
+
 def attribute(start: np.ndarray, end: np.ndarray, sections: list[Section]) -> tuple[np.ndarray, int, int]:
     """(tokens of each section, tokens that cross a boundary, tokens outside all sections).
 
@@ -94,12 +104,15 @@ def count_tokens(docs: DataFrame, fields: tuple[str, ...] = ("text",), sections:
     (name, start, end) in characters of the last field. ``n_crossing`` and ``n_outside`` count tokens
     that cross a section's boundary, and tokens of the document outside all sections. Null fields are
     empty, empty documents have no tokens; whole texts are encoded whatever their length; repeated rows
-    are counted apart. An empty table gives no rows.
+    are counted apart. An empty table gives no rows. Input columns may have any name. Tasks get the vocabulary
+    from the driver, so that executors need no file.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
     names = ["doc_id", "n_chars", "n_tokens", "field_tokens", "n_sections", "section_names", "section_tokens", "n_crossing", "n_outside"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks_of = shared.value
         for batch in batches:
             out = []
             for doc, *texts in zip(batch.column(0).to_pylist(), *(batch.column(i + 1).to_pylist() for i in range(len(fields)))):
@@ -109,7 +122,7 @@ def count_tokens(docs: DataFrame, fields: tuple[str, ...] = ("text",), sections:
                     begins.append(at)
                     at += len(t) + len(joint)
                 whole = joint.join(texts)
-                start, end = token_spans(whole, path)
+                start, end = token_spans(whole, ranks_of)
                 of_fields, _, _ = attribute(start, end, [(f, b, b + len(t)) for f, b, t in zip(fields, begins, texts)])
                 found = [(n, a + begins[-1], b + begins[-1]) for n, a, b in sections(texts[-1])]
                 of_sections, crossing, outside = attribute(start, end, found)
