@@ -13,11 +13,84 @@ def page(body, i=0, main="article"):
 <section id="comments"><p>First! {i}</p></section><footer>&copy; me {i}</footer></body></html>"""
 
 
+def alone(p):
+    return h.main_text(p, None)
+
+
+def of_host(pages):
+    """The main texts of pages of one host, by the wrapper of them all."""
+    node = h.wrapper(pages[0])
+    for p in pages[1:]:
+        node = h.merge(node, h.wrapper(p))
+    rules = h.plan(h.judged(node))
+    return [h.main_text(p, rules) for p in pages]
+
+
 def test_one_page():
     body = "<h1>A &amp; B</h1><p><b>One\n  two</b>.<br>three<p>Four <i>fi</i>ve&nbsp;&#233;<div>six<ul><li>s1<li>s2</ul>tail</div><div class='comment'>no</div>"
-    container, template = h.host_rule(h.wrapper(page(body)))
-    assert container == "html body.has.sidebar article" and template == []
-    assert h.main_text(page(body), container, set()) == "A & B\nOne two. three\nFour five é\nsix\ns1\ns2\ntail"
+    assert alone(page(body)) == "A & B\nOne two. three\nFour five é\nsix\ns1\ns2\ntail"
+
+
+def test_words_of_class_and_id_drop_nothing_in_the_article():
+    parts = ['<h2 id="discussion">Discussion</h2>', '<section id="related-work"><p>Related work</p></section>', '<h2 id="search-algorithms">Search</h2>', '<p class="share-price">Share price</p>', '<div class="register-map">Register map</div>', "<p>Hello<script>1</script>world</p>"]
+    want = "Discussion\nRelated work\nSearch\nShare price\nRegister map\nHelloworld"
+    assert alone(page("".join(parts))) == want
+    assert of_host([page("".join(parts).replace("map<", f"map {i}<"), i) for i in range(5)]) == [want.replace("map\n", f"map {i}\n") for i in range(5)]
+    for name in ("content no-sidebar", "long-form", "layout-with-footer", "page-header-fixed", "social-policy", "sidebar"):
+        wrapped = f'<html><body><div class="{name}"><article><p>All of the text {name}</p></article></div><footer>f</footer></body></html>'
+        assert alone(wrapped) == f"All of the text {name}"
+        assert alone(wrapped.replace("article", "div")) == f"All of the text {name}"
+
+
+def test_constant_groups_are_template_and_varying_slots_text():
+    make = lambda i: f"<body><div>Site name</div><div><div>By the staff</div><h1>Title {i}</h1><p>Same opening words</p><p>Text number {i} of many more</p><table><tr><td>cell {i}</td></tr></table></div><ul><li><a>Home</a></li><li><a>News {i}</a></li></ul></body>"
+    assert of_host([make(i) for i in range(3)]) == [f"Title {i}\nSame opening words\nText number {i} of many more\ncell {i}" for i in range(3)]
+    same = of_host([make(1)] * 3)
+    assert same[0] == same[1] and "Text number 1" in same[0] and "Home" not in same[0]
+
+
+def common(a, b):
+    """A longest common subsequence by the full table."""
+    best = [[[] for _ in range(len(b) + 1)] for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            best[i + 1][j + 1] = best[i][j] + [a[i]] if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j], key=len)
+    return best[-1][-1]
+
+
+def test_a_plain_aligner_agrees_on_small_hosts():
+    """Tokens of all pages aligned by full tables: what they have in common outside prose is template."""
+    import random
+
+    for seed in range(40):
+        rng = random.Random(seed)
+        fixed = [("div", "By the staff"), ("div", "Share this page")]
+        streams = []
+        for i in range(rng.randrange(2, 6)):
+            tokens = [("h1", f"Title {i}"), fixed[0]] + [("p", f"Text {i} {k}") for k in range(rng.randrange(1, 5))]
+            tokens += [("pre", f"code {i}")] * rng.randrange(2) + [("blockquote", f"cite {i}")] * rng.randrange(2) + [fixed[1]]
+            streams.append(tokens)
+        shared = streams[0]
+        for stream in streams[1:]:
+            shared = common(shared, stream)
+        want = ["\n".join(t for tag, t in stream if (tag, t) not in shared or tag != "div") for stream in streams]
+        pages = [page("".join(f"<{tag}>{t}</{tag}>" for tag, t in stream), i) for i, stream in enumerate(streams)]
+        assert of_host(pages) == want, seed
+
+
+def test_deep_and_odd_pages_are_bounded(monkeypatch):
+    deep = "<div>" * 5000 + "<p>bottom</p>" + "</div>" * 4999 + "<p>after</p>"
+    assert alone(deep) == "bottom\nafter"
+    assert alone("<article>" + "<section>" * 300 + "<nav>menu</nav><p>text</p>" + "</section>" * 300 + "</article>") == "text"
+    monkeypatch.setattr(h, "NODES", 60)
+    pages = [page("".join(f"<div class='{chr(97 + (i * 7 + k) % 26)}x{'q' * k}'><p>Text {i} {k}</p></div>" for k in range(12)), i) for i in range(30)]
+    node = h.wrapper(pages[0])
+    for p in pages[1:]:
+        node = h.bounded(h.merge(node, h.wrapper(p)))
+    assert h.size(node) < 120 and node.pages == 30
+    rules = h.plan(h.judged(node))
+    for i, p in enumerate(pages):
+        assert h.main_text(p, rules) == "\n".join(f"Text {i} {k}" for k in range(12))
 
 
 def test_wrapper_is_union_free_with_groups():
@@ -30,9 +103,8 @@ def test_wrapper_is_union_free_with_groups():
 
 def test_container_without_marks():
     body = "".join(f"<p>Long paragraph number {k} of the text that matters here.</p>" for k in range(5))
-    p = page(body, main="div")
-    container, _ = h.host_rule(h.wrapper(p))
-    assert h.main_text(p, container, set()).count("\n") == 4 and "Menu" not in h.main_text(p, container, set())
+    text = alone(page(body, main="div"))
+    assert text.count("\n") == 4 and "Menu" not in text
 
 
 def test_jobs_follow_hosts(spark):

@@ -1,11 +1,16 @@
 """Main text of web pages by wrapper inference: union-free regular expressions of the pages of a host.
 
 A page is a stream of block-level tags and texts. Neighbouring equal elements fold into one repeated
-group; the streams of a host's pages are aligned one after another, level by level, and what only some
-pages have becomes an optional group, what differs in text becomes a text slot. The wrapper so found
-tells, for each path of elements, on how many pages it stands, how much text and links it holds and
-whether its text is always the same. From that the host's article container and the constant texts of its
-template follow, and each page's blocks in the container are its main text.
+group; the streams of a host's pages are aligned one after another, level by level: what only some
+pages have becomes an optional group, and where texts differ there is a text slot. The wrapper so found
+carries, for each of its groups and slots, the pages it stands on and the characters of text and links in it.
+
+The wrapper decides what is text. Slots whose text is the same on every page are the template; groups that are
+links for the most part are menus; the article is the article or main element with most of the varying text, or
+else the deepest group that holds most of it. Names of tags say what can't be an article's (nav, footer, form, ...).
+Words of class and id only vote: whole names like "ad" or "comments" on a group that holds less than half of the host's
+text, and parts of names only where no article or main element marks the article. Each page is then aligned
+with its host's wrapper, and the slots that the wrapper keeps are its main text.
 """
 
 from __future__ import annotations
@@ -24,12 +29,12 @@ from pyspark.sql import functions as F
 
 from waymill.llm.common import written
 
-#: A wrapper of more nodes drops those seen on one page; such pages are then judged by themselves.
+#: A wrapper of more nodes is generalised: groups of one name under one parent become one repeated group.
 NODES = 4000
-#: A constant text is the template's if so many pages with different texts have it, all of the host's.
-TEMPLATE_PAGES = 8
-#: Hosts' results are broadcast up to this many rows, and joined by shuffle beyond.
-BROADCAST_ROWS = 50_000
+#: Elements nested deeper than this are transparent: their texts belong to the element at this depth.
+DEPTH = 120
+#: Wrappers are broadcast up to this many characters in all, and joined by shuffle beyond.
+BROADCAST_CHARS = 20_000_000
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,10 +43,14 @@ SKIPPED = frozenset("head title script style noscript template textarea select o
 RAW = re.compile(r"(?is)<(script|style|noscript|template|textarea|iframe|svg|title|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)")
 TOKEN = re.compile(r"(?s)<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>|([^<]+|<)")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b")
-#: Words of class, id and role that name what isn't the article.
-HINTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification popup modal overlay sidebar menu nav navbar navigation navigations breadcrumb breadcrumbs footer header masthead topbar comment comments reply replies respond disqus discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login register search widget toolbar pagination pager alert toast contentinfo complementary dialog form disclaimer copyright".split())
+#: Words in class, id and role that name what isn't the article: they vote where no element marks the article.
+HINTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification popup modal overlay sidebar menu nav navbar navigation navigations breadcrumb breadcrumbs footer header masthead topbar comment comments reply replies respond disqus share sharing social related recommended recommendations newsletter subscribe subscription signup login toolbar pagination pager contentinfo complementary disclaimer copyright".split())
+#: Whole names of class, id and role that vote inside the article too.
+NAMES = frozenset("ad ads advert adverts advertisement advertisements sponsored comment comments comment-list respond disqus_thread sidebar cookie cookie-notice cookie-banner newsletter breadcrumb breadcrumbs pagination navigation contentinfo complementary".split())
+#: Elements that group blocks; only these are voted on. The others hold prose.
+GROUPS = frozenset("div section ul ol dl table details center header figure".split())
+PROSE = frozenset("p li h1 h2 h3 h4 h5 h6 blockquote pre td th dd dt figcaption".split())
 SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
-KEPT_ANYWAY = frozenset(("html", "body", "article", "main"))
 CLOSES_P = BLOCKS - {"html", "body", "head", "title", "option", "optgroup", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "legend", "li", "dt", "dd"}
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -51,35 +60,37 @@ SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tabl
 class Element:
     name: str
     signature: str
-    dropped: bool
+    hard: bool  # never the article's
+    vote: int  # 2: a whole name speaks against it, 1: a part of one
 
 
-def signature(name: str, attributes: str, inside: list[Element]) -> Element:
-    """The element with its hint words, and whether it or a parent isn't the article's."""
-    dropped = bool(inside) and inside[-1].dropped
+def element(name: str, attributes: str, inside: list[Element]) -> Element:
+    """The element with its class names, and what its tag and attributes say of it."""
+    hard = name in SKIPPED or name == "header" and not any(e.name in ("article", "main") for e in inside)
     if not attributes.strip():
-        own = name in SKIPPED or name == "header" and not any(e.name in ("article", "main") for e in inside)
-        return Element(name, name, dropped or own)
-    words: list[str] = []
-    hidden = False
+        return Element(name, name, hard, 0)
+    classes: list[str] = []
+    vote = 0
     for key, a, b, c, flag in ATTRIBUTE.findall(attributes):
         key, value = (key or flag).lower(), a or b or c
         if key in ("class", "id", "role"):
-            words += [w.lower() for w in SPLIT.split(value) if w]
+            whole = value.lower().split()
+            if key == "class":
+                classes += [w for w in whole if not any(ch.isdigit() for ch in w)]
+            if name in GROUPS and vote < 2:
+                vote = 2 if not NAMES.isdisjoint(whole) else max(vote, int(not HINTS.isdisjoint(w.lower() for w in SPLIT.split(value))))
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            hidden = True
-    own = name in SKIPPED or name == "header" and not any(e.name in ("article", "main") for e in inside)
-    if name not in KEPT_ANYWAY or {"comment", "comments", "reply"} & set(words) and name != "body":
-        own = own or bool(HINTS & set(words))
-    return Element(name, ".".join([name, *sorted(set(words))[:4]]), dropped or own or hidden)
+            hard = True
+    # Elements that are judged apart have names apart, so that groups of them aren't folded into others.
+    mark = ["~hidden"] if hard and name not in SKIPPED else [f"~{vote}"] if vote else []
+    return Element(name, ".".join([name, *sorted(set(classes))[:4], *mark]), hard, vote)
 
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
     text: str
     links: int
-    dropped: bool
+    hard: bool
 
 
 def events(page: str) -> Iterator[tuple[str, object]]:
@@ -88,8 +99,9 @@ def events(page: str) -> Iterator[tuple[str, object]]:
     Comments and the contents of scripts, styles and the like are nothing. Inline tags leave no mark,
     a line break is white space. End tags close what is open inside, and those of nothing are skipped.
     """
-    page = RAW.sub(" ", page) if "<" in page else page
+    page = RAW.sub("", page) if "<" in page else page
     open_: list[Element] = []
+    deep: list[Element] = []
     text: list[str] = []
     links, in_link, hidden = 0, 0, 0
 
@@ -97,15 +109,19 @@ def events(page: str) -> Iterator[tuple[str, object]]:
         nonlocal links
         joined = " ".join("".join(text).split())
         text.clear()
-        found = Block(tuple(e.signature for e in open_), joined, links, bool(open_) and open_[-1].dropped)
+        found = Block(joined, links, any(e.hard for e in deep))
         links = 0
         return found if joined else None
 
+    def closing(stack: list[Element], name: str) -> int:
+        """How many elements an end tag of the name closes."""
+        return next((len(stack) - k for k in range(len(stack) - 1, -1, -1) if stack[k].name == name), 0)
+
     for m in TOKEN.finditer(page):
         close, name, attributes, data = m.groups()
         if data is not None:
-            data = html.unescape(data)
             if not hidden:
+                data = html.unescape(data)
                 text.append(data)
                 if in_link:
                     links += len(data)
@@ -125,33 +141,40 @@ def events(page: str) -> Iterator[tuple[str, object]]:
             yield "block", found
         in_link = 0
         if close:
-            if any(e.name == name for e in open_):
-                while open_.pop().name != name:
-                    yield "close", None
-                yield "close", None
+            if n := closing(deep, name):
+                del deep[-n:]
+            elif n := closing(open_, name):
+                deep.clear()
+                del open_[-n:]
+                yield from (("close", None),) * n
             continue
         if name in VOID:
             continue
-        if name in CLOSES_P and any(e.name == "p" for e in open_[-3:]):
-            while open_.pop().name != "p":
-                yield "close", None
-            yield "close", None
-        elif name in CLOSES:
+        if name in CLOSES_P and any(e.name == "p" for e in (deep or open_)[-3:]):
+            n = closing(deep or open_, "p")
+            if deep:
+                del deep[-n:]
+            else:
+                del open_[-n:]
+                yield from (("close", None),) * n
+        elif name in CLOSES and not deep:
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k].name in SCOPES[name]:
                     break
                 if open_[k].name in CLOSES[name]:
-                    for _ in range(len(open_) - k):
-                        open_.pop()
-                        yield "close", None
+                    n = len(open_) - k
+                    del open_[-n:]
+                    yield from (("close", None),) * n
                     break
-        element = signature(name, attributes, open_)
-        open_.append(element)
-        yield "open", element
+        new = element(name, attributes, open_)
+        if len(open_) >= DEPTH:
+            deep.append(new)
+            continue
+        open_.append(new)
+        yield "open", new
     if found := block():
         yield "block", found
-    for _ in open_:
-        yield "close", None
+    yield from (("close", None),) * len(open_)
 
 
 # --- wrappers -------------------------------------------------------------------------------------
@@ -160,7 +183,8 @@ def events(page: str) -> Iterator[tuple[str, object]]:
 @dataclass
 class Node:
     """A tag with its children, or a text slot ("#"): on how many pages, whether repeated, whether optional,
-    characters of text and of links, and its text's hash as long as it is always the same."""
+    characters of text and of links, its text's hash as long as it is always the same, and what is against it.
+    Nodes of a single page have their text too."""
 
     name: str
     children: list[Node] = field(default_factory=list)
@@ -170,29 +194,55 @@ class Node:
     chars: int = 0
     links: int = 0
     constant: int | None = None
-    dropped: bool = False
+    hard: bool = False
+    vote: int = 0
+    text: str = ""
+    keep: bool = True
 
     def packed(self) -> list:
-        return [self.name, [c.packed() for c in self.children], self.pages, self.repeated, self.optional, self.chars, self.links, self.constant, self.dropped]
+        return [self.name, [c.packed() for c in self.children], self.pages, self.repeated, self.optional, self.chars, self.links, self.constant, self.hard, self.vote]
 
     @classmethod
     def unpacked(cls, x: list) -> Node:
         return cls(x[0], [cls.unpacked(c) for c in x[1]], *x[2:])
 
+    @property
+    def tag(self) -> str:
+        return self.name.split(".")[0]
+
     def expression(self) -> str:
         """The wrapper as a regular expression over tags and text slots."""
         if self.name == "#":
             body = "#"
         else:
-            body = f"<{self.name}>" + " ".join(c.expression() for c in self.children) + f"</{self.name.split('.')[0]}>"
+            body = f"<{self.name}>" + " ".join(c.expression() for c in self.children) + f"</{self.tag}>"
         if self.repeated:
             body = f"({body})+"
         return f"({body})?" if self.optional else body
 
 
+def parsed(page: str) -> Node:
+    """The tree of one page, with its texts."""
+    root = Node("")
+    stack = [root]
+    for kind, what in events(page):
+        if kind == "open":
+            child = Node(what.signature, hard=what.hard, vote=what.vote)
+            stack[-1].children.append(child)
+            stack.append(child)
+        elif kind == "close":
+            done = stack.pop()
+            if done.tag in GROUPS and all(c.name == "#" for c in done.children):
+                done.name += ".~text"  # a line of text isn't a repetition of a group beside it
+        else:
+            stack[-1].children.append(Node("#", chars=len(what.text), links=what.links, constant=zlib.crc32(what.text.encode("utf-8", "replace")), hard=what.hard, text=what.text))
+    return root
+
+
 def merge(a: Node, b: Node, same_page: bool = False) -> Node:
     """Both nodes as one: children aligned, those of one side only optional, differing text a slot."""
-    out = Node(a.name, [], a.pages if same_page else a.pages + b.pages, a.repeated or b.repeated, a.optional or b.optional, a.chars + b.chars, a.links + b.links, a.constant if a.constant == b.constant and not same_page else None, a.dropped and b.dropped)
+    constant = a.constant if a.constant == b.constant and not same_page else None
+    out = Node(a.name, [], a.pages if same_page else a.pages + b.pages, a.repeated or b.repeated, a.optional or b.optional, a.chars + b.chars, a.links + b.links, constant, a.hard and b.hard, min(a.vote, b.vote))
     names_a, names_b = [c.name for c in a.children], [c.name for c in b.children]
     if names_a == names_b:
         out.children = [merge(x, y, same_page) for x, y in zip(a.children, b.children)]
@@ -204,11 +254,11 @@ def merge(a: Node, b: Node, same_page: bool = False) -> Node:
             out.children.append(c)
         out.children += [merge(x, y, same_page) for x, y in zip(a.children[k : k + n], b.children[m : m + n])]
         i, j = k + n, m + n
-    out.children = folded(out.children)
+    out.children = neighbours(out.children)
     return out
 
 
-def folded(children: list[Node]) -> list[Node]:
+def neighbours(children: list[Node]) -> list[Node]:
     """Neighbouring equal children as one repeated group."""
     out: list[Node] = []
     for c in children:
@@ -221,87 +271,189 @@ def folded(children: list[Node]) -> list[Node]:
     return out
 
 
+def folded(node: Node) -> Node:
+    """A page's tree as a wrapper: equal neighbours folded from the inside out, without texts."""
+    out = Node(node.name, [folded(c) for c in node.children], node.pages, node.repeated, node.optional, node.chars, node.links, node.constant, node.hard, node.vote)
+    out.children = neighbours(out.children)
+    return out
+
+
 def wrapper(page: str) -> Node:
     """The wrapper of one page."""
-    root = Node("")
-    stack = [root]
-    for kind, what in events(page):
-        if kind == "open":
-            child = Node(what.signature, dropped=what.dropped)
-            stack[-1].children.append(child)
-            stack.append(child)
-        elif kind == "close":
-            done = stack.pop()
-            done.children = folded(done.children)
-        else:
-            stack[-1].children.append(Node("#", chars=len(what.text), links=what.links, constant=zlib.crc32(what.text.encode()), dropped=what.dropped))
-    root.children = folded(root.children)
-    return root
+    return folded(parsed(page))
 
 
-def pruned(node: Node) -> Node:
-    node.children = [pruned(c) for c in node.children if c.pages > 1]
+def size(node: Node) -> int:
+    return 1 + sum(size(c) for c in node.children)
+
+
+def generalised(node: Node, bare: bool = False) -> Node:
+    """The wrapper with one repeated group for all groups of a name under a parent; ``bare`` names are tags
+    without classes. All pages, characters and links stay counted."""
+    if bare:
+        node.name = node.tag if node.name else ""
+    found: dict[str, Node] = {}
+    for c in node.children:
+        c = generalised(c, bare)
+        if c.name in found:
+            pages = max(found[c.name].pages, c.pages)
+            found[c.name] = merge(found[c.name], c, same_page=True)
+            found[c.name].repeated, found[c.name].pages = True, pages
+        else:
+            found[c.name] = c
+    node.children = list(found.values())
     return node
 
 
-def size(node: Node) -> int:
-    return 1 + sum(size(c) for c in node.children)
+def bounded(node: Node) -> Node:
+    if size(node) > NODES:
+        node = generalised(node)
+        if size(node) > NODES:
+            node = generalised(node, bare=True)
+    return node
 
 
-def host_rule(root: Node) -> tuple[str, list[tuple[str, int]]]:
-    """(path of the article container, constant texts of the template inside it).
+# --- what the wrapper keeps -----------------------------------------------------------------------
 
-    The container is an article or main element with text; without one it is the deepest element
-    that holds most of the text outside links and dropped elements. Paths join names by a space.
-    """
-    weight: dict[str, int] = {}
-    marked: dict[str, int] = {}
-    slots: dict[str, list[tuple[int, int | None, bool]]] = {}
 
-    def walk(node: Node, path: tuple[str, ...], single: bool) -> int:
-        if node.dropped:
-            return 0
+def judged(root: Node) -> Node:
+    """The wrapper with ``keep`` set on every group and slot."""
+    whole = 0
+
+    def weigh(node: Node) -> int:
+        """Characters of varying text outside links and hard elements; set as ``weight``."""
+        if node.hard:
+            node.weight = 0
+        elif node.name == "#":
+            constant = node.constant is not None and node.pages == root.pages > 1
+            node.weight = 0 if constant else max(0, node.chars - 2 * node.links)
+        else:
+            node.weight = sum([weigh(c) for c in node.children])
+            node.chars, node.links = sum(c.chars for c in node.children), sum(c.links for c in node.children)
+        return node.weight
+
+    def marked(node: Node) -> bool:
+        return not node.hard and (node.tag in ("article", "main") and node.weight > 0 or any(marked(c) for c in node.children))
+
+    whole = weigh(root)
+    same = whole == 0  # all pages are alike: nothing varies, and nothing is the template
+    if same:
+
+        def again(node: Node) -> int:
+            node.weight = 0 if node.hard else max(0, node.chars - 2 * node.links) if node.name == "#" else sum([again(c) for c in node.children])
+            return node.weight
+
+        whole = again(root)
+    has_article = marked(root)
+
+    def against(node: Node) -> bool:
+        if node.hard:
+            return True
+        if node.tag not in GROUPS or 2 * node.weight >= whole:
+            return False
+        menu = not has_article and node.links >= 0.8 * node.chars > 0
+        return node.vote == 2 or not has_article and (node.vote == 1 or menu)
+
+    def left(node: Node) -> int:
+        """The weight without what is against it."""
+        node.weight = 0 if against(node) else node.weight if node.name == "#" else sum([left(c) for c in node.children])
+        return node.weight
+
+    def mark(node: Node, keep: bool) -> None:
+        node.keep = keep and not against(node)
+        for c in node.children:
+            mark(c, node.keep)
+
+    mark(root, True)
+    whole = left(root)
+    weights: dict[str, int] = {}
+    depth: dict[str, int] = {}
+
+    def gather(node: Node, path: str) -> None:
+        path = f"{path} {node.name}" if node.name else path
+        if node.keep and node.name != "#":
+            weights[path] = weights.get(path, 0) + node.weight
+            depth[path] = path.count(" ")
+            for c in node.children:
+                gather(c, path)
+
+    gather(root, "")
+    last = lambda path: path.rsplit(" ", 1)[-1].split(".")[0]
+    if has_article:
+        container = max((p for p in weights if last(p) in ("article", "main")), key=lambda p: (weights[p], depth[p], p), default="")
+    else:
+        good = [p for p, w in weights.items() if p and whole and w >= 0.6 * whole and last(p) not in PROSE and last(p) not in ("tr", "tbody")]
+        container = max(good, key=lambda p: (depth[p], weights[p], p), default="")
+
+    def settle(node: Node, path: str, inside: bool, single: bool, prose: bool) -> bool:
+        """Keeps what is in the container and isn't the template; a group stays if anything in it does."""
+        path = f"{path} {node.name}" if node.name else path
+        inside = inside or path == container
+        single = single and not node.repeated
         if node.name == "#":
-            slots.setdefault(" ".join(path), []).append((node.pages, node.constant, single and not node.repeated))
-            return max(0, node.chars - 2 * node.links)
-        here = (*path, node.name) if node.name else path
-        total = sum(walk(c, here, single and not node.repeated) for c in node.children)
-        key = " ".join(here)
-        weight[key] = weight.get(key, 0) + total
-        if node.name.split(".")[0] in ("article", "main"):
-            marked[key] = marked.get(key, 0) + total
-        return total
-
-    whole = walk(root, (), True)
-    if marked and max(marked.values()) > 0:
-        container = max(marked, key=lambda k: (marked[k], len(k), k))
+            template = single and not prose and not same and node.constant is not None and node.pages == root.pages > 1
+            node.keep = node.keep and inside and not template
+        else:
+            prose = prose or node.tag in PROSE
+            node.keep = any([settle(c, path, inside, single, prose) for c in node.children]) and node.keep
+        return node.keep
+
+    settle(root, "", not container, True, False)
+    return root
+
+
+def plan(node: Node) -> list:
+    """The wrapper as [name, kept, children], without the insides of what isn't kept."""
+    return [node.name, int(node.keep), [plan(c) for c in node.children] if node.keep else []]
+
+
+def aligned(children: list[Node], slots: list[list]) -> list[list | None]:
+    """For each child of a page's element its place in the wrapper: runs of equal children and the wrapper's
+    groups are aligned in order, and what is left takes the first group of its name, or of its tag."""
+    runs: list[list[int]] = []
+    for i, c in enumerate(children):
+        if runs and children[runs[-1][0]].name == c.name:
+            runs[-1].append(i)
+        else:
+            runs.append([i])
+    names, wanted = [children[r[0]].name for r in runs], [s[0] for s in slots]
+    found: list[list | None] = [None] * len(runs)
+    if names == wanted:
+        found = list(slots)
     else:
-        good = [k for k, w in weight.items() if w >= 0.6 * whole and k and k.split(" ")[-1].split(".")[0] not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "td", "blockquote", "pre")]
-        container = max(good, key=lambda k: (k.count(" "), weight[k], k)) if whole and good else ""
-    template = []
-    varied = any(c is None for found in slots.values() for _, c, _ in found)
-    if root.pages >= TEMPLATE_PAGES and varied:
-        template = [(path, c) for path, found in slots.items() for pages, c, single in found if c is not None and single and pages == root.pages and path.startswith(container)]
-    return container, template
+        for k, m, n in SequenceMatcher(None, names, wanted, autojunk=False).get_matching_blocks():
+            found[k : k + n] = slots[m : m + n]
+        for k, name in enumerate(names):
+            if found[k] is None:
+                found[k] = next((s for s in slots if s[0] == name), None) or next((s for s in slots if s[0] == name.split(".")[0]), None)
+    out: list[list | None] = [None] * len(children)
+    for run, slot in zip(runs, found):
+        for i in run:
+            out[i] = slot
+    return out
 
 
-def main_text(page: str | None, container: str, template: set[tuple[str, int]]) -> str:
-    """The blocks of the page inside the container, one to a line; a page without text there is judged alone."""
-    if not page:
-        return ""
-    blocks = [b for kind, b in events(page) if kind == "block" and not b.dropped]
-    inside = [b for b in blocks if within(b.path, container)]
-    if not inside and blocks:
-        own, _ = host_rule(wrapper(page))
-        inside = [b for b in blocks if within(b.path, own)]
-    return "\n".join(b.text for b in inside if not template or (" ".join(b.path), zlib.crc32(b.text.encode())) not in template)
+def kept_texts(node: Node, slot: list, out: list[str]) -> None:
+    for child, at in zip(node.children, aligned(node.children, slot[2])):
+        if at is None or not at[1] or child.hard:
+            continue
+        if child.name == "#":
+            out.append(child.text)
+        else:
+            kept_texts(child, at, out)
 
 
-def within(path: tuple[str, ...], container: str) -> bool:
-    if not container:
-        return True
-    joined = " ".join(path)
-    return joined == container or joined.startswith(container + " ")
+def main_text(page: str | None, rules: list | None) -> str:
+    """The texts of the page in the slots that its host's wrapper keeps, one to a line; a page without text there is
+    its own wrapper."""
+    if not page:
+        return ""
+    tree, out = parsed(page), []
+    if rules is not None:
+        kept_texts(tree, rules, out)
+    if not out and tree.children:
+        kept_texts(tree, plan(judged(folded(tree))), out)
+    return "\n".join(out)
 
 
 # --- jobs -----------------------------------------------------------------------------------------
@@ -312,7 +464,7 @@ def host_of(url):
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """(host, pages, wrapper, container, template) of rows (host, html).
+    """(host, pages, wrapper, plan) of rows (host, html): the union-free expression and what it keeps.
 
     Each task aligns the pages it reads into one wrapper for each host, so that a host's pages are
     never gathered; the tasks' wrappers of a host are then aligned in order.
@@ -325,16 +477,16 @@ def infer(pages: DataFrame) -> DataFrame:
                 if page:
                     one = wrapper(page)
                     found[host] = merge(found[host], one) if host in found else one
-                    if found[host].pages % 256 == 0 and size(found[host]) > NODES:
-                        found[host] = pruned(found[host])
-            if len(found) > 20_000:
+                    if found[host].pages & 63 == 0:
+                        found[host] = bounded(found[host])
+            if len(found) > 5000:
                 yield sent(found)
                 found = {}
         if found:
             yield sent(found)
 
     def sent(found: dict[str, Node]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([json.dumps(n.packed()) for n in found.values()])], ["host", "node"])
+        return pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([json.dumps(bounded(n).packed()) for n in found.values()])], ["host", "node"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         host, node = None, None
@@ -346,18 +498,16 @@ def infer(pages: DataFrame) -> DataFrame:
                         yield result(host, node)
                     host, node = at, part
                 else:
-                    node = merge(node, part)
-                    if size(node) > NODES:
-                        node = pruned(node)
+                    node = bounded(merge(node, part))
         if node is not None:
             yield result(host, node)
 
     def result(host: str, node: Node) -> pa.RecordBatch:
-        container, template = host_rule(node)
-        return pa.RecordBatch.from_arrays([pa.array([host]), pa.array([node.pages], pa.int64()), pa.array([node.expression()]), pa.array([container]), pa.array([json.dumps(template)])], ["host", "pages", "wrapper", "container", "template"])
+        expression, pages_ = node.expression(), node.pages
+        return pa.RecordBatch.from_arrays([pa.array([host]), pa.array([pages_], pa.int64()), pa.array([expression]), pa.array([json.dumps(plan(judged(node)))])], ["host", "pages", "wrapper", "plan"])
 
     parts = pages.mapInArrow(fold, "host string, node string")
-    return parts.repartition("host").sortWithinPartitions("host", "node").mapInArrow(join, "host string, pages long, wrapper string, container string, template string")
+    return parts.repartition("host").sortWithinPartitions("host", "node").mapInArrow(join, "host string, pages long, wrapper string, plan string")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -367,24 +517,24 @@ def extract(pages: DataFrame) -> DataFrame:
     and comments, as blocks in page order, white space in a block as one space, character references
     decoded. Null and empty pages have an empty text, and so have pages without text outside the
     dropped elements. Pages without a url are one host. Whole pages are read; repeated rows are returned
-    as often as they come. An empty table gives no rows.
+    as often as they come. Input columns may have any name. An empty table gives no rows.
     """
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of(F.col("url").cast("string")).alias("host"))
-    rules = written(infer(rows.select("host", "html")), "html-wrappers").select("host", "container", "template")
-    if rules.count() <= BROADCAST_ROWS:
+    rules = written(infer(rows.select("host", "html")), "html-wrappers").select("host", "plan")
+    if (rules.agg(F.sum(F.length("plan"))).first()[0] or 0) <= BROADCAST_CHARS:
         rules = F.broadcast(rules)
     schema = rows.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, set] = {}
+        known: dict[str, list] = {}
         for batch in batches:
             out = []
-            for page, container, template in zip(*(batch.column(c).to_pylist() for c in ("html", "container", "template"))):
-                if template not in known:
+            for page, rule in zip(*(batch.column(c).to_pylist() for c in ("html", "plan"))):
+                if rule is not None and rule not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[template] = {(p, c) for p, c in json.loads(template or "[]")}
-                out.append(main_text(page, container or "", known[template]))
+                    known[rule] = json.loads(rule)
+                out.append(main_text(page, known.get(rule)))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return rows.join(rules, "host", "left").select("page_id", "url", "html", "container", "template").mapInArrow(run, schema)
+    return rows.join(rules, "host", "left").select("page_id", "url", "html", "plan").mapInArrow(run, schema)
