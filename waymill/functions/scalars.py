@@ -5,29 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Licence states that count as open, the station alias, and the crossing terminals of branch lines.
+# Licence states that count as open, the station alias, and the branch that a first or last stop of a line names.
 ACTIVE_STATES = ("영업/정상", "영업")
 STATION_ALIASES = {"이수": "총신대입구"}
-BRANCHES = {("2", "성수", "신설동"): "2성수지선", ("2", "신도림", "까치산"): "2신정지선"}
+BRANCHES = {("2", "신설동"): "성수지선", ("2", "까치산"): "신정지선", ("2", "도림천"): "신정지선"}
 SUFFIXES = "(급행|성수지선|신정지선)$"
 INVITE_ALPHABET = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 
 NO_SERVICE = -1
 
 
+def number_of(*parts: Column) -> Column:
+    """Sixty bits of the MD5 of the parts: an id that other engines compute too."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at the ends; empty becomes null."""
     return F.nullif(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), F.lit(""))
 
 
+#: Year, month, day and time as a lenient parser takes them: with or without a leading zero.
+_MONTH, _DAY = "(1[0-2]|0[1-9]|[1-9])", "(3[01]|[12][0-9]|0[1-9]|[1-9])"
+_TIME = r"\s+(?:2[0-3]|[01][0-9]|[0-9]):(?:[0-5][0-9]|[0-9]):(?:6[01]|[0-5][0-9]|[0-9])"
+_DATE_FORMS = ((10, f"^([0-9]{{4}})-{_MONTH}-{_DAY}$"), (8, f"^([0-9]{{4}}){_MONTH}{_DAY}$"), (19, f"^([0-9]{{4}})-{_MONTH}-{_DAY}{_TIME}$"))
+
+
 def parse_date(c: Column) -> Column:
-    """2012-08-29, 20120829 or either with a time behind it; anything else is null."""
-    s = strip(c)
-    dashed, plain = F.substring(s, 1, 10), F.substring(s, 1, 8)
-    return F.coalesce(
-        F.try_to_date(F.when(dashed.rlike(r"^\d{4}-\d{2}-\d{2}$"), dashed), "yyyy-MM-dd"),
-        F.try_to_date(F.when(plain.rlike(r"^\d{8}$"), plain), "yyyyMMdd"),
-    )
+    """The date of 2012-08-29, 2012-8-29 or 20120829, or of either with something behind it.
+
+    Read are the first 10 characters as year-month-day, else the first 8 without dashes, else the first 19
+    with a time of day; anything else is null.
+    """
+
+    def read(s: Column) -> Column:
+        return F.coalesce(*[F.transform(F.array(F.trim(F.substring(s, 1, n))), lambda t: F.when(t.rlike(form), F.try_to_date(F.regexp_replace(t, form, "$1-$2-$3"), "yyyy-M-d")))[0] for n, form in _DATE_FORMS])
+
+    # A lambda over one element computes the stripped text once.
+    return F.transform(F.array(strip(c)), read)[0]
 
 
 def parse_hms(c: Column) -> Column:
@@ -64,12 +79,11 @@ def station_key(c: Column) -> Column:
 
 
 def line_key(line: Column, express: Column, first: Column, last: Column) -> Column:
-    """Express trains and branches as lines of their own."""
-    out = line
-    for (of, a, b), name in BRANCHES.items():
-        ends = ((first == a) & (last == b)) | ((first == b) & (last == a))
-        out = F.when((line == of) & ends, F.lit(name)).otherwise(out)
-    return F.when(F.coalesce(express, F.lit("0")) != "0", F.concat(line, F.lit("급행"))).otherwise(out)
+    """Express trains and branches as lines of their own. Any flag but "0" is express, a missing one too; a branch
+    is told by the first stop of a train or else by its last."""
+    named = lambda stop: F.coalesce(*[F.when((line == of) & (stop == at), F.lit(name)) for (of, at), name in BRANCHES.items()], F.lit(None).cast("string"))
+    branch = F.coalesce(named(first), named(last), F.lit(""))
+    return F.when(F.coalesce(express, F.lit("")) != "0", F.concat(line, F.lit("급행"))).otherwise(F.concat(line, branch))
 
 
 def base_line(c: Column) -> Column:
@@ -146,9 +160,36 @@ def shown_invite_code(code: Column) -> Column:
 
 
 def login_id(c: Column) -> Column:
-    """Lower-cased, null unless 4 to 20 letters, digits or underscores."""
-    s = F.lower(F.trim(c))
-    return F.when(s.rlike(r"^[a-z0-9_]{4,20}$"), s)
+    """Lower-cased, null unless it is 4 to 20 letters, digits or underscores as typed; blanks aren't trimmed away."""
+    return F.when(c.rlike(r"^[A-Za-z0-9_]{4,20}\z"), F.lower(c))
+
+
+def utf16_length(c: Column) -> Column:
+    """Characters, those beyond the basic plane counted twice."""
+    return F.length(c) + F.length(F.regexp_replace(c, r"[^\x{10000}-\x{10FFFF}]", ""))
+
+
+def nickname(c: Column) -> Column:
+    """Without white space at the ends, null if it is blank or wasn't 2 to 20 characters long as typed."""
+    return F.when((F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$", "") != "") & utf16_length(c).between(2, 20), F.coalesce(strip(c), F.lit("")))
+
+
+def password_fits(password: Column, again: Column) -> Column:
+    """Whether a password is 8 to 64 characters, not blank, and typed the same twice."""
+    blank = F.regexp_replace(password, r"^[\x00-\x20]+|[\x00-\x20]+$", "") == ""
+    return F.coalesce(~blank & utf16_length(password).between(8, 64) & (password == again), F.lit(False))
+
+
+def attachment_name(disposition: Column) -> Column:
+    """The file name of a Content-Disposition header: the encoded one if there is one, else the plain one."""
+    parts = F.transform(F.split(disposition, ";"), lambda p: F.trim(p))
+    key = lambda p: F.lower(F.substring_index(p, "=", 1))
+    value = lambda p: F.when(F.instr(p, "=") > 0, F.substring(p, F.instr(p, "=") + 1, F.length(p))).otherwise("")
+    encoded = F.get(F.filter(parts, lambda p: (key(p) == "filename*") & (F.instr(value(p), "''") > 0)), F.lit(0))
+    plain = F.get(F.filter(parts, lambda p: key(p) == "filename"), F.lit(0))
+    text = F.when(encoded.isNotNull(), F.regexp_extract(value(encoded), "(?s)''(.*)$", 1))
+    # Plus signs stay: only percent escapes are decoded.
+    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), F.when(plain.isNotNull(), F.regexp_replace(value(plain), '^"+|"+$', "")))
 
 
 def lot_matches(address_: Column, lot: str) -> Column:

@@ -1,36 +1,47 @@
 """Nodes and edges of the multimodal graph.
 
-Nodes: id, kind (WALK, STOP, PLATFORM), mode, source_id, line, name, x, y. Edges: src, dst, kind, line, weight_sec,
-by_hour (24 weights or null), distance_m. Ids are hashes of (kind, mode, source_id, line), so that edges can be
+Nodes: id, kind (WALK, STOP, PLATFORM), mode, source_id, line, name, x, y. Edges: edge, src, dst, kind, mode, line,
+weight_sec, by_hour (24 weights or null), distance_m. Ids are hashes of what they name, so that edges can be
 built without a round trip through numbered tables.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from waymill.functions.scalars import base_line, is_branch, representative, shifted_hours, walk_seconds
+from waymill.functions.scalars import NO_SERVICE, base_line, board_wait, is_branch, number_of, representative, shifted_hours, walk_seconds
 from waymill.operators.spatial import nearest
 
 ACCESS_METRES, TRANSFER_FALLBACK, SAME_LINE, BUS_ALIGHT = 1000.0, 180, 30, 1
+#: Bounds of a bus section's seconds.
+BUS_RUN = (1, 3600)
+#: Kinds of bus routes that the graph leaves out, by name as the register has them (fixed values).
+EXCLUDED_ROUTES = ("경기", "인천", "광역")
+#: Bits of ids, and of those that name a block in running sums.
+ID_BITS, BLOCK_BITS = 60, 12
 
 
 def node_id(kind: str, mode: Column, source_id: Column, line: Column) -> Column:
-    return F.xxhash64(F.lit(kind), mode, source_id, F.coalesce(line, F.lit("")))
+    return number_of(F.lit(kind), mode, source_id, F.coalesce(line, F.lit("")))
 
 
-def _edge(df: DataFrame, src: Column, dst: Column, kind: str, weight: Column, line: Column | None = None, by_hour: Column | None = None, distance: Column | None = None) -> DataFrame:
-    return df.select(
+def _edge(df: DataFrame, src: Column, dst: Column, kind: str, mode: Column, weight: Column, line: Column | None = None, by_hour: Column | None = None, distance: Column | None = None) -> DataFrame:
+    out = df.select(
         src.alias("src"),
         dst.alias("dst"),
         F.lit(kind).alias("kind"),
+        mode.alias("mode"),
         (F.lit(None) if line is None else line).cast("string").alias("line"),
         weight.cast("int").alias("weight_sec"),
         (F.lit(None) if by_hour is None else by_hour).cast("array<short>").alias("by_hour"),
         (F.lit(None) if distance is None else distance).cast("double").alias("distance_m"),
     )
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("src", "dst", "kind", "line", "weight_sec")]
+    return out.select(number_of(*text).alias("edge"), "*")
 
 
 def walk_nodes(nodes: DataFrame) -> DataFrame:
@@ -42,29 +53,39 @@ def walk_nodes(nodes: DataFrame) -> DataFrame:
 def walk_edges(edges: DataFrame) -> DataFrame:
     """WALK edges (src, dst, length in metres), as given."""
     at = lambda c: node_id("WALK", F.lit("WALK"), F.col(c).cast("string"), F.lit(""))
-    return _edge(edges, at("src"), at("dst"), "WALK", walk_seconds(F.col("length")), distance=F.col("length"))
+    return _edge(edges, at("src"), at("dst"), "WALK", F.lit("WALK"), walk_seconds(F.col("length")), distance=F.col("length"))
 
 
 def stop_nodes(stops: DataFrame, mode: str) -> DataFrame:
-    """STOP nodes of (source_id, name, x, y), the mean place of each."""
-    mean = stops.groupBy("source_id").agg(F.min("name").alias("name"), F.avg("x").alias("x"), F.avg("y").alias("y"))
-    return mean.select(node_id("STOP", F.lit(mode), F.col("source_id"), F.lit("")).alias("id"), F.lit("STOP").alias("kind"), F.lit(mode).alias("mode"), "source_id", F.lit(None).cast("string").alias("line"), "name", "x", "y")
+    """STOP nodes of (source_id, name, x, y), the mean place of each.
+
+    A stop of several names is called by its source_id with the other names in brackets behind it.
+    """
+    names = F.array_sort(F.collect_set("name"))
+    others = F.array_join(F.filter("names", lambda n: n != F.col("source_id")), ",")
+    mean = stops.groupBy("source_id").agg(names.alias("names"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+    name = F.when(F.size("names") > 1, F.concat("source_id", F.lit("("), others, F.lit(")"))).otherwise(F.get("names", F.lit(0)))
+    return mean.select(node_id("STOP", F.lit(mode), F.col("source_id"), F.lit("")).alias("id"), F.lit("STOP").alias("kind"), F.lit(mode).alias("mode"), "source_id", F.lit(None).cast("string").alias("line"), name.alias("name"), "x", "y")
 
 
 def platform_nodes(served: DataFrame, stops: DataFrame, mode: str) -> DataFrame:
-    """PLATFORM nodes of each (source_id, line) served, where its stop is."""
+    """PLATFORM nodes of each (source_id, line) served, where its STOP node is."""
     at = stops.select("source_id", "name", "x", "y")
     return served.select("source_id", "line").distinct().join(at, "source_id").select(node_id("PLATFORM", F.lit(mode), F.col("source_id"), F.col("line")).alias("id"), F.lit("PLATFORM").alias("kind"), F.lit(mode).alias("mode"), "source_id", "line", "name", "x", "y")
 
 
 def ride_edges(legs: DataFrame, mode: str) -> DataFrame:
-    """RIDE edges of (line, a, b, seconds) or (line, a, b, by_hour); the median over equal pairs, no loops."""
+    """RIDE edges of (line, a, b, seconds) or (line, a, b, by_hour); the median over equal pairs, no loops.
+
+    Hours of sections are clipped to the bounds of a run; a section that never runs has no edge.
+    """
     at = lambda c: node_id("PLATFORM", F.lit(mode), F.col(c), F.col("line"))
     legs = legs.where("a <> b")
     if "by_hour" in legs.columns:
-        return _edge(legs, at("a"), at("b"), "RIDE", representative(F.col("by_hour")), F.col("line"), F.col("by_hour")).where("weight_sec >= 0")
+        clipped = F.transform("by_hour", lambda h: F.when(h == NO_SERVICE, h).otherwise(F.greatest(F.lit(BUS_RUN[0]), F.least(F.lit(BUS_RUN[1]), h))))
+        return _edge(legs.withColumn("by_hour", clipped), at("a"), at("b"), "RIDE", F.lit(mode), representative(F.col("by_hour")), F.col("line"), F.col("by_hour")).where("weight_sec >= 0")
     one = legs.groupBy("line", "a", "b").agg(F.bround(F.percentile("seconds", F.lit(0.5))).cast("int").alias("seconds"))
-    return _edge(one.where("seconds IS NOT NULL"), at("a"), at("b"), "RIDE", F.col("seconds"), F.col("line"))
+    return _edge(one.where("seconds IS NOT NULL"), at("a"), at("b"), "RIDE", F.lit(mode), F.col("seconds"), F.col("line"))
 
 
 def board_edges(waits: DataFrame, walks: DataFrame | None, mode: str) -> tuple[DataFrame, DataFrame]:
@@ -76,44 +97,115 @@ def board_edges(waits: DataFrame, walks: DataFrame | None, mode: str) -> tuple[D
     w = waits if walks is None else waits.join(walks.select("source_id", "line", F.col("sec").alias("walk")), ["source_id", "line"], "left")
     w = w.withColumn("walk", F.lit(0) if walks is None else F.coalesce("walk", F.lit(0)))
     stop, platform = node_id("STOP", F.lit(mode), F.col("source_id"), F.lit("")), node_id("PLATFORM", F.lit(mode), F.col("source_id"), F.col("line"))
-    hours = shifted_hours(F.col("by_hour"), F.col("walk").cast("short"))
-    board = _edge(w.where("by_hour IS NOT NULL"), stop, platform, "BOARD", representative(hours), F.col("line"), hours).where("weight_sec >= 0")
-    return board, _edge(w, platform, stop, "ALIGHT", F.greatest(F.lit(BUS_ALIGHT), F.col("walk")), F.col("line"))
+    hours, wait = shifted_hours(F.col("by_hour"), F.col("walk").cast("short")), representative(F.col("by_hour"))
+    board = _edge(w.where("by_hour IS NOT NULL").where(wait >= 0), stop, platform, "BOARD", F.lit(mode), F.col("walk") + wait, F.col("line"), hours)
+    return board, _edge(w, platform, stop, "ALIGHT", F.lit(mode), F.greatest(F.lit(BUS_ALIGHT), F.col("walk")), F.col("line"))
 
 
 def transfer_seconds(platforms: DataFrame, measured: DataFrame) -> DataFrame:
     """(station, line_a, line_b, sec, fallback) of every two platforms of a station.
 
-    A branch takes the fallback, lines of the same base little, then comes the measured time, then
+    A branch takes the fallback, lines of the same base little, then comes the measured time of the base lines, then
     the fallback. Pairs are joined within a station alone.
     """
-    a = platforms.select("station", F.col("line").alias("line_a"))
-    b = platforms.select("station", F.col("line").alias("line_b"))
-    pairs = a.join(b, "station").where("line_a <> line_b").join(measured.select("station", "line_a", "line_b", F.col("sec").alias("known")), ["station", "line_a", "line_b"], "left")
+    a = platforms.select("station", F.col("line").alias("line_a"), base_line(F.col("line")).alias("_a"))
+    b = platforms.select("station", F.col("line").alias("line_b"), base_line(F.col("line")).alias("_b"))
+    known = measured.select("station", F.col("line_a").alias("_a"), F.col("line_b").alias("_b"), F.col("sec").alias("known"))
+    pairs = a.join(b, "station").where("line_a <> line_b").join(known, ["station", "_a", "_b"], "left")
     branch = is_branch(F.col("line_a")) | is_branch(F.col("line_b"))
-    same = base_line(F.col("line_a")) == base_line(F.col("line_b"))
+    same = F.col("_a") == F.col("_b")
     sec = F.when(branch, TRANSFER_FALLBACK).when(same, SAME_LINE).otherwise(F.coalesce("known", F.lit(TRANSFER_FALLBACK)))
     fallback = branch | (~same & F.col("known").isNull())
     return pairs.select("station", "line_a", "line_b", sec.cast("int").alias("sec"), fallback.alias("fallback"))
 
 
 def transfer_edges(seconds: DataFrame, waits: DataFrame, mode: str) -> DataFrame:
-    """TRANSFER edges: the walk between platforms and the wait for the line boarded."""
-    w = waits.select(F.col("source_id").alias("station"), F.col("line").alias("line_b"), "by_hour")
+    """TRANSFER edges: the walk between platforms and the wait for the line boarded; lines without waits get none."""
+    w = waits.where("by_hour IS NOT NULL").select(F.col("source_id").alias("station"), F.col("line").alias("line_b"), "by_hour")
     t = seconds.join(w, ["station", "line_b"])
     at = lambda c: node_id("PLATFORM", F.lit(mode), F.col("station"), F.col(c))
-    hours = shifted_hours(F.col("by_hour"), F.col("sec").cast("short"))
-    return _edge(t, at("line_a"), at("line_b"), "TRANSFER", representative(hours), F.col("line_b"), hours).where("weight_sec >= 0")
+    hours, wait = shifted_hours(F.col("by_hour"), F.col("sec").cast("short")), representative(F.col("by_hour"))
+    return _edge(t.where(wait >= 0), at("line_a"), at("line_b"), "TRANSFER", F.lit(mode), F.col("sec") + wait, F.col("line_b"), hours)
+
+
+def fallback_ratio(seconds: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row (fallbacks, transfers, ratio): fallback transfers against TRANSFER edges, none without edges."""
+    f = seconds.agg(F.count_if("fallback").alias("fallbacks"))
+    t = edges.agg(F.count_if(F.col("kind") == "TRANSFER").alias("transfers"))
+    return f.crossJoin(F.broadcast(t)).select("fallbacks", "transfers", F.when(F.col("transfers") > 0, F.bround(F.col("fallbacks") / F.col("transfers"), 4)).otherwise(0.0).alias("ratio"))
 
 
 def access_edges(stops: DataFrame, walk: DataFrame, metres: float = ACCESS_METRES) -> tuple[DataFrame, DataFrame]:
     """(ACCESS edges both ways between each stop and its nearest walk node in reach, stops without one)."""
     near = nearest(stops.select(F.col("id").alias("stop"), F.col("x").alias("lx"), F.col("y").alias("ly")), walk.select(F.col("id").alias("node"), F.col("x").alias("rx"), F.col("y").alias("ry")), metres, "stop", "node")
-    ways = near.select("distance", F.explode(F.array(F.struct(F.col("stop").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("stop").alias("b")))).alias("w"))
-    edges = _edge(ways, F.col("w.a"), F.col("w.b"), "ACCESS", walk_seconds(F.col("distance")), distance=F.col("distance"))
+    near = near.join(stops.select(F.col("id").alias("stop"), "mode"), "stop")
+    ways = near.select("distance", "mode", F.explode(F.array(F.struct(F.col("stop").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("stop").alias("b")))).alias("w"))
+    edges = _edge(ways, F.col("w.a"), F.col("w.b"), "ACCESS", F.col("mode"), walk_seconds(F.col("distance")), distance=F.col("distance"))
     return edges, stops.join(near.select(F.col("stop").alias("id")), "id", "left_anti")
 
 
+@dataclass(frozen=True)
+class Part:
+    """Nodes and edges of one mode."""
+
+    nodes: DataFrame
+    edges: DataFrame
+
+
+def joined(*parts: Part) -> Part:
+    nodes, edges = parts[0].nodes, parts[0].edges
+    for p in parts[1:]:
+        nodes, edges = nodes.unionByName(p.nodes), edges.unionByName(p.edges)
+    return Part(nodes, edges)
+
+
+def subway(stations: DataFrame, served: DataFrame, legs: DataFrame, waits: DataFrame, walks: DataFrame | None, transfers: DataFrame) -> tuple[Part, DataFrame]:
+    """(the subway's part, transfer seconds) of stations (source_id, name, x, y), platforms served (source_id, line),
+    legs (line, a, b, seconds), waits (source_id, line, by_hour), platform walks (source_id, line, sec) and transfers."""
+    stops = stop_nodes(stations, "SUBWAY")
+    platforms = platform_nodes(served, stops, "SUBWAY")
+    here = platforms.select("source_id", "line")
+    priced = here.join(waits.select("source_id", "line", "by_hour"), ["source_id", "line"], "left")
+    board, alight = board_edges(priced, walks, "SUBWAY")
+    seconds = transfer_seconds(here.withColumnRenamed("source_id", "station"), transfers)
+    known = legs.join(here.select("line", F.col("source_id").alias("a")), ["line", "a"], "left_semi").join(here.select("line", F.col("source_id").alias("b")), ["line", "b"], "left_semi")
+    edges = board.unionByName(alight).unionByName(ride_edges(known, "SUBWAY")).unionByName(transfer_edges(seconds, priced, "SUBWAY"))
+    return Part(stops.unionByName(platforms), edges), seconds
+
+
+def city_routes(routes: DataFrame) -> DataFrame:
+    """Bus routes (route, name, type) without the excluded types; a route without a type stays."""
+    return routes.where(F.col("type").isNull() | ~F.col("type").isin(*EXCLUDED_ROUTES))
+
+
+def route_headways(by_number: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(route, seconds) of headways (number, minutes) through the register (number, route) of route ids; of a route that
+    comes again the last by ``ord`` counts, and without a headway over zero there is none."""
+    sec = F.col("minutes").try_cast("double") * 60
+    both = by_number.join(numbers, "number").withColumn("seconds", sec.cast("int")).where(sec > 0)
+    return both.groupBy("route").agg(F.max_by("seconds", "ord").alias("seconds"))
+
+
+def bus(sections: DataFrame, stops: DataFrame, headways: DataFrame) -> Part:
+    """The buses' part of sections (route, a, b, by_hour), stops (source_id, name, x, y) and headways (route, seconds).
+
+    A stop is on the street: boarding is the wait alone, alighting a second, and there are no transfers but
+    by boarding again. Routes without a headway and sections with a stop without a place are left out.
+    """
+    located = stops.where("x IS NOT NULL AND y IS NOT NULL")
+    at = located.select("source_id").distinct()
+    known = sections.join(headways.select("route"), "route", "left_semi").join(at.withColumnRenamed("source_id", "a"), "a", "left_semi").join(at.withColumnRenamed("source_id", "b"), "b", "left_semi")
+    legs = known.withColumnRenamed("route", "line")
+    served = legs.select("line", F.explode(F.array("a", "b")).alias("source_id")).distinct()
+    used = stop_nodes(located.join(served.select("source_id").distinct(), "source_id", "left_semi"), "BUS")
+    platforms = platform_nodes(served, used, "BUS")
+    waits = served.join(headways.withColumnRenamed("route", "line"), "line").withColumn("wait", board_wait(F.col("seconds")))
+    stop, platform = node_id("STOP", F.lit("BUS"), F.col("source_id"), F.lit("")), node_id("PLATFORM", F.lit("BUS"), F.col("source_id"), F.col("line"))
+    board = _edge(waits, stop, platform, "BOARD", F.lit("BUS"), F.col("wait"), F.col("line"))
+    alight = _edge(waits, platform, stop, "ALIGHT", F.lit("BUS"), F.lit(BUS_ALIGHT), F.col("line"))
+    return Part(used.unionByName(platforms), board.unionByName(alight).unionByName(ride_edges(legs, "BUS")))
+
+
 def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes that no edge touches."""
     touched = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
@@ -121,23 +213,20 @@ def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(what, kind, mode, count) of nodes and edges; an edge's mode is its target's, else its source's."""
-    n = nodes.groupBy("kind", "mode").agg(F.count("*").alias("count")).select(F.lit("NODE").alias("what"), "kind", "mode", "count")
-    at = nodes.select("id", F.nullif("mode", F.lit("WALK")).alias("m"))
-    e = edges.join(at.withColumnRenamed("id", "dst").withColumnRenamed("m", "dm"), "dst", "left").join(at.withColumnRenamed("id", "src").withColumnRenamed("m", "sm"), "src", "left")
-    e = e.groupBy("kind", F.coalesce("dm", "sm", F.lit("WALK")).alias("mode")).agg(F.count("*").alias("count"))
-    return n.unionByName(e.select(F.lit("EDGE").alias("what"), "kind", "mode", "count"))
+    """(what, kind, mode, count) of nodes and edges; an edge has the mode of the stop that it serves, else WALK."""
+    both = nodes.select(F.lit("NODE").alias("what"), "kind", "mode").unionByName(edges.select(F.lit("EDGE").alias("what"), "kind", "mode"))
+    return both.groupBy("what", "kind", "mode").agg(F.count("*").alias("count"))
 
 
 def heads(edges: DataFrame) -> DataFrame:
     """(node, degree, head): where each node's edges begin in an array sorted by source.
 
-    Sums run over blocks of nodes first and inside each block then, so that no task has all nodes.
+    Sums run over the 4,096 ranges of ids first and inside each range then, so that no task has all nodes.
     """
-    degree = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree")).withColumn("block", F.floor(F.col("node") / 4096))
+    degree = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree")).withColumn("block", F.shiftright("node", ID_BITS - BLOCK_BITS))
     blocks = degree.groupBy("block").agg(F.sum("degree").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     inside = F.coalesce(F.sum("degree").over(W.partitionBy("block").orderBy("node").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return degree.join(blocks.select("block", "before"), "block").select("node", "degree", (F.col("before") + inside).alias("head"))
+    return degree.join(F.broadcast(blocks.select("block", "before")), "block").select("node", "degree", (F.col("before") + inside).alias("head"))
 
 
 def open_edges(edges: DataFrame, hour: int | None) -> DataFrame:
@@ -146,9 +235,9 @@ def open_edges(edges: DataFrame, hour: int | None) -> DataFrame:
     return edges.select("src", "dst", w.cast("long").alias("w")).where("w >= 0")
 
 
-def repaired(stops: DataFrame, fixes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(stops with the coordinates of known bad ones replaced, fixes whose stop isn't there)."""
+def repaired(stops: DataFrame, fixes: DataFrame) -> tuple[DataFrame, int, DataFrame]:
+    """(stops with the coordinates of known bad ones replaced, how many fixes applied, fixes whose stop isn't there)."""
     f = fixes.select("source_id", F.col("x").alias("_x"), F.col("y").alias("_y"))
-    joined = stops.join(F.broadcast(f), "source_id", "left")
-    out = joined.select(*[F.coalesce("_" + c, c).alias(c) if c in ("x", "y") else F.col(c) for c in stops.columns])
-    return out, fixes.join(stops, "source_id", "left_anti")
+    joined_ = stops.join(F.broadcast(f), "source_id", "left")
+    out = joined_.select(*[F.coalesce("_" + c, c).alias(c) if c in ("x", "y") else F.col(c) for c in stops.columns])
+    return out, fixes.join(stops, "source_id", "left_semi").count(), fixes.join(stops, "source_id", "left_anti")

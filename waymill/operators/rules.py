@@ -37,7 +37,7 @@ def duplicate_name_address(cur: DataFrame, prev: DataFrame | None) -> DataFrame:
     """Rows that share name and lot address; sizes are counted before rows are joined to them."""
     named = cur.where("name IS NOT NULL AND jibun_address IS NOT NULL")
     sizes = named.groupBy("name", "jibun_address").agg(F.count("*").alias("group_size")).where("group_size > 1")
-    return named.join(sizes, ["name", "jibun_address"]).select("source_id", F.to_json(F.struct("name", F.col("jibun_address").alias("address"), "group_size")).alias("detail"))
+    return named.join(sizes, ["name", "jibun_address"]).select("source_id", F.to_json(F.struct("name", F.col("jibun_address").alias("jibun"), "group_size")).alias("detail"))
 
 
 def coord_moved(cur: DataFrame, prev: DataFrame | None, metres: float = 10.0) -> DataFrame | None:

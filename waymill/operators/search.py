@@ -1,188 +1,344 @@
-"""Shortest paths: a kernel over a broadcast graph, and relaxation for graphs that don't fit.
+"""Shortest paths of many origins: one vectorised search over a broadcast graph, or rounds of joins beyond its size.
 
-The kernel searches once for each (origin, hour), whatever the number of targets; origins are spread
-over tasks. A graph is broadcast only up to a checked number of edges.
+Both ways give the same rows. A state is (origin, hour, node), and its label one number: seconds above HOP_BITS bits
+that count edges. The least label is the fastest way and of those the one with the fewest edges; of edges that reach a
+node with its least label the one from the smallest node counts, and of those the smallest edge id.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Edges of 24 hours take about 70 bytes each.
-BROADCAST_EDGES = 5_000_000
+from waymill.functions.scalars import number_of
+from waymill.scratch import cut, written
+
+#: Edges of a graph that is broadcast: 24 hours take about 70 bytes an edge, 140 MB in all.
+BROADCAST_EDGES = 2_000_000
+#: Labels that a task holds at once.
+STATES = 4_000_000
+HOP_BITS = 20
+NO_LABEL = np.iinfo(np.int64).max
 NO_SERVICE = -1
+STEP = pa.struct([("edge", pa.int64()), ("node", pa.int64()), ("seconds", pa.int64())])
+NAMES = ["origin", "hour", "target", "seconds", "settled", "path"]
+PATH = "array<struct<edge:bigint,node:bigint,seconds:bigint>>"
 
 
 @dataclass(frozen=True)
 class Graph:
-    """Edges sorted by source: head[i]..head[i + 1] are those of node i."""
+    """Edges sorted by source and id: head[i]..head[i + 1] are those of node i; back lists edges by target likewise."""
 
     ids: np.ndarray
     head: np.ndarray
     to: np.ndarray
+    edge: np.ndarray
     base: np.ndarray
     hours: np.ndarray | None  # (edges, 24), base weight where an edge has no hours
+    source: np.ndarray
+    back_head: np.ndarray
+    back: np.ndarray
 
     @classmethod
-    def of(cls, src, dst, weight, by_hour=None) -> Graph:
-        src, dst, weight = np.asarray(src, np.int64), np.asarray(dst, np.int64), np.asarray(weight, np.int32)
+    def of(cls, table: pa.Table) -> Graph:
+        """The graph of a table of src, dst, edge, weight_sec and perhaps by_hour."""
+        src, dst, edge, weight = (table.column(c).to_numpy() for c in ("src", "dst", "edge", "weight_sec"))
         ids = np.unique(np.concatenate([src, dst]))
         a, b = np.searchsorted(ids, src), np.searchsorted(ids, dst)
-        order = np.lexsort((weight, b, a))
-        head = np.searchsorted(a[order], np.arange(len(ids) + 1))
+        order = np.lexsort((edge, a))
         hours = None
-        if by_hour is not None:
-            hours = np.repeat(weight[:, None], 24, axis=1).astype(np.int16 if len(weight) and weight.max() < 32_000 else np.int32)
-            for i, h in enumerate(by_hour):
-                if h is not None:
-                    hours[i] = h
-            hours = hours[order]
-        return cls(ids, head, b[order], weight[order], hours)
-
-    def lists(self, hour: int | None) -> tuple[list[int], list[int], list[int]]:
-        """head, to and the hour's weights as lists, which plain Python reads several times faster than arrays."""
-        weight = self.base if hour is None or self.hours is None else self.hours[:, hour]
-        return self.head.tolist(), self.to.tolist(), weight.tolist()
-
-    def index(self, node: int) -> int | None:
-        i = int(np.searchsorted(self.ids, node))
-        return i if i < len(self.ids) and self.ids[i] == node else None
-
-
-def dijkstra(arrays: tuple[list[int], list[int], list[int]], source: int, targets=(), max_settled: int | None = None) -> tuple[dict[int, int], dict[int, int], int]:
-    """(seconds, node before, settled nodes) by index. Stops when all targets are settled; edges that
-    don't run in the hour are skipped. Ties go to the smaller node."""
-    head, to, weight = arrays
-    dist, before, done = {source: 0}, {}, set()
-    wanted = set(targets)
-    heap = [(0, source)]
-    while heap:
-        d, u = heapq.heappop(heap)
-        if u in done:
-            continue
-        done.add(u)
-        wanted.discard(u)
-        if targets and not wanted or max_settled is not None and len(done) >= max_settled:
-            break
-        for e in range(head[u], head[u + 1]):
-            w = weight[e]
-            if w < 0:
-                continue
-            v, nd = to[e], d + w
-            if v not in done and (v not in dist or nd < dist[v]):
-                dist[v], before[v] = nd, u
-                heapq.heappush(heap, (nd, v))
-    return {v: dist[v] for v in done}, before, len(done)
-
-
-def collected(edges: DataFrame) -> Graph | None:
-    """The graph of (src, dst, weight_sec[, by_hour]) for the kernel; None if it is too large to broadcast."""
-    if edges.limit(BROADCAST_EDGES + 1).count() > BROADCAST_EDGES:
-        return None
-    columns = ["src", "dst", "weight_sec"] + ["by_hour"] * ("by_hour" in edges.columns)
-    t = edges.select(*columns).toArrow()
-    hours = t.column("by_hour").to_pylist() if "by_hour" in edges.columns else None
-    return Graph.of(t.column("src").to_numpy(), t.column("dst").to_numpy(), t.column("weight_sec").to_numpy(), hours)
-
-
-def one_to_many(edges: DataFrame, origins: DataFrame, targets: list[int] | None = None, paths: bool = False) -> DataFrame:
-    """(origin, hour, target, seconds, settled[, path]) of origins (origin, hour); unreachable targets have no row.
-
-    Without targets all reachable nodes are returned. ``path`` lists the nodes from origin to target.
+        if "by_hour" in table.column_names:
+            lists = table.column("by_hour").combine_chunks()
+            there = np.asarray(lists.is_valid())
+            hours = np.repeat(weight[:, None].astype(np.int32), 24, axis=1)
+            if there.any():
+                hours[there] = lists.drop_null().flatten().to_numpy().reshape(-1, 24)
+            hours = hours[order].astype(np.int16 if len(weight) and hours.max() < 32_000 else np.int32)
+        a, b, weight, edge = a[order], b[order], weight[order], edge[order]
+        back = np.argsort(b, kind="stable")
+        places = np.arange(len(ids) + 1)
+        return cls(ids, np.searchsorted(a, places), b.astype(np.int32), edge, weight.astype(np.int32), hours, a.astype(np.int32), np.searchsorted(b[back], places), back)
+
+    def weights(self, hour: int | None) -> np.ndarray:
+        return self.base if hour is None or self.hours is None else self.hours[:, hour]
+
+    def index(self, nodes) -> np.ndarray:
+        """Places of node ids, -1 for those that no edge touches."""
+        nodes = np.asarray(nodes, np.int64)
+        if not len(self.ids):
+            return np.full(len(nodes), -1)
+        at = np.minimum(np.searchsorted(self.ids, nodes), len(self.ids) - 1)
+        return np.where(self.ids[at] == nodes, at, -1)
+
+
+def _fan(head: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry of nodes the numbers from head[node] to head[node + 1], and which entry they belong to."""
+    size = head[nodes + 1] - head[nodes]
+    which = np.repeat(np.arange(len(nodes)), size)
+    return np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + head[nodes][which], which
+
+
+def labels(g: Graph, weight: np.ndarray, sources: np.ndarray, targets: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """(labels of each source's nodes, seconds up to which they are final) for places of sources and targets.
+
+    Labels settle in bands of seconds, all sources at once; a band is relaxed until nothing in it changes. A
+    source whose targets are all settled is done.
     """
-    graph = collected(edges)
-    if graph is None:
-        return relaxed_many(edges, origins, targets)
-    shared = edges.sparkSession.sparkContext.broadcast(graph)
-    schema = "origin long, hour int, target long, seconds long, settled long" + ", path array<long>" * paths
+    n, k = len(g.ids), len(sources)
+    key = np.full(k * n, NO_LABEL)
+    at = np.arange(k) * n + sources
+    key[at] = 0
+    limit = np.full(k, NO_LABEL >> HOP_BITS)
+    open_ = weight >= 0
+    band = max(1, int(weight[open_].mean() * 3)) if open_.any() else 1
+    wait, high = at, band
+    while len(wait):
+        label = key[wait] >> HOP_BITS
+        high = max(high, int(label.min()) + band)
+        now = np.unique(wait[label < high])
+        later = [wait[label >= high]]
+        while len(now):
+            edges, which = _fan(g.head, now % n)
+            w = weight[edges]
+            good = w >= 0
+            edges, which, w = edges[good], which[good], w[good]
+            begin = now[which]
+            new = key[begin] + (w.astype(np.int64) << HOP_BITS) + 1
+            to = begin - begin % n + g.to[edges]
+            better = new < key[to]
+            to, new = to[better], new[better]
+            down = np.argsort(-new, kind="stable")
+            key[to[down]] = new[down]  # the least label of a node is written last
+            to = np.unique(to)
+            near = key[to] >> HOP_BITS < high
+            now = to[near]
+            later.append(to[~near])
+        wait = np.unique(np.concatenate(later))
+        # Labels under ``high`` are final; entries that a later, smaller label overtook are done.
+        wait = wait[key[wait] >> HOP_BITS >= high]
+        if targets is not None:
+            for i, wanted in enumerate(targets):
+                if limit[i] == NO_LABEL >> HOP_BITS:
+                    far = key[i * n + wanted] >> HOP_BITS if len(wanted) else np.zeros(1, np.int64)
+                    if far.max() < high:
+                        limit[i] = far.max()
+            wait = wait[limit[wait // n] == NO_LABEL >> HOP_BITS]
+        high += band
+    return key.reshape(k, n), limit
+
+
+def paths(g: Graph, weight: np.ndarray, key: np.ndarray, origin: int, wanted: np.ndarray) -> list[list[tuple[int, int, int]]]:
+    """For each wanted node (edge id, node id, seconds so far) of its path's edges in order, by the labels of one source."""
+    out: list[list[tuple[int, int, int]]] = [[] for _ in wanted]
+    now, who = wanted.copy(), np.arange(len(wanted))
+    while len(now):
+        moving = now != origin
+        now, who = now[moving], who[moving]
+        if not len(now):
+            break
+        slots, which = _fan(g.back_head, now)
+        edges = g.back[slots]
+        w, before = weight[edges], key[g.source[edges]]
+        tight = (w >= 0) & (before != NO_LABEL)
+        tight &= np.where(tight, before, 0) + (np.maximum(w, 0).astype(np.int64) << HOP_BITS) + 1 == key[now][which]
+        edges, which = edges[tight], which[tight]
+        _, first = np.unique(which, return_index=True)
+        edges = edges[first]
+        for i, e, v in zip(who.tolist(), edges.tolist(), now.tolist()):
+            out[i].append((int(g.edge[e]), int(g.ids[v]), int(key[v] >> HOP_BITS)))
+        now = g.source[edges].astype(now.dtype)
+    return [steps[::-1] for steps in out]
+
+
+def numbered(edges: DataFrame) -> DataFrame:
+    """Edges with an id ``edge``: theirs, or one of what they are."""
+    if "edge" in edges.columns:
+        return edges
+    return edges.withColumn("edge", number_of(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("src", "dst", "kind", "line", "weight_sec") if c in edges.columns]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = shared.value
-        wanted = None if targets is None else [i for i in map(g.index, targets) if i is not None]
-        at_hour, arrays = object(), None
-        for batch in batches:
-            for origin, hour in zip(batch.origin, batch.hour):
-                s = g.index(int(origin))
-                if s is None or wanted == []:
-                    continue
-                h = None if pd.isna(hour) else int(hour)
-                if h != at_hour:
-                    at_hour, arrays = h, g.lists(h)
-                dist, before, settled = dijkstra(arrays, s, wanted or ())
-                at = [i for i in (dist if wanted is None else wanted) if i in dist]
-                out = {"origin": origin, "hour": hour, "target": g.ids[at], "seconds": [dist[i] for i in at], "settled": settled}
-                if paths:
-                    out["path"] = [_path(g, before, i) for i in at]
-                yield pd.DataFrame(out)
-
-    tasks = max(1, min(origins.count(), edges.sparkSession.sparkContext.defaultParallelism))
-    return origins.select("origin", "hour").repartition(tasks).sortWithinPartitions("hour").mapInPandas(run, schema)
-
-
-def _path(g: Graph, before: dict[int, int], i: int) -> list[int]:
-    out = [i]
-    while out[-1] in before:
-        out.append(before[out[-1]])
-    return [int(g.ids[k]) for k in reversed(out)]
-
-
-def relaxed(open_edges: DataFrame, origins: DataFrame, max_rounds: int = 500) -> DataFrame:
-    """(origin, node, d) by rounds over (src, dst, w): nodes that got nearer send to their neighbours.
-
-    The number of rounds is that of the longest shortest path's edges. Each round is checkpointed.
-    """
-    if origins.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
 
-        origins.sparkSession.sparkContext.setCheckpointDir(origins.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    known = origins.select("origin", F.col("origin").alias("node"), F.lit(0).cast("long").alias("d")).distinct().checkpoint()
-    front = known
-    for _ in range(max_rounds):
-        sent = front.join(open_edges, front.node == open_edges.src).groupBy("origin", F.col("dst").alias("node")).agg(F.min(F.col("d") + F.col("w")).alias("n"))
-        both = known.join(sent, ["origin", "node"], "full_outer").select("origin", "node", "d", F.least("d", "n").alias("best"), (F.col("n").isNotNull() & (F.col("d").isNull() | (F.col("n") < F.col("d")))).alias("nearer")).checkpoint()
-        known = both.select("origin", "node", F.col("best").alias("d"))
-        front = known.join(both.where("nearer").select("origin", "node"), ["origin", "node"], "left_semi")
-        if both.where("nearer").isEmpty():
-            return known
-    raise RuntimeError(f"paths did not settle in {max_rounds} rounds")
+@dataclass(frozen=True)
+class Loaded:
+    """A graph ready for any number of searches: its written edges, and the broadcast kernel graph if it isn't too large."""
 
+    edges: DataFrame
+    shared: Broadcast | None
 
-def relaxed_many(edges: DataFrame, origins: DataFrame, targets: list[int] | None = None) -> DataFrame:
-    """one_to_many by relaxation, hour by hour."""
-    from waymill.operators.graph import open_edges
 
-    out = None
-    for (hour,) in origins.select("hour").distinct().collect():  # 25 values at most
-        some = origins.where(F.col("hour").eqNullSafe(F.lit(hour).cast("int")))
-        got = relaxed(open_edges(edges, hour), some)
-        got = got.select("origin", F.lit(hour).cast("int").alias("hour"), F.col("node").alias("target"), F.col("d").alias("seconds"), F.count("*").over(_by_origin()).alias("settled"))
-        out = got if out is None else out.unionByName(got)
-    return out if targets is None else out.where(F.col("target").isin(targets))
+def loaded(edges: DataFrame) -> Loaded:
+    """Edges written once with the columns that searches read, and broadcast if they are few enough."""
+    e = numbered(edges)
+    columns = ["src", "dst", "edge", "weight_sec"] + ["by_hour"] * ("by_hour" in e.columns)
+    e = written(e.select(*columns), "search-edges")
+    few = e.count() <= BROADCAST_EDGES
+    return Loaded(e, e.sparkSession.sparkContext.broadcast(Graph.of(e.toArrow())) if few else None)
 
 
-def _by_origin():
-    from pyspark.sql import Window as W
+def one_to_many(edges: DataFrame | Loaded, origins: DataFrame, targets: list[int] | None = None, paths_too: bool = False) -> DataFrame:
+    """(origin, hour, target, seconds, settled[, path]) of origins (origin, hour[, targets]); unreachable targets have no row.
 
-    return W.partitionBy("origin")
+    Targets are those of the origin's row, else ``targets``, else all nodes that can be reached. ``path`` lists
+    (edge, node, seconds so far) from the first edge to the target. ``settled`` counts the nodes no further than the
+    furthest target, all that are reached where a target isn't. Edges are (src, dst, weight_sec[, by_hour][, edge]); a null
+    hour takes base weights; an origin that no edge touches has no row. Rows that repeat are searched once.
+    """
+    at = edges if isinstance(edges, Loaded) else loaded(edges)
+    wanted = F.col("targets") if "targets" in origins.columns else F.lit(None if targets is None else [int(t) for t in targets]).cast("array<long>")
+    asked = origins.select(F.col("origin").cast("long"), F.col("hour").cast("int"), wanted.alias("targets"))
+    every = F.max(F.col("targets").isNull())
+    asked = asked.groupBy("origin", "hour").agg(F.when(~every, F.array_sort(F.array_distinct(F.flatten(F.collect_list("targets"))))).alias("targets"))
+    asked = written(asked.where("origin IS NOT NULL"), "search-origins")
+    return relaxed_many(at.edges, asked, paths_too) if at.shared is None else kernel(at.shared, asked, paths_too)
 
 
-def matrix(reached: DataFrame, origins: DataFrame, places: DataFrame) -> DataFrame:
-    """Cells (place_id, member_id, seconds, reason) of members (member_id, origin) and places (place_id, node).
+def kernel(shared: Broadcast, asked: DataFrame, paths_too: bool) -> DataFrame:
+    """one_to_many by the broadcast graph: tasks search the origins of an hour together."""
+    context = asked.sparkSession.sparkContext
+    schema = "origin long, hour int, target long, seconds long, settled long" + f", path {PATH}" * paths_too
 
-    A place or member without a node has reason NO_WALK_NETWORK, one that isn't reached UNREACHABLE;
-    from a node to itself takes no time.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = shared.value
+        n = max(1, len(g.ids))
+        for arrow in batches:
+            batch = arrow.to_pandas()
+            hours = batch.hour.astype("Float64").fillna(-1).astype(int)
+            for hour, some in batch.groupby(hours):
+                weight = g.weights(None if hour < 0 else int(hour))
+                some = some[g.index(some.origin.to_numpy()) >= 0]
+                for i in range(0, len(some), max(1, STATES // n)):
+                    yield from found(g, weight, None if hour < 0 else int(hour), some.iloc[i : i + max(1, STATES // n)])
+
+    def found(g: Graph, weight: np.ndarray, hour: int | None, some: pd.DataFrame) -> Iterator[pa.RecordBatch]:
+        sources = g.index(some.origin.to_numpy())
+        given = [None if t is None else g.index(t) for t in some.targets]
+        # A target that isn't in the graph is never reached, so that all that can be is settled.
+        to_all = any(t is None or (t < 0).any() for t in given)
+        key, limit = labels(g, weight, sources, None if to_all else given)
+        for i, (origin, source, wanted) in enumerate(zip(some.origin, sources, given)):
+            mine = key[i]
+            reached = mine != NO_LABEL
+            at = np.flatnonzero(reached) if wanted is None else wanted[wanted >= 0]
+            at = at[reached[at]]
+            whole = wanted is None or len(at) < len(wanted)
+            last = (mine[reached] >> HOP_BITS).max() if whole else (mine[at] >> HOP_BITS).max() if len(at) else 0
+            k = len(at)
+            columns = [pa.array([origin] * k, pa.int64()), pa.array([hour] * k, pa.int32()), pa.array(g.ids[at], pa.int64()), pa.array(mine[at] >> HOP_BITS, pa.int64()), pa.array([int((mine[reached] >> HOP_BITS <= last).sum())] * k, pa.int64())]
+            if paths_too:
+                columns.append(pa.array([[dict(zip(("edge", "node", "seconds"), step)) for step in p] for p in paths(g, weight, mine, int(source), at)], pa.list_(STEP)))
+            yield pa.RecordBatch.from_arrays(columns, NAMES[: len(columns)])
+
+    tasks = max(1, min(asked.count(), context.defaultParallelism * 2))
+    return asked.repartition(tasks, "hour", F.pmod(F.xxhash64("origin"), F.lit(max(1, tasks // 4)))).mapInArrow(run, schema)
+
+
+def _state(*more: str) -> list[str]:
+    return ["origin", "hour", *more]
+
+
+def hourly(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """(hour, src, dst, edge, w) of the edges open in the hours asked for, of which there are 25 at most."""
+    hours = asked.select("hour").distinct()
+    base = F.col("weight_sec")
+    w = base if "by_hour" not in edges.columns else F.when(F.col("hour").isNull(), base).otherwise(F.coalesce(F.get("by_hour", F.col("hour")), base))
+    return edges.join(F.broadcast(hours)).select(F.coalesce("hour", F.lit(-1)).alias("hour"), "src", "dst", "edge", w.cast("long").alias("w")).where("w >= 0")
+
+
+def relaxed(open_edges: DataFrame, asked: DataFrame, max_rounds: int = 5000) -> DataFrame:
+    """(origin, hour, node, key) by rounds over (hour, src, dst, edge, w): nodes with smaller labels send to their neighbours.
+
+    A round is one join and one aggregate that combines before the shuffle, for all origins and hours, and is
+    checkpointed. Labels beyond an origin's furthest target, once all its targets have one, aren't sent on.
+    """
+    wanted = asked.where("targets IS NOT NULL").select(*_state(F.explode("targets").alias("node")))
+    sizes = asked.where("targets IS NOT NULL").select("origin", "hour", F.size("targets").alias("n"))
+    bounded = not sizes.isEmpty()
+    known = cut(asked.select("origin", "hour", F.col("origin").alias("node"), F.lit(0).cast("long").alias("key")).join(open_edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "node", "left_semi").select(*_state("node", "key")))
+    front = known
+    for _ in range(max_rounds):
+        if bounded:
+            limits = known.join(wanted, _state("node")).groupBy("origin", "hour").agg(F.max("key").alias("far"), F.count("*").alias("m")).join(sizes, _state()).where("m = n").select(*_state("far"))
+            front = front.join(limits, _state(), "left").where("far IS NULL OR key <= far").drop("far")
+        e = open_edges.withColumnRenamed("src", "node")
+        sent = front.join(e, ["hour", "node"]).groupBy("origin", "hour", F.col("dst").alias("node")).agg(F.min(F.col("key") + F.shiftleft("w", HOP_BITS) + 1).alias("new"))
+        both = known.join(sent, _state("node"), "full_outer")
+        nearer = F.col("new").isNotNull() & (F.col("key").isNull() | (F.col("new") < F.col("key")))
+        both = cut(both.select(*_state("node"), F.least("key", "new").alias("key"), nearer.alias("nearer")))
+        known, front = both.drop("nearer"), both.where("nearer").drop("nearer")
+        if front.isEmpty():
+            return known
+    raise RuntimeError(f"paths did not settle in {max_rounds} rounds")
+
+
+def walked(open_edges: DataFrame, known: DataFrame, ends: DataFrame) -> DataFrame:
+    """(origin, hour, target, path) of ends (origin, hour, node, key), walked back an edge of every path a round."""
+    now = cut(ends.select("origin", "hour", F.col("node").alias("target"), "node", "key"))
+    steps = None
+    e = open_edges.withColumnRenamed("dst", "node")
+    labelled = known.select("origin", "hour", F.col("node").alias("src"), F.col("key").alias("before"))
+    while not (now := now.where("node <> origin")).isEmpty():
+        back = now.join(e, ["hour", "node"]).join(labelled, _state("src")).where(F.col("before") + F.shiftleft("w", HOP_BITS) + 1 == F.col("key"))
+        best = back.groupBy("origin", "hour", "target", "node", "key").agg(F.min(F.struct("src", "edge", "before")).alias("b"))
+        best = written(best, "search-steps")
+        step = best.select("origin", "hour", "target", F.struct("key", F.struct(F.col("b.edge").alias("edge"), "node", F.shiftright("key", HOP_BITS).alias("seconds")).alias("s")).alias("k"))
+        steps = step if steps is None else steps.unionByName(step)
+        now = best.select("origin", "hour", "target", F.col("b.src").alias("node"), F.col("b.before").alias("key"))
+    none = F.array().cast(PATH)
+    every = ends.select("origin", "hour", F.col("node").alias("target"))
+    if steps is None:
+        return every.withColumn("path", none)
+    # Labels rise along a path, so that they order it.
+    grown = steps.groupBy(*_state("target")).agg(F.transform(F.array_sort(F.collect_list("k")), lambda k: k["s"]).cast(PATH).alias("path"))
+    return every.join(grown, _state("target"), "left").withColumn("path", F.coalesce("path", none))
+
+
+def relaxed_many(edges: DataFrame, asked: DataFrame, paths_too: bool = False) -> DataFrame:
+    """one_to_many by relaxation, all origins and hours in one."""
+    e = written(hourly(edges, asked), "search-open")
+    asked = asked.withColumn("hour", F.coalesce("hour", F.lit(-1)))
+    known = relaxed(e, asked)
+    seconds = F.shiftright("key", HOP_BITS)
+    ends = known.join(asked.select("origin", "hour", F.explode_outer("targets").alias("t")), _state()).where("t IS NULL OR t = node").drop("t")
+    ends = written(ends.withColumn("seconds", seconds), "search-ends")
+    got = ends.groupBy("origin", "hour").agg(F.max("seconds").alias("last"), F.count("*").alias("m"))
+    far = asked.join(got, _state(), "left").select(*_state(F.when((F.size("targets") > F.coalesce("m", F.lit(0))) | F.col("targets").isNull(), None).otherwise(F.col("last")).alias("last")))
+    settled = known.join(far, _state()).where(F.col("last").isNull() | (seconds <= F.col("last"))).groupBy("origin", "hour").agg(F.count("*").alias("settled"))
+    out = ends.join(settled, _state())
+    if paths_too:
+        out = out.join(walked(e, known, ends).withColumnRenamed("target", "node"), _state("node"))
+    hour = F.nullif("hour", F.lit(-1)).alias("hour")
+    return out.select("origin", hour, F.col("node").alias("target"), "seconds", "settled", *["path"] * paths_too)
+
+
+def requests(members: DataFrame, places: DataFrame, hour: Column) -> DataFrame:
+    """(origin, hour, targets): what the rooms ask for, each origin with the places of the rooms it is in."""
+    rooms = places.where("node IS NOT NULL").groupBy("room_id").agg(F.collect_set("node").alias("targets"))
+    return members.where("node IS NOT NULL").join(rooms, "room_id").select(F.col("node").alias("origin"), hour.cast("int").alias("hour"), "targets")
+
+
+def matrix(found: DataFrame, members: DataFrame, places: DataFrame) -> DataFrame:
+    """Cells (room_id, place_id, member_id, row, col, reachable, seconds, transfers, walk_m, summary, reason) of each room.
+
+    ``members`` are (room_id, member_id, joined_at, node), ``places`` (room_id, place_id, created_at, node); rooms are capped
+    at ten by thirty, so that a room's cells are few. ``found`` has (origin, target, seconds, transfers, walk_m,
+    summary). A place or member without a node has reason NO_WALK_NETWORK, one that isn't reached UNREACHABLE. Columns
+    stand in the order of joining, rows in that of creation.
     """
-    cells = places.join(origins)
-    hit = reached.select("origin", F.col("target").alias("node"), "seconds")
-    out = cells.join(hit, ["origin", "node"], "left")
-    same = F.col("origin") == F.col("node")
-    seconds = F.when(same, F.lit(0)).otherwise(F.col("seconds")).cast("long")
-    reason = F.when(F.col("origin").isNull() | F.col("node").isNull(), "NO_WALK_NETWORK").when(seconds.isNull(), "UNREACHABLE")
-    return out.select("place_id", "member_id", seconds.alias("seconds"), reason.alias("reason"))
+    m = members.select("room_id", "member_id", F.col("node").alias("origin"), F.row_number().over(W.partitionBy("room_id").orderBy("joined_at", "member_id")).alias("col"))
+    p = places.select("room_id", "place_id", F.col("node").alias("target"), F.row_number().over(W.partitionBy("room_id").orderBy("created_at", "place_id")).alias("row"))
+    out = m.join(p, "room_id").join(found, ["origin", "target"], "left")
+    reason = F.when(F.col("origin").isNull() | F.col("target").isNull(), "NO_WALK_NETWORK").when(F.col("seconds").isNull(), "UNREACHABLE")
+    return out.select("room_id", "place_id", "member_id", "row", "col", reason.isNull().alias("reachable"), "seconds", "transfers", "walk_m", "summary", reason.alias("reason"))
+
+
+def matrix_stats(cells: DataFrame, found: DataFrame) -> DataFrame:
+    """One row (origins, settled, unreachable): searches made, nodes settled in them, and cells without a way."""
+    each = found.select("origin", "hour", "settled").distinct().agg(F.count("*").alias("origins"), F.coalesce(F.sum("settled"), F.lit(0)).alias("settled"))
+    return each.crossJoin(F.broadcast(cells.agg(F.count_if(~F.col("reachable")).alias("unreachable"))))

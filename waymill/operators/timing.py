@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from waymill.functions.scalars import NO_SERVICE, board_wait, service_hour
+from waymill.functions.scalars import NO_SERVICE, board_wait, is_express, service_hour
 
 #: Plausible run times and headways in seconds.
 RUN, HEADWAY = (1, 1800), (1, 3600)
@@ -56,17 +56,17 @@ def board_weights(gaps: DataFrame, service: DataFrame) -> DataFrame:
     return full.groupBy("line", "station").agg(F.transform(F.array_sort(F.collect_list(F.struct("hour", "weight"))), lambda s: s["weight"]).alias("by_hour"))
 
 
-def section_hours(sections: DataFrame, keys: list[str], hours: list[str]) -> DataFrame:
+def section_hours(sections: DataFrame, keys: list[str], hours: list[str], days: int) -> DataFrame:
     """by_hour of bus sections given a column of seconds for each hour and a row for each day (0: no bus).
 
-    An hour's weight is the median of the days that ran if they are more than half of all days.
+    ``days`` is how many days the file holds for this kind of day. An hour's weight is the median of the
+    days that ran if they are more than half of all ``days``; a section that ran on few days is closed.
     """
-    n = len(hours)
-    long = sections.select(*keys, F.posexplode(F.array(*[F.col(h).cast("int") for h in hours])).alias("hour", "v"))
-    each = long.groupBy(*keys, "hour").agg(F.percentile(F.when(F.col("v") > 0, F.col("v")), F.lit(0.5)).alias("m"), F.count_if(F.col("v") > 0).alias("ran"), F.count("*").alias("days"))
-    weight = F.when(F.col("ran") > F.col("days") * 0.5, F.greatest(F.lit(1), F.least(F.lit(3600), F.bround("m").cast("int")))).otherwise(NO_SERVICE)
-    out = each.withColumn("weight", weight.cast("short")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("hour", "weight"))).alias("w"))
-    return out.select(*keys, F.transform("w", lambda s: s["weight"]).alias("by_hour")).where(F.size("by_hour") == n)
+    long = sections.select(*keys, F.posexplode(F.array(*[F.col(h).try_cast("double") for h in hours])).alias("hour", "v"))
+    each = long.groupBy(*keys, "hour").agg(F.percentile(F.when(F.col("v") > 0, F.col("v")), F.lit(0.5)).alias("m"), F.count_if(F.col("v") > 0).alias("ran"))
+    weight = F.when(F.col("ran") > days * 0.5, F.bround("m").cast("int")).otherwise(NO_SERVICE)
+    out = each.withColumn("weight", weight).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("hour", "weight"))).alias("w"))
+    return out.select(*keys, F.transform("w", lambda s: s["weight"]).alias("by_hour"))
 
 
 def known_headways(sections: DataFrame, headway: DataFrame, key: str = "route") -> tuple[DataFrame, DataFrame]:
@@ -74,11 +74,30 @@ def known_headways(sections: DataFrame, headway: DataFrame, key: str = "route")
     return sections.join(headway, key, "left_semi"), sections.select(key).distinct().join(headway, key, "left_anti")
 
 
-def reference_check(gaps: DataFrame, reference: DataFrame, most: float = 2.0) -> DataFrame:
-    """(line, measured, reference, ratio, ok): the median headway of each line against a published one."""
-    ours = gaps.groupBy("line").agg(F.percentile("seconds", F.lit(0.5)).alias("measured"))
-    ratio = F.col("measured") / F.col("reference")
-    return ours.join(F.broadcast(reference), "line").select("line", "measured", "reference", ratio.alias("ratio"), (F.greatest(ratio, 1 / ratio) <= most).alias("ok"))
+# Published headways of the lines in minutes (rush hour), and the stations that lines 1 and 4 are measured on.
+REFERENCE_MINUTES = {"1": 3.0, "2": 2.5, "3": 3.0, "4": 2.5, "5": 2.5, "6": 4.0, "7": 2.5, "8": 4.5}
+SCOPES = {
+    "1": "서울역 시청 종각 종로3가 종로5가 동대문 신설동 제기동 청량리".split(),
+    "4": "당고개 상계 노원 창동 쌍문 수유 미아 길음 성신여대입구 한성대입구 혜화 동대문 충무로 명동 회현 서울역 숙대입구 삼각지 신용산 이촌 동작 총신대입구 사당 남태령".split(),
+}
+
+
+def reference_check(gaps: DataFrame, hour: int = 8, most: float = 2.0) -> DataFrame:
+    """(line, computed_min, reference_rh_min, ratio, scoped, ok): the headways of an hour against published ones.
+
+    Express lines aren't compared. A line with a scope is measured on the scope's stations, unless none of them
+    has a headway. A line is ok if it has no reference, or at most ``most`` times the reference.
+    """
+    lines = sorted(set(REFERENCE_MINUTES) | set(SCOPES))
+    known = gaps.sparkSession.createDataFrame([(x, REFERENCE_MINUTES.get(x), SCOPES.get(x)) for x in lines], "line string, reference double, scope array<string>")
+    gaps = gaps.select("line", "station", "hour", "seconds")
+    at = gaps.where((F.col("hour") == hour) & ~is_express(F.col("line"))).join(F.broadcast(known), "line", "left")
+    inside = F.when(F.col("scope").isNull() | F.array_contains("scope", F.col("station")), F.col("seconds"))
+    half = F.lit(0.5)
+    each = at.groupBy("line").agg(F.coalesce(F.percentile(inside, half), F.percentile("seconds", half)).alias("s"), F.max("reference").alias("reference"), F.max(F.col("scope").isNotNull()).alias("scoped"))
+    minutes = F.col("s") / 60
+    ratio = minutes / F.col("reference")
+    return each.select("line", F.bround(minutes, 1).alias("computed_min"), F.col("reference").alias("reference_rh_min"), F.bround(ratio, 2).alias("ratio"), "scoped", F.coalesce(ratio <= most, F.lit(True)).alias("ok"))
 
 
 def quantiles(df: DataFrame, value: Column, over: float) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymill.plans.registry import table
+from waymill.scratch import written
 
 
 def points(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,22 +82,205 @@ STOPS_SQL = """(SELECT event_id AS id, ts::DATE AS day, (user_id % 9 + 1)::VARCH
   user_id AS train, event_type AS station, (hour(ts) * 3600 + minute(ts) * 60 + second(ts))::INTEGER AS arrive, (hour(ts) * 3600 + minute(ts) * 60 + second(ts) + 30)::INTEGER AS depart FROM events)"""
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst, w): a thinned graph between the parts of consecutive order lines."""
+# --- the multimodal graph -------------------------------------------------------------------------
+# Walk nodes are customers, joined to those near them; subway stations are suppliers and their lines line numbers; bus
+# routes are brands, and parts their stops in order. Rooms are regions: their members customers, their places suppliers.
+
+WALK_METRES = 800.0
+
+
+def nid_sql(kind: str, mode: str, source: str, line: str = "''") -> str:
+    return f"('0x' || substr(md5(concat_ws('|', '{kind}', '{mode}', {source}, {line})), 1, 15))::BIGINT"
+
+
+def served(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_id, line): the lines that serve a station, some as a branch or an express line."""
+    line = F.expr("CASE WHEN l_linenumber = 2 AND l_suppkey % 3 = 0 THEN '2성수지선' WHEN l_linenumber = 7 AND l_suppkey % 2 = 0 THEN '7급행' ELSE cast(l_linenumber AS string) END")
+    return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("S"), "l_suppkey").alias("source_id"), line.alias("line")).distinct()
+
+
+SERVED_SQL = "(SELECT DISTINCT 'S' || l_suppkey AS source_id, CASE WHEN l_linenumber = 2 AND l_suppkey % 3 = 0 THEN '2성수지선' WHEN l_linenumber = 7 AND l_suppkey % 2 = 0 THEN '7급행' ELSE l_linenumber::VARCHAR END AS line FROM lineitem)"
+
+
+def transfer_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(measured, by distance): (station, line_a, line_b, sec) of shipped and of open order lines."""
+    x = table(spark, sf_dir, "lineitem").where("l_linenumber <> l_partkey % 7 + 1")
+    keys = [F.concat(F.lit("S"), "l_suppkey").alias("station"), F.col("l_linenumber").cast("string").alias("line_a"), (F.col("l_partkey") % 7 + 1).cast("string").alias("line_b")]
+    measured = x.where("l_returnflag <> 'N'").groupBy(*keys).agg(F.bround(F.percentile(60 + F.col("l_quantity") * 4, F.lit(0.5))).cast("int").alias("sec"))
+    distance = x.where("l_linestatus = 'O' OR l_returnflag = 'A'").groupBy(*keys).agg(F.min(10 + F.col("l_quantity") * 3).cast("int").alias("sec"))
+    return measured, distance
+
+
+_PAIR = "SELECT 'S' || l_suppkey AS station, l_linenumber::VARCHAR AS line_a, (l_partkey % 7 + 1)::VARCHAR AS line_b, {v}::INTEGER AS sec FROM lineitem WHERE l_linenumber <> l_partkey % 7 + 1 AND {w} GROUP BY ALL"
+#: Tables m, d, c (calibrated transfers), st and nw (walks of stations and of the network), and rz (raised platform walks).
+TRANSFERS_SQL = f"""m AS MATERIALIZED ({_PAIR.format(v='round_even(median(60 + l_quantity * 4), 0)', w="l_returnflag <> 'N'")}), d AS MATERIALIZED ({_PAIR.format(v='min(10 + l_quantity * 3)', w="(l_linestatus = 'O' OR l_returnflag = 'A')")}),
+o AS (SELECT round_even(median(m.sec - d.sec), 0)::INTEGER AS off FROM m JOIN d USING (station, line_a, line_b)),
+c AS MATERIALIZED (SELECT station, line_a, line_b, greatest(1, sec)::INTEGER AS sec, 'MEASURED' AS source FROM m UNION ALL SELECT station, line_a, line_b, greatest(1, sec + off)::INTEGER, 'CALIBRATED' FROM (SELECT * FROM d ANTI JOIN m USING (station, line_a, line_b)), o),
+st AS (SELECT station, greatest(1, round_even(median(sec) / 2, 0))::INTEGER AS sec FROM c GROUP BY station), nw AS (SELECT greatest(1, round_even(median(sec) / 2, 0))::INTEGER AS sec FROM c)"""
+RAISED_SQL = """pr AS MATERIALIZED (SELECT station, line_a, line_b, sec, row_number() OVER (PARTITION BY station ORDER BY line_a || ' ' || line_b) AS k FROM c),
+ls AS MATERIALIZED (SELECT station, list_sort(list_distinct(list(line))) AS lines FROM (SELECT station, unnest([line_a, line_b]) AS line FROM c) GROUP BY station),
+fx(station, k, lines, t) AS (SELECT station, 0::BIGINT, lines, list_transform(lines, lambda l: st.sec) FROM ls JOIN st USING (station) UNION ALL
+  SELECT station, k, lines, list_transform(range(1, len(lines) + 1), lambda i: (t[i] + CASE WHEN i = a THEN (lack + 1) // 2 WHEN i = b THEN lack // 2 ELSE 0 END)::INTEGER) FROM
+    (SELECT fx.station, pr.k, lines, t, list_position(lines, line_a) AS a, list_position(lines, line_b) AS b, greatest(0, sec + 1 - t[list_position(lines, line_a)] - t[list_position(lines, line_b)]) AS lack FROM fx JOIN pr ON pr.station = fx.station AND pr.k = fx.k + 1)),
+rz AS MATERIALIZED (SELECT station, unnest(lines) AS line, unnest(t) AS sec FROM (SELECT station, arg_max(lines, k) AS lines, arg_max(t, k) AS t FROM fx GROUP BY station))"""
+
+
+def calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated transfers with ``ord``, the order of the lines' names."""
+    from waymill.operators import transfers
+
+    return transfers.calibrated(*transfer_files(spark, sf_dir)).withColumn("ord", F.concat("line_a", F.lit(" "), "line_b"))
+
+
+def waits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_id, line, by_hour) of the platforms that have a headway; express platforms have none."""
+    k = F.substring("source_id", 2, 20).cast("long")
+    hours = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.when(h < 5, -1).otherwise(120 + (k * 13 + h) % 200).cast("short"))
+    return served(spark, sf_dir).where("line <> '7급행'").withColumn("by_hour", hours)
+
+
+_WAIT = "list_transform(range(24), lambda h: (CASE WHEN h < 5 THEN -1 ELSE 120 + (substr(source_id, 2)::BIGINT * 13 + h) % 200 END)::INTEGER)"
+
+
+def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(line, a, b, seconds): rides between stations that follow each other on a line, both ways."""
+    s = served(spark, sf_dir).withColumn("k", F.substring("source_id", 2, 20).cast("long"))
+    pair = s.select("line", "k").join(s.select("line", (F.col("k") - 1).alias("k")), ["line", "k"])
+    ends = F.array(F.struct(F.col("k").alias("a"), (F.col("k") + 1).alias("b")), F.struct((F.col("k") + 1).alias("a"), F.col("k").alias("b")))
+    both = pair.select("line", F.explode(ends).alias("e"))
+    return both.select("line", F.concat(F.lit("S"), "e.a").alias("a"), F.concat(F.lit("S"), "e.b").alias("b"), (60 + (F.col("e.a") * 7 + F.col("e.b") * 3) % 120).cast("double").alias("seconds"))
+
+
+_HOURS = [f"h{i:02d}" for i in range(24)]
+#: Days of one kind in the bus file, and the seconds of a section in an hour of a day as text (0: no bus).
+BUS_DAYS = 3
+_RUN = "CASE WHEN {h} < 5 OR (p_size + {h} * 5 + day * 2) % 6 < 2 THEN 0 ELSE 40 + (p_partkey * 31) % 3700 + {h} % 5 + day END"
+
+
+def bus_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(route, a, b, day, h00..h23): a row for each day of each section, from a stop to the next of its route."""
     from pyspark.sql import Window as W
 
-    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    e = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(order).alias("b"))
-    keep = "a <> b AND (a * 7919 + b * 104729 + a * b * 31) % 1009 < 200"
-    return e.where(keep).distinct().select(F.col("a").alias("src"), F.col("b").alias("dst"), (1 + (F.col("a") * 31 + F.col("b") * 17) % 97).cast("int").alias("w"))
+    p = table(spark, sf_dir, "part")
+    p = p.withColumn("b", F.lead("p_partkey").over(W.partitionBy("p_brand").orderBy("p_partkey"))).where("b IS NOT NULL")
+    p = p.withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(BUS_DAYS - 1))))
+    return p.select(F.col("p_brand").alias("route"), F.concat(F.lit("P"), "p_partkey").alias("a"), F.concat(F.lit("P"), "b").alias("b"), "day", *[F.expr(_RUN.format(h=i)).cast("string").alias(h) for i, h in enumerate(_HOURS)])
+
+
+def bus_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waymill.operators import graph, timing
+
+    known = graph.city_routes(bus_routes(spark, sf_dir)).select("route")
+    return timing.section_hours(bus_days(spark, sf_dir).join(known, "route", "left_semi"), ["route", "a", "b"], _HOURS, BUS_DAYS)
+
+
+def bus_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(route, name, type, number)."""
+    n = F.regexp_extract("p_brand", "([0-9]+)$", 1)
+    kind = F.expr("CASE cast(regexp_extract(p_brand, '([0-9]+)$', 1) AS int) % 5 WHEN 0 THEN '경기' WHEN 1 THEN '간선' WHEN 3 THEN '마을' WHEN 4 THEN '광역' END")
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("route"), F.concat(n, F.lit("번")).alias("name"), kind.alias("type"), n.alias("number")).distinct()
+
+
+def bus_headways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waymill.operators import graph
+
+    routes = bus_routes(spark, sf_dir)
+    minutes = (F.col("number").cast("int") * 7 % 13).cast("string")
+    return graph.route_headways(routes.select("number", minutes.alias("minutes")), routes.select("number", "route", F.lit(0).alias("ord")))
+
+
+_RUN_SQL = _RUN.format(h="h")
+#: Tables br (routes), bh (headways), bs (sections by hour).
+BUS_SQL = f"""br AS (SELECT DISTINCT p_brand AS route, regexp_extract(p_brand, '([0-9]+)$', 1) AS number, CASE regexp_extract(p_brand, '([0-9]+)$', 1)::INTEGER % 5 WHEN 0 THEN '경기' WHEN 1 THEN '간선' WHEN 3 THEN '마을' WHEN 4 THEN '광역' END AS type FROM part),
+bh AS (SELECT route, number::INTEGER * 7 % 13 * 60 AS seconds FROM br WHERE number::INTEGER * 7 % 13 > 0),
+bd AS (SELECT p_brand AS route, 'P' || p_partkey AS a, 'P' || b AS b, day, h, {_RUN_SQL} AS v FROM (SELECT *, lead(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS b FROM part), range({BUS_DAYS}) t(day), range(24) u(h) WHERE b IS NOT NULL),
+bs AS MATERIALIZED (SELECT route, a, b, list(w ORDER BY h) AS by_hour FROM (SELECT route, a, b, h, CASE WHEN count(*) FILTER (v > 0) > {BUS_DAYS} * 0.5 THEN round_even(median(v) FILTER (v > 0), 0)::INTEGER ELSE -1 END AS w FROM bd WHERE route IN (SELECT route FROM br WHERE coalesce(type, '') NOT IN ('경기', '인천', '광역')) GROUP BY ALL) GROUP BY ALL)"""
+
+
+def assembled(spark: SparkSession, sf_dir: str):
+    """(the whole graph as a Part, transfer seconds), assembled from the tables and written."""
+    from waymill.operators import graph, transfers
+    from waymill.operators.spatial import within
+
+    c = points(spark, sf_dir, "customer")
+    near = within(c.select(F.col("id").alias("src"), F.col("x").alias("lx"), F.col("y").alias("ly")), c.select(F.col("id").alias("dst"), F.col("x").alias("rx"), F.col("y").alias("ry")), WALK_METRES)
+    walk = graph.Part(graph.walk_nodes(c.select("id", "x", "y")), graph.walk_edges(near.where("src <> dst").select("src", "dst", F.col("distance").alias("length"))))
+    stations = points(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), "id").alias("source_id"), "name", "x", "y")
+    lines, t = written(served(spark, sf_dir), "served"), written(calibrated(spark, sf_dir), "transfers")
+    walks = written(transfers.platform_walks(lines.withColumnRenamed("source_id", "station"), t).withColumnRenamed("station", "source_id"), "walks")
+    subway, seconds = graph.subway(stations, lines, legs(spark, sf_dir), waits(spark, sf_dir), walks, t)
+    stops = points(spark, sf_dir, "part").select(F.concat(F.lit("P"), "id").alias("source_id"), "name", "x", "y")
+    whole = graph.joined(walk, subway, graph.bus(written(bus_sections(spark, sf_dir), "sections"), stops, bus_headways(spark, sf_dir)))
+    nodes = written(whole.nodes, "graph-nodes")
+    access, _ = graph.access_edges(nodes.where("kind = 'STOP'"), nodes.where("kind = 'WALK'"))
+    return graph.Part(nodes, written(whole.edges.unionByName(access), "graph-edges")), written(seconds, "transfer-seconds")
+
+
+_BUILDS: dict[tuple[str, str], tuple] = {}
+
+
+def built(spark: SparkSession, sf_dir: str):
+    """(graph, transfer seconds, the graph loaded for searches): one build for a session, as a service would hold its active build."""
+    from waymill.operators import search
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILDS:
+        g, seconds = assembled(spark, sf_dir)
+        _BUILDS[key] = (g, seconds, search.loaded(g.edges))
+    return _BUILDS[key]
+
+
+def _median(of: str) -> str:
+    return f"round_even(list_median(list_filter({of}, lambda v: v <> -1)), 0)"
+
+
+_BASE = "regexp_replace({c}, '(급행|성수지선|신정지선)$', '')"
+#: Tables n (nodes) and e (edges) of the built graph, and ts (transfer seconds); needs WITH RECURSIVE.
+GRAPH_SQL = f"""{TRANSFERS_SQL}, {RAISED_SQL}, {BUS_SQL},
+sv AS MATERIALIZED {SERVED_SQL},
+wn AS MATERIALIZED (SELECT {nid_sql('WALK', 'WALK', 'id::VARCHAR')} AS id, id AS key, x, y FROM {points_sql('customer')}),
+sl AS (SELECT route AS line, a, b, by_hour FROM bs WHERE route IN (SELECT route FROM bh)), bv AS MATERIALIZED (SELECT DISTINCT line, unnest([a, b]) AS source_id FROM sl),
+sn AS MATERIALIZED (SELECT {nid_sql('STOP', 'SUBWAY', "'S' || id")} AS id, 'SUBWAY' AS mode, 'S' || id AS source_id, name, x, y FROM {points_sql('supplier')} UNION ALL
+  SELECT {nid_sql('STOP', 'BUS', "'P' || id")}, 'BUS', 'P' || id, name, x, y FROM {points_sql('part')} WHERE 'P' || id IN (SELECT source_id FROM bv)),
+pn AS MATERIALIZED (SELECT {nid_sql('PLATFORM', 'SUBWAY', 'sv.source_id', 'line')} AS id, sn.id AS stop, 'SUBWAY' AS mode, sv.source_id, line, name, x, y FROM sv JOIN sn ON sn.source_id = sv.source_id UNION ALL
+  SELECT {nid_sql('PLATFORM', 'BUS', 'bv.source_id', 'line')}, sn.id, 'BUS', bv.source_id, line, name, x, y FROM bv JOIN sn ON sn.source_id = bv.source_id),
+n AS MATERIALIZED (SELECT id, 'WALK' AS kind, 'WALK' AS mode, key::VARCHAR AS source_id, NULL::VARCHAR AS line, NULL::VARCHAR AS name, x, y FROM wn UNION ALL SELECT id, 'STOP', mode, source_id, NULL, name, x, y FROM sn UNION ALL SELECT id, 'PLATFORM', mode, source_id, line, name, x, y FROM pn),
+pw AS MATERIALIZED (SELECT p.*, coalesce(rz.sec, st.sec, nw.sec) AS walk, CASE WHEN p.line <> '7급행' THEN {_WAIT} END AS hours FROM (SELECT * FROM pn WHERE mode = 'SUBWAY') p LEFT JOIN rz ON rz.station = source_id AND rz.line = {_BASE.format(c='p.line')} LEFT JOIN st ON st.station = source_id CROSS JOIN nw),
+ts AS MATERIALIZED (SELECT a.source_id AS station, a.line AS line_a, b.line AS line_b, a.id AS src, b.id AS dst, b.hours, (CASE WHEN a.line LIKE '%지선' OR b.line LIKE '%지선' THEN 180 WHEN {_BASE.format(c='a.line')} = {_BASE.format(c='b.line')} THEN 30 ELSE coalesce(c.sec, 180) END)::INTEGER AS sec,
+  a.line LIKE '%지선' OR b.line LIKE '%지선' OR ({_BASE.format(c='a.line')} <> {_BASE.format(c='b.line')} AND c.sec IS NULL) AS fallback
+  FROM pw a JOIN pw b ON a.source_id = b.source_id AND a.line <> b.line LEFT JOIN c ON c.station = a.source_id AND c.line_a = {_BASE.format(c='a.line')} AND c.line_b = {_BASE.format(c='b.line')}),
+ac AS MATERIALIZED (SELECT s.id AS stop, s.mode, arg_min(w.id, (sqrt((w.x - s.x) * (w.x - s.x) + (w.y - s.y) * (w.y - s.y)), w.id)) AS node, min(sqrt((w.x - s.x) * (w.x - s.x) + (w.y - s.y) * (w.y - s.y))) AS dist FROM sn s JOIN wn w ON sqrt((w.x - s.x) * (w.x - s.x) + (w.y - s.y) * (w.y - s.y)) <= 1000 GROUP BY ALL),
+raw_e AS (SELECT a.id AS src, b.id AS dst, 'WALK' AS kind, 'WALK' AS mode, NULL::VARCHAR AS line, greatest(1, round_even(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 1.2, 0))::INTEGER AS weight_sec, NULL::INTEGER[] AS by_hour, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS distance_m
+    FROM wn a JOIN wn b ON a.id <> b.id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= {WALK_METRES}
+  UNION ALL SELECT stop, id, 'BOARD', 'SUBWAY', line, (walk + {_median('hours')})::INTEGER, list_transform(hours, lambda h: CASE WHEN h = -1 THEN -1 ELSE h + walk END), NULL FROM pw WHERE hours IS NOT NULL
+  UNION ALL SELECT id, stop, 'ALIGHT', 'SUBWAY', line, walk, NULL, NULL FROM pw
+  UNION ALL SELECT src, dst, 'TRANSFER', 'SUBWAY', line_b, (sec + {_median('hours')})::INTEGER, list_transform(hours, lambda h: CASE WHEN h = -1 THEN -1 ELSE h + sec END), NULL FROM ts WHERE hours IS NOT NULL
+  UNION ALL SELECT a.id, b.id, 'RIDE', 'SUBWAY', a.line, (60 + (substr(a.source_id, 2)::BIGINT * 7 + substr(b.source_id, 2)::BIGINT * 3) % 120)::INTEGER, NULL, NULL FROM pw a JOIN pw b ON a.line = b.line AND abs(substr(a.source_id, 2)::BIGINT - substr(b.source_id, 2)::BIGINT) = 1
+  UNION ALL SELECT stop, id, 'BOARD', 'BUS', line, greatest(1, round_even(seconds / 2, 0))::INTEGER, NULL, NULL FROM pn JOIN bh ON route = line WHERE mode = 'BUS'
+  UNION ALL SELECT id, stop, 'ALIGHT', 'BUS', line, 1, NULL, NULL FROM pn WHERE mode = 'BUS'
+  UNION ALL SELECT src, dst, 'RIDE', 'BUS', line, {_median('hours')}::INTEGER, hours, NULL FROM (SELECT {nid_sql('PLATFORM', 'BUS', 'a', 'line')} AS src, {nid_sql('PLATFORM', 'BUS', 'b', 'line')} AS dst, line, list_transform(by_hour, lambda v: CASE WHEN v = -1 THEN -1 ELSE greatest(1, least(3600, v)) END) AS hours FROM sl) WHERE len(list_filter(hours, lambda v: v <> -1)) > 0
+  UNION ALL SELECT unnest([stop, node]), unnest([node, stop]), 'ACCESS', mode, NULL, greatest(1, round_even(dist / 1.2, 0))::INTEGER, NULL, dist FROM ac),
+e AS MATERIALIZED (SELECT ('0x' || substr(md5(concat_ws('|', src, dst, kind, coalesce(line, ''), weight_sec)), 1, 15))::BIGINT AS edge, * FROM raw_e)"""
+
 
+def rooms(spark: SparkSession, sf_dir: str, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, places) of the rooms, as many as a room may hold; a place is at its nearest walk node, if there is one in reach."""
+    from waymill.operators.rooms import BOOKMARKS, MEMBERS, capped
+    from waymill.operators.spatial import nearest
 
-EDGES_SQL = """(SELECT DISTINCT a AS src, b AS dst, (1 + (a * 31 + b * 17) % 97)::INTEGER AS w FROM
-  (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem)
-  WHERE a <> b AND (a * 7919 + b * 104729 + a * b * 31) % 1009 < 200)"""
+    walk = nodes.where("kind = 'WALK'")
+    region = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").cast("long").alias("room_id"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("member_id"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("joined_at"))
+    members = capped(c.join(F.broadcast(region), "nation").drop("nation"), "room_id", ["joined_at", "member_id"], MEMBERS)
+    members = members.join(walk.select(F.col("source_id").cast("long").alias("member_id"), F.col("id").alias("node")), "member_id", "left")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("place_id"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("created_at"))
+    places = capped(s.join(F.broadcast(region), "nation").drop("nation"), "room_id", ["created_at", "place_id"], BOOKMARKS)
+    at = points(spark, sf_dir, "supplier").select(F.col("id").alias("place_id"), F.col("x").alias("lx"), F.col("y").alias("ly"))
+    snapped = nearest(at, walk.select(F.col("id").alias("node"), F.col("x").alias("rx"), F.col("y").alias("ry")), 900.0, "place_id", "node")
+    return members, places.join(snapped.select("place_id", "node"), "place_id", "left")
 
 
-def hourly(df: DataFrame) -> DataFrame:
-    """Edges with by_hour: 24 weights, -1 where nothing runs."""
-    hour = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.when((F.col("src") + F.col("dst") + h) % 6 == 0, -1).otherwise(F.col("w") + h % 5).cast("short"))
-    return df.withColumn("by_hour", hour)
+#: Tables mb (members) and pl (places).
+ROOMS_SQL = f"""mb AS MATERIALIZED (SELECT room_id, member_id, joined_at, {nid_sql('WALK', 'WALK', 'member_id::VARCHAR')} AS node, col FROM (SELECT n_regionkey::BIGINT AS room_id, c_custkey AS member_id, c_acctbal AS joined_at, row_number() OVER (PARTITION BY n_regionkey ORDER BY c_acctbal, c_custkey) AS col FROM customer JOIN nation ON n_nationkey = c_nationkey) WHERE col <= 10),
+sp AS (SELECT s.id AS place_id, arg_min(w.id, (sqrt((w.x - s.x) * (w.x - s.x) + (w.y - s.y) * (w.y - s.y)), w.id)) AS node FROM {points_sql('supplier')} s JOIN wn w ON sqrt((w.x - s.x) * (w.x - s.x) + (w.y - s.y) * (w.y - s.y)) <= 900 GROUP BY 1),
+pl AS MATERIALIZED (SELECT room_id, k.place_id, node, k.row FROM (SELECT n_regionkey::BIGINT AS room_id, s_suppkey AS place_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY s_acctbal, s_suppkey) AS row FROM supplier JOIN nation ON n_nationkey = s_nationkey) k LEFT JOIN sp USING (place_id) WHERE k.row <= 30)"""

@@ -1,212 +1,274 @@
-"""Queries of graph assembly, search, matrices and routes, on a graph made of order lines."""
+"""Queries of graph assembly, search, matrices and routes, on the multimodal graph of the given tables."""
 
 from pyspark.sql import functions as F
 
-from waymill.operators import graph, routes, search
-from waymill.plans.derived import EDGES_SQL, edges, hourly, points, points_sql
+from waymill.functions.scalars import representative
+from waymill.operators import graph, routes, search, transfers
+from waymill.plans.derived import BUS_DAYS, BUS_SQL, GRAPH_SQL, ROOMS_SQL, assembled, bus_routes, bus_sections, built, calibrated, rooms, served
 from waymill.plans.registry import query, table
 
-_OPEN = "(SELECT src, dst, CASE WHEN (src + dst + {h}) % 6 = 0 THEN -1 ELSE w + {h} % 5 END AS w FROM " + EDGES_SQL + ")"
-ORIGINS, TARGETS, HOURS = [0, 5, 17, 42], [3, 11, 29, 77, 101, 123, 150, 188], (2, 8, 19)
+HOURS = (2, 8, 19)
+_G = f"WITH RECURSIVE {GRAPH_SQL}"
 
 
-def _graph(spark, sf_dir):
-    return hourly(edges(spark, sf_dir)).select("src", "dst", F.col("w").alias("weight_sec"), "by_hour")
+@query(f"{_G} SELECT 'NODE' AS what, kind, mode, count(*) AS count FROM n GROUP BY ALL UNION ALL SELECT 'EDGE', kind, mode, count(*) FROM e GROUP BY ALL")
+def graph_counts(spark, sf_dir):
+    """The counts of a build, assembled for them."""
+    g, _ = assembled(spark, sf_dir)
+    return graph.counts(g.nodes, g.edges)
 
 
-@query(f"SELECT count(*) AS edges, count(DISTINCT src) AS sources, sum(w)::BIGINT AS total, max(w)::BIGINT AS most, count(*) FILTER ((src + dst + 8) % 6 = 0) AS shut_at_8 FROM {EDGES_SQL}")
+@query(f"{_G} SELECT kind, mode, count(*) AS edges, count(DISTINCT src) AS sources, sum(weight_sec)::BIGINT AS total, max(weight_sec)::BIGINT AS most, count(*) FILTER (by_hour[9] < 0) AS shut_at_8, coalesce(sum(list_sum(list_filter(by_hour, lambda h: h > 0))), 0)::BIGINT AS hourly, round(coalesce(sum(distance_m), 0), 3) AS metres FROM e GROUP BY ALL")
 def graph_edges(spark, sf_dir):
-    g = _graph(spark, sf_dir)
-    return g.agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"), F.sum("weight_sec").alias("total"), F.max("weight_sec").cast("long").alias("most"), F.count_if(F.get("by_hour", F.lit(8)) < 0).alias("shut_at_8"))
+    e = built(spark, sf_dir)[0].edges
+    hourly = F.aggregate(F.filter("by_hour", lambda h: h > 0), F.lit(0).cast("long"), lambda a, h: a + h)
+    return e.groupBy("kind", "mode").agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"), F.sum("weight_sec").alias("total"), F.max("weight_sec").cast("long").alias("most"), F.count_if(F.get("by_hour", F.lit(8)) < 0).alias("shut_at_8"), F.coalesce(F.sum(hourly), F.lit(0)).alias("hourly"), F.round(F.coalesce(F.sum("distance_m"), F.lit(0.0)), 3).alias("metres"))
+
+
+@query(f"{_G} SELECT src, dst, kind, line, weight_sec, by_hour, round(distance_m, 6) AS distance_m FROM e WHERE kind IN ('RIDE', 'WALK')")
+def walk_and_ride_edges(spark, sf_dir):
+    e = built(spark, sf_dir)[0].edges.where("kind IN ('RIDE', 'WALK')")
+    return e.select("src", "dst", "kind", "line", "weight_sec", F.col("by_hour").cast("array<int>").alias("by_hour"), F.round("distance_m", 6).alias("distance_m"))
 
 
-@query(f"SELECT src, dst, w::BIGINT AS w FROM {_OPEN.format(h=19)} WHERE w >= 0")
+@query(f"{_G} SELECT src, dst, coalesce(by_hour[20], weight_sec)::BIGINT AS w FROM e WHERE coalesce(by_hour[20], weight_sec) >= 0")
 def open_edges(spark, sf_dir):
-    return graph.open_edges(_graph(spark, sf_dir), 19)
+    return graph.open_edges(built(spark, sf_dir)[0].edges, 19)
 
 
-@query(f"WITH e AS {EDGES_SQL} SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT src FROM e) AND p_partkey NOT IN (SELECT dst FROM e)")
+@query(f"{_G} SELECT kind, source_id FROM n WHERE id NOT IN (SELECT src FROM e) AND id NOT IN (SELECT dst FROM e)")
 def isolated_nodes(spark, sf_dir):
-    return graph.isolated(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), edges(spark, sf_dir))
+    g = built(spark, sf_dir)[0]
+    return graph.isolated(g.nodes, g.edges).select("kind", "source_id")
 
 
-@query(f"SELECT node, degree, coalesce(sum(degree) OVER (ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS head FROM (SELECT src AS node, count(*) AS degree FROM {EDGES_SQL} GROUP BY 1)")
+@query(f"{_G} SELECT node, degree, coalesce(sum(degree) OVER (ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS head FROM (SELECT src AS node, count(*) AS degree FROM e GROUP BY 1)")
 def csr_head(spark, sf_dir):
-    return graph.heads(edges(spark, sf_dir))
+    return graph.heads(built(spark, sf_dir)[0].edges)
 
 
-@query(f"WITH p AS {points_sql('part')} SELECT round(max(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / w), 6) AS speed, count(*) AS n FROM {_OPEN.format(h=8)} e JOIN p a ON a.id = e.src JOIN p b ON b.id = e.dst WHERE w > 0")
+@query(f"{_G} SELECT round(max(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / w), 6) AS speed, count(*) AS n FROM (SELECT src, dst, coalesce(by_hour[9], weight_sec) AS w FROM e) e JOIN n a ON a.id = e.src JOIN n b ON b.id = e.dst WHERE w > 0")
 def max_edge_speed(spark, sf_dir):
-    p = points(spark, sf_dir, "part").select("id", "x", "y")
-    e = graph.open_edges(_graph(spark, sf_dir), 8).where("w > 0")
-    j = e.join(p.toDF("src", "ax", "ay"), "src").join(p.toDF("dst", "bx", "by"), "dst")
+    g = built(spark, sf_dir)[0]
+    p = g.nodes.select("id", "x", "y")
+    j = graph.open_edges(g.edges, 8).where("w > 0").join(p.toDF("src", "ax", "ay"), "src").join(p.toDF("dst", "bx", "by"), "dst")
     d = F.sqrt((F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by")))
     return j.agg(F.round(F.max(d / F.col("w")), 6).alias("speed"), F.count("*").alias("n"))
 
 
-def _stations(spark, sf_dir):
-    s = points(spark, sf_dir, "supplier")
-    return s.select(F.concat(F.lit("S"), F.col("id")).alias("source_id"), "name", "x", "y")
-
-
-def _walks(spark, sf_dir):
-    return graph.walk_nodes(points(spark, sf_dir, "customer").select("id", "x", "y"))
-
-
-@query(f"""SELECT kind, count(*) AS n, sum(w)::BIGINT AS seconds, round(sum(d), 3) AS metres FROM (SELECT 'ACCESS' AS kind, greatest(1, round_even(d / 1.2, 0))::INTEGER AS w, d FROM (SELECT s.id, min(sqrt((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y))) AS d
-  FROM {points_sql('supplier')} s JOIN {points_sql('customer')} c ON (c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y) <= 1000000 GROUP BY 1) CROSS JOIN range(2)) GROUP BY kind""")
+@query(f"{_G} SELECT mode, count(*) AS n, sum(weight_sec)::BIGINT AS seconds, round(sum(distance_m), 3) AS metres FROM e WHERE kind = 'ACCESS' GROUP BY 1")
 def access_edges(spark, sf_dir):
-    stops = graph.stop_nodes(_stations(spark, sf_dir), "SUBWAY")
-    e, _ = graph.access_edges(stops, _walks(spark, sf_dir))
-    return e.groupBy("kind").agg(F.count("*").alias("n"), F.sum("weight_sec").alias("seconds"), F.round(F.sum("distance_m"), 3).alias("metres"))
+    e = built(spark, sf_dir)[0].edges.where("kind = 'ACCESS'")
+    return e.groupBy("mode").agg(F.count("*").alias("n"), F.sum("weight_sec").alias("seconds"), F.round(F.sum("distance_m"), 3).alias("metres"))
 
 
-@query(f"SELECT count(*) AS skipped FROM {points_sql('supplier')} s WHERE NOT EXISTS (SELECT 1 FROM {points_sql('customer')} c WHERE (c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y) <= 1000000)")
+@query(f"{_G} SELECT count(*) AS skipped FROM sn s WHERE NOT EXISTS (SELECT 1 FROM wn c WHERE sqrt((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y)) <= 1000)")
 def access_skipped(spark, sf_dir):
-    _, none = graph.access_edges(graph.stop_nodes(_stations(spark, sf_dir), "SUBWAY"), _walks(spark, sf_dir))
+    nodes = built(spark, sf_dir)[0].nodes
+    _, none = graph.access_edges(nodes.where("kind = 'STOP'"), nodes.where("kind = 'WALK'"))
     return none.agg(F.count("*").alias("skipped"))
 
 
-# Platforms: the lines (line numbers) that serve a station (supplier); one in three has a branch too.
-_PLATFORMS = "SELECT DISTINCT 'S' || (l_suppkey % 60) AS station, CASE WHEN l_linenumber = 2 AND l_suppkey % 3 = 0 THEN '2성수지선' ELSE l_linenumber::VARCHAR END AS line FROM lineitem WHERE l_partkey % 4 = 0"
-_KNOWN = "SELECT 'S' || (l_suppkey % 60) AS station, l_linenumber::VARCHAR AS line_a, (l_partkey % 7 + 1)::VARCHAR AS line_b, (min(60 + l_quantity))::INTEGER AS sec FROM lineitem WHERE l_partkey % 31 = 0 GROUP BY ALL"
+@query(f"{_G} SELECT station, line_a, line_b, sec, fallback FROM ts")
+def transfer_edges(spark, sf_dir):
+    return built(spark, sf_dir)[1]
 
 
-def _platforms(spark, sf_dir):
-    x = table(spark, sf_dir, "lineitem").where("l_partkey % 4 = 0")
-    line = F.when((F.col("l_linenumber") == 2) & (F.col("l_suppkey") % 3 == 0), "2성수지선").otherwise(F.col("l_linenumber").cast("string"))
-    return x.select(F.concat(F.lit("S"), F.col("l_suppkey") % 60).alias("station"), line.alias("line")).distinct()
+@query(f"{_G}, f AS (SELECT count(*) FILTER (fallback) AS fallbacks FROM ts), t AS (SELECT count(*) AS transfers FROM e WHERE kind = 'TRANSFER') SELECT fallbacks, transfers, round_even(fallbacks / transfers, 4) AS ratio FROM f, t")
+def transfer_fallback(spark, sf_dir):
+    g, seconds, _ = built(spark, sf_dir)
+    return graph.fallback_ratio(seconds, g.edges)
 
 
-def _known(spark, sf_dir):
-    x = table(spark, sf_dir, "lineitem").where("l_partkey % 31 = 0")
-    return x.groupBy(F.concat(F.lit("S"), F.col("l_suppkey") % 60).alias("station"), F.col("l_linenumber").cast("string").alias("line_a"), (F.col("l_partkey") % 7 + 1).cast("string").alias("line_b")).agg(F.min(60 + F.col("l_quantity")).cast("int").alias("sec"))
+@query(f"{_G} SELECT source_id AS station, line, walk AS sec FROM pw")
+def platform_walks(spark, sf_dir):
+    return transfers.platform_walks(served(spark, sf_dir).withColumnRenamed("source_id", "station"), calibrated(spark, sf_dir))
 
 
-@query(f"""SELECT a.station, a.line AS line_a, b.line AS line_b, (CASE WHEN a.line LIKE '%지선' OR b.line LIKE '%지선' THEN 180 WHEN regexp_replace(a.line, '(급행|성수지선|신정지선)$', '') = regexp_replace(b.line, '(급행|성수지선|신정지선)$', '') THEN 30 ELSE coalesce(k.sec, 180) END)::INTEGER AS sec,
-  a.line LIKE '%지선' OR b.line LIKE '%지선' OR k.sec IS NULL AS fallback FROM ({_PLATFORMS}) a JOIN ({_PLATFORMS}) b ON a.station = b.station AND a.line <> b.line LEFT JOIN ({_KNOWN}) k ON k.station = a.station AND k.line_a = a.line AND k.line_b = b.line""")
-def transfer_edges(spark, sf_dir):
-    return graph.transfer_seconds(_platforms(spark, sf_dir), _known(spark, sf_dir))
-
-
-def _built(spark, sf_dir):
-    """Nodes and edges of all kinds; a platform's wait is made of its line."""
-    stations = _stations(spark, sf_dir)
-    served = _platforms(spark, sf_dir).select(F.col("station").alias("source_id"), "line").join(stations.select("source_id"), "source_id", "left_semi")
-    waits = served.withColumn("by_hour", F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.when(h < 5, -1).otherwise(120 + F.length("line") * 10 + h).cast("short")))
-    waits = waits.withColumn("by_hour", F.when(F.col("line") != "7", F.col("by_hour")))
-    stops, walks = graph.stop_nodes(stations, "SUBWAY"), _walks(spark, sf_dir)
-    nodes = walks.unionByName(stops).unionByName(graph.platform_nodes(served, stations, "SUBWAY"))
-    board, alight = graph.board_edges(waits, None, "SUBWAY")
-    access, _ = graph.access_edges(stops, walks)
-    legs = served.select("line", F.col("source_id").alias("a")).join(served.select("line", F.col("source_id").alias("b")), "line").where("a < b AND substr(b, 2) = cast(substr(a, 2) + 1 AS string)")
-    rides = graph.ride_edges(legs.withColumn("seconds", F.lit(100.0)), "SUBWAY")
-    known = graph.transfer_seconds(served.withColumnRenamed("source_id", "station"), _known(spark, sf_dir))
-    transfers = graph.transfer_edges(known, waits.where("by_hour IS NOT NULL"), "SUBWAY")
-    out = board
-    for e in (alight, access, rides, transfers):
-        out = out.unionByName(e)
-    return nodes, out
-
-
-@query(f"""WITH p AS (SELECT station, line FROM ({_PLATFORMS}) WHERE substr(station, 2)::BIGINT IN (SELECT s_suppkey FROM supplier)),
-a AS (SELECT count(DISTINCT s.id) AS n FROM {points_sql('supplier')} s JOIN {points_sql('customer')} c ON (c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y) <= 1000000)
-SELECT 'NODE' AS what, 'WALK' AS kind, 'WALK' AS mode, count(*) AS count FROM customer UNION ALL SELECT 'NODE', 'STOP', 'SUBWAY', count(*) FROM supplier UNION ALL SELECT 'NODE', 'PLATFORM', 'SUBWAY', count(*) FROM p
-UNION ALL SELECT 'EDGE', 'BOARD', 'SUBWAY', count(*) FROM p WHERE line <> '7' UNION ALL SELECT 'EDGE', 'ALIGHT', 'SUBWAY', count(*) FROM p UNION ALL SELECT 'EDGE', 'ACCESS', 'SUBWAY', 2 * n FROM a
-UNION ALL SELECT 'EDGE', 'RIDE', 'SUBWAY', count(*) FROM p a JOIN p b ON a.line = b.line AND a.station < b.station AND substr(b.station, 2)::BIGINT = substr(a.station, 2)::BIGINT + 1
-UNION ALL SELECT 'EDGE', 'TRANSFER', 'SUBWAY', count(*) FROM p a JOIN p b ON a.station = b.station AND a.line <> b.line WHERE b.line <> '7'""")
-def graph_counts(spark, sf_dir):
-    return graph.counts(*_built(spark, sf_dir))
+@query(f"WITH {BUS_SQL} SELECT route, a, b, by_hour, CASE WHEN len(list_filter(by_hour, lambda v: v <> -1)) = 0 THEN -1 ELSE round_even(list_median(list_filter(by_hour, lambda v: v <> -1)), 0) END::INTEGER AS weight FROM bs")
+def section_majority(spark, sf_dir):
+    out = bus_sections(spark, sf_dir)
+    return out.withColumn("weight", representative(F.col("by_hour")))
 
 
-def _recursive(hour: int | None, tag: str = "") -> str:
-    """Distances from all ORIGINS in an hour, as table r with a tag."""
-    open_ = EDGES_SQL if hour is None else _OPEN.format(h=hour)
-    seeds = " UNION ALL ".join(f"SELECT {o}::BIGINT, {o}::BIGINT, 0::BIGINT" for o in ORIGINS)
-    e, r = f"e{tag}", f"r{tag}"
-    return f"""{e} AS MATERIALIZED (SELECT src, dst, w FROM {open_} WHERE w >= 0),
-{r}(o, n, d) USING KEY (o, n) AS (SELECT * FROM ({seeds}) UNION (SELECT {r}.o, {e}.dst, min({r}.d + {e}.w) FROM {r} JOIN {e} ON {e}.src = {r}.n LEFT JOIN recurring.{r} k ON k.o = {r}.o AND k.n = {e}.dst WHERE k.d IS NULL OR {r}.d + {e}.w < k.d GROUP BY {r}.o, {e}.dst))"""
+@query(f"WITH {BUS_SQL} SELECT br.route, bh.seconds, {BUS_DAYS} AS days FROM br LEFT JOIN bh USING (route) WHERE coalesce(type, '') NOT IN ('경기', '인천', '광역')")
+def bus_headways(spark, sf_dir):
+    from waymill.plans.derived import bus_headways as known
 
+    return graph.city_routes(bus_routes(spark, sf_dir)).select("route").join(known(spark, sf_dir), "route", "left").withColumn("days", F.lit(BUS_DAYS))
 
-def _origins(spark, hours):
-    return spark.createDataFrame([(o, h) for o in ORIGINS for h in hours], "origin long, hour int")
 
+@query("""WITH s AS (SELECT 'K' || c_nationkey AS key, CASE WHEN c_custkey % 3 = 0 AND c_nationkey % 2 = 0 THEN 'K' || c_nationkey ELSE CASE WHEN c_nationkey % 2 = 0 THEN c_mktsegment ELSE 'one' END END AS name, c_custkey * 7919 % 60000 + 0.0 AS x FROM customer)
+SELECT key AS source_id, CASE WHEN count(DISTINCT name) > 1 THEN key || '(' || string_agg(DISTINCT name, ',' ORDER BY name) FILTER (name <> key) || ')' ELSE min(name) END AS name, round(avg(x), 6) AS x FROM s GROUP BY key""")
+def stop_names(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    key = F.concat(F.lit("K"), "c_nationkey")
+    name = F.when(F.col("c_nationkey") % 2 != 0, "one").when(F.col("c_custkey") % 3 == 0, key).otherwise(F.col("c_mktsegment"))
+    x = (F.col("c_custkey") * 7919 % 60000).cast("double")
+    stops = graph.stop_nodes(c.select(key.alias("source_id"), name.alias("name"), x.alias("x"), x.alias("y")), "SUBWAY")
+    return stops.select("source_id", "name", F.round("x", 6).alias("x"))
 
-@query(f"WITH RECURSIVE {_recursive(19)} SELECT o AS origin, n AS target, d::BIGINT AS seconds FROM r WHERE n IN ({', '.join(map(str, TARGETS))})")
-def shortest_path_one_to_many(spark, sf_dir):
-    out = search.one_to_many(_graph(spark, sf_dir), _origins(spark, [19]), TARGETS)
-    return out.select("origin", "target", "seconds")
 
+# --- searches -------------------------------------------------------------------------------------
 
-@query(f"WITH RECURSIVE {_recursive(8)} SELECT o AS origin, count(*) AS reached, sum(d)::BIGINT AS total, max(d)::BIGINT AS most FROM r GROUP BY o")
-def all_reachable(spark, sf_dir):
-    out = search.one_to_many(_graph(spark, sf_dir), _origins(spark, [8]))
-    return out.groupBy("origin").agg(F.count("*").alias("reached"), F.sum("seconds").alias("total"), F.max("seconds").alias("most"))
+_HOP = 1 << search.HOP_BITS
 
 
-@query(f"WITH RECURSIVE {_recursive(None)} SELECT o AS origin, count(*) AS reached, sum(d)::BIGINT AS total FROM r GROUP BY o")
-def relaxed_paths(spark, sf_dir):
-    """The same distances by rounds of joins, for graphs too large to broadcast."""
-    out = search.relaxed(graph.open_edges(_graph(spark, sf_dir), None), _origins(spark, [0]).select("origin"))
-    return out.groupBy("origin").agg(F.count("*").alias("reached"), F.sum("d").alias("total"))
+def _search_sql(seeds: str, hour: int | None, tag: str = "") -> str:
+    """Labels k of every node n reached from the seeds o in an hour, as table r with a tag, by edges w."""
+    w = "weight_sec" if hour is None else f"coalesce(by_hour[{hour + 1}], weight_sec)"
+    r = f"r{tag}"
+    return f"""w{tag} AS MATERIALIZED (SELECT src, dst, edge, {w}::BIGINT AS w FROM e WHERE {w} >= 0),
+{r}(o, n, k) USING KEY (o, n) AS (SELECT node, node, 0::BIGINT FROM (SELECT DISTINCT node FROM {seeds}) WHERE node IN (SELECT src FROM e UNION ALL SELECT dst FROM e) UNION (SELECT {r}.o, w{tag}.dst, min({r}.k + w{tag}.w * {_HOP} + 1) FROM {r} JOIN w{tag} ON w{tag}.src = {r}.n LEFT JOIN recurring.{r} z ON z.o = {r}.o AND z.n = w{tag}.dst WHERE z.k IS NULL OR {r}.k + w{tag}.w * {_HOP} + 1 < z.k GROUP BY {r}.o, w{tag}.dst))"""
+
 
+def _asked(spark, sf_dir, hours):
+    """(graph, loaded graph, members, places, requests of the rooms in each of the hours)."""
+    g, _, ready = built(spark, sf_dir)
+    members, places = rooms(spark, sf_dir, g.nodes)
+    out = None
+    for h in hours:
+        one = search.requests(members, places, F.lit(h))
+        out = one if out is None else out.unionByName(one)
+    return g, ready, members, places, out
 
-_MEMBERS = "(SELECT unnest([0, 5, 17, 42])::BIGINT AS member_id UNION ALL SELECT -1)"
 
+_PAIRS = "tp AS (SELECT DISTINCT mb.node AS o, pl.node AS t FROM mb JOIN pl USING (room_id) WHERE pl.node IS NOT NULL)"
 
-def _cells(spark, sf_dir, hour):
-    reached = search.one_to_many(_graph(spark, sf_dir), _origins(spark, [hour]), [*TARGETS, 5])
-    members = spark.createDataFrame([(o, o) for o in ORIGINS] + [(-1, None)], "member_id long, origin long")
-    places = spark.createDataFrame([(t, t) for t in [*TARGETS, 5]] + [(-2, None)], "place_id long, node long")
-    return search.matrix(reached, members, places)
+
+@query(f"{_G}, {ROOMS_SQL}, {_PAIRS}, {_search_sql('mb', 19)} SELECT tp.o AS origin, t AS target, (k >> {search.HOP_BITS})::BIGINT AS seconds FROM tp JOIN r ON r.o = tp.o AND r.n = tp.t")
+def shortest_path_one_to_many(spark, sf_dir):
+    _, ready, _, _, asked = _asked(spark, sf_dir, [19])
+    return search.one_to_many(ready, asked).select("origin", "target", "seconds")
 
 
-_CELLS = f"""c AS (SELECT p.place_id, m.member_id, CASE WHEN p.place_id = m.member_id THEN 0 ELSE r.d END::BIGINT AS seconds FROM (SELECT unnest([{', '.join(map(str, TARGETS))}, 5, -2])::BIGINT AS place_id) p CROSS JOIN {_MEMBERS} m LEFT JOIN r ON r.o = m.member_id AND r.n = p.place_id),
-k AS (SELECT *, CASE WHEN place_id = -2 OR member_id = -1 THEN 'NO_WALK_NETWORK' WHEN seconds IS NULL THEN 'UNREACHABLE' END AS reason FROM c)"""
+@query(f"{_G}, {ROOMS_SQL}, {_search_sql('mb', 8)} SELECT o AS origin, count(*) AS reached, sum(k >> {search.HOP_BITS})::BIGINT AS total, max(k >> {search.HOP_BITS})::BIGINT AS most FROM r GROUP BY o")
+def all_reachable(spark, sf_dir):
+    g, _, ready = built(spark, sf_dir)
+    members, _ = rooms(spark, sf_dir, g.nodes)
+    out = search.one_to_many(ready, members.select(F.col("node").alias("origin"), F.lit(8).alias("hour")))
+    return out.groupBy("origin").agg(F.count("*").alias("reached"), F.sum("seconds").alias("total"), F.max("seconds").alias("most"))
 
 
-@query(f"WITH RECURSIVE {_recursive(19)}, {_CELLS} SELECT * FROM k")
+@query(f"{_G}, s AS (SELECT id AS node FROM n WHERE kind = 'STOP' AND mode = 'SUBWAY'), {_search_sql('s', None)} SELECT o AS origin, count(*) AS reached, sum(k >> {search.HOP_BITS})::BIGINT AS total FROM r GROUP BY o")
+def relaxed_paths(spark, sf_dir):
+    """Distances from every station by rounds of joins, as for graphs too large to broadcast."""
+    g, _, ready = built(spark, sf_dir)
+    asked = g.nodes.where("kind = 'STOP' AND mode = 'SUBWAY'").select(F.col("id").alias("origin"), F.lit(None).cast("int").alias("hour"), F.lit(None).cast("array<long>").alias("targets"))
+    out = search.relaxed_many(ready.edges, asked)
+    return out.groupBy("origin").agg(F.count("*").alias("reached"), F.sum("seconds").alias("total"))
+
+
+def _found(spark, sf_dir, hours):
+    """(graph, members, places, found paths, their legs, their summaries)."""
+    g, ready, members, places, asked = _asked(spark, sf_dir, hours)
+    found = search.written(search.one_to_many(ready, asked, paths_too=True), "found")
+    legs = routes.legs(routes.steps(found, g.edges, g.nodes), routes.ROUTE)
+    return g, members, places, found, legs, routes.summaries(found, legs)
+
+
+# Paths from the labels, then legs as the rules of routes say: steps q, legs lg, and what each way adds up to (sm).
+_LEGS = f"""pv AS MATERIALIZED (SELECT o, n, src, edge, before FROM (SELECT b.o, b.n, w.src, w.edge, a.k AS before, row_number() OVER (PARTITION BY b.o, b.n ORDER BY w.src, w.edge) AS i FROM r b JOIN w ON w.dst = b.n JOIN r a ON a.o = b.o AND a.n = w.src AND a.k + w.w * {_HOP} + 1 = b.k) WHERE i = 1),
+bk(o, t, n, src, edge, k, before) AS (SELECT tp.o, tp.t, pv.n, pv.src, pv.edge, r.k, pv.before FROM tp JOIN pv ON pv.o = tp.o AND pv.n = tp.t JOIN r ON r.o = tp.o AND r.n = tp.t WHERE tp.o <> tp.t
+  UNION ALL SELECT bk.o, bk.t, pv.n, pv.src, pv.edge, bk.before, pv.before FROM bk JOIN pv ON pv.o = bk.o AND pv.n = bk.src WHERE bk.src <> bk.o),
+q0 AS MATERIALIZED (SELECT bk.o, bk.t, bk.k AS seq, e.kind, CASE WHEN e.kind IN ('WALK', 'ACCESS') THEN NULL ELSE e.line END AS line, n.mode, n.name, (bk.k >> {search.HOP_BITS}) - (bk.before >> {search.HOP_BITS}) AS s, e.distance_m AS m FROM bk JOIN e USING (edge) JOIN n ON n.id = bk.n),
+q1 AS (SELECT *, CASE WHEN kind IN ('WALK', 'ACCESS') THEN 'WALK' WHEN kind = 'RIDE' THEN mode WHEN kind = 'TRANSFER' OR kind = 'BOARD' AND count(*) FILTER (kind = 'RIDE') OVER (PARTITION BY o, t ORDER BY seq) > 0 THEN 'TRANSFER' ELSE kind END AS k FROM q0),
+q2 AS (SELECT *, sum(CASE WHEN k = 'ALIGHT' THEN s ELSE 0 END) OVER (PARTITION BY o, t ORDER BY seq) AS al FROM q1),
+q3 AS (SELECT *, k IN ('WALK', 'BOARD', 'TRANSFER') AS takes FROM q2),
+q4 AS (SELECT *, al - coalesce(max(CASE WHEN takes THEN al END) OVER (PARTITION BY o, t ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS carried, max(al) OVER (PARTITION BY o, t) - coalesce(max(CASE WHEN takes THEN al END) OVER (PARTITION BY o, t), 0) AS tail FROM q3),
+q5 AS (SELECT *, s + CASE WHEN takes THEN carried ELSE 0 END + CASE WHEN lead(seq) OVER (PARTITION BY o, t ORDER BY seq) IS NULL THEN tail ELSE 0 END AS sec, CASE WHEN k = lag(k) OVER (PARTITION BY o, t ORDER BY seq) AND line IS NOT DISTINCT FROM lag(line) OVER (PARTITION BY o, t ORDER BY seq) THEN 0 ELSE 1 END AS new FROM q4 WHERE k <> 'ALIGHT'),
+q6 AS (SELECT *, sum(new) OVER (PARTITION BY o, t ORDER BY seq) AS leg FROM q5),
+lg AS MATERIALIZED (SELECT o, t, leg::BIGINT AS leg, min(k) AS kind, max(line) AS line, sum(sec)::BIGINT AS seconds, count(*) FILTER (kind = 'RIDE') AS stops, sum(CASE WHEN k = 'WALK' THEN coalesce(m, 0) ELSE 0 END) AS metres, CASE WHEN min(k) IN ('SUBWAY', 'BUS') THEN arg_max(name, seq) ELSE arg_max(name, seq) FILTER (name IS NOT NULL) END AS to_name FROM q6 GROUP BY o, t, leg),
+sm AS (SELECT o, t, greatest(0, count(*) FILTER (kind IN ('SUBWAY', 'BUS')) - 1) AS transfers, floor(sum(CASE WHEN kind = 'WALK' THEN metres ELSE 0 END) * 10 + 0.5) / 10 AS walk_m, string_agg(line, ' → ' ORDER BY leg) FILTER (kind IN ('SUBWAY', 'BUS')) AS names FROM lg GROUP BY o, t),
+fd AS MATERIALIZED (SELECT tp.o, tp.t, (r.k >> {search.HOP_BITS})::BIGINT AS seconds, coalesce(transfers, 0)::BIGINT AS transfers, coalesce(walk_m, 0)::DOUBLE AS walk_m, printf('%d분 %d초 · 환승 %d · 도보 %.0fm · %s', (r.k >> {search.HOP_BITS}) // 60, (r.k >> {search.HOP_BITS}) % 60, coalesce(transfers, 0), coalesce(walk_m, 0)::DOUBLE, coalesce(names, '도보')) AS summary FROM tp JOIN r ON r.o = tp.o AND r.n = tp.t LEFT JOIN sm ON sm.o = tp.o AND sm.t = tp.t)"""
+_CELLS = """cells AS MATERIALIZED (SELECT room_id, place_id, member_id, row, col, seconds IS NOT NULL AS reachable, seconds, transfers, walk_m, summary, CASE WHEN pl.node IS NULL OR mb.node IS NULL THEN 'NO_WALK_NETWORK' WHEN seconds IS NULL THEN 'UNREACHABLE' END AS reason FROM mb JOIN pl USING (room_id) LEFT JOIN fd ON fd.o = mb.node AND fd.t = pl.node)"""
+_WHOLE = f"{_G}, {ROOMS_SQL}, {_PAIRS}, {{search}}, {_LEGS}, {_CELLS}"
+
+
+def _matrix(spark, sf_dir, hour):
+    _, members, places, found, _, sums = _found(spark, sf_dir, [hour])
+    return search.matrix(sums, members, places), found
+
+
+@query(f"{_WHOLE.format(search=_search_sql('mb', 19))} SELECT * REPLACE (row::INTEGER AS row, col::INTEGER AS col) FROM cells")
 def travel_matrix(spark, sf_dir):
-    return _cells(spark, sf_dir, 19)
+    """Every room's cells: seconds, transfers, walk and summary, or why there is none."""
+    return _matrix(spark, sf_dir, 19)[0]
 
 
-@query(f"WITH RECURSIVE {_recursive(8)}, {_CELLS} SELECT place_id, arg_min(member_id, (seconds, member_id)) AS fastest, min(seconds) AS seconds, (SELECT max(seconds) FROM k) AS most FROM k WHERE seconds IS NOT NULL GROUP BY place_id")
+@query(f"{_WHOLE.format(search=_search_sql('mb', 8))} SELECT room_id, place_id, arg_min(member_id, (seconds, col)) AS fastest, min(seconds) AS seconds, (SELECT max(seconds) FROM cells) AS most FROM cells WHERE reachable GROUP BY ALL")
 def matrix_fastest_cell(spark, sf_dir):
-    cells = _cells(spark, sf_dir, 8).where("seconds IS NOT NULL")
+    cells = _matrix(spark, sf_dir, 8)[0].where("reachable")
     most = cells.agg(F.max("seconds").alias("most"))
-    best = cells.groupBy("place_id").agg(F.min_by("member_id", F.struct("seconds", "member_id")).alias("fastest"), F.min("seconds").alias("seconds"))
+    best = cells.groupBy("room_id", "place_id").agg(F.min_by("member_id", F.struct("seconds", "col")).alias("fastest"), F.min("seconds").alias("seconds"))
     return best.crossJoin(F.broadcast(most))
 
 
-@query(f"WITH RECURSIVE {_recursive(2)}, {_CELLS} SELECT reason, count(*) AS n FROM k WHERE reason IS NOT NULL GROUP BY 1")
+@query(f"""{_WHOLE.format(search=_search_sql('mb', 2))}, lim AS (SELECT tp.o, CASE WHEN count(*) = count(r.k) THEN max(r.k >> {search.HOP_BITS}) END AS far FROM tp LEFT JOIN r ON r.o = tp.o AND r.n = tp.t GROUP BY 1),
+hit AS (SELECT DISTINCT tp.o FROM tp JOIN r ON r.o = tp.o AND r.n = tp.t),
+st2 AS (SELECT count(DISTINCT r.o) AS origins, coalesce(count(*) FILTER (far IS NULL OR r.k >> {search.HOP_BITS} <= far), 0) AS settled FROM r JOIN lim USING (o) JOIN hit USING (o))
+SELECT origins, settled, (SELECT count(*) FROM cells WHERE NOT reachable) AS unreachable FROM st2""")
 def unreachable_cells(spark, sf_dir):
-    return _cells(spark, sf_dir, 2).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
+    """How much was searched for the rooms in the night, and how many cells have no way."""
+    cells, found = _matrix(spark, sf_dir, 2)
+    return search.matrix_stats(cells, found)
 
 
-@query(f"""WITH RECURSIVE {', '.join(_recursive(h, f'_{h}') for h in HOURS)}, u AS ({' UNION ALL '.join(f'SELECT * FROM r_{h}' for h in HOURS)})
-SELECT o AS origin, n AS target, count(*) AS hours, min(d)::BIGINT AS least, max(d)::BIGINT AS most FROM u WHERE n IN ({', '.join(map(str, TARGETS))}) GROUP BY o, n""")
+@query(f"{_G}, {ROOMS_SQL}, {_PAIRS}, {', '.join(_search_sql('mb', h, f'_{h}') for h in HOURS)}, u AS ({' UNION ALL '.join(f'SELECT * FROM r_{h}' for h in HOURS)}) SELECT tp.o AS origin, t AS target, count(*) AS hours, min(k >> {search.HOP_BITS})::BIGINT AS least, max(k >> {search.HOP_BITS})::BIGINT AS most FROM tp JOIN u ON u.o = tp.o AND u.n = tp.t GROUP BY tp.o, t")
 def hour_sensitivity(spark, sf_dir):
     """How travel times differ between hours: each pair's least and most seconds."""
-    out = search.one_to_many(_graph(spark, sf_dir), _origins(spark, HOURS), TARGETS)
-    return out.groupBy("origin", "target").agg(F.count("*").alias("hours"), F.min("seconds").alias("least"), F.max("seconds").alias("most"))
-
-
-# Steps of routes: lines of an order as edges of a path, kinds by part and supplier.
-_STEPS = "SELECT l_orderkey AS route, l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey AS seq, CASE l_partkey % 5 WHEN 0 THEN 'WALK' WHEN 1 THEN 'ACCESS' ELSE 'RIDE' END AS kind, CASE WHEN l_partkey % 5 > 1 THEN cast(l_suppkey % 2 as {s}) END AS line, cast(l_quantity as bigint) AS seconds, CASE WHEN l_partkey % 5 < 2 THEN l_quantity * 1.5 END AS distance_m"
+    _, ready, _, _, asked = _asked(spark, sf_dir, HOURS)
+    return search.one_to_many(ready, asked).groupBy("origin", "target").agg(F.count("*").alias("hours"), F.min("seconds").alias("least"), F.max("seconds").alias("most"))
+
+
+@query(f"{_WHOLE.format(search=_search_sql('mb', 19))} SELECT o AS origin, t AS target, leg, kind, line, seconds, stops, round(metres, 6) AS distance_m, to_name FROM lg")
+def route_detail(spark, sf_dir):
+    """The legs of every cell's way."""
+    legs = _found(spark, sf_dir, [19])[4]
+    return legs.select("origin", "target", F.col("leg").cast("long").alias("leg"), "kind", "line", "seconds", "stops", F.round("distance_m", 6).alias("distance_m"), "to_name")
+
+
+@query(f"""{_G}, ds AS (SELECT id, x, y, source_id, name, mode FROM n WHERE kind = 'STOP' AND mode = 'SUBWAY'), tr AS (SELECT name AS trip, id AS a, lead(id, 3) OVER (ORDER BY source_id) AS b FROM ds),
+rn AS (SELECT DISTINCT a AS node FROM tr), tp AS (SELECT a AS o, b AS t FROM tr WHERE b IS NOT NULL), {_search_sql('rn', 8)}, {_LEGS}
+SELECT trip, seconds, transfers, walk_m, summary, seconds IS NOT NULL AS found FROM tr LEFT JOIN fd ON fd.o = a AND fd.t = b""")
+def point_routes(spark, sf_dir):
+    """Ways between stops by name, from each station to the third behind it; the last three have no end that is known."""
+    from pyspark.sql import Window as W
+
+    g, _, ready = built(spark, sf_dir)
+    stops = g.nodes.where("kind = 'STOP' AND mode = 'SUBWAY'").select("source_id", "name", "mode")
+    to = F.lead("name", 3).over(W.partitionBy("mode").orderBy("source_id"))
+    trips = stops.select(F.col("name").alias("trip"), F.col("name").alias("from"), F.coalesce(to, F.lit("nowhere")).alias("to"), "mode")
+    ends = routes.endpoints(trips.select(F.explode(F.array("from", "to")).alias("text"), "mode"), g.nodes)
+    asked = search.written(routes.asked(trips, ends, F.lit(8)), "trips")
+    found = search.written(search.one_to_many(ready, asked.where("target IS NOT NULL").select("origin", "hour", F.array("target").alias("targets")), paths_too=True), "found")
+    sums = routes.summaries(found, routes.legs(routes.steps(found, g.edges, g.nodes), routes.ROUTE)).drop("settled")
+    out = asked.join(sums, routes.ROUTE, "left")
+    return out.select("trip", "seconds", "transfers", "walk_m", "summary", F.col("seconds").isNotNull().alias("found"))
+
+
+# Steps of routes: lines of an order as edges of a path, kinds by line number and part.
+_KIND = "CASE WHEN l_partkey % 7 = 0 THEN 'WALK' WHEN l_partkey % 7 = 1 THEN 'ACCESS' WHEN l_partkey % 7 = 2 THEN 'BOARD' WHEN l_partkey % 7 = 3 THEN 'ALIGHT' WHEN l_partkey % 7 = 4 THEN 'TRANSFER' ELSE 'RIDE' END"
+_STEPS = f"SELECT l_orderkey AS route, l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey AS seq, {_KIND} AS kind, CASE WHEN l_partkey % 7 > 1 THEN cast(l_suppkey % 2 as {{s}}) END AS line, cast(l_quantity as bigint) AS seconds, CASE WHEN l_partkey % 7 < 2 THEN l_quantity * 1.5 END AS distance_m"
+_MADE = f"""s AS (SELECT *, CASE WHEN kind = 'ACCESS' THEN 'WALK' WHEN kind = 'BOARD' AND coalesce(bool_or(kind = 'RIDE') OVER (PARTITION BY route ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) THEN 'TRANSFER' ELSE kind END AS k FROM ({_STEPS.format(s='varchar')} FROM lineitem)),
+z AS (SELECT *, count(*) FILTER (k IN ('WALK', 'BOARD', 'TRANSFER')) OVER (PARTITION BY route ORDER BY seq DESC) AS taker FROM s),
+y AS (SELECT route, taker, sum(seconds) FILTER (k = 'ALIGHT') AS al FROM z GROUP BY ALL),
+x AS (SELECT z.*, CASE WHEN k IN ('WALK', 'BOARD', 'TRANSFER') THEN coalesce(y.al, 0) ELSE 0 END + CASE WHEN seq = max(seq) FILTER (k <> 'ALIGHT') OVER (PARTITION BY z.route) THEN coalesce(l.al, 0) ELSE 0 END AS extra FROM z LEFT JOIN y ON y.route = z.route AND y.taker = z.taker LEFT JOIN y l ON l.route = z.route AND l.taker = 0),
+b AS (SELECT *, CASE WHEN k = lag(k) OVER w AND line IS NOT DISTINCT FROM lag(line) OVER w THEN 0 ELSE 1 END AS new FROM x WHERE k <> 'ALIGHT' WINDOW w AS (PARTITION BY route ORDER BY seq)),
+lgs AS (SELECT route, leg, min(k) AS kind, max(line) AS line, sum(seconds + extra)::BIGINT AS seconds, count(*) FILTER (k = 'RIDE') AS stops, coalesce(sum(distance_m), 0)::DOUBLE AS distance_m FROM (SELECT *, sum(new) OVER (PARTITION BY route ORDER BY seq)::BIGINT AS leg FROM b) GROUP BY route, leg)"""
+
+
+def _made(spark, sf_dir):
+    steps = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS route", "l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey AS seq", f"{_KIND} AS kind", "CASE WHEN l_partkey % 7 > 1 THEN cast(l_suppkey % 2 AS string) END AS line", "cast(l_quantity AS bigint) AS seconds", "CASE WHEN l_partkey % 7 < 2 THEN l_quantity * 1.5 END AS distance_m")
+    return routes.legs(steps)
 
 
-@query(f"""WITH s AS (SELECT route, seq, CASE WHEN kind = 'ACCESS' THEN 'WALK' ELSE kind END AS kind, line, seconds, distance_m FROM ({_STEPS.format(s='varchar')} FROM lineitem)),
-b AS (SELECT *, CASE WHEN lag(kind) OVER w IS NULL OR kind <> lag(kind) OVER w OR line IS DISTINCT FROM lag(line) OVER w THEN 1 ELSE 0 END AS new FROM s WINDOW w AS (PARTITION BY route ORDER BY seq)),
-l AS (SELECT *, sum(new) OVER (PARTITION BY route ORDER BY seq) AS leg FROM b)
-SELECT route, leg::BIGINT AS leg, min(kind) AS kind, max(line) AS line, sum(seconds)::BIGINT AS seconds, count(*) FILTER (kind = 'RIDE') AS stops, coalesce(sum(distance_m), 0)::DOUBLE AS distance_m FROM l GROUP BY route, leg""")
+@query(f"WITH {_MADE} SELECT * FROM lgs")
 def route_legs(spark, sf_dir):
-    steps = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS route", "l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey AS seq", "CASE l_partkey % 5 WHEN 0 THEN 'WALK' WHEN 1 THEN 'ACCESS' ELSE 'RIDE' END AS kind", "CASE WHEN l_partkey % 5 > 1 THEN cast(l_suppkey % 2 AS string) END AS line", "cast(l_quantity AS bigint) AS seconds", "CASE WHEN l_partkey % 5 < 2 THEN l_quantity * 1.5 END AS distance_m")
-    return routes.legs(steps)
+    return _made(spark, sf_dir).drop("to_name", "path")
 
 
-@query(f"""WITH s AS (SELECT route, seq, CASE WHEN kind = 'ACCESS' THEN 'WALK' ELSE kind END AS kind, line, seconds, distance_m FROM ({_STEPS.format(s='varchar')} FROM lineitem)),
-b AS (SELECT *, CASE WHEN lag(kind) OVER w IS NULL OR kind <> lag(kind) OVER w OR line IS DISTINCT FROM lag(line) OVER w THEN 1 ELSE 0 END AS new FROM s WINDOW w AS (PARTITION BY route ORDER BY seq))
-SELECT route, sum(seconds)::BIGINT AS seconds, greatest(0, count(*) FILTER (new = 1 AND kind = 'RIDE') - 1)::BIGINT AS transfers, coalesce(sum(distance_m), 0)::DOUBLE AS walk_m FROM b GROUP BY route""")
+@query(f"WITH {_MADE} SELECT route, sum(seconds)::BIGINT AS seconds, greatest(0, count(*) FILTER (kind = 'RIDE') - 1)::BIGINT AS transfers, floor(sum(CASE WHEN kind = 'WALK' THEN distance_m ELSE 0 END) * 10 + 0.5) / 10 AS walk_m FROM lgs GROUP BY route")
 def route_totals(spark, sf_dir):
-    t = routes.totals(route_legs(spark, sf_dir))
+    t = routes.totals(_made(spark, sf_dir))
     return t.select("route", "seconds", F.col("transfers").cast("long").alias("transfers"), "walk_m")

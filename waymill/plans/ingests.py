@@ -13,7 +13,7 @@ _RULES_SQL = {
     "COORD_MISSING": "SELECT source_id, to_json({'name': name})::VARCHAR AS detail FROM cur WHERE x_5186 IS NULL",
     "STATUS_DATE_CONFLICT": "SELECT source_id, coalesce(biz_status_name, '-') || '/' || coalesce(closed_date::VARCHAR, '-') AS detail FROM cur WHERE (biz_status_name NOT IN ('영업/정상', '영업') AND closed_date IS NULL) OR (biz_status_name IN ('영업/정상', '영업') AND closed_date IS NOT NULL)",
     "DATE_LOGIC_ERROR": "SELECT source_id, to_json({'licensed_date': licensed_date::VARCHAR, 'closed_date': closed_date::VARCHAR})::VARCHAR AS detail FROM cur WHERE licensed_date > closed_date",
-    "DUPLICATE_NAME_ADDR": "SELECT source_id, to_json({'name': name, 'address': jibun_address, 'group_size': n})::VARCHAR AS detail FROM (SELECT *, count(*) OVER (PARTITION BY name, jibun_address) AS n FROM cur WHERE name IS NOT NULL) WHERE n > 1",
+    "DUPLICATE_NAME_ADDR": "SELECT source_id, to_json({'name': name, 'jibun': jibun_address, 'group_size': n})::VARCHAR AS detail FROM (SELECT *, count(*) OVER (PARTITION BY name, jibun_address) AS n FROM cur WHERE name IS NOT NULL) WHERE n > 1",
 }
 
 

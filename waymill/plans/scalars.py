@@ -7,12 +7,14 @@ from waymill.plans.derived import points, points_sql
 from waymill.plans.registry import query, table
 
 # Text in the shapes that registers have, made of keys with the same arithmetic in both engines.
-_DATES = "CASE o_orderkey % 6 WHEN 0 THEN d WHEN 1 THEN replace(d, '-', '') WHEN 2 THEN d || ' 09:31:22' WHEN 3 THEN '  ' || d || '  ' WHEN 4 THEN '없음' ELSE '2012-13-45' END"
+_DATES = "CASE o_orderkey % 11 WHEN 0 THEN d WHEN 1 THEN replace(d, '-', '') WHEN 2 THEN d || ' 09:31:22' WHEN 3 THEN '  ' || d || '  ' WHEN 4 THEN '없음' WHEN 5 THEN '2012-13-45' WHEN 6 THEN y || '-' || m || '-' || x WHEN 7 THEN y || '-' || m || '-' || x || ' 7:05:09' WHEN 8 THEN replace(d, '-', '') || '093122' WHEN 9 THEN y || '-' || m || '-' || x || ' 07:05' ELSE '2013-2-30' END"
 
 
-@query(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 4 THEN d::DATE END AS parsed FROM (SELECT o_orderkey, {_DATES} AS t, d FROM (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders))""")
+@query(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 11 IN (0, 1, 2, 3, 6, 7, 8) OR o_orderkey % 11 = 9 AND length(m || x) > 2 THEN d::DATE END AS parsed
+  FROM (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d, month(o_orderdate)::VARCHAR AS m, day(o_orderdate)::VARCHAR AS x FROM orders)""")
 def parse_dates(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"))
+    """Dates padded or not, with a time or not. With one digit each for month and day and no seconds the text is no date."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"), F.year("o_orderdate").cast("string").alias("y"), F.month("o_orderdate").cast("string").alias("m"), F.dayofmonth("o_orderdate").cast("string").alias("x"))
     return o.select("o_orderkey", scalars.parse_date(F.expr(_DATES)).alias("parsed"))
 
 
@@ -38,17 +40,19 @@ def normalize_text(spark, sf_dir):
     return p.select("p_partkey", scalars.normalize_category(F.col("t")).alias("category"), scalars.normalize_line(F.col("t")).alias("line"), scalars.station_key(F.col("t")).alias("station"))
 
 
-_LINES = "cast(l_linenumber as {s}) AS line, CASE WHEN l_partkey % 5 = 0 THEN '1' ELSE '0' END AS express, CASE WHEN l_suppkey % 3 = 0 THEN '성수' WHEN l_suppkey % 3 = 1 THEN '신도림' ELSE '까치산' END AS a, CASE WHEN l_partkey % 3 = 0 THEN '신설동' WHEN l_partkey % 3 = 1 THEN '까치산' ELSE '성수' END AS b"
+_START, _STOP = ("CASE {k} % 5 WHEN 0 THEN '신설동' WHEN 1 THEN '까치산' WHEN 2 THEN '도림천' WHEN 3 THEN '시청' ELSE '성수' END".format(k=k) for k in ("l_suppkey", "l_partkey"))
+_FLAG = "CASE WHEN l_quantity % 7 = 0 THEN NULL WHEN l_quantity % 5 = 0 THEN '1' ELSE '0' END"
 
 
-@query(f"""WITH k AS (SELECT CASE WHEN express <> '0' THEN line || '급행' WHEN line = '2' AND (a || b IN ('성수신설동', '신설동성수')) THEN '2성수지선'
-  WHEN line = '2' AND (a || b IN ('신도림까치산', '까치산신도림')) THEN '2신정지선' ELSE line END AS key FROM (SELECT {_LINES.format(s="varchar")} FROM lineitem))
-  SELECT key, regexp_replace(key, '(급행|성수지선|신정지선)$', '') AS base, key LIKE '%급행' AS express, key LIKE '%지선' AS branch, count(*) AS n FROM k GROUP BY ALL""")
+@query(f"""WITH branch AS (SELECT * FROM (VALUES ('2', '신설동', '성수지선'), ('2', '까치산', '신정지선'), ('2', '도림천', '신정지선')) v(line, stop, name)),
+x AS (SELECT l_linenumber::VARCHAR AS line, {_FLAG} AS express, {_START} AS a, {_STOP} AS b FROM lineitem),
+k AS (SELECT CASE WHEN express IS DISTINCT FROM '0' THEN x.line || '급행' ELSE x.line || coalesce(s.name, t.name, '') END AS key FROM x LEFT JOIN branch s ON s.line = x.line AND s.stop = a LEFT JOIN branch t ON t.line = x.line AND t.stop = b)
+SELECT key, regexp_replace(key, '(급행|성수지선|신정지선)$', '') AS base, regexp_replace(key, '(급행|성수지선|신정지선)$', '') || '호선' || CASE WHEN key LIKE '%급행' THEN ' 급행' WHEN key LIKE '%지선' THEN ' ' || substr(key, 2) ELSE '' END AS name, key LIKE '%급행' AS express, key LIKE '%지선' AS branch, count(*) AS n FROM k GROUP BY ALL""")
 def line_key(spark, sf_dir):
-    x = table(spark, sf_dir, "lineitem").selectExpr(*_LINES.format(s="string").split(", CASE")[:1], *["CASE" + c for c in _LINES.format(s="string").split(", CASE")[1:]])
-    key = scalars.line_key(F.col("line"), F.col("express"), F.col("a"), F.col("b"))
-    x = x.select(key.alias("key"))
-    return x.groupBy("key", scalars.base_line(F.col("key")).alias("base"), scalars.is_express(F.col("key")).alias("express"), scalars.is_branch(F.col("key")).alias("branch")).agg(F.count("*").alias("n"))
+    x = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("string").alias("line"), F.expr(_FLAG).alias("express"), F.expr(_START).alias("a"), F.expr(_STOP).alias("b"))
+    key = F.col("key")
+    x = x.select(scalars.line_key(F.col("line"), F.col("express"), F.col("a"), F.col("b")).alias("key"))
+    return x.groupBy("key", scalars.base_line(key).alias("base"), scalars.line_name(key).alias("name"), scalars.is_express(key).alias("express"), scalars.is_branch(key).alias("branch")).agg(F.count("*").alias("n"))
 
 
 _CODES = "CASE WHEN c_custkey % 5 = 0 THEN 'oil-u23k' WHEN c_custkey % 7 = 0 THEN 'too short' ELSE lower(substr(md5(cast(c_custkey as {s})), 1, 4)) || ' - ' || upper(substr(md5(cast(c_custkey as {s})), 5, 4)) END"
@@ -106,10 +110,24 @@ def typed_coordinate(spark, sf_dir):
     return s.select("s_suppkey", "c.lng", "c.lat")
 
 
-@query("""SELECT c_custkey, CASE WHEN regexp_matches(lower(trim(c_name)), '^[a-z0-9_]{4,20}$') THEN lower(trim(c_name)) END AS plain,
-  CASE WHEN regexp_matches(lower(replace(c_name, '#', '_')), '^[a-z0-9_]{4,20}$') THEN lower(replace(c_name, '#', '_')) END AS fixed FROM customer""")
+_IDS = "CASE c_custkey % 6 WHEN 0 THEN c_name WHEN 1 THEN replace(c_name, '#', '_') WHEN 2 THEN ' ' || replace(c_name, '#', '_') WHEN 3 THEN 'Ab' || c_custkey % 50 WHEN 4 THEN replace(c_name, '#', '_') || '_and_more' ELSE '   ' END"
+
+
+@query(f"""WITH x AS (SELECT c_custkey, {_IDS} AS t FROM customer) SELECT c_custkey, CASE WHEN regexp_full_match(t, '[A-Za-z0-9_]{{4,20}}') THEN lower(t) END AS login_id,
+  CASE WHEN trim(t) <> '' AND length(t) BETWEEN 2 AND 20 THEN trim(t) END AS nickname, trim(t) <> '' AND length(t) BETWEEN 8 AND 64 AND c_custkey % 4 > 0 AS password FROM x""")
 def login_id(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", scalars.login_id(F.col("c_name")).alias("plain"), scalars.login_id(F.replace("c_name", F.lit("#"), F.lit("_"))).alias("fixed"))
+    """What a sign-up form takes: blanks around an id aren't forgiven, around a nickname they are removed."""
+    x = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_IDS).alias("t"))
+    t = F.col("t")
+    return x.select("c_custkey", scalars.login_id(t).alias("login_id"), scalars.nickname(t).alias("nickname"), scalars.password_fits(t, F.when(F.col("c_custkey") % 4 > 0, t).otherwise("x")).alias("password"))
+
+
+_HEADERS = "CASE s_suppkey % 5 WHEN 0 THEN 'attachment; filename=' || char(34) || s_name || '.csv' || char(34) WHEN 1 THEN 'attachment; filename=x.csv; FileName*=UTF-8' || char(39) || char(39) || '%EC%9D%8C%EC%8B%9D+' || s_suppkey || '%20a.csv' WHEN 2 THEN 'inline' WHEN 3 THEN 'attachment; filename=a=b; x=y' END"
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN s_name || '.csv' WHEN 1 THEN '음식+' || s_suppkey || ' a.csv' WHEN 3 THEN 'a=b' END AS name FROM supplier")
+def attachment_names(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select("s_suppkey", scalars.attachment_name(F.expr(_HEADERS)).alias("name"))
 
 
 # Degrees around a city made of the points' metres.

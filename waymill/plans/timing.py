@@ -2,9 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from waymill.functions.scalars import representative
 from waymill.operators import stations, timing, transfers
-from waymill.plans.derived import STOPS_SQL, stops
+from waymill.plans.derived import RAISED_SQL, STOPS_SQL, TRANSFERS_SQL, calibrated, stops, transfer_files
 from waymill.plans.registry import query, table
 
 _GAPS = f"""g AS (SELECT line, station, direction, (arrive // 3600) % 24 AS hour, arrive - lag(arrive) OVER (PARTITION BY line, station, direction, day ORDER BY arrive, id) AS gap FROM {STOPS_SQL}),
@@ -38,27 +37,19 @@ def board_weights(spark, sf_dir):
     return w.select("line", "station", F.posexplode("by_hour").alias("hour", "weight")).select("line", "station", F.col("hour").cast("long").alias("hour"), F.col("weight").cast("int").alias("weight"))
 
 
-_DAYS = "SELECT user_id AS route, event_type AS a, day(ts) AS day, {h} FROM events WHERE user_id % 3 = 0 GROUP BY 1, 2, 3"
-_HOURS = [f"h{i:02d}" for i in range(24)]
-_HOURS_SQL = ", ".join(f"coalesce(max(CASE WHEN hour(ts) % 6 = {i % 6} AND event_id % 24 <> {i} THEN floor(value)::INTEGER END), 0) AS h{i:02d}" for i in range(24))
+_PLACES = "['시청', '종각', '동대문', '강남', '사당', '서울역']"
 
 
-@query(f"""WITH d AS ({_DAYS.format(h=_HOURS_SQL)}), u AS (UNPIVOT d ON {', '.join(_HOURS)} INTO NAME hour VALUE v),
-m AS (SELECT route, a, hour, CASE WHEN count(*) FILTER (v > 0) > count(*) * 0.5 THEN greatest(1, least(3600, round_even(median(v) FILTER (v > 0), 0))) ELSE -1 END::INTEGER AS w FROM u GROUP BY ALL)
-SELECT route, a, list(w ORDER BY hour) AS by_hour, CASE WHEN count(*) FILTER (w <> -1) = 0 THEN -1 ELSE round_even(median(w) FILTER (w <> -1), 0) END::INTEGER AS weight FROM m GROUP BY route, a""")
-def section_majority(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("user_id % 3 = 0").withColumn("day", F.dayofmonth("ts"))
-    each = [F.coalesce(F.max(F.when((F.hour("ts") % 6 == i % 6) & (F.col("event_id") % 24 != i), F.floor("value").cast("int"))), F.lit(0)).alias(h) for i, h in enumerate(_HOURS)]
-    days = e.groupBy(F.col("user_id").alias("route"), F.col("event_type").alias("a"), "day").agg(*each)
-    out = timing.section_hours(days, ["route", "a"], _HOURS)
-    return out.select("route", "a", F.col("by_hour").cast("array<int>").alias("by_hour"), representative(F.col("by_hour")).alias("weight"))
-
-
-@query(f"WITH {_GAPS}, r AS (SELECT unnest(range(1, 10))::VARCHAR AS line, 600.0 AS reference) SELECT line, median(seconds) AS measured, reference::DOUBLE AS reference, round(median(seconds) / reference, 9) AS ratio, greatest(median(seconds) / reference, reference / median(seconds)) <= 2 AS ok FROM h JOIN r USING (line) GROUP BY line, reference")
+@query(f"""WITH {_GAPS}, p AS (SELECT *, {_PLACES}[1 + (length(station) + line::INTEGER) % 6] AS place, line || CASE WHEN line = '9' THEN '급행' ELSE '' END AS key FROM h WHERE hour = 8), r AS (SELECT * FROM (VALUES ('1', 3.0), ('2', 2.5), ('3', 3.0), ('4', 2.5), ('5', 2.5), ('6', 4.0), ('7', 2.5), ('8', 4.5)) v(key, reference)),
+i AS (SELECT *, key NOT IN ('1', '4') OR key = '1' AND place IN ('시청', '종각', '동대문', '서울역') OR key = '4' AND place IN ('동대문', '사당', '서울역') AS inside FROM p WHERE key NOT LIKE '%급행'),
+m AS (SELECT key, coalesce(median(seconds) FILTER (inside), median(seconds)) / 60 AS minutes FROM i GROUP BY key)
+SELECT key AS line, round_even(minutes, 1) AS computed_min, reference::DOUBLE AS reference_rh_min, round_even(minutes / reference::DOUBLE, 2) AS ratio, key IN ('1', '4') AS scoped, coalesce(minutes / reference::DOUBLE <= 2, true) AS ok FROM m LEFT JOIN r USING (key)""")
 def headway_reference_check(spark, sf_dir):
-    reference = spark.createDataFrame([(str(i), 600.0) for i in range(1, 10)], "line string, reference double")
-    out = timing.reference_check(timing.headways(stops(spark, sf_dir), "day"), reference)
-    return out.withColumn("ratio", F.round("ratio", 9))
+    names = F.array(*[F.lit(x) for x in ("시청", "종각", "동대문", "강남", "사당", "서울역")])
+    gaps = timing.headways(stops(spark, sf_dir), "day")
+    at = F.get(names, (F.length("station") + F.col("line").cast("int")) % 6)
+    line = F.concat("line", F.when(F.col("line") == "9", "급행").otherwise(""))
+    return timing.reference_check(gaps.select(line.alias("line"), at.alias("station"), "hour", "seconds"))
 
 
 @query(f"WITH {_GAPS} SELECT count(seconds) AS n, median(seconds) AS median, round(quantile_cont(seconds, 0.95), 6) AS p95, max(seconds) AS most, count(*) FILTER (seconds > 1800) AS n_over FROM h")
@@ -74,39 +65,54 @@ def routes_without_headway(spark, sf_dir):
     return timing.known_headways(sections, known)[1]
 
 
-# Transfers of stations (suppliers) between lines (line numbers), measured or by distance.
-_MEASURED = "SELECT 'S' || (l_suppkey % 60) AS station, l_linenumber::VARCHAR AS line_a, (l_partkey % 7 + 1)::VARCHAR AS line_b, (round_even(median(60 + l_quantity * 4), 0))::INTEGER AS sec FROM lineitem WHERE l_linenumber <> l_partkey % 7 + 1 AND l_suppkey % 2 = 0 GROUP BY ALL"
-_DISTANCE = "SELECT 'S' || (l_suppkey % 60) AS station, l_linenumber::VARCHAR AS line_a, (l_partkey % 7 + 1)::VARCHAR AS line_b, (min(10 + l_quantity * 3))::INTEGER AS sec FROM lineitem WHERE l_linenumber <> l_partkey % 7 + 1 AND l_suppkey % 3 = 0 GROUP BY ALL"
+@query(f"WITH {TRANSFERS_SQL} SELECT * FROM c")
+def transfer_calibration(spark, sf_dir):
+    return transfers.calibrated(*transfer_files(spark, sf_dir))
+
+
+@query(f"WITH {TRANSFERS_SQL} SELECT station, st.sec, nw.sec AS network FROM st, nw")
+def station_traverse(spark, sf_dir):
+    t = calibrated(spark, sf_dir)
+    return transfers.station_traverse(t).crossJoin(F.broadcast(transfers.network_traverse(t).withColumnRenamed("sec", "network")))
 
 
-def _transfers(spark, sf_dir):
-    x = table(spark, sf_dir, "lineitem").where("l_linenumber <> l_partkey % 7 + 1")
-    keys = [F.concat(F.lit("S"), F.col("l_suppkey") % 60).alias("station"), F.col("l_linenumber").cast("string").alias("line_a"), (F.col("l_partkey") % 7 + 1).cast("string").alias("line_b")]
-    measured = x.where("l_suppkey % 2 = 0").groupBy(*keys).agg(F.bround(F.percentile(60 + F.col("l_quantity") * 4, F.lit(0.5))).cast("int").alias("sec"))
-    distance = x.where("l_suppkey % 3 = 0").groupBy(*keys).agg(F.min(10 + F.col("l_quantity") * 3).cast("int").alias("sec"))
-    return measured, distance
+@query(f"WITH RECURSIVE {TRANSFERS_SQL}, {RAISED_SQL} SELECT * FROM rz")
+def traverse_fixpoint(spark, sf_dir):
+    """Platform walks raised pair by pair in a fixed order."""
+    t = calibrated(spark, sf_dir)
+    return transfers.raised(t, transfers.station_traverse(t))
 
 
-_CALIBRATED = f"""m AS ({_MEASURED}), d AS ({_DISTANCE}), o AS (SELECT round_even(median(m.sec - d.sec), 0)::INTEGER AS off FROM m JOIN d USING (station, line_a, line_b)),
-c AS (SELECT station, line_a, line_b, sec, 'MEASURED' AS source FROM m UNION ALL SELECT station, line_a, line_b, greatest(1, sec + off)::INTEGER, 'CALIBRATED' FROM (SELECT * FROM d ANTI JOIN m USING (station, line_a, line_b)), o)"""
+_STATION = "CASE WHEN l_suppkey % 11 = 0 THEN '이수' WHEN l_suppkey % 11 = 1 THEN '총신대입구(이수)' ELSE 'station ' || (l_suppkey % 20) END"
+_TIME = "CASE WHEN l_quantity % 13 = 0 THEN '10:00' WHEN l_quantity % 17 = 0 THEN 'none' ELSE '0' || cast(l_partkey % 9 as {s}) || ':' || lpad(cast(l_suppkey % 60 as {s}), 2, '0') END"
+_NAME_SQL = "replace(regexp_replace({c}, '\\(.*?\\)', '', 'g'), ' ', '')"
+_KEY_SQL = "CASE WHEN {n} = '이수' THEN '총신대입구' ELSE {n} END"
+_SECONDS_SQL = "CASE WHEN l_quantity % 13 = 0 THEN 600 WHEN l_quantity % 17 = 0 OR (l_partkey % 9 = 0 AND l_suppkey % 60 = 0) THEN NULL ELSE (l_partkey % 9) * 60 + l_suppkey % 60 END"
 
 
-@query(f"WITH {_CALIBRATED} SELECT * FROM c")
-def transfer_calibration(spark, sf_dir):
-    return transfers.calibrated(*_transfers(spark, sf_dir))
+def _station_sql(c: str) -> str:
+    return _KEY_SQL.format(n=_NAME_SQL.format(c=c))
 
 
-@query(f"WITH {_CALIBRATED} SELECT station, greatest(1, round_even(median(sec) / 2, 0))::INTEGER AS sec FROM c GROUP BY station")
-def station_traverse(spark, sf_dir):
-    return transfers.station_traverse(transfers.calibrated(*_transfers(spark, sf_dir)))
+@query(f"""WITH x AS (SELECT {_station_sql(_STATION)} AS station, l_linenumber::VARCHAR AS line_a, CASE WHEN l_partkey % 4 > 0 THEN (l_partkey % 7 + 1)::VARCHAR END AS line_b, {_SECONDS_SQL} AS sec, l_orderkey * 10 + l_linenumber AS ord FROM lineitem),
+y AS (SELECT * FROM x WHERE line_b IS NOT NULL AND sec IS NOT NULL AND line_a <> line_b), z AS (SELECT station, line_a, line_b, sec, 0 AS turned, ord FROM y UNION ALL SELECT station, line_b, line_a, sec, 1, ord FROM y)
+SELECT station, line_a, line_b, arg_min(sec, (turned, ord))::INTEGER AS sec FROM z GROUP BY ALL""")
+def transfers_by_distance(spark, sf_dir):
+    """A file of walking distances as it comes, with lines of other operators and malformed times."""
+    line = F.when(F.col("l_partkey") % 4 > 0, F.concat((F.col("l_partkey") % 7 + 1).cast("string"), F.lit("호선"))).otherwise("공항철도")
+    raw = table(spark, sf_dir, "lineitem").select(F.concat(F.lit(" "), F.col("l_linenumber").cast("string")).alias("호선"), line.alias("환승노선"), F.expr(_STATION).alias("환승역명"), F.expr(_TIME.format(s="string")).alias("환승소요시간"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    return transfers.from_distance(raw)
 
 
-@query()
-def traverse_fixpoint(spark, sf_dir):
-    """Platform walks raised pair by pair in a fixed order; tested against hand-made stations."""
-    t = transfers.calibrated(*_transfers(spark, sf_dir))
-    ordered = t.withColumn("ord", F.concat("line_a", F.lit(" "), "line_b"))
-    return transfers.raised(ordered, transfers.station_traverse(t))
+@query(f"""WITH x AS (SELECT {_station_sql(_STATION)} AS station, CASE WHEN l_partkey % 9 = 0 THEN '이수' ELSE {_STATION} END AS other, l_linenumber::VARCHAR AS line_a, CASE WHEN l_partkey % 4 > 0 THEN (l_partkey % 7 + 1)::VARCHAR ELSE '신림' END AS line_b, {_SECONDS_SQL} AS sec FROM lineitem),
+y AS (SELECT *, {_station_sql('other')} AS second FROM x)
+SELECT station, line_a, line_b, round_even(median(sec), 0)::INTEGER AS sec FROM y WHERE station = second AND line_b <> '신림' AND line_a <> line_b AND sec IS NOT NULL AND sec <> 600 GROUP BY ALL""")
+def transfers_measured(spark, sf_dir):
+    """A file of measured transfers as it comes, with placeholders, other stations and lines without a number."""
+    other = F.expr(f"CASE WHEN l_partkey % 9 = 0 THEN '이수' ELSE {_STATION} END")
+    line = F.when(F.col("l_partkey") % 4 > 0, (F.col("l_partkey") % 7 + 1).cast("string")).otherwise("신림")
+    raw = table(spark, sf_dir, "lineitem").select(F.expr(_STATION).alias("환승시작역"), other.alias("환승종료역"), F.col("l_linenumber").cast("string").alias("환승시작 호선"), line.alias("환승종료 호선"), F.expr(_TIME.format(s="string")).alias("소요시간"))
+    return transfers.from_measurements(raw)
 
 
 @query("""WITH master AS (SELECT CASE WHEN s_suppkey % 4 > 0 THEN (s_suppkey % 9 + 1)::VARCHAR END AS line, 'stop ' || (s_suppkey % 30) || CASE WHEN s_suppkey % 2 = 0 THEN '(x)' ELSE '' END AS station, 37.0 + s_suppkey % 97 / 1000.0 AS lat, 127.0 + s_suppkey % 89 / 1000.0 AS lon, s_suppkey AS place, 'stop' || (s_suppkey % 30) AS name FROM supplier),
