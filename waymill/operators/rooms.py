@@ -103,6 +103,8 @@ def anonymised(users: DataFrame, gone: DataFrame) -> DataFrame:
 def limited(requests: DataFrame, key: str, ts: str, limit: int, window_s: int) -> DataFrame:
     """Requests with ``allowed``: fixed windows that begin at a key's first request outside the one before.
 
+    A request without a time is in no window: it isn't allowed, and counts for nothing. Requests without a key are one key.
+
     A window's end depends on where the one before ended, so that rows of a key are folded in order as
     they stream by; only the state of one key is held.
     """
@@ -115,6 +117,9 @@ def limited(requests: DataFrame, key: str, ts: str, limit: int, window_s: int) -
         for batch in batches:
             out = []
             for k, t, refused in zip(batch.column("_k").to_pylist(), batch.column("_t").to_pylist(), batch.column("_uncounted").to_pylist()):
+                if t is None:
+                    out.append(False)
+                    continue
                 if k != at or t >= begun + window_s:
                     at, begun, n = k, t, 0
                 out.append(n < limit)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymill.functions.crs import planar
+from waymill.scratch import written
 
 MAX_RADIUS, DEFAULT_RADIUS, MAX_LIMIT, DEFAULT_LIMIT = 10_000, 2_000, 200, 50
 
@@ -40,17 +41,22 @@ def nearest(left: DataFrame, right: DataFrame, radius: float, left_key: str, rig
     return best.select(left_key, F.col(f"_b.{right_key}").alias(right_key), F.col("_b.distance").alias("distance"))
 
 
-def nearest_any(left: DataFrame, right: DataFrame, radius: float, left_key: str, right_key: str, rounds: int = 12) -> DataFrame:
-    """The nearest right row however far: the radius doubles for the rows that found nothing."""
-    rest, found = left, None
-    for _ in range(rounds):
-        got = nearest(rest, right, radius, left_key, right_key)
+def nearest_any(left: DataFrame, right: DataFrame, radius: float, left_key: str, right_key: str) -> DataFrame:
+    """The nearest right row however far: the radius doubles for the rows that found nothing, until all have found one.
+
+    Rows without coordinates have no nearest row, and neither has any if there is no right row with coordinates.
+    """
+    rest, found = left.where("lx IS NOT NULL AND ly IS NOT NULL"), None
+    there = right.where("rx IS NOT NULL AND ry IS NOT NULL")
+    if there.isEmpty():
+        return nearest(rest, there, radius, left_key, right_key)
+    while True:
+        got = written(nearest(rest, there, radius, left_key, right_key), "nearest")
         found = got if found is None else found.unionByName(got)
-        rest = rest.join(got.select(left_key), left_key, "left_anti")
+        rest = written(rest.join(got.select(left_key), left_key, "left_anti"), "nearest-rest")
         if rest.isEmpty():
-            break
+            return found
         radius *= 2
-    return found
 
 
 def around(points: DataFrame, x: float, y: float, radius: int | None = None, limit: int | None = None) -> DataFrame:

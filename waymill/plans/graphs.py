@@ -249,7 +249,8 @@ def point_routes(spark, sf_dir):
 
 # Steps of routes: lines of an order as edges of a path, kinds by line number and part.
 _KIND = "CASE WHEN l_partkey % 7 = 0 THEN 'WALK' WHEN l_partkey % 7 = 1 THEN 'ACCESS' WHEN l_partkey % 7 = 2 THEN 'BOARD' WHEN l_partkey % 7 = 3 THEN 'ALIGHT' WHEN l_partkey % 7 = 4 THEN 'TRANSFER' ELSE 'RIDE' END"
-_STEPS = f"SELECT l_orderkey AS route, l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey AS seq, {_KIND} AS kind, CASE WHEN l_partkey % 7 > 1 THEN cast(l_suppkey % 2 as {{s}}) END AS line, cast(l_quantity as bigint) AS seconds, CASE WHEN l_partkey % 7 < 2 THEN l_quantity * 1.5 END AS distance_m"
+_SEQ = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)"
+_STEPS = f"SELECT l_orderkey AS route, {_SEQ} AS seq, {_KIND} AS kind, CASE WHEN l_partkey % 7 > 1 THEN cast(l_suppkey % 2 as {{s}}) END AS line, cast(l_quantity as bigint) AS seconds, CASE WHEN l_partkey % 7 < 2 THEN l_quantity * 1.5 END AS distance_m"
 _MADE = f"""s AS (SELECT *, CASE WHEN kind = 'ACCESS' THEN 'WALK' WHEN kind = 'BOARD' AND coalesce(bool_or(kind = 'RIDE') OVER (PARTITION BY route ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) THEN 'TRANSFER' ELSE kind END AS k FROM ({_STEPS.format(s='varchar')} FROM lineitem)),
 z AS (SELECT *, count(*) FILTER (k IN ('WALK', 'BOARD', 'TRANSFER')) OVER (PARTITION BY route ORDER BY seq DESC) AS taker FROM s),
 y AS (SELECT route, taker, sum(seconds) FILTER (k = 'ALIGHT') AS al FROM z GROUP BY ALL),
@@ -259,13 +260,13 @@ lgs AS (SELECT route, leg, min(k) AS kind, max(line) AS line, sum(seconds + extr
 
 
 def _made(spark, sf_dir):
-    steps = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS route", "l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey AS seq", f"{_KIND} AS kind", "CASE WHEN l_partkey % 7 > 1 THEN cast(l_suppkey % 2 AS string) END AS line", "cast(l_quantity AS bigint) AS seconds", "CASE WHEN l_partkey % 7 < 2 THEN l_quantity * 1.5 END AS distance_m")
+    steps = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS route", f"{_SEQ} AS seq", f"{_KIND} AS kind", "CASE WHEN l_partkey % 7 > 1 THEN cast(l_suppkey % 2 AS string) END AS line", "cast(l_quantity AS bigint) AS seconds", "CASE WHEN l_partkey % 7 < 2 THEN l_quantity * 1.5 END AS distance_m")
     return routes.legs(steps)
 
 
 @query(f"WITH {_MADE} SELECT * FROM lgs")
 def route_legs(spark, sf_dir):
-    return _made(spark, sf_dir).drop("to_name", "path")
+    return _made(spark, sf_dir).drop("mode", "to_name", "path")
 
 
 @query(f"WITH {_MADE} SELECT route, sum(seconds)::BIGINT AS seconds, greatest(0, count(*) FILTER (kind = 'RIDE') - 1)::BIGINT AS transfers, floor(sum(CASE WHEN kind = 'WALK' THEN distance_m ELSE 0 END) * 10 + 0.5) / 10 AS walk_m FROM lgs GROUP BY route")

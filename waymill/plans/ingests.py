@@ -101,12 +101,12 @@ def dict_upsert(spark, sf_dir):
     return ingest.insert_absent(known, p.groupBy(F.col("p_brand").alias("raw")).agg(F.max("p_type").alias("category")), "raw")
 
 
-_RUNS = "SELECT event_type AS source, event_id % 17 AS run_id, value FROM events WHERE (event_id % 17) % 3 <> 0"
+_RUNS = "SELECT event_type AS source, event_id % 11 + (event_id % 11) // 2 AS run_id, value FROM events"
 
 
 @query(f"WITH r AS ({_RUNS}), d AS (SELECT DISTINCT source, run_id FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY run_id DESC) AS k FROM d) SELECT source, run_id, count(*) AS n FROM r WHERE (source, run_id) NOT IN (SELECT (source, run_id) FROM k WHERE k > 7) GROUP BY ALL")
 def retention(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").selectExpr("event_type AS source", "event_id % 17 AS run_id", "value").where("run_id % 3 <> 0")
+    rows = table(spark, sf_dir, "events").selectExpr("event_type AS source", "event_id % 11 + (event_id % 11) div 2 AS run_id", "value")
     return ingest.prune(rows, 7).groupBy("source", "run_id").agg(F.count("*").alias("n"))
 
 
