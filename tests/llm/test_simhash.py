@@ -2,6 +2,7 @@ import numpy as np
 import xxhash
 
 from waymill.llm import simhash
+from waymill.llm.common import local_labels
 from tests.llm.conftest import words
 
 
@@ -68,3 +69,22 @@ def test_dense_ball_is_exact():
     x = np.unique(np.array([centre ^ bits[rng.integers(20)] ^ bits[rng.integers(20)] ^ bits[rng.integers(20)] for _ in range(4000)], np.uint64))
     true = {(i, j) for i in range(len(x)) for j in np.flatnonzero(np.bitwise_count(x ^ x[i]) <= 2) if i < j}
     assert {(int(p), int(q)) for a, b in simhash.close_pairs(x, 2, small=64) for p, q in zip(a, b)} == true
+
+
+def test_full_leaves_are_split_where_they_are(spark, monkeypatch):
+    """A tree of one leaf at the top, refined in rounds, links as all pairs do; a leaf of close points stays whole."""
+    monkeypatch.setattr(simhash, "FULL", 60)
+    monkeypatch.setattr(simhash, "LEAF_SAMPLE", 40)
+    rng = np.random.default_rng(4)
+    base = rng.integers(-(2**63), 2**63, 500)
+    flips = lambda x: x ^ (np.int64(1) << rng.integers(0, 63, len(x))) ^ (np.int64(1) << rng.integers(0, 63, len(x)))
+    fps = np.unique(np.concatenate([base, flips(base[:200]), flips(np.repeat(base[:1], 300))]))
+    df = spark.createDataFrame([(int(x),) for x in fps], "fp long")
+    dealt = simhash.refined(df.selectExpr("0L AS leaf", "fp"), 2)
+    assert dealt.select("leaf").distinct().count() > 10
+    got = {(r.u, r.v) for r in simhash.links(df, sample=8, leaf=10_000).collect()}
+    place = {int(x): i for i, x in enumerate(fps)}
+    close = np.bitwise_count(fps.view(np.uint64)[:, None] ^ fps.view(np.uint64)[None, :]) <= 2
+    want = local_labels(len(fps), *np.nonzero(close))
+    have = local_labels(len(fps), np.array([place[u] for u, _ in got]), np.array([place[v] for _, v in got]))
+    assert (want == have).all() and all(close[place[u], place[v]] or want[place[u]] == want[place[v]] for u, v in got)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -16,6 +17,8 @@ from waymill.llm.common import components, local_labels, written
 
 #: Points of the bounded sample that the driver builds the upper tree from, and the leaf size it aims at.
 SAMPLE, LEAF = 32_768, 1_500
+#: Points beyond which a leaf gets a tree of its own, from about this many of its points, in so many rounds at most.
+FULL, LEAF_SAMPLE, ROUNDS = 40_000, 2_048, 12
 BLOCK = 1 << 16
 
 
@@ -118,11 +121,53 @@ def close_pairs(x: np.ndarray, radius: int, small: int = 768) -> Iterator[tuple[
             yield rows[a[keep]], rest[b[keep]]
 
 
+def refined(dealt: DataFrame, radius: int) -> DataFrame:
+    """(leaf, fp) with every leaf over FULL points split by a tree of its own, until none is left that can be.
+
+    The trees are built and used where the points are: from a sample of a leaf's points in one task each, and
+    joined to the leaf's points. So the number of leaves grows with the table, and the sample on the driver doesn't. A leaf
+    whose points are all close to each other isn't split; its points are the group that they link to.
+    """
+    dealt = written(dealt.withColumn("done", F.lit(False)), "simhash-dealt")
+
+    def grow(part: pa.Table) -> pa.Table:
+        points = np.sort(part.column("fp").to_numpy()).view(np.uint64)
+        nodes, leaves = build_tree(points, 64, radius)
+        return pa.table({"leaf": part.column("leaf")[:1], "tree": pa.array([json.dumps(nodes)]), "leaves": pa.array([leaves], pa.int32())})
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees: dict[str, list] = {}
+        for batch in batches:
+            leaf, fp, done, tree = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("leaf", "fp", "done", "tree"))
+            names = np.array(["" if t is None else t for t in tree], object)
+            for name in set(names):
+                at = np.flatnonzero(names == name)
+                if not name:
+                    yield pa.RecordBatch.from_arrays([pa.array(leaf[at]), pa.array(fp[at]), pa.array(done[at].astype(bool))], ["leaf", "fp", "done"])
+                    continue
+                if name not in trees:
+                    trees[name] = json.loads(name)
+                for own in np.unique(leaf[at]):
+                    mine = at[leaf[at] == own]
+                    for k, some in route(fp[mine].view(np.uint64), trees[name], radius):
+                        sub = np.full(len(some), (int(own) * 0x9E3779B1 + k + 1) % (1 << 61), np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(sub), pa.array(fp[mine][some]), pa.array(np.full(len(some), not trees[name]))], ["leaf", "fp", "done"])
+
+    for _ in range(ROUNDS):
+        full = dealt.where("NOT done").groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > FULL)
+        if full.isEmpty():
+            break
+        some = dealt.join(full, "leaf").where(F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / LEAF_SAMPLE)) == 0).select("leaf", "fp")
+        trees = written(some.groupBy("leaf").applyInArrow(grow, "leaf long, tree string, leaves int"), "simhash-trees")
+        dealt = written(dealt.join(trees.select("leaf", "tree"), "leaf", "left").select("leaf", "fp", "done", "tree").mapInArrow(deal, "leaf long, fp long, done boolean"), "simhash-dealt")
+    return dealt.select("leaf", "fp")
+
+
 def links(fps: DataFrame, radius: int = 2, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
     """Edges (u, v) that connect distinct fingerprints (fp) exactly as all pairs within ``radius`` do.
 
-    A bounded sample fixes the upper tree; every fingerprint is routed through it, and each leaf
-    returns a spanning forest of its close pairs rather than the pairs.
+    A bounded sample fixes the upper tree, full leaves are split further where they are; every fingerprint is
+    routed through, and each leaf returns a spanning forest of its close pairs rather than the pairs.
     """
     n = fps.count()
     some = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp")).limit(sample).collect()], np.int64).view(np.uint64)
@@ -132,7 +177,7 @@ def links(fps: DataFrame, radius: int = 2, sample: int = SAMPLE, leaf: int = LEA
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False)
             for k, at in route(fp.view(np.uint64), nodes, radius):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(fp[at])], ["leaf", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int64)), pa.array(fp[at])], ["leaf", "fp"])
 
     def find(part: pa.Table) -> pa.Table:
         fp = np.sort(part.column("fp").to_numpy())
@@ -147,7 +192,7 @@ def links(fps: DataFrame, radius: int = 2, sample: int = SAMPLE, leaf: int = LEA
         at = np.flatnonzero(label != np.arange(len(fp)))
         return pa.table({"u": fp[at], "v": fp[label[at]]})
 
-    return fps.select("fp").mapInArrow(deal, "leaf int, fp long").groupBy("leaf").applyInArrow(find, "u long, v long")
+    return refined(fps.select("fp").mapInArrow(deal, "leaf long, fp long"), radius).groupBy("leaf").applyInArrow(find, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, seed: int = 42) -> DataFrame:
