@@ -80,3 +80,20 @@ def test_lattice_points_are_nearest():
     for step in lattice.minimal_vectors():
         assert (((x - best - step) ** 2).sum(axis=1) >= d - 1e-9).all()
     assert len(lattice.minimal_vectors()) == 240
+
+
+@pytest.mark.parametrize("n", [1_000, 1_000_000, 1_000_000_000])
+@pytest.mark.parametrize("width", [16, 64, 384])
+def test_recall_holds_as_cells_shrink(n, width):
+    """Random pairs at the threshold meet in some table whatever the size of the table that cells are made for."""
+    edge = lattice.edge_for(n)
+    tables = lattice.tables_for(width, 0.95, lattice.PROBES, edge, 11)
+    rng = np.random.default_rng(width)
+    a, b = rng.normal(size=(2, 1500, width))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.95 * a + np.sqrt(1 - 0.95**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    (ha, na), (hb, nb) = lattice.cells(a, tables, lattice.PROBES, edge, 11), lattice.cells(b, tables, lattice.PROBES, edge, 11)
+    met = ((ha == hb) | (na == hb[:, :, None]).any(axis=2) | (nb == ha[:, :, None]).any(axis=2)).any(axis=1)
+    assert met.mean() > 0.95 and tables <= 60
+    assert lattice.edge_for(1_000) > lattice.edge_for(1_000_000) > lattice.edge_for(10**9)

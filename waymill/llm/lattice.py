@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from waymill.llm.common import components, local_labels, written
 
-#: Tables, neighbouring cells probed in each, and the edge of a cell against the unit vectors' projections.
-TABLES, PROBES, EDGE = 5, 3, 0.22
+#: Neighbouring cells probed in each table, the share of pairs at the threshold that may miss each other in all tables, and
+#: the range of the edges of a cell against the unit vectors' projections: the longest up to FEW vectors.
+PROBES, MISSED, EDGES, FEW = 3, 0.01, (0.09, 0.22), 20_000
+#: Effective cells grow as the edge's power -6.5 in the range (measured with unit vectors of 64 numbers).
+SHRINK = 6.5
 #: A cell of more vectors than this is dealt out as pairs of blocks of about this size.
 BLOCK = 4096
 
@@ -61,6 +64,13 @@ def cell_hash(points: np.ndarray, which: int) -> np.ndarray:
     return (h >> np.uint64(1)).view(np.int64)
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Vectors of doubles brought to length one, by way of their largest component so that nothing over- or underflows."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def cells(unit: np.ndarray, tables: int, probes: int, edge: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Home cells (n, tables) and probed neighbours (n, tables, probes) of unit vectors.
 
@@ -83,9 +93,35 @@ def cells(unit: np.ndarray, tables: int, probes: int, edge: float, seed: int) ->
     return home, near
 
 
+def numbers(vectors: DataFrame):
+    """The embeddings as floats if they come as such, which take half the room in shuffles, else as doubles."""
+    e = F.col("embedding")
+    return e if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else e.cast("array<double>")
+
+
+def edge_for(n: int) -> float:
+    """The edge at which n vectors fill cells as 20,000 do at the longest edge, as far as the range goes."""
+    return float(np.clip(EDGES[1] * (max(n, 1) / FEW) ** (-1 / SHRINK), *EDGES))
+
+
+def tables_for(width: int, least: float, probes: int, edge: float, seed: int) -> int:
+    """Tables after which at most MISSED of random pairs of the cosine ``least`` have not met, by how often 4,000 meet in one."""
+    rng = np.random.default_rng(seed)
+    a, b = rng.normal(size=(2, 4000, width))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    if width > 1:
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        b = least * a + np.sqrt(1 - least**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    else:
+        b = a
+    (ha, na), (hb, nb) = cells(a, 2, probes, edge, seed), cells(b, 2, probes, edge, seed)
+    met = ((ha == hb) | (na == hb[:, :, None]).any(axis=2) | (nb == ha[:, :, None]).any(axis=2)).mean()
+    return int(np.ceil(np.log(MISSED) / np.log(1 - min(met, 1 - MISSED))))
+
+
 def representatives(vectors: DataFrame) -> DataFrame:
-    """(rep, copies, embedding as doubles): one row for each distinct usable vector; rep is its smallest vec_id."""
-    e = F.col("embedding").cast("array<double>")
+    """(rep, copies, embedding): one row for each distinct usable vector; rep is its smallest vec_id."""
+    e = numbers(vectors)
     usable = vectors.select(F.col("vec_id").cast("long"), e.alias("embedding")).where(
         "embedding IS NOT NULL AND vec_id IS NOT NULL AND size(embedding) > 0"
     )
@@ -94,17 +130,24 @@ def representatives(vectors: DataFrame) -> DataFrame:
     return usable.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
 
 
-ENTRY = "cell long, tab int, part int, rep long, copies long, home boolean, homes array<long>, nears array<long>, embedding array<double>"
+ENTRY = "cell long, tab int, part long, rep long, copies long, home boolean, homes array<long>, nears array<long>, embedding "
 
 
-def linked(reps: DataFrame, least: float = 0.95, tables: int = TABLES, probes: int = PROBES, edge: float = EDGE, seed: int = 11, block: int = BLOCK) -> DataFrame:
+def linked(reps: DataFrame, least: float = 0.95, tables: int | None = None, probes: int = PROBES, edge: float | None = None, seed: int = 11, block: int = BLOCK) -> DataFrame:
     """Counts (rep, links) and a spanning forest (u, v) of the found pairs: rows with the other fields null.
 
     Vectors sit in their home cell of each table and visit the neighbouring ones. In a cell homes
     meet homes and visitors, and a pair is taken in the first table where it meets and, if each visits
     the other's home there, in the cell of the larger id. Cells over ``block`` vectors are split into
-    pairs of blocks, so that one cell is never one task's whole work.
+    pairs of blocks, so that one cell is never one task's whole work. Cells get smaller with the number of vectors,
+    and tables more, unless both are given.
     """
+    found = reps.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    edge = edge or edge_for(found[0])
+    tables = tables or tables_for(found[1] or 1, least, probes, edge, seed)
+    kind = reps.schema["embedding"].dataType.simpleString()
+    entry = ENTRY + kind
+    numeric = pa.float32() if kind == "array<float>" else pa.float64()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,27 +155,25 @@ def linked(reps: DataFrame, least: float = 0.95, tables: int = TABLES, probes: i
             for width in np.unique(lengths):
                 some = batch.filter(pa.array(lengths == width))
                 x = some.column("embedding").flatten().to_numpy().reshape(-1, width)
-                x = x / np.abs(x).max(axis=1, keepdims=True)
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                home, near = cells(x, tables, probes, edge, seed)
+                home, near = cells(unit(x), tables, probes, edge, seed)
                 n = len(x)
-                unit = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), int(width)).cast(pa.list_(pa.float64()))
+                raw = some.column("embedding").cast(pa.list_(numeric))
                 homes = pa.FixedSizeListArray.from_arrays(pa.array(home.ravel()), tables).cast(pa.list_(pa.int64()))
                 nears = pa.FixedSizeListArray.from_arrays(pa.array(near.ravel()), tables * probes).cast(pa.list_(pa.int64()))
                 for t in range(tables):
                     for k in range(-1, probes):
                         cell = home[:, t] if k < 0 else near[:, t, k]
-                        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.full(n, t, np.int32)), pa.array(np.zeros(n, np.int32)), some.column("rep"), some.column("copies"), pa.array(np.full(n, k < 0)), homes, nears, unit], [c.split()[0] for c in ENTRY.split(", ")])
+                        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.full(n, t, np.int32)), pa.array(np.zeros(n, np.int64)), some.column("rep"), some.column("copies"), pa.array(np.full(n, k < 0)), homes, nears, raw], [c.split()[0] for c in entry.split(", ")])
 
-    entries = reps.select("rep", "copies", "embedding").mapInArrow(deal, ENTRY)
-    keyed = reps.select("rep", "copies", "embedding").mapInArrow(deal, ENTRY).select("cell", "tab").groupBy("cell", "tab").count().where(F.col("count") > block)
+    entries = reps.select("rep", "copies", "embedding").mapInArrow(deal, entry)
+    keyed = reps.select("rep", "copies", "embedding").mapInArrow(deal, entry).select("cell", "tab").groupBy("cell", "tab").count().where(F.col("count") > block)
     big = written(keyed.select("cell", "tab", F.ceil(F.col("count") / block).cast("int").alias("parts")), "lattice-big")
     if big.count():
         own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
         dealt = entries.join(big, ["cell", "tab"], "left").withColumn("own", F.coalesce(own, F.lit(0)))
         pairs = F.transform(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1), lambda o: F.struct(F.greatest(o, F.col("own")).alias("a"), F.least(o, F.col("own")).alias("b")))
         dealt = dealt.withColumn("pair", F.explode(pairs))
-        entries = dealt.select("cell", "tab", (F.col("pair.a") * 65536 + F.col("pair.b")).cast("int").alias("part"), "rep", "copies", "home", "homes", "nears", "embedding", "own")
+        entries = dealt.select("cell", "tab", F.shiftleft(F.col("pair.a").cast("long"), 31).bitwiseOR(F.col("pair.b").cast("long")).alias("part"), "rep", "copies", "home", "homes", "nears", "embedding", "own")
     else:
         entries = entries.withColumn("own", F.lit(0))
 
@@ -151,10 +192,10 @@ def linked(reps: DataFrame, least: float = 0.95, tables: int = TABLES, probes: i
         width = table.column("embedding").combine_chunks().value_lengths().to_numpy()
         links = np.zeros(n, np.int64)
         label = np.arange(n)
-        across = part // 65536 != part % 65536
+        across = part >> 31 != part & (1 << 31) - 1
         for size in np.unique(width):
             of = np.flatnonzero(width == size)
-            x = np.array(table.column("embedding").take(pa.array(of)).combine_chunks().flatten().to_numpy()).reshape(len(of), size)
+            x = unit(np.array(table.column("embedding").take(pa.array(of)).combine_chunks().flatten().to_numpy()).reshape(len(of), size))
             for i in range(0, len(of), 1024):
                 a, b = np.nonzero(x[i : i + 1024] @ x.T >= least)
                 a, b = of[a + i], of[b]
@@ -200,7 +241,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, **options) -> DataF
     links = found.where("rep IS NOT NULL").groupBy("rep").agg(F.sum("links").alias("links"))
     named = reps.join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
     named = named.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+    rows = vectors.select(F.col("vec_id").cast("long"), numbers(vectors).alias("embedding"))
     out = rows.join(named, (rows.embedding == named.embedding) & rows.vec_id.isNotNull(), "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
