@@ -96,7 +96,7 @@ def _station_sql(c: str) -> str:
 
 @query(f"""WITH x AS (SELECT {_station_sql(_STATION)} AS station, l_linenumber::VARCHAR AS line_a, CASE WHEN l_partkey % 4 > 0 THEN (l_partkey % 7 + 1)::VARCHAR END AS line_b, {_SECONDS_SQL} AS sec, l_orderkey * 10 + l_linenumber AS ord FROM lineitem),
 y AS (SELECT * FROM x WHERE line_b IS NOT NULL AND sec IS NOT NULL AND line_a <> line_b), z AS (SELECT station, line_a, line_b, sec, 0 AS turned, ord FROM y UNION ALL SELECT station, line_b, line_a, sec, 1, ord FROM y)
-SELECT station, line_a, line_b, arg_min(sec, (turned, ord))::INTEGER AS sec FROM z GROUP BY ALL""")
+SELECT station, line_a, line_b, arg_min(sec, (turned, ord, sec))::INTEGER AS sec FROM z GROUP BY ALL""")
 def transfers_by_distance(spark, sf_dir):
     """A file of walking distances as it comes, with lines of other operators and malformed times."""
     line = F.when(F.col("l_partkey") % 4 > 0, F.concat((F.col("l_partkey") % 7 + 1).cast("string"), F.lit("호선"))).otherwise("공항철도")
