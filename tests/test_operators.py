@@ -378,3 +378,22 @@ def test_rate_limit_batch(spark):
     df = df.unionByName(spark.createDataFrame([("a", None, 77)], "k string, t int, n int").withColumn("ts", F.timestamp_seconds("t")))
     got = [r.allowed for r in rooms_op.limited(df.select("k", "ts", "n"), "k", "ts", 2, 60).orderBy("k", "ts").collect()]
     assert got == [False, True, True, False, False, True, True, True]
+
+
+def test_point_routes_equal_their_sql(spark):
+    import os
+
+    import duckdb
+
+    from waymill.plans import graphs
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test data")
+    con = duckdb.connect()
+    for t in "nation customer supplier part lineitem".split():
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    got = graphs.point_routes(spark, d)
+    r = con.execute(graphs.POINT_ROUTES_SQL)
+    names = [c[0] for c in r.description]
+    assert sorted(map(tuple, got.select(*names).collect()), key=repr) == sorted(r.fetchall(), key=repr)
