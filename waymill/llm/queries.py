@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymill.llm import chat, html_extract, lattice, mixing, mixing_model, simhash, suffix_dedup, tokens, toxicity, winnow
+from waymill.llm import chat, html_extract, lattice, merkle, mixing, mixing_model, simhash, suffix_dedup, tokens, toxicity, winnow
 from waymill.llm.common import table
 
 #: The conversation that op4 adds: texts full of control strings.
@@ -53,6 +53,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "weight", "block", "position", "copies")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
             op1_html_extraction,
@@ -65,8 +69,9 @@ def queries() -> dict:
             op8_lm_scoring,
             op9_suffix_array_dedup,
             op10_source_mixing,
+            op11_merkle_manifest,
         )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": chat.ORACLE_SQL, "op5_benchmark_decontamination": winnow.ORACLE_SQL, "op6_embedding_near_dedup": lattice.ORACLE_SQL, "op9_suffix_array_dedup": suffix_dedup.ORACLE_SQL}
+    return {"op4_chat_formatting": chat.ORACLE_SQL, "op5_benchmark_decontamination": winnow.ORACLE_SQL, "op6_embedding_near_dedup": lattice.ORACLE_SQL, "op9_suffix_array_dedup": suffix_dedup.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL}
