@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymill.llm import chat, html_extract, lattice, merkle, mixing, mixing_model, periods, simhash, suffix_dedup, tokens, toxicity, winnow
+from waymill.llm import chat, html_extract, lattice, merkle, mixing, mixing_model, periods, simhash, suffix_dedup, tokens, toxicity, warc, winnow
 from waymill.llm.common import table
 
 #: The conversation that op4 adds: texts full of control strings.
@@ -61,6 +61,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.run_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
             op1_html_extraction,
@@ -75,8 +79,9 @@ def queries() -> dict:
             op10_source_mixing,
             op11_merkle_manifest,
             op12_periodic_runs,
+            op13_warc,
         )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": chat.ORACLE_SQL, "op5_benchmark_decontamination": winnow.ORACLE_SQL, "op6_embedding_near_dedup": lattice.ORACLE_SQL, "op9_suffix_array_dedup": suffix_dedup.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL, "op12_periodic_runs": periods.ORACLE_SQL}
+    return {"op4_chat_formatting": chat.ORACLE_SQL, "op5_benchmark_decontamination": winnow.ORACLE_SQL, "op6_embedding_near_dedup": lattice.ORACLE_SQL, "op9_suffix_array_dedup": suffix_dedup.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL, "op12_periodic_runs": periods.ORACLE_SQL, "op13_warc": warc.ORACLE_SQL}
