@@ -238,17 +238,27 @@ def plain(rows, source, targets, hour):
     return {v: d[0] for v, d in best.items()}, {v: p[-2::-1] for v, p in paths.items()}, settled
 
 
-@pytest.mark.parametrize("kernel", [True, False])
-def test_searches_equal_plain_ones(spark, monkeypatch, kernel):
+@pytest.mark.parametrize("way", ["kernel", "parts", "parts by place", "joins"])
+def test_searches_equal_plain_ones(spark, monkeypatch, way):
     import random
 
+    from waymill.operators import parts
+
     rng = random.Random(4)
     rows = [(rng.randrange(60), rng.randrange(60), rng.randrange(1, 9), None if i % 3 else [rng.choice([-1, rng.randrange(1, 9)]) for _ in range(24)]) for i in range(200)]
     asked = [(0, 5, [3, 9, 41]), (7, None, [12]), (7, 5, [7, 1000]), (59, 23, None), (999, 5, [1])]
     origins = spark.createDataFrame(asked + asked[:1], "origin long, hour int, targets array<long>")
-    if not kernel:
+    graph_ = edges(spark, rows)
+    if way != "kernel":
         monkeypatch.setattr(search, "BROADCAST_EDGES", 10)
-    got = search.one_to_many(edges(spark, rows), origins, paths_too=True).collect()
+        monkeypatch.setattr(parts.divided, "__defaults__", (None, 11))
+        monkeypatch.setattr(parts, "STATES", 40)
+    if way == "joins":
+        monkeypatch.setattr(parts, "searched", lambda _, asked, paths_too: search.relaxed_many(search.numbered(graph_), asked, paths_too))
+    if way == "parts by place":
+        places = spark.createDataFrame([(i, float(i % 8), float(i // 8)) for i in range(50)] + [(50, None, 1.0), (51, float("nan"), 1.0)], "id long, x double, y double")
+        graph_ = search.loaded(graph_, places)
+    got = search.one_to_many(graph_, origins, paths_too=True).collect()
     have = {(r.origin, r.hour, r.target): (r.seconds, [p.node for p in r.path], r.settled) for r in got}
     assert len(have) == len(got)
     want = {}
@@ -343,10 +353,26 @@ def test_bus_part(spark):
 
 def test_spatial_helpers(spark):
     assert clamped(0, 0) == (2000, 50) and clamped(99_999, 999) == (10_000, 200)
-    left = spark.createDataFrame([(1, 0.0, 0.0), (2, 9e7, 0.0), (3, None, 1.0)], "l int, lx double, ly double")
-    right = spark.createDataFrame([(7, 0.0, 10.0), (8, 0.0, -10.0)], "r int, rx double, ry double")
-    got = {r.l: r.r for r in nearest_any(left, right, 1000.0, "l", "r").collect()}
-    assert got == {1: 7, 2: 7}
+
+
+@pytest.mark.parametrize("size", [1, 3, 256])
+def test_the_nearest_however_far(spark, monkeypatch, size):
+    import random
+
+    from waymill.operators import spatial
+
+    rng = random.Random(size)
+    monkeypatch.setattr(spatial, "BOXES", 5)
+    nan, inf = float("nan"), float("inf")
+    cluster = [(rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(60)] + [(1e6 + rng.gauss(0, 50), -4e5) for _ in range(40)] + [(7.0, 7.0)] * 30
+    right = [(i, x, y) for i, (x, y) in enumerate(cluster)] + [(900, nan, 0.0), (901, 0.0, None), (902, inf, 0.0), (None, 0.0, 0.0)]
+    left = [(i, rng.uniform(-5, 5), rng.uniform(-5, 5)) for i in range(40)] + [(50, 9e7, 0.0), (51, -3e5, 4e5), (52, 1e6, -4e5), (53, 7.0, 7.0), (60, None, 1.0), (61, nan, 1.0), (62, 1.0, inf), (None, 1.0, 1.0)]
+    got = {r.l: (r.r, r.distance) for r in nearest_any(spark.createDataFrame(left, "l int, lx double, ly double"), spark.createDataFrame(right, "r int, rx double, ry double"), "l", "r", size).collect()}
+    root = lambda a, b: (((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) ** 0.5, b[0])
+    want = {a[0]: min(root(a, b) for b in right[:-4]) for a in left[:-4]}
+    assert {k: v[1] for k, v in got.items()} == pytest.approx({k: v[0] for k, v in want.items()}) and {k: v[0] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
+    none = spark.createDataFrame([(1, nan, 0.0)], "r int, rx double, ry double")
+    assert nearest_any(spark.createDataFrame(left, "l int, lx double, ly double"), none, "l", "r").count() == 0
 
 
 def test_csv_sources(spark, tmp_path):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import radians, sin, sqrt
+from math import radians, sin
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Ellipsoid:
+    """Numbers of an ellipsoid, or Columns of them, as in the two classes below."""
+
     a: float
     inverse_f: float
 
@@ -52,6 +54,8 @@ EPSG_2097 = Projection(BESSEL, 127.0)
 EPSG_5186 = Projection(GRS80, 127.0, north=600_000.0)
 KOREAN_1985 = Datum((-145.907, 505.034, 685.756), (-1.162, 2.347, 1.592), 6.342, (-3159521.31, 4068151.32, 3748113.85))
 THREE_PARAMETERS = Datum((-146.43, 507.89, 681.46))
+#: The same seven numbers turned the other way and about the centre of the earth.
+SEVEN_PARAMETERS = Datum(KOREAN_1985.t, (1.162, -2.347, -1.592), KOREAN_1985.ppm)
 
 
 def _arc(e: Ellipsoid, lat):
@@ -93,7 +97,7 @@ def forward(df: DataFrame, p: Projection, lat: str, lon: str, x: str, y: str) ->
             {"_t_a2": a * a},
             {
                 x: F.lit(p.east) + n * a * (1 + C("_t_a2") * ((1 - t + k) / 6 + (5 - 18 * t + t * t + 72 * k - 58 * ep2) * C("_t_a2") / 120)),
-                y: F.lit(p.north) + _arc(e, C("_t_phi")) - F.lit(_arc(e, radians(p.lat0))) + n * (s / c) * C("_t_a2") * (0.5 + C("_t_a2") * ((5 - t + 9 * k + 4 * k * k) / 24 + (61 - 58 * t + t * t + 600 * k - 330 * ep2) * C("_t_a2") / 720)),
+                y: F.lit(p.north) + _arc(e, C("_t_phi")) - F.lit(_arc(e, p.lat0 * radians(1))) + n * (s / c) * C("_t_a2") * (0.5 + C("_t_a2") * ((5 - t + 9 * k + 4 * k * k) / 24 + (61 - 58 * t + t * t + 600 * k - 330 * ep2) * C("_t_a2") / 720)),
             },
         )
     )
@@ -102,13 +106,13 @@ def forward(df: DataFrame, p: Projection, lat: str, lon: str, x: str, y: str) ->
 def inverse(df: DataFrame, p: Projection, x: str, y: str, lat: str, lon: str) -> DataFrame:
     """Columns lat, lon in degrees of columns x, y in metres."""
     e, e2 = p.ellipsoid, p.ellipsoid.e2
-    ep2, root = e2 / (1 - e2), sqrt(1 - e2)
+    ep2, root = e2 / (1 - e2), (1 - e2) ** 0.5
     e1 = (1 - root) / (1 + root)
     mu, phi, s, c, k, t, n, q, d = (C(f"_t_{v}") for v in ("mu", "phi", "s", "c", "k", "t", "n", "q", "d"))
     return _without(
         _steps(
             df,
-            {"_t_mu": (C(y) - F.lit(p.north) + F.lit(_arc(e, radians(p.lat0)))) / (e.a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))},
+            {"_t_mu": (C(y) - F.lit(p.north) + F.lit(_arc(e, p.lat0 * radians(1)))) / (e.a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))},
             {"_t_phi": mu + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu) + (151 * e1**3 / 96) * F.sin(6 * mu) + (1097 * e1**4 / 512) * F.sin(8 * mu)},
             {"_t_s": F.sin("_t_phi"), "_t_c": F.cos("_t_phi")},
             {"_t_k": ep2 * c * c, "_t_t": (s / c) * (s / c), "_t_q": 1 - e2 * s * s},
@@ -125,7 +129,7 @@ def inverse(df: DataFrame, p: Projection, x: str, y: str, lat: str, lon: str) ->
 
 def shift(df: DataFrame, lat: str, lon: str, source: Ellipsoid, target: Ellipsoid, d: Datum) -> DataFrame:
     """Degrees moved from one datum to another through geocentric coordinates, in place."""
-    rx, ry, rz = (radians(v / 3600) for v in d.r)
+    rx, ry, rz = (v * radians(1 / 3600) for v in d.r)
     k = 1 + d.ppm * 1e-6
     n, u, v, w = (C(f"_t_{c}") for c in "nuvw")
     layers = [
@@ -148,6 +152,12 @@ def to_5186(df: DataFrame, x: str, y: str, out_x: str, out_y: str, source: Proje
     return forward(shift(df, "_lat", "_lon", source.ellipsoid, GRS80, datum), EPSG_5186, "_lat", "_lon", out_x, out_y).drop("_lat", "_lon")
 
 
+def to_degrees(df: DataFrame, x: str, y: str, lat: str, lon: str, source: Projection, datum: Datum | None) -> DataFrame:
+    """Columns lat, lon in degrees of the globe of columns x, y in the source system; without a datum step none is needed."""
+    df = inverse(df, source, x, y, lat, lon)
+    return df if datum is None else shift(df, lat, lon, source.ellipsoid, GRS80, datum)
+
+
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = 6_371_008.8) -> Column:
     a, b = F.sin(F.radians(lat2 - lat1) / 2), F.sin(F.radians(lon2 - lon1) / 2)
     return 2 * radius * F.asin(F.sqrt(a * a + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * b * b))

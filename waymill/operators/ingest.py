@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -107,6 +107,36 @@ def prune(rows: DataFrame, keep: int) -> DataFrame:
     return rows.join(expired_runs(rows, keep), ["source", "run_id"], "left_anti")
 
 
+def run_partitions(spark: SparkSession, folder: str) -> DataFrame:
+    """(source, run_id, folder) of the partitions with data of a table partitioned by source and run. Only folders are listed."""
+    from urllib.parse import unquote
+
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    root = path(folder)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for of_source in system.listStatus(root) if system.exists(root) else []:
+        for of_run in system.listStatus(of_source.getPath()) if of_source.isDirectory() and "=" in of_source.getPath().getName() else []:
+            here = of_run.getPath()
+            if of_run.isDirectory() and any(s.getLen() for s in system.listStatus(here)):
+                found.append((unquote(of_source.getPath().getName().split("=", 1)[1]), int(here.getName().split("=", 1)[1]), here.toString()))
+    return spark.createDataFrame(found, "source string, run_id long, folder string")
+
+
+def expire_partitions(spark: SparkSession, folder: str, keep: int) -> int:
+    """Removes the runs beyond the ``keep`` latest of each source from a table partitioned by source and run, and says how many.
+
+    Whole folders go; no file of a run that stays is read or written. A run that is gone already is none.
+    """
+    here = run_partitions(spark, folder)
+    gone = here.join(expired_runs(here, keep), ["source", "run_id"], "left_semi").select("folder").collect()
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for row in gone:
+        at = path(row.folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(gone)
+
+
 def last_success(ledger: DataFrame, source: str) -> DataFrame:
     """The latest successful run of a source, if any."""
     return ledger.where((F.col("source") == source) & (F.col("status") == "SUCCESS")).orderBy(F.desc("id")).limit(1)
@@ -129,8 +159,3 @@ def latest_with_findings(findings: DataFrame) -> DataFrame:
     """The findings of each source's latest run that has any."""
     latest = findings.groupBy("source").agg(F.max("run_id").alias("run_id"))
     return findings.join(latest, ["source", "run_id"], "left_semi")
-
-
-def activate(builds: DataFrame, build_id: int) -> DataFrame:
-    """The build ledger with one active build."""
-    return builds.withColumn("active", F.col("id") == build_id)

@@ -49,6 +49,71 @@ def left(rooms: DataFrame, members: DataFrame, bookmarks: DataFrame, leaving: Da
     return kept.select(*[owner if c == "owner_id" else F.col(c) for c in rooms.columns]), stay, bookmarks.join(gone, "room_id", "left_anti")
 
 
+#: What an event did: (room_id, seq, outcome, owner_id, members after it in the order of joining).
+FOLDED = "outcome string, owner_id long, members array<long>"
+
+
+def happened(members: list[int], owner: int | None, open_: bool, user: int, action: str, cap: int) -> tuple[str, list[int], int | None, bool]:
+    """(outcome, members, owner, whether the room is there) after one event in a room."""
+    if not open_:
+        return "NOT_FOUND", members, owner, open_
+    if action == "JOIN":
+        if user in members:
+            return "AGAIN", members, owner, open_
+        if len(members) >= cap:
+            return "FULL", members, owner, open_
+        return ("CREATED" if owner is None else "JOINED"), [*members, user], user if owner is None else owner, open_
+    if user not in members:
+        return "NOT_A_MEMBER", members, owner, open_
+    rest = [m for m in members if m != user]
+    if not rest:
+        return "DELETED", rest, None, False
+    if user == owner:
+        return "HANDED_OVER", rest, rest[0], open_
+    return "LEFT", rest, owner, open_
+
+
+def folded(events: DataFrame, cap: int = MEMBERS) -> DataFrame:
+    """Events (room_id, seq, user_id, action JOIN or LEAVE, ...) with what each did: outcome, owner_id and members after it.
+
+    Events of a room take effect in the order of ``seq``, then user_id and action. The first to join opens the room
+    and owns it; a member who joins again changes nothing; a full room turns others away, and a seat that was left is free again.
+    An owner who leaves hands over to whoever has been in the room longest; with the last member the room goes, for
+    good. Leaving a room one isn't in does nothing. Events without a room, user, place or known action are left out.
+
+    Rows stream by in order, and a task holds one room's members, at most ``cap``: a busy room is long, but never large.
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    fields = T._parse_datatype_string(FOLDED).fields
+    known = events.where("room_id IS NOT NULL AND seq IS NOT NULL AND user_id IS NOT NULL AND action IN ('JOIN', 'LEAVE')")
+    packed = known.select(F.col("room_id").cast("long").alias("room"), "seq", F.col("user_id").cast("long").alias("user"), "action", F.struct(*[F.col(f"`{c}`") for c in events.columns]).alias("row"))
+
+    def run(batches):
+        room, members, owner, open_ = None, [], None, True
+        for batch in batches:
+            out = []
+            for r, user, action in zip(*(batch.column(c).to_pylist() for c in ("room", "user", "action"))):
+                if r != room:
+                    room, members, owner, open_ = r, [], None, True
+                outcome, members, owner, open_ = happened(members, owner, open_, user, action, cap)
+                out.append((outcome, owner, members))
+            columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.list_(pa.int64())))] if out else []
+            if out:
+                yield pa.RecordBatch.from_arrays([batch.column("row"), *columns], ["row", *[f.name for f in fields]])
+
+    dealt = packed.repartition("room").sortWithinPartitions("room", "seq", "user", "action")
+    out = dealt.mapInArrow(run, T.StructType([packed.schema["row"], *fields]))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in events.columns if c not in {f.name for f in fields}], *[f.name for f in fields])
+
+
+def standing(outcomes: DataFrame) -> DataFrame:
+    """(room_id, owner_id, members) of the rooms that are there after folded events; deleted ones have no row."""
+    last = outcomes.where("outcome <> 'NOT_FOUND'").groupBy("room_id").agg(F.max_by(F.struct("owner_id", "members"), F.struct("seq", "user_id", "action")).alias("l"))
+    return last.select("room_id", "l.*").where("size(members) > 0")
+
+
 def resnapped(members: DataFrame, nodes: DataFrame, build_id: int, radius: float = 2000.0) -> DataFrame:
     """Members whose origin (x, y) belongs to another build get the nearest node (id, x, y) of this one.
 

@@ -1,14 +1,16 @@
-"""Shortest paths of many origins: one vectorised search over a broadcast graph, or rounds of joins beyond its size.
+"""Shortest paths of many origins: one vectorised search over a broadcast graph, or searches in its parts beyond its size.
 
-Both ways give the same rows. A state is (origin, hour, node), and its label one number: seconds above HOP_BITS bits
+Graphs beyond a broadcast are divided into parts that exchange labels at their borders (``parts``); rounds of joins
+alone (``relaxed_many``) need no arrays at all, but a round for each edge of the longest path. All ways give the same rows. A state is (origin, hour, node), and its label one number: seconds above HOP_BITS bits
 that count edges. The least label is the fastest way and of those the one with the fewest edges; of edges that reach a
 node with its least label the one from the smallest node counts, and of those the smallest edge id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -97,9 +99,28 @@ def labels(g: Graph, weight: np.ndarray, sources: np.ndarray, targets: list[np.n
     at = np.arange(k) * n + sources
     key[at] = 0
     limit = np.full(k, NO_LABEL >> HOP_BITS)
+
+    def unfinished(wait: np.ndarray, high: int) -> np.ndarray:
+        for i, wanted in enumerate(targets or []):
+            if limit[i] == NO_LABEL >> HOP_BITS:
+                far = key[i * n + wanted] >> HOP_BITS if len(wanted) else np.zeros(1, np.int64)
+                if far.max() < high:
+                    limit[i] = far.max()
+        return wait[limit[wait // n] == NO_LABEL >> HOP_BITS]
+
+    settle(g, weight, key, at, unfinished if targets is not None else None)
+    return key.reshape(k, n), limit
+
+
+def settle(g: Graph, weight: np.ndarray, key: np.ndarray, wait: np.ndarray, unfinished: Callable[[np.ndarray, int], np.ndarray] | None = None) -> None:
+    """Spreads the labels ``key`` of the states ``wait`` (source times nodes plus node) over the graph, in place.
+
+    After each band of seconds ``unfinished`` may leave out states of sources that are done.
+    """
+    n = len(g.ids)
     open_ = weight >= 0
     band = max(1, int(weight[open_].mean() * 3)) if open_.any() else 1
-    wait, high = at, band
+    high = band
     while len(wait):
         label = key[wait] >> HOP_BITS
         high = max(high, int(label.min()) + band)
@@ -124,15 +145,9 @@ def labels(g: Graph, weight: np.ndarray, sources: np.ndarray, targets: list[np.n
         wait = np.unique(np.concatenate(later))
         # Labels under ``high`` are final; entries that a later, smaller label overtook are done.
         wait = wait[key[wait] >> HOP_BITS >= high]
-        if targets is not None:
-            for i, wanted in enumerate(targets):
-                if limit[i] == NO_LABEL >> HOP_BITS:
-                    far = key[i * n + wanted] >> HOP_BITS if len(wanted) else np.zeros(1, np.int64)
-                    if far.max() < high:
-                        limit[i] = far.max()
-            wait = wait[limit[wait // n] == NO_LABEL >> HOP_BITS]
+        if unfinished is not None:
+            wait = unfinished(wait, high)
         high += band
-    return key.reshape(k, n), limit
 
 
 def paths(g: Graph, weight: np.ndarray, key: np.ndarray, origin: int, wanted: np.ndarray) -> list[list[tuple[int, int, int]]]:
@@ -167,19 +182,25 @@ def numbered(edges: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Loaded:
-    """A graph ready for any number of searches: its written edges, and the broadcast kernel graph if it isn't too large."""
+    """A graph ready for any number of searches: its written edges, and the broadcast kernel graph or, if it is too large, its parts."""
 
     edges: DataFrame
     shared: Broadcast | None
+    parts: Any = None
+
 
+def loaded(edges: DataFrame, places: DataFrame | None = None) -> Loaded:
+    """Edges written once with the columns that searches read, broadcast if they are few enough and else divided into
+    parts, by the places (id, x, y) of nodes where they are given."""
+    from waymill.operators import parts
 
-def loaded(edges: DataFrame) -> Loaded:
-    """Edges written once with the columns that searches read, and broadcast if they are few enough."""
     e = numbered(edges)
     columns = ["src", "dst", "edge", "weight_sec"] + ["by_hour"] * ("by_hour" in e.columns)
     e = written(e.select(*columns), "search-edges")
     few = e.count() <= BROADCAST_EDGES
-    return Loaded(e, e.sparkSession.sparkContext.broadcast(Graph.of(e.toArrow())) if few else None)
+    if not few:
+        return Loaded(e, None, parts.divided(e, places))
+    return Loaded(e, e.sparkSession.sparkContext.broadcast(Graph.of(e.toArrow())))
 
 
 def one_to_many(edges: DataFrame | Loaded, origins: DataFrame, targets: list[int] | None = None, paths_too: bool = False) -> DataFrame:
@@ -190,13 +211,15 @@ def one_to_many(edges: DataFrame | Loaded, origins: DataFrame, targets: list[int
     furthest target, all that are reached where a target isn't. Edges are (src, dst, weight_sec[, by_hour][, edge]); a null
     hour takes base weights; an origin that no edge touches has no row. Rows that repeat are searched once.
     """
+    from waymill.operators import parts
+
     at = edges if isinstance(edges, Loaded) else loaded(edges)
     wanted = F.col("targets") if "targets" in origins.columns else F.lit(None if targets is None else [int(t) for t in targets]).cast("array<long>")
     asked = origins.select(F.col("origin").cast("long"), F.col("hour").cast("int"), wanted.alias("targets"))
     every = F.max(F.col("targets").isNull())
     asked = asked.groupBy("origin", "hour").agg(F.when(~every, F.array_sort(F.array_distinct(F.flatten(F.collect_list("targets"))))).alias("targets"))
     asked = written(asked.where("origin IS NOT NULL"), "search-origins")
-    return relaxed_many(at.edges, asked, paths_too) if at.shared is None else kernel(at.shared, asked, paths_too)
+    return parts.searched(at.parts, asked, paths_too) if at.shared is None else kernel(at.shared, asked, paths_too)
 
 
 def kernel(shared: Broadcast, asked: DataFrame, paths_too: bool) -> DataFrame:
@@ -304,6 +327,12 @@ def relaxed_many(edges: DataFrame, asked: DataFrame, paths_too: bool = False) ->
     e = written(hourly(edges, asked), "search-open")
     asked = asked.withColumn("hour", F.coalesce("hour", F.lit(-1)))
     known = relaxed(e, asked)
+    return answered(known, asked, (lambda ends: walked(e, known, ends)) if paths_too else None)
+
+
+def answered(known: DataFrame, asked: DataFrame, walk: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """The rows of one_to_many of all labels (origin, hour, node, key), where hour -1 is none; ``walk`` gives the
+    paths (origin, hour, target, path) of ends (origin, hour, node, key)."""
     seconds = F.shiftright("key", HOP_BITS)
     ends = known.join(asked.select("origin", "hour", F.explode_outer("targets").alias("t")), _state()).where("t IS NULL OR t = node").drop("t")
     ends = written(ends.withColumn("seconds", seconds), "search-ends")
@@ -311,10 +340,10 @@ def relaxed_many(edges: DataFrame, asked: DataFrame, paths_too: bool = False) ->
     far = asked.join(got, _state(), "left").select(*_state(F.when((F.size("targets") > F.coalesce("m", F.lit(0))) | F.col("targets").isNull(), None).otherwise(F.col("last")).alias("last")))
     settled = known.join(far, _state()).where(F.col("last").isNull() | (seconds <= F.col("last"))).groupBy("origin", "hour").agg(F.count("*").alias("settled"))
     out = ends.join(settled, _state())
-    if paths_too:
-        out = out.join(walked(e, known, ends).withColumnRenamed("target", "node"), _state("node"))
+    if walk is not None:
+        out = out.join(walk(ends).withColumnRenamed("target", "node"), _state("node"))
     hour = F.nullif("hour", F.lit(-1)).alias("hour")
-    return out.select("origin", hour, F.col("node").alias("target"), "seconds", "settled", *["path"] * paths_too)
+    return out.select("origin", hour, F.col("node").alias("target"), "seconds", "settled", *["path"] * (walk is not None))
 
 
 def requests(members: DataFrame, places: DataFrame, hour: Column) -> DataFrame:

@@ -1,6 +1,6 @@
 """Registered queries with their SQL."""
 
-from waymill.plans import graphs, ingests, places, reports, rooms, scalars, timing  # noqa: F401
+from waymill.plans import graphs, ingests, places, reports, rooms, scalars, timing, verdicts  # noqa: F401
 from waymill.plans.registry import QUERIES, SQL
 
 

@@ -1,11 +1,15 @@
 """Queries of staging, rules and table maintenance, over two runs made of orders."""
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from waymill.functions.scalars import is_active
 from waymill.operators import ingest, rules
 from waymill.plans.derived import points, points_sql, run, run_sql, runs_with
 from waymill.plans.registry import query, table
+from waymill.scratch import shared_dir
+from waymill.sources import readers
 
 _WITH = f"WITH {runs_with()}"
 _RULES_SQL = {
@@ -110,6 +114,16 @@ def retention(spark, sf_dir):
     return ingest.prune(rows, 7).groupBy("source", "run_id").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH r AS ({_RUNS}), d AS (SELECT DISTINCT source, run_id FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY run_id DESC) AS k FROM d) SELECT source, run_id, count(*) AS n FROM r WHERE (source, run_id) NOT IN (SELECT (source, run_id) FROM k WHERE k > 7) GROUP BY ALL")
+def retention_by_partition(spark, sf_dir):
+    """The same by folders: runs are partitions of a written table, and expired ones are removed whole."""
+    folder = f"{shared_dir(spark)}/runs-{uuid4().hex}"
+    rows = table(spark, sf_dir, "events").selectExpr("event_type AS source", "event_id % 11 + (event_id % 11) div 2 AS run_id", "value")
+    readers.write_runs(rows.repartition("source", "run_id"), folder, "source", "run_id")
+    ingest.expire_partitions(spark, folder, 7)
+    return spark.read.parquet(folder).groupBy("source", F.col("run_id").cast("long").alias("run_id")).agg(F.count("*").alias("n"))
+
+
 _LEDGER = "SELECT event_type AS source, event_id AS id, CASE WHEN event_id % 5 = 0 THEN 'FAILED' WHEN event_id % 7 = 0 THEN 'SKIPPED' ELSE 'SUCCESS' END AS status, floor(value * 10)::BIGINT AS rows_valid FROM events"
 _LEDGER_SPARK = ["event_type AS source", "event_id AS id", "CASE WHEN event_id % 5 = 0 THEN 'FAILED' WHEN event_id % 7 = 0 THEN 'SKIPPED' ELSE 'SUCCESS' END AS status", "CAST(floor(value * 10) AS BIGINT) AS rows_valid"]
 

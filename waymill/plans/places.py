@@ -26,7 +26,7 @@ def nearest_supplier(spark, sf_dir):
 @query(f"""SELECT c_custkey, s_suppkey, distance FROM (SELECT c.id AS c_custkey, s.id AS s_suppkey, sqrt((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y)) AS distance,
   row_number() OVER (PARTITION BY c.id ORDER BY sqrt((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y)), s.id) AS k FROM {_C} c CROSS JOIN {_S} s) WHERE k = 1""")
 def nearest_any_distance(spark, sf_dir):
-    return spatial.nearest_any(_left(points(spark, sf_dir, "customer")), _right(points(spark, sf_dir, "supplier")), 2000.0, "c_custkey", "s_suppkey")
+    return spatial.nearest_any(_left(points(spark, sf_dir, "customer")), _right(points(spark, sf_dir, "supplier")), "c_custkey", "s_suppkey")
 
 
 @query(f"""SELECT s.id AS s_suppkey, count(c.id) AS n, round(coalesce(avg(sqrt((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y))), 0), 6) AS mean FROM {_S} s LEFT JOIN {_C} c

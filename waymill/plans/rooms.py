@@ -111,3 +111,29 @@ def resnapped_origins(spark, sf_dir):
     m = c.select(F.col("c_nationkey").cast("long").alias("room_id"), F.col("id").alias("user_id"), "x", "y", F.expr("CASE WHEN id % 3 > 0 THEN id % 50 END").alias("origin_node_id"), F.lit(None).cast("double").alias("origin_snap_m"), F.expr("id % 3").alias("origin_build_id"))
     out = op.resnapped(m, points(spark, sf_dir, "supplier"), 2)
     return out.select("room_id", "user_id", "origin_node_id", F.round("origin_snap_m", 6).alias("origin_snap_m"), "origin_build_id")
+
+
+#: Members come and go: an event of a user in a room is joining or leaving by its kind.
+_COMES = ["event_id % 40 AS room_id", "event_id AS seq", "user_id % 23 AS user_id", "CASE WHEN event_type IN ('purchase', 'error') THEN 'LEAVE' ELSE 'JOIN' END AS action"]
+_EVENTS_SQL = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY room_id ORDER BY seq) AS k FROM (SELECT {', '.join(_COMES)} FROM events)),
+f(room_id, k, members, owner, there, outcome) AS (SELECT DISTINCT room_id, 0::BIGINT, []::BIGINT[], NULL::BIGINT, true, '' FROM e UNION ALL
+  SELECT room_id, k, CASE outcome WHEN 'CREATED' THEN list_append(members, user_id) WHEN 'JOINED' THEN list_append(members, user_id) WHEN 'LEFT' THEN rest WHEN 'HANDED_OVER' THEN rest WHEN 'DELETED' THEN rest ELSE members END,
+    CASE outcome WHEN 'CREATED' THEN user_id WHEN 'HANDED_OVER' THEN rest[1] WHEN 'DELETED' THEN NULL ELSE owner END, there AND outcome <> 'DELETED', outcome
+  FROM (SELECT e.room_id, e.k, members, owner, there, user_id, list_filter(members, lambda m: m <> user_id) AS rest, CASE WHEN NOT there THEN 'NOT_FOUND'
+    WHEN action = 'JOIN' THEN CASE WHEN list_contains(members, user_id) THEN 'AGAIN' WHEN len(members) >= 10 THEN 'FULL' WHEN owner IS NULL THEN 'CREATED' ELSE 'JOINED' END
+    WHEN NOT list_contains(members, user_id) THEN 'NOT_A_MEMBER' WHEN len(members) = 1 THEN 'DELETED' WHEN owner = user_id THEN 'HANDED_OVER' ELSE 'LEFT' END AS outcome FROM f JOIN e ON e.room_id = f.room_id AND e.k = f.k + 1))"""
+
+
+def _comings(spark, sf_dir):
+    return op.folded(table(spark, sf_dir, "events").selectExpr(*_COMES))
+
+
+@query(f"{_EVENTS_SQL} SELECT e.room_id, seq, user_id, action, outcome, owner AS owner_id, members FROM f JOIN e ON e.room_id = f.room_id AND e.k = f.k")
+def room_events(spark, sf_dir):
+    """What each coming and going did, in the order of events."""
+    return _comings(spark, sf_dir)
+
+
+@query(f"{_EVENTS_SQL} SELECT room_id, owner AS owner_id, members FROM (SELECT *, row_number() OVER (PARTITION BY room_id ORDER BY k DESC) AS last FROM f WHERE outcome <> 'NOT_FOUND') WHERE last = 1 AND len(members) > 0")
+def rooms_standing(spark, sf_dir):
+    return op.standing(_comings(spark, sf_dir))

@@ -188,16 +188,3 @@ def crs_5174_to_5186(spark, sf_dir):
     """Register coordinates in the map's system; the chain of series is also tested against known points."""
     p = crs.to_5186(points(spark, sf_dir, "customer"), "x", "y", "east", "north")
     return p.select("id", F.round("east", 3).alias("east"), F.round("north", 3).alias("north"))
-
-
-@query()
-def crs_candidate_verdict(spark, sf_dir):
-    """How far candidate systems put points of 5174 from their place: median metres each."""
-    p = crs.to_5186(points(spark, sf_dir, "supplier"), "x", "y", "true_x", "true_y")
-    candidates = {"5174": (crs.EPSG_5174, crs.KOREAN_1985), "2097": (crs.EPSG_2097, crs.KOREAN_1985), "three parameters": (crs.EPSG_5174, crs.THREE_PARAMETERS)}
-    out = None
-    for name, (source, datum) in candidates.items():
-        each = crs.to_5186(p, "x", "y", "cx", "cy", source, datum)
-        one = each.select(F.lit(name).alias("candidate"), crs.planar(F.col("cx"), F.col("cy"), F.col("true_x"), F.col("true_y")).alias("d"))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("candidate").agg(F.round(F.percentile("d", F.lit(0.5)), 3).alias("median_m"), F.count("*").alias("n"))

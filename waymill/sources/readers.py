@@ -87,9 +87,9 @@ def jdbc(spark: SparkSession, url: str, query: str, fetch: int = 10_000, **optio
     return spark.read.format("jdbc").options(url=url, query=query, fetchsize=str(fetch), **options).load()
 
 
-def write_runs(df: DataFrame, path: str, key: str = "run_id") -> None:
-    """Appends a run or build as partitions of its own."""
-    df.write.mode("append").partitionBy(key).parquet(path)
+def write_runs(df: DataFrame, path: str, *keys: str) -> None:
+    """Appends a run or build as partitions of its own, by ``keys``, run_id if there are none."""
+    df.write.mode("append").partitionBy(*(keys or ("run_id",))).parquet(path)
 
 
 def write_report(df: DataFrame, path: str, form: str = "csv") -> None:
