@@ -1,7 +1,6 @@
 """WARC archives: a deterministic sharded writer that commits through manifests, and the reader.
 
-Shards are ranges of records in the order of (page_id, url, digest), cut where the sum of stored bytes passes a multiple of
-the shard's size, so that neither the number of partitions nor retries change what a file holds. A task writes a
+Shards are ranges of page_ids, cut where the sum of stored bytes passes a multiple of the shard's size, so that neither the number of partitions nor retries change what a file holds. A task writes a
 shard's files, each record a gzip member of its own, and rolls to the next file when the compressed size is
 reached. Files are written under names of the attempt; their list is a table that only finished attempts get into; listed
 files are renamed, and the manifest, itself renamed when complete, names what readers take.
@@ -26,6 +25,8 @@ from waymill.llm.common import shared_dir, written
 
 #: Stored bytes of a shard: the table's in SHARDS parts, within these bounds.
 SHARD_BYTES, SHARDS = (1 << 20, 512 << 20), 256
+#: Shards at most, so that their bounds are half a megabyte; beyond 32 TB shards grow.
+MAX_SHARDS = 1 << 16
 #: Compressed bytes at which a file is full.
 ROLL_BYTES = 256 << 20
 #: Bytes that a record takes besides its payload.
@@ -159,30 +160,46 @@ def decided(records: DataFrame, least: int) -> DataFrame:
     return out.withColumn("first", F.when(~itself, F.col("first")))
 
 
-def sharded(records: DataFrame, least: int, shard_bytes: int | None) -> DataFrame:
-    """Decided records with their shard: sums of stored bytes over ranges of (page_id, url, digest)."""
+def bounds(records: DataFrame, least: int, shard_bytes: int | None) -> list[int]:
+    """The page_ids at which new shards begin, at most MAX_SHARDS: where the sum of stored bytes of decided records, in the
+    order of (page_id, url, digest), passes a multiple of the shard's size."""
     order = ["page_id", "url", "digest"]
     # A record takes its headers, and its payload unless another one holds it; of copies that are alike one holds it.
     stored = F.when(F.col("first").isNotNull(), 0).when(F.col("size") >= least, F.col("size")).otherwise(F.col("size") * F.col("copies")) + HEADERS * F.col("copies")
-    ranged = decided(records, least).withColumn("_b", stored).repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged = written(ranged.withColumn("_at", F.monotonically_increasing_id()), "warc-ranged")
+    ranged = records.select(*order, stored.alias("_b")).repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = written(ranged.select("page_id", "_b", F.monotonically_increasing_id().alias("_at")), "warc-ranged")
     part = F.shiftright("_at", ROW_BITS)
     sums = ranged.groupBy(part.alias("_part")).agg(F.sum("_b").alias("_s"))
     # One row a partition: the sums before each are a window over as many rows as there are partitions.
     sums = sums.select("_part", F.coalesce(F.sum("_s").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    if shard_bytes is None:
-        whole = ranged.agg(F.sum("_b")).first()[0] or 0
-        shard_bytes = min(max(whole // SHARDS, SHARD_BYTES[0]), SHARD_BYTES[1])
+    whole = ranged.agg(F.sum("_b")).first()[0] or 0
+    size = min(max(whole // SHARDS, SHARD_BYTES[0]), SHARD_BYTES[1]) if shard_bytes is None else shard_bytes
+    size = max(size, -(-whole // MAX_SHARDS))
     inside = F.sum("_b").over(W.partitionBy("_part").orderBy("_at").rowsBetween(W.unboundedPreceding, -1))
     placed = ranged.withColumn("_part", part).join(F.broadcast(sums), "_part").withColumn("_sum", F.col("_before") + F.coalesce(inside, F.lit(0)))
-    return placed.withColumn("shard", F.expr(f"_sum div {shard_bytes}")).drop("_part", "_before", "_sum", "_at", "_b")
+    begins = placed.groupBy(F.expr(f"_sum div {size}").alias("_n")).agg(F.min("page_id").alias("page_id")).select("page_id").distinct()
+    return sorted(r.page_id for r in begins.collect() if r.page_id is not None)
+
+
+def shard_of(page_id, begins: list[int]):
+    """How many shards begin up to a page_id, none for null: of blocks of bounds first, and inside one block then."""
+    step = max(1, int(len(begins) ** 0.5))
+    blocks = [begins[i : i + step] for i in range(0, len(begins), step)]
+    up_to = lambda values: F.size(F.filter(values, lambda b: b <= page_id))
+    longs = lambda values: F.array(*[F.lit(v).cast("long") for v in values]).cast("array<long>")
+    block = up_to(longs([b[0] for b in blocks]))
+    inner = F.get(F.array(*[longs(b) for b in blocks]), block - 1)
+    return F.when(page_id.isNull() | (block == 0), 0).otherwise((block - 1) * step + up_to(inner)).cast("long") if blocks else F.lit(0).cast("long")
 
 
 # --- writing --------------------------------------------------------------------------------------
 
 
 def _files(place: str, least: int, roll: int):
-    """The writer of a task's records, sorted by shard: one row for each finished file."""
+    """The writer of a task's records, sorted by shard: one row for each finished file.
+
+    Before the rows of a record (kind 1) comes what was decided about it (kind 0).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = filesystem(place)
@@ -199,9 +216,12 @@ def _files(place: str, least: int, roll: int):
                 done.append((shard, number, temporary, f"part-{shard:08d}-{number:05d}.warc.gz", records, size, content.hexdigest()))
                 stream = None
 
-        last, copy = None, 0
+        last, copy, first = None, 0, None
         for batch in batches:
             for row in batch.to_pylist():
+                if row["kind"] == 0:
+                    first = row["first"]
+                    continue
                 if row["shard"] != shard or size >= roll:
                     close()
                     number = 0 if row["shard"] != shard else number + 1
@@ -211,7 +231,6 @@ def _files(place: str, least: int, roll: int):
                 digest = base64.b32encode(bytes.fromhex(row["digest"])).decode()
                 same = (row["page_id"], row["url"], digest)
                 copy, last = (copy + 1 if same == last else 0), same
-                first = row["first"]
                 refers = None if first is None else (first["page_id"], first["url"], 0)
                 if refers is None and copy and row["size"] >= least:
                     refers = (row["page_id"], row["url"], 0)
@@ -263,15 +282,15 @@ def write_warc(pages: DataFrame, place: str, least: int = 0, shard_bytes: int |
     spark = pages.sparkSession
     rows = payloads(pages)
     records = written(rows.groupBy("page_id", "url", "digest", "size").agg(F.count("*").alias("copies")), "warc-records")
-    chosen = written(sharded(records, least, shard_bytes).select("page_id", "url", "digest", "size", "shard", "first"), "warc-decided")
-    key = ["digest", "_id", "_url"]
-    keyed = lambda df: df.withColumn("_id", F.coalesce(F.col("page_id").cast("string"), F.lit(""))).withColumn("_url", F.coalesce(F.concat(F.lit("="), "url"), F.lit("")))
-    whole = keyed(rows).select(*key, "payload").join(keyed(chosen), key)
-    needed = F.when(F.col("first").isNull(), F.col("payload")).alias("payload")
-    dealt = whole.select("shard", "page_id", "url", "digest", "size", "first", needed)
-    shards = (chosen.agg(F.max("shard")).first()[0] or 0) + 1
+    chosen = written(decided(records, least), "warc-decided")
+    begins = bounds(chosen, least, shard_bytes)
+    # Payloads are shuffled once, to the tasks of their shards, and meet there what was decided about them.
+    key, more = ["page_id", "url", "digest"], chosen.schema["first"].dataType
+    about = chosen.select(*key, F.lit(0).alias("kind"), "size", "first", F.lit(None).cast("binary").alias("payload"))
+    both = about.unionByName(rows.select(*key, F.lit(1).alias("kind"), "size", F.lit(None).cast(more).alias("first"), "payload"))
+    shards = len(begins) + 1
     tasks = min(shards, max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = dealt.repartition(tasks, "shard").sortWithinPartitions("shard", "page_id", "url", "digest")
+    dealt = both.withColumn("shard", shard_of(F.col("page_id"), begins)).repartition(tasks, "shard").sortWithinPartitions("shard", *key, "kind")
     listed = written(dealt.mapInArrow(_files(place, least, roll_bytes), FILES), "warc-files")
     renamed = listed.repartition(max(1, min(tasks, spark.sparkContext.defaultParallelism)), "name").mapInArrow(_committed(place), FILES).drop("temporary")
     renamed.write.mode("overwrite").parquet(f"{place}/_manifest.tmp")
