@@ -5,11 +5,11 @@ group; the streams of a host's pages are aligned one after another, level by lev
 pages have becomes an optional group, and where texts differ there is a text slot. The wrapper so found
 carries, for each of its groups and slots, the pages it stands on and the characters of text and links in it.
 
-The wrapper decides what is text. Slots whose text is the same on every page are the template; groups that are
-links for the most part are menus; the article is the article or main element with most of the varying text, or
-else the deepest group that holds most of it. Names of tags say what can't be an article's (nav, footer, form, ...).
+The wrapper decides what is text. Slots whose text is the same on every page are the template, in the article only if names
+or links speak against them too; groups that are links for the most part are menus; the article is the article or main element with most of the varying text, or
+else the deepest group that holds most of it. Names of tags say what can't be an article's (nav, footer, ...), and a form isn't unless it stands around the page.
 Words of class and id only vote: whole names like "ad" or "comments" on a group that holds less than half of the host's
-text, and parts of names only where no article or main element marks the article. Each page is then aligned
+text, and parts of names only where no article or main element marks the article, and not on groups of running text. Each page is then aligned
 with its host's wrapper, and the slots that the wrapper keeps are its main text.
 """
 
@@ -38,9 +38,12 @@ BROADCAST_CHARS = 20_000_000
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that may stand around a whole page: theirs is the article's text if most of the page's is in them.
+WRAPS = frozenset("form fieldset".split())
 #: Elements whose text never is the article's.
-SKIPPED = frozenset("head title script style noscript template textarea select option optgroup button input form fieldset legend nav menu aside footer dialog iframe object svg math canvas audio video map datalist search".split())
-RAW = re.compile(r"(?is)<(script|style|noscript|template|textarea|iframe|svg|title|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)")
+SKIPPED = frozenset("head title script style noscript template textarea select option optgroup button input legend nav menu aside footer dialog iframe object svg math canvas audio video map datalist search".split())
+#: Elements whose content is no markup: it ends with their end tag, whatever stands in it.
+RAW = {name: re.compile(rf"(?is)</{name}\s*>|\Z") for name in "script style noscript template textarea iframe svg title xmp".split()}
 TOKEN = re.compile(r"(?s)<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>|([^<]+|<)")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b")
 #: Words in class, id and role that name what isn't the article: they vote where no element marks the article.
@@ -49,6 +52,8 @@ HINTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor s
 NAMES = frozenset("ad ads advert adverts advertisement advertisements sponsored comment comments comment-list respond disqus_thread sidebar cookie cookie-notice cookie-banner newsletter breadcrumb breadcrumbs pagination navigation contentinfo complementary".split())
 #: Elements that group blocks; only these are voted on. The others hold prose.
 GROUPS = frozenset("div section ul ol dl table details center header figure".split())
+#: Elements of running text, and all elements whose text stays although it is the same on all pages.
+WRITTEN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption".split())
 PROSE = frozenset("p li h1 h2 h3 h4 h5 h6 blockquote pre td th dd dt figcaption".split())
 SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 CLOSES_P = BLOCKS - {"html", "body", "head", "title", "option", "optgroup", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "legend", "li", "dt", "dd"}
@@ -96,10 +101,10 @@ class Block:
 def events(page: str) -> Iterator[tuple[str, object]]:
     """("open", Element), ("close", None) and ("block", Block) of a page in order.
 
-    Comments and the contents of scripts, styles and the like are nothing. Inline tags leave no mark,
+    Comments and the contents of scripts, styles and the like are nothing; tags are read one after another, so that
+    what looks like a tag in a comment, an attribute or a script is none. Inline tags leave no mark,
     a line break is white space. End tags close what is open inside, and those of nothing are skipped.
     """
-    page = RAW.sub("", page) if "<" in page else page
     open_: list[Element] = []
     deep: list[Element] = []
     text: list[str] = []
@@ -117,7 +122,9 @@ def events(page: str) -> Iterator[tuple[str, object]]:
         """How many elements an end tag of the name closes."""
         return next((len(stack) - k for k in range(len(stack) - 1, -1, -1) if stack[k].name == name), 0)
 
-    for m in TOKEN.finditer(page):
+    at = 0
+    while m := TOKEN.match(page, at):
+        at = m.end()
         close, name, attributes, data = m.groups()
         if data is not None:
             if not hidden:
@@ -129,6 +136,9 @@ def events(page: str) -> Iterator[tuple[str, object]]:
         if name is None:
             continue
         name = name.lower()
+        if name in RAW and not close:
+            at = at if attributes.endswith("/") and name == "svg" else RAW[name].search(page, at).end()
+            continue
         if name not in BLOCKS:
             if name == "br":
                 text.append(" ")
@@ -335,7 +345,15 @@ def judged(root: Node) -> Node:
     def marked(node: Node) -> bool:
         return not node.hard and (node.tag in ("article", "main") and node.weight > 0 or any(marked(c) for c in node.children))
 
+    def prose(node: Node) -> int:
+        """Characters in paragraphs, headings and the like; set as ``prose``."""
+        node.prose = 0 if node.name == "#" or node.hard else sum([prose(c) for c in node.children])
+        if node.tag in WRITTEN and not node.hard:
+            node.prose = node.chars
+        return node.prose
+
     whole = weigh(root)
+    prose(root)
     same = whole == 0  # all pages are alike: nothing varies, and nothing is the template
     if same:
 
@@ -349,10 +367,12 @@ def judged(root: Node) -> Node:
     def against(node: Node) -> bool:
         if node.hard:
             return True
+        if node.tag in WRAPS:
+            return 2 * node.weight < whole or has_article and not marked(node)
         if node.tag not in GROUPS or 2 * node.weight >= whole:
             return False
         menu = not has_article and node.links >= 0.8 * node.chars > 0
-        return node.vote == 2 or not has_article and (node.vote == 1 or menu)
+        return node.vote == 2 or not has_article and (node.vote == 1 and 2 * node.prose < node.chars or menu)
 
     def left(node: Node) -> int:
         """The weight without what is against it."""
@@ -385,20 +405,26 @@ def judged(root: Node) -> Node:
         good = [p for p, w in weights.items() if p and whole and w >= 0.6 * whole and last(p) not in PROSE and last(p) not in ("tr", "tbody")]
         container = max(good, key=lambda p: (depth[p], weights[p], p), default="")
 
-    def settle(node: Node, path: str, inside: bool, single: bool, prose: bool) -> bool:
-        """Keeps what is in the container and isn't the template; a group stays if anything in it does."""
+    def settle(node: Node, path: str, inside: bool, single: bool, prose: bool, doubted: bool) -> bool:
+        """Keeps what is in the container and isn't the template; a group stays if anything in it does.
+
+        In the container a constant text is the template only if a name or links speak against it too: what another page
+        of the host repeats is no reason alone to drop an article's text.
+        """
         path = f"{path} {node.name}" if node.name else path
+        doubted = doubted or inside and node.vote > 0
         inside = inside or path == container
         single = single and not node.repeated
         if node.name == "#":
             template = single and not prose and not same and node.constant is not None and node.pages == root.pages > 1
-            node.keep = node.keep and inside and not template
+            linked = node.links >= 0.8 * node.chars > 0
+            node.keep = node.keep and inside and not (template and (doubted or linked or not container))
         else:
             prose = prose or node.tag in PROSE
-            node.keep = any([settle(c, path, inside, single, prose) for c in node.children]) and node.keep
+            node.keep = any([settle(c, path, inside, single, prose, doubted) for c in node.children]) and node.keep
         return node.keep
 
-    settle(root, "", not container, True, False)
+    settle(root, "", not container, True, False, False)
     return root
 
 
