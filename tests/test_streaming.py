@@ -1,32 +1,63 @@
-import time
-
-from waymill.streaming.limits import capped_stream, limited_stream
-
-
-def drained(df, name, rows):
-    """Runs the stream until its rows are out; one with timeouts never says that it has nothing left."""
-    query = df.writeStream.format("memory").queryName(name).outputMode("append").start()
-    for _ in range(240):
-        if query.exception() or df.sparkSession.table(name).count() >= rows:
-            break
-        time.sleep(0.25)
-    query.stop()
-
-
-def test_rate_limiter(spark, tmp_path):
-    rows = [("a", t, False) for t in (0, 10, 20, 65)] + [("b", 5, True), ("b", 6, False), ("b", 7, False), ("b", 8, False)]
-    df = spark.createDataFrame(rows, "key string, ts long, uncounted boolean").coalesce(1)
-    df.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    drained(limited_stream(stream, 2, 60), "limited", len(rows))
-    got = {(r.key, r.ts): r.allowed for r in spark.table("limited").collect()}
-    assert got == {("a", 0): True, ("a", 10): True, ("a", 20): False, ("a", 65): True, ("b", 5): True, ("b", 6): True, ("b", 7): True, ("b", 8): False}
-
-
-def test_daily_cap(spark, tmp_path):
-    df = spark.sql("SELECT id, timestamp'2024-01-01 20:00:00' AS ts FROM range(5)").coalesce(1)
-    df.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    drained(capped_stream(stream, 3), "capped", 5)
-    rows = spark.table("capped").collect()
-    assert sum(r.kept for r in rows) == 3 and {r.local_day for r in rows} == {"2024-01-02"}
+import datetime as dt
+
+from waymill.operators.rooms import limited
+from waymill.streaming.limits import capped_stream, drained, ingest_drops, limited_stream
+
+REQUEST = "key string, ts timestamp, id long, uncounted boolean"
+
+
+def at(seconds):
+    return dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=seconds)
+
+
+def played(spark, tmp_path, batches, schema, transform):
+    """Files dropped and drained one batch after the other by one checkpoint."""
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in batches:
+        df = spark.createDataFrame(rows, schema)
+        df.write.mode("append").parquet(inbox)
+        drained(spark, transform, df.schema, inbox, out, str(tmp_path / "checkpoint"))
+    return spark.read.parquet(out)
+
+
+def test_rate_limiter_over_batches(spark, tmp_path):
+    day = 86_400
+    batches = [
+        [("a", at(0), 0, False), ("a", at(20), 2, False), ("a", at(10), 1, False), ("b", at(5), 5, True), ("b", at(6), 6, False)],
+        [("b", at(7), 7, False), ("b", at(8), 8, False), ("a", at(65), 3, False), ("c", None, 9, False)],
+        [("z", at(3 * day), 10, False)],
+        [("a", at(3 * day), 11, False), ("a", at(3 * day + 1), 12, False), ("a", at(3 * day + 2), 13, False)],
+    ]
+    got = {r.id: r.allowed for r in played(spark, tmp_path, batches, REQUEST, lambda s: limited_stream(s, 2, 60)).collect()}
+    assert got == {0: True, 1: True, 2: False, 3: True, 5: True, 6: True, 7: True, 8: False, 10: True, 11: True, 12: True, 13: False}
+
+
+def test_rate_limiter_equals_its_batch_twin(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    rows = sorted((at(rng.randrange(4000)), rng.choice("abc"), i, rng.random() < 0.2) for i in range(300))
+    rows = [(k, t, i, u) for t, k, i, u in rows]
+    rows.sort(key=lambda r: (r[1], r[2]))
+    batches = [rows[i : i + 77] for i in range(0, 300, 77)]
+    got = {r.id: r.allowed for r in played(spark, tmp_path, batches, REQUEST, lambda s: limited_stream(s, 3, 500)).collect()}
+    whole = spark.createDataFrame(rows, REQUEST).select("key", "ts", "id", "uncounted")
+    assert got == {r.id: r.allowed for r in limited(whole, "key", "ts", 3, 500).collect()}
+
+
+def test_daily_cap_over_batches(spark, tmp_path):
+    hour = 3600
+    batches = [[(1, at(20 * hour)), (2, at(21 * hour))], [(4, at(23 * hour)), (3, at(22 * hour)), (5, at(40 * hour)), (6, None)], [(7, at(200 * hour))], [(8, at(200 * hour))]]
+    got = {r.id: (r.local_day, r.kept) for r in played(spark, tmp_path, batches, "id long, ts timestamp", lambda s: capped_stream(s, 3)).collect()}
+    assert got == {1: ("2024-01-02", True), 2: ("2024-01-02", True), 3: ("2024-01-02", True), 4: ("2024-01-02", False), 5: ("2024-01-03", True), 7: ("2024-01-09", True), 8: ("2024-01-09", True)}
+
+
+def test_dropped_files_are_processed_once(spark, tmp_path):
+    folder = tmp_path / "drop"
+    folder.mkdir()
+    seen = []
+    schema = spark.createDataFrame([], "a string, b string").schema
+    for text in ("a,b\n1,x\n", "a,b\n2,y\n3,z\n"):
+        (folder / f"{len(seen)}.csv").write_text(text)
+        ingest_drops(spark, str(folder), schema, lambda df, _: seen.append(sorted(r.a for r in df.collect())), str(tmp_path / "ledger")).awaitTermination()
+    assert seen == [["1"], ["2", "3"]]

@@ -45,9 +45,9 @@ def active_id(spark: SparkSession, folder: str) -> int | None:
     return int(pointers[-1].split("-")[1]) if pointers else None
 
 
-def _note(spark: SparkSession, folder: str, build: int, step: int, status: str, **more) -> None:
+def _note(spark: SparkSession, root: str, build: int, step: int, status: str, **more) -> None:
     row = {"id": build, "step": step, "status": status} | more
-    spark.createDataFrame([tuple(row.get(c.split()[0]) for c in LEDGER.split(", "))], LEDGER).coalesce(1).write.mode("append").parquet(f"{folder}/ledger")
+    spark.createDataFrame([tuple(row.get(c.split()[0]) for c in LEDGER.split(", "))], LEDGER).coalesce(1).write.mode("append").parquet(f"{root}/ledger")
 
 
 def publish(spark: SparkSession, folder: str, make: Callable[[], graph.Part], check: Callable[[graph.Part], None] | None = None, keep: int = 1) -> int:

@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from waymill.functions.crs import planar
 from waymill.functions.scalars import NO_SERVICE, base_line, board_wait, is_branch, number_of, representative, shifted_hours, walk_seconds
 from waymill.operators.spatial import nearest
+from waymill.scratch import written
 
 ACCESS_METRES, TRANSFER_FALLBACK, SAME_LINE, BUS_ALIGHT = 1000.0, 180, 30, 1
 #: Bounds of a bus section's seconds.
@@ -88,14 +90,19 @@ def ride_edges(legs: DataFrame, mode: str) -> DataFrame:
     return _edge(one.where("seconds IS NOT NULL"), at("a"), at("b"), "RIDE", F.lit(mode), F.col("seconds"), F.col("line"))
 
 
+def priced_platforms(waits: DataFrame, walks: DataFrame | None) -> DataFrame:
+    """Platforms (source_id, line, by_hour) with the seconds of their ``walk``, none without one."""
+    w = waits if walks is None else waits.join(walks.select("source_id", "line", F.col("sec").alias("walk")), ["source_id", "line"], "left")
+    return w.withColumn("walk", F.coalesce("walk", F.lit(0)) if "walk" in w.columns else F.lit(0))
+
+
 def board_edges(waits: DataFrame, walks: DataFrame | None, mode: str) -> tuple[DataFrame, DataFrame]:
     """(BOARD, ALIGHT) edges of platforms (source_id, line, by_hour of waits or null).
 
     Boarding is the platform walk plus the hour's wait; platforms without waits get no BOARD.
     Alighting is the walk, one second without one.
     """
-    w = waits if walks is None else waits.join(walks.select("source_id", "line", F.col("sec").alias("walk")), ["source_id", "line"], "left")
-    w = w.withColumn("walk", F.lit(0) if walks is None else F.coalesce("walk", F.lit(0)))
+    w = priced_platforms(waits, walks)
     stop, platform = node_id("STOP", F.lit(mode), F.col("source_id"), F.lit("")), node_id("PLATFORM", F.lit(mode), F.col("source_id"), F.col("line"))
     hours, wait = shifted_hours(F.col("by_hour"), F.col("walk").cast("short")), representative(F.col("by_hour"))
     board = _edge(w.where("by_hour IS NOT NULL").where(wait >= 0), stop, platform, "BOARD", F.lit(mode), F.col("walk") + wait, F.col("line"), hours)
@@ -161,13 +168,16 @@ def joined(*parts: Part) -> Part:
 
 def subway(stations: DataFrame, served: DataFrame, legs: DataFrame, waits: DataFrame, walks: DataFrame | None, transfers: DataFrame) -> tuple[Part, DataFrame]:
     """(the subway's part, transfer seconds) of stations (source_id, name, x, y), platforms served (source_id, line),
-    legs (line, a, b, seconds), waits (source_id, line, by_hour), platform walks (source_id, line, sec) and transfers."""
-    stops = stop_nodes(stations, "SUBWAY")
-    platforms = platform_nodes(served, stops, "SUBWAY")
+    legs (line, a, b, seconds), waits (source_id, line, by_hour), platform walks (source_id, line, sec) and transfers.
+
+    What several kinds of edges are made from is written once: stops, platforms with their prices, transfer seconds.
+    """
+    stops = written(stop_nodes(stations, "SUBWAY"), "subway-stops")
+    platforms = written(platform_nodes(served, stops, "SUBWAY"), "subway-platforms")
     here = platforms.select("source_id", "line")
-    priced = here.join(waits.select("source_id", "line", "by_hour"), ["source_id", "line"], "left")
-    board, alight = board_edges(priced, walks, "SUBWAY")
-    seconds = transfer_seconds(here.withColumnRenamed("source_id", "station"), transfers)
+    priced = written(priced_platforms(here.join(waits.select("source_id", "line", "by_hour"), ["source_id", "line"], "left"), walks), "subway-prices")
+    board, alight = board_edges(priced, None, "SUBWAY")
+    seconds = written(transfer_seconds(here.withColumnRenamed("source_id", "station"), transfers), "transfer-seconds")
     known = legs.join(here.select("line", F.col("source_id").alias("a")), ["line", "a"], "left_semi").join(here.select("line", F.col("source_id").alias("b")), ["line", "b"], "left_semi")
     edges = board.unionByName(alight).unionByName(ride_edges(known, "SUBWAY")).unionByName(transfer_edges(seconds, priced, "SUBWAY"))
     return Part(stops.unionByName(platforms), edges), seconds
@@ -186,6 +196,12 @@ def route_headways(by_number: DataFrame, numbers: DataFrame) -> DataFrame:
     return both.groupBy("route").agg(F.max_by("seconds", "ord").alias("seconds"))
 
 
+def sheet_headways(headways: DataFrame, routes: DataFrame) -> DataFrame:
+    """(route, seconds) of a day type's sheet of headways and the sheet of route ids, as ``sources.sheets.sheet`` reads them."""
+    by_number = headways.select(F.trim("노선번호").alias("number"), F.col("배차간격").alias("minutes"))
+    return route_headways(by_number, routes.select(F.trim("노선명").alias("number"), F.trim("ROUTEID").alias("route"), F.col("_row").alias("ord")))
+
+
 def bus(sections: DataFrame, stops: DataFrame, headways: DataFrame) -> Part:
     """The buses' part of sections (route, a, b, by_hour), stops (source_id, name, x, y) and headways (route, seconds).
 
@@ -195,10 +211,11 @@ def bus(sections: DataFrame, stops: DataFrame, headways: DataFrame) -> Part:
     located = stops.where("x IS NOT NULL AND y IS NOT NULL")
     at = located.select("source_id").distinct()
     known = sections.join(headways.select("route"), "route", "left_semi").join(at.withColumnRenamed("source_id", "a"), "a", "left_semi").join(at.withColumnRenamed("source_id", "b"), "b", "left_semi")
-    legs = known.withColumnRenamed("route", "line")
+    legs = written(known.withColumnRenamed("route", "line"), "bus-legs")
     served = legs.select("line", F.explode(F.array("a", "b")).alias("source_id")).distinct()
-    used = stop_nodes(located.join(served.select("source_id").distinct(), "source_id", "left_semi"), "BUS")
-    platforms = platform_nodes(served, used, "BUS")
+    used = written(stop_nodes(located.join(served.select("source_id").distinct(), "source_id", "left_semi"), "BUS"), "bus-stops")
+    platforms = written(platform_nodes(served, used, "BUS"), "bus-platforms")
+    served = platforms.select("line", "source_id")
     waits = served.join(headways.withColumnRenamed("route", "line"), "line").withColumn("wait", board_wait(F.col("seconds")))
     stop, platform = node_id("STOP", F.lit("BUS"), F.col("source_id"), F.lit("")), node_id("PLATFORM", F.lit("BUS"), F.col("source_id"), F.col("line"))
     board = _edge(waits, stop, platform, "BOARD", F.lit("BUS"), F.col("wait"), F.col("line"))
@@ -235,6 +252,13 @@ def open_edges(edges: DataFrame, hour: int | None) -> DataFrame:
     return edges.select("src", "dst", w.cast("long").alias("w")).where("w >= 0")
 
 
+def max_speed(nodes: DataFrame, edges: DataFrame, hour: int | None) -> DataFrame:
+    """One row (speed, n): the fastest of the n edges that run in an hour and take time, in metres a second between their ends."""
+    p = nodes.select("id", "x", "y")
+    both = open_edges(edges, hour).where("w > 0").join(p.toDF("src", "ax", "ay"), "src").join(p.toDF("dst", "bx", "by"), "dst")
+    return both.agg(F.max(planar(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) / F.col("w")).alias("speed"), F.count("*").alias("n"))
+
+
 def repaired(stops: DataFrame, fixes: DataFrame) -> tuple[DataFrame, int, DataFrame]:
     """(stops with the coordinates of known bad ones replaced, how many fixes applied, fixes whose stop isn't there)."""
     f = fixes.select("source_id", F.col("x").alias("_x"), F.col("y").alias("_y"))

@@ -1,6 +1,6 @@
 """Searches on graphs beyond a broadcast: each part searches its own arrays, and parts exchange labels at their borders.
 
-Nodes are dealt to parts of bounded size, neighbours together where places are known. A part's edges are files of their own, which
+Nodes are dealt to parts of bounded size, neighbours together: by their places, or as clusters of the graph. A part's edges are files of their own, which
 a task loads as arrays. In a round, the labels that improved at a part's nodes spread through the part, and those
 that reach nodes of other parts are sent there; the smallest of each (origin, hour, node) counts, with the edge that it came by.
 Rounds follow the borders that paths cross, and between rounds only labels at borders are kept. When none
@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waymill.operators.search import HOP_BITS, NO_LABEL, NO_SERVICE, Graph, _fan, answered, numbered, settle
@@ -44,8 +45,43 @@ class Parts:
     count: int
 
 
+def clusters(edges: DataFrame, size: int, max_rounds: int = 60) -> DataFrame:
+    """(node, cluster) of edges (src, dst): neighbours that many edges join are together, up to ``size`` nodes.
+
+    In each round half of the clusters, by hash, offer themselves to a neighbour in the other half, the one with which they share
+    most edges, and that one takes them in that order while there is room. Only the contracted edges go on to the next
+    round, so that the work falls with the number of clusters; the end is a round in which hardly any find room.
+    """
+    one, other = F.least("src", "dst"), F.greatest("src", "dst")
+    pairs = written(edges.where("src <> dst").groupBy(one.alias("a"), other.alias("b")).agg(F.count("*").alias("w")), "cluster-pairs")
+    sizes = written(edges.select(F.explode(F.array("src", "dst")).alias("c")).distinct().withColumn("n", F.lit(1)), "cluster-sizes")
+    owners, count, quiet = sizes.select(F.col("c").alias("node"), F.col("c").alias("cluster")), sizes.count(), 0
+    for k in range(max_rounds):
+        takes = lambda c: F.pmod(F.xxhash64(c, F.lit(k)), F.lit(2)) == 0
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).where(~takes("a") & takes("b"))
+        of = lambda c, n: sizes.select(F.col("c").alias(c), F.col("n").alias(n))
+        fits = both.join(of("a", "m"), "a").join(of("b", "n"), "b").where(F.col("m") + F.col("n") <= size)
+        offer = fits.groupBy("a", "m").agg(F.max(F.struct("w", (-F.col("n")).alias("n"), "b")).alias("o")).select("a", "m", "o.w", (-F.col("o.n")).alias("n"), "o.b")
+        room = F.sum("m").over(W.partitionBy("b").orderBy(F.desc("w"), "m", "a"))
+        moved = written(offer.withColumn("_sum", room).where(F.col("_sum") + F.col("n") <= size).select(F.col("a").alias("c"), F.col("b").alias("to")), "cluster-moves")
+        n = moved.count()
+        quiet = quiet + 1 if n * 20 < count else 0
+        if quiet == 2 or not n and quiet:
+            break
+        if not n:
+            continue
+        count -= n
+        now = lambda df, c: df.join(moved.select(F.col("c").alias(c), F.col("to").alias("_to")), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
+        owners = written(now(owners, "cluster"), "cluster-owners")
+        sizes = written(now(sizes, "c").groupBy("c").agg(F.sum("n").cast("int").alias("n")), "cluster-sizes")
+        met = now(now(pairs, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w")
+        pairs = written(met.groupBy("a", "b").agg(F.sum("w").alias("w")), "cluster-pairs")
+    return owners
+
+
 def divided(edges: DataFrame, places: DataFrame | None = None, size: int = PART_NODES) -> Parts:
-    """The parts of a graph, by places (id, x, y); nodes without a place are dealt out by hash.
+    """The parts of a graph: neighbours by places (id, x, y), nodes without one dealt out by hash; or, where no places
+    are given, clusters of the graph itself. The fewer edges leave a part, the fewer rounds a search takes.
 
     Each node also has an edge to itself that never runs, so that every part knows all its nodes.
     """
@@ -53,13 +89,15 @@ def divided(edges: DataFrame, places: DataFrame | None = None, size: int = PART_
     hours = ["by_hour"] * ("by_hour" in e.columns)
     nodes = written(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "part-nodes")
     count = max(1, -(-nodes.count() // size))
-    part = F.pmod(F.xxhash64("node"), F.lit(count)).cast("int").alias("part")
-    if places is None:
-        owners = nodes.select("node", part)
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(count)).cast("int").alias("part")
+    if count == 1:
+        owners = nodes.select("node", F.lit(0).alias("part"))
+    elif places is None:
+        owners = clusters(e, max(1, size // 2)).select("node", part("cluster"))
     else:
         at = placed(places.select(F.col("id").alias("node"), "x", "y"), "x", "y").join(nodes, "node", "left_semi")
         near = blocks(at.dropDuplicates(["node"]), "x", "y", size, "node").select("node", F.col("block").alias("_block"))
-        owners = nodes.join(near, "node", "left").select("node", F.coalesce("_block", part).alias("part"))
+        owners = nodes.join(near, "node", "left").select("node", F.coalesce("_block", part("node")).alias("part"))
     owners = written(owners, "part-owners")
     of = lambda c, p: owners.select(F.col("node").alias(c), F.col("part").alias(p))
     rows = e.select("src", "dst", "edge", "weight_sec", *hours).join(of("src", "part"), "src").join(of("dst", "to_part"), "dst")

@@ -213,21 +213,37 @@ def assembled(spark: SparkSession, sf_dir: str):
     whole = graph.joined(walk, subway, graph.bus(written(bus_sections(spark, sf_dir), "sections"), stops, bus_headways(spark, sf_dir)))
     nodes = written(whole.nodes, "graph-nodes")
     access, _ = graph.access_edges(nodes.where("kind = 'STOP'"), nodes.where("kind = 'WALK'"))
-    return graph.Part(nodes, written(whole.edges.unionByName(access), "graph-edges")), written(seconds, "transfer-seconds")
+    return graph.Part(nodes, written(whole.edges.unionByName(access), "graph-edges")), seconds
 
 
-_BUILDS: dict[tuple[str, str], tuple] = {}
+#: The build of each folder in a session, with the state of the tables that it was made from.
+_BUILDS: dict[tuple[str, str], tuple[tuple, tuple]] = {}
+_TABLES = ("customer", "supplier", "part", "lineitem")
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the files that a graph is made from."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    out = []
+    for name in _TABLES:
+        at = path(f"{sf_dir}/{name}.parquet")
+        out += [(name, f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
+    return tuple(out)
 
 
 def built(spark: SparkSession, sf_dir: str):
-    """(graph, transfer seconds, the graph loaded for searches): one build for a session, as a service would hold its active build."""
+    """(graph, transfer seconds, the graph loaded for searches): one build for a session, made anew when a table has changed."""
     from waymill.operators import search
 
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _BUILDS:
+    key, state = (spark.sparkContext.applicationId, sf_dir), _state(spark, sf_dir)
+    was, made = _BUILDS.get(key, (None, None))
+    if was != state:
+        if made is not None and made[2].shared is not None:
+            made[2].shared.unpersist()
         g, seconds = assembled(spark, sf_dir)
-        _BUILDS[key] = (g, seconds, search.loaded(g.edges))
-    return _BUILDS[key]
+        made = (g, seconds, search.loaded(g.edges, g.nodes))
+        _BUILDS[key] = (state, made)
+    return made
 
 
 def _median(of: str) -> str:

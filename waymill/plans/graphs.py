@@ -1,11 +1,14 @@
 """Queries of graph assembly, search, matrices and routes, on the multimodal graph of the given tables."""
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from waymill.functions.scalars import representative
-from waymill.operators import graph, routes, search, transfers
+from waymill.operators import builds, graph, parts, routes, search, transfers
 from waymill.plans.derived import BUS_DAYS, BUS_SQL, GRAPH_SQL, ROOMS_SQL, assembled, bus_routes, bus_sections, built, calibrated, rooms, served
 from waymill.plans.registry import query, table
+from waymill.scratch import shared_dir
 
 HOURS = (2, 8, 19)
 _G = f"WITH RECURSIVE {GRAPH_SQL}"
@@ -50,10 +53,28 @@ def csr_head(spark, sf_dir):
 @query(f"{_G} SELECT round(max(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / w), 6) AS speed, count(*) AS n FROM (SELECT src, dst, coalesce(by_hour[9], weight_sec) AS w FROM e) e JOIN n a ON a.id = e.src JOIN n b ON b.id = e.dst WHERE w > 0")
 def max_edge_speed(spark, sf_dir):
     g = built(spark, sf_dir)[0]
-    p = g.nodes.select("id", "x", "y")
-    j = graph.open_edges(g.edges, 8).where("w > 0").join(p.toDF("src", "ax", "ay"), "src").join(p.toDF("dst", "bx", "by"), "dst")
-    d = F.sqrt((F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by")))
-    return j.agg(F.round(F.max(d / F.col("w")), 6).alias("speed"), F.count("*").alias("n"))
+    return graph.max_speed(g.nodes, g.edges, 8).withColumn("speed", F.round("speed", 6))
+
+
+@query(f"""{_G}, b AS (SELECT 1 AS id, (SELECT count(*) FROM n WHERE mode <> 'BUS') AS nodes, (SELECT count(*) FROM e WHERE mode <> 'BUS') AS edges UNION ALL SELECT 2, (SELECT count(*) FROM n), (SELECT count(*) FROM e))
+SELECT id::BIGINT AS id, 'SUCCESS' AS status, nodes, edges, id = 2 AS active, CASE WHEN id = 2 THEN nodes END AS readable FROM b UNION ALL SELECT 3, 'FAILED', NULL, NULL, false, NULL""")
+def build_publication(spark, sf_dir):
+    """The ledger after two builds and one that failed between writing and publication, and what the active one holds."""
+    g = built(spark, sf_dir)[0]
+    folder = f"{shared_dir(spark)}/builds-{uuid4().hex}"
+    builds.publish(spark, folder, lambda: graph.Part(g.nodes.where("mode <> 'BUS'"), g.edges.where("mode <> 'BUS'")))
+    builds.publish(spark, folder, lambda: g)
+
+    def refuse(part):
+        raise ValueError("not good enough")
+
+    try:
+        builds.publish(spark, folder, lambda: g, check=refuse)
+    except ValueError:
+        pass
+    current, part = builds.active(spark, folder)
+    held = part.nodes.agg(F.count("*").alias("readable")).select(F.lit(current).cast("long").alias("id"), "readable")
+    return builds.ledger(spark, folder).select("id", "status", "nodes", "edges", "active").join(held, "id", "left")
 
 
 @query(f"{_G} SELECT mode, count(*) AS n, sum(weight_sec)::BIGINT AS seconds, round(sum(distance_m), 3) AS metres FROM e WHERE kind = 'ACCESS' GROUP BY 1")
@@ -150,16 +171,30 @@ def all_reachable(spark, sf_dir):
     return out.groupBy("origin").agg(F.count("*").alias("reached"), F.sum("seconds").alias("total"), F.max("seconds").alias("most"))
 
 
-@query(f"{_G}, s AS (SELECT id AS node FROM sn WHERE source_id IN (SELECT 'S' || min(s_suppkey) FROM supplier GROUP BY s_nationkey)), {_search_sql('s', None)} SELECT o AS origin, count(*) AS reached, sum(k >> {search.HOP_BITS})::BIGINT AS total FROM r GROUP BY o")
+#: Nodes of a part where a graph that would fit is divided all the same.
+PART = 1000
+
+
+@query(f"{_G}, s AS (SELECT id AS node FROM sn WHERE mode = 'SUBWAY'), {_search_sql('s', None)} SELECT o AS origin, count(*) AS reached, sum(k >> {search.HOP_BITS})::BIGINT AS total FROM r GROUP BY o")
 def relaxed_paths(spark, sf_dir):
-    """Distances from a station of each nation by rounds of joins, as for graphs too large to broadcast."""
+    """Distances from every station by searches in the parts of the graph, as for graphs too large to broadcast."""
     g, _, ready = built(spark, sf_dir)
-    first = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.concat(F.lit("S"), F.min("s_suppkey")).alias("source_id"))
-    asked = g.nodes.where("kind = 'STOP'").join(first, "source_id").select(F.col("id").alias("origin"), F.lit(None).cast("int").alias("hour"), F.lit(None).cast("array<long>").alias("targets"))
-    out = search.relaxed_many(ready.edges, asked)
+    divided = parts.divided(ready.edges, None, PART)
+    asked = g.nodes.where("kind = 'STOP' AND mode = 'SUBWAY'").select(F.col("id").alias("origin"), F.lit(None).cast("int").alias("hour"), F.lit(None).cast("array<long>").alias("targets"))
+    out = parts.searched(divided, search.written(asked, "stations"))
     return out.groupBy("origin").agg(F.count("*").alias("reached"), F.sum("seconds").alias("total"))
 
 
+@query(f"{_G}, {ROOMS_SQL}, {_PAIRS}, {_search_sql('mb', 8)} SELECT tp.o AS origin, t AS target, (k >> {search.HOP_BITS})::BIGINT AS seconds, (k & {_HOP - 1})::BIGINT AS edges FROM tp JOIN r ON r.o = tp.o AND r.n = tp.t")
+def paths_by_parts(spark, sf_dir):
+    """Ways from members to places of their rooms, found and walked back in the parts of the graph."""
+    g, ready, _, _, asked = _asked(spark, sf_dir, [8])
+    divided = parts.divided(ready.edges, None, PART)
+    asked = asked.groupBy("origin", "hour").agg(F.array_distinct(F.flatten(F.collect_list("targets"))).alias("targets"))
+    found = parts.searched(divided, search.written(asked, "asked"), paths_too=True)
+    return found.select("origin", "target", "seconds", F.size("path").cast("long").alias("edges"))
+
+
 def _found(spark, sf_dir, hours):
     """(graph, members, places, found paths, their legs, their summaries)."""
     g, ready, members, places, asked = _asked(spark, sf_dir, hours)

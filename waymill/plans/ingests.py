@@ -5,7 +5,7 @@ from uuid import uuid4
 from pyspark.sql import functions as F
 
 from waymill.functions.scalars import is_active
-from waymill.operators import ingest, rules
+from waymill.operators import ingest, rules, runs
 from waymill.plans.derived import points, points_sql, run, run_sql, runs_with
 from waymill.plans.registry import query, table
 from waymill.scratch import shared_dir
@@ -158,3 +158,67 @@ def validation_summary(spark, sf_dir):
 @query(f"SELECT count(x) AS located, count(*) FILTER (NOT (x BETWEEN 150000 AND 228000 AND y BETWEEN 500000 AND 600000)) AS outside, count(*) FILTER (NOT (x BETWEEN 150000 AND 228000 AND y BETWEEN 500000 AND 600000)) / count(x) AS ratio, count(*) FILTER (NOT (x BETWEEN 150000 AND 228000 AND y BETWEEN 500000 AND 600000)) / count(x) > 0.01 AS alarm FROM {points_sql('part')}")
 def out_of_box(spark, sf_dir):
     return ingest.out_of_box(points(spark, sf_dir, "part"), "x", "y", (150_000.0, 500_000.0, 228_000.0, 600_000.0))
+
+
+# --- from files ------------------------------------------------------------------------------------
+
+#: A register as its publisher has it: every 29th place stands twice, the last line counts; every 31st line is broken.
+_LINES = [
+    "CASE WHEN cast(source_id AS bigint) % 29 = 0 THEN array(concat(name, ' old'), name) ELSE array(name) END AS names",
+    "date_format(licensed_date, CASE WHEN cast(source_id AS bigint) % 2 = 0 THEN 'yyyyMMdd' ELSE 'yyyy-MM-dd' END) AS licensed",
+    "date_format(closed_date, 'yyyy-MM-dd HH:mm:ss') AS closed",
+    "cast(x_5186 AS string) AS x",
+    "cast(y_5186 AS string) AS y",
+]
+_FIELDS = {"mgmt_no": "source_id", "biz_name": "n", "biz_type_name": "category_raw", "road_address": "road_address", "jibun_address": "jibun_address", "biz_status_name": "biz_status_name", "license_date": "licensed", "closed_date": "closed", "coord_x": "x", "coord_y": "y"}
+
+
+def _register_files(spark, sf_dir, current, path):
+    rows = run(spark, sf_dir, current).selectExpr("*", *_LINES).selectExpr("*", "posexplode(names) AS (k, n)")
+    fields = [F.coalesce(F.col(_FIELDS[c]), F.lit("")) if c in _FIELDS else F.lit("") for c in readers.LICENCE_COLUMNS]
+    line = F.concat_ws(",", *fields)
+    lines = F.when(F.col("source_id").cast("long") % 31 == 0, F.array(line, F.concat(line, F.lit(",too,many")))).otherwise(F.array(line))
+    readers.write_lines(rows.select(F.explode(lines).alias("line")), path, ",".join(readers.LICENCE_COLUMNS))
+
+
+def _ingested(spark, sf_dir):
+    """(folder, ledger) of four runs from files: new, the same again, changed, and one whose files are gone."""
+    folder = f"{shared_dir(spark)}/ingest-{uuid4().hex}"
+    for name, current in (("before", False), ("now", True)):
+        _register_files(spark, sf_dir, current, f"{folder}/files/{name}")
+    for name in ("before", "before", "now", "gone"):
+        source = readers.Source("FOOD", "places", f"{folder}/files/{name}")
+        gone = name == "gone"
+        found = [] if gone else readers.against(spark, source.path, None, readers.LICENCE_COLUMNS)
+        if found:
+            raise ValueError(f"{source.path}: {found}")
+        digest = "none" if gone else readers.contents_sha256(spark, source.path)
+        ledger = runs.run_all(spark, folder, [runs.Input(source.code, digest, lambda source=source: readers.licences(spark, source))])
+    return folder, ledger
+
+
+_VALID = "x_5186 IS NOT NULL AND trim(name) <> ''"
+_ROWS = "(SELECT sum(CASE WHEN source_id::BIGINT % 29 = 0 THEN 2 ELSE 1 END)::BIGINT FROM {t})"
+
+
+@query(f"""{_WITH}, j AS (SELECT p.source_id AS p, c.source_id AS c, p.biz_status_name IN ('영업/정상', '영업') AS pa, c.biz_status_name IN ('영업/정상', '영업') AS ca FROM prev p FULL OUTER JOIN cur c USING (source_id)),
+o AS (SELECT coalesce(pa, false) AS pa, coalesce(ca, false) AS ca, p, c FROM j)
+SELECT 1::BIGINT AS id, 'SUCCESS' AS status, {_ROWS.format(t='prev')} AS rows_raw, (SELECT count(*) FROM prev WHERE {_VALID}) AS rows_valid, (SELECT count(*) FROM prev) AS n_new, 0::BIGINT AS n_kept, 0::BIGINT AS n_vanished, 0::BIGINT AS n_closed
+UNION ALL SELECT 2, 'SKIPPED', 0, 0, 0, 0, 0, 0
+UNION ALL SELECT 3, 'SUCCESS', {_ROWS.format(t='cur')}, (SELECT count(*) FROM cur WHERE {_VALID}), count(*) FILTER (p IS NULL), count(*) FILTER (p IS NOT NULL AND c IS NOT NULL), count(*) FILTER (c IS NULL), count(*) FILTER (p IS NOT NULL AND c IS NOT NULL AND pa AND NOT ca) FROM o
+UNION ALL SELECT 4, 'FAILED', NULL, NULL, NULL, NULL, NULL, NULL""")
+def ingest_ledger(spark, sf_dir):
+    """The ledger of four runs of a register in files of the legacy encoding, with broken and repeated lines."""
+    return _ingested(spark, sf_dir)[1].select("id", "status", "rows_raw", "rows_valid", "n_new", "n_kept", "n_vanished", "n_closed")
+
+
+_SERVED_FILES = "SELECT source_id, trim(name) AS name, category_raw, licensed_date, closed_date, CASE WHEN coalesce(biz_status_name, '') IN ('영업/정상', '영업') THEN 'ACTIVE' ELSE 'CLOSED' END AS status FROM {t} WHERE " + _VALID
+
+
+@query(f"""{_WITH}, o AS ({_SERVED_FILES.format(t='prev')}), n AS ({_SERVED_FILES.format(t='cur')})
+SELECT source_id, coalesce(n.name, o.name) AS name, coalesce(n.category_raw, o.category_raw) AS category_raw, CASE WHEN n.source_id IS NULL THEN o.licensed_date ELSE n.licensed_date END AS licensed_date, CASE WHEN n.source_id IS NULL THEN o.closed_date ELSE n.closed_date END AS closed_date,
+  CASE WHEN n.source_id IS NULL THEN 'CLOSED' ELSE n.status END AS status, CASE WHEN o.source_id IS NULL THEN 3 ELSE 1 END::BIGINT AS first_seen, CASE WHEN n.source_id IS NULL THEN 1 ELSE 3 END::BIGINT AS last_seen FROM o FULL OUTER JOIN n USING (source_id)""")
+def ingest_serving(spark, sf_dir):
+    """What those runs serve in the end; the failed one has changed nothing."""
+    folder, _ = _ingested(spark, sf_dir)
+    return runs.served(spark, folder, "FOOD").select("source_id", "name", "category_raw", "licensed_date", "closed_date", "status", "first_seen", "last_seen")

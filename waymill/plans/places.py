@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from waymill.operators import spatial
+from waymill.operators import names, spatial
+from waymill.operators import places as op
 from waymill.plans.derived import points, points_sql
 from waymill.plans.registry import query, table
+from waymill.scratch import written
 
 _C, _S, _P = (points_sql(n) for n in ("customer", "supplier", "part"))
 
@@ -59,6 +61,18 @@ def name_search(spark, sf_dir):
     return points(spark, sf_dir, "part").where(F.col("name").like("%an%")).orderBy("name", "id").limit(30).select("id", "name")
 
 
+_WANTED = "CASE p_partkey % 4 WHEN 0 THEN substr(p_name, 2, 3) WHEN 1 THEN substr(p_name, 1, 1) || '%' || substr(p_name, 4, 2) WHEN 2 THEN substr(p_name, 1, 2) || '_' || substr(p_name, 4, 1) ELSE substr(p_name, 3, 2) END"
+
+
+@query(f"""SELECT text, count(*) AS n, min(p.id) AS first FROM (SELECT DISTINCT {_WANTED} AS text FROM part) w JOIN {_P} p ON p.name LIKE '%' || text || '%' GROUP BY text""")
+def names_containing(spark, sf_dir):
+    """Pieces of names, some with wildcards, looked for in the names of all parts by the index of their grams."""
+    p = points(spark, sf_dir, "part").select("id", "name")
+    wanted = table(spark, sf_dir, "part").select(F.expr(_WANTED).alias("text"))
+    found = names.containing(p, written(names.index(p), "grams"), wanted)
+    return found.groupBy("text").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+
+
 @query("""SELECT o_orderkey, coalesce(c_name, '?') AS customer, n_name AS nation, coalesce(f.n, 0) AS findings, f.latest FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0
   LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN (SELECT l_orderkey, count(*) AS n, max(l_shipdate)::DATE AS latest FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) f ON f.l_orderkey = o_orderkey""")
 def place_detail(spark, sf_dir):
@@ -68,3 +82,51 @@ def place_detail(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
     out = o.join(c, o.o_custkey == c.c_custkey, "left").join(F.broadcast(n), c.c_nationkey == n.n_nationkey, "left").join(f, o.o_orderkey == f.l_orderkey, "left")
     return out.select("o_orderkey", F.coalesce("c_name", F.lit("?")).alias("customer"), F.col("n_name").alias("nation"), F.coalesce("n", F.lit(0)).alias("findings"), "latest")
+
+
+# Places of two sources with the same ids, runs of either, and findings on the ids.
+_PLACE = ["o_orderkey AS id", "CASE WHEN o_orderkey % 2 = 0 THEN 'A' ELSE 'B' END AS source", "cast(o_orderkey // 2 AS varchar) AS source_id", "o_orderkey % 5 + 1 AS first_seen", "o_orderkey % 7 + 1 AS last_seen"]
+_FINDING = ["l_linenumber AS run_id", "cast(l_orderkey // 2 AS varchar) AS target_id", "l_returnflag AS rule_code", "l_linestatus AS severity", "cast(l_partkey AS varchar) AS detail"]
+_RUN = ["r_regionkey + 1 AS id", "CASE WHEN r_regionkey % 2 = 0 THEN 'A' ELSE 'B' END AS source"]
+_spark = lambda columns: [c.replace("//", "div").replace("varchar", "string") for c in columns]
+
+
+@query(f"""WITH p AS (SELECT {', '.join(_PLACE)} FROM orders), r AS (SELECT {', '.join(_RUN)}, DATE '2024-03-01' + r_regionkey::INTEGER AS day FROM region), f AS (SELECT {', '.join(_FINDING)} FROM lineitem),
+k AS (SELECT source, target_id, run_id || ':' || severity || ':' || rule_code || ':' || detail AS t, row_number() OVER (PARTITION BY source, target_id ORDER BY run_id DESC, severity, rule_code, detail) AS k FROM f JOIN r ON r.id = run_id),
+l AS (SELECT source, target_id, string_agg(t, ' ' ORDER BY k) AS t FROM k WHERE k <= 3 GROUP BY ALL)
+SELECT p.id, a.day AS first_date, b.day AS last_date, coalesce(l.t, '') AS findings FROM p LEFT JOIN r a ON a.id = first_seen LEFT JOIN r b ON b.id = last_seen LEFT JOIN l ON l.source = p.source AND l.target_id = p.source_id""")
+def place_provenance(spark, sf_dir):
+    """Every place with the runs that saw it and its latest findings, of its own source alone."""
+    places = table(spark, sf_dir, "orders").selectExpr(*_spark(_PLACE))
+    runs = table(spark, sf_dir, "region").selectExpr(*_spark(_RUN), "date_add(DATE '2024-03-01', cast(r_regionkey AS int)) AS snapshot_date")
+    findings = table(spark, sf_dir, "lineitem").selectExpr(*_spark(_FINDING))
+    out = op.details(places, runs, findings, 3)
+    listed = F.transform("findings", lambda f: F.concat_ws(":", f["run_id"].cast("string"), f["severity"], f["rule_code"], f["detail"]))
+    return out.select("id", "first_date", "last_date", F.array_join(listed, " ").alias("findings"))
+
+
+def _places(spark, sf_dir):
+    more = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_brand AS category", "CASE WHEN p_size % 4 = 0 THEN 'CLOSED' ELSE 'ACTIVE' END AS status")
+    return points(spark, sf_dir, "part").join(more, "id")
+
+
+_PLACES_SQL = f"(SELECT p.*, p_brand AS category, CASE WHEN p_size % 4 = 0 THEN 'CLOSED' ELSE 'ACTIVE' END AS status FROM {_P} p JOIN part ON p_partkey = p.id)"
+_DIST = "sqrt((x - 200000.0) * (x - 200000.0) + (y - 550000.0) * (y - 550000.0))"
+
+
+@query(f"SELECT id, name, floor({_DIST} * 10 + 0.5) / 10 AS distance_m FROM {_PLACES_SQL} WHERE status = 'ACTIVE' AND name LIKE '%a_e%' AND {_DIST} <= 9000 ORDER BY {_DIST}, id LIMIT 40")
+def place_search_near(spark, sf_dir):
+    """Open places by a part of their name within nine kilometres of a point, the nearest first."""
+    return op.search(_places(spark, sf_dir), "a_e", (200_000, 550_000), 9000, 40).select("id", "name", "distance_m")
+
+
+@query(f"SELECT id, name, status FROM {_PLACES_SQL} WHERE name LIKE '%re%' AND category = 'Brand#2' ORDER BY name, id LIMIT 50")
+def place_search_category(spark, sf_dir):
+    """Open and closed places of a category by a part of their name."""
+    return op.search(_places(spark, sf_dir), "re", closed=True, category="Brand#2").select("id", "name", "status")
+
+
+@query(f"SELECT id, floor({_DIST} * 10 + 0.5) / 10 AS distance_m FROM {_PLACES_SQL} WHERE status = 'ACTIVE' AND {_DIST} <= 10000 ORDER BY {_DIST}, id LIMIT 200")
+def open_places_nearby(spark, sf_dir):
+    """Open places about a point, radius and number beyond what is allowed."""
+    return op.nearby(_places(spark, sf_dir), 200_000, 550_000, 99_999, 999).select("id", "distance_m")

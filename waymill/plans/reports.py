@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from waymill.operators import reports
+from waymill.operators import builds, reports
 from waymill.plans.registry import query, table
 
 _RUNS = "SELECT event_id AS id, ts AS created_at, CASE WHEN event_type = 'error' THEN 'ERROR' WHEN event_id % 11 = 0 THEN 'NOT_COMPUTABLE' ELSE 'SUCCESS' END AS status, CASE WHEN event_id % 4 = 0 THEN 'DB' ELSE 'CACHE' END AS source, floor(value * 100)::BIGINT AS elapsed_ms, event_id % 3 AS unreachable FROM events"
@@ -49,7 +49,7 @@ def build_counts(spark, sf_dir):
     r, n, o = (table(spark, sf_dir, t) for t in ("region", "nation", "orders"))
     a = r.join(n, n.n_regionkey == r.r_regionkey).groupBy(F.lit("NODE").alias("what"), F.col("r_name").alias("kind")).agg(F.count("*").alias("count"))
     b = o.groupBy(F.lit("EDGE").alias("what"), F.col("o_orderpriority").alias("kind")).agg(F.count("*").alias("count"))
-    return a.unionByName(b).agg(F.to_json(F.array_sort(F.collect_list(F.struct("what", "kind", "count")))).alias("counts"))
+    return builds.counts_json(a.unionByName(b)).select("counts")
 
 
 @query("SELECT 'x' || h AS sample FROM (SELECT md5(c_custkey::VARCHAR) AS h FROM customer) ORDER BY h LIMIT 25")

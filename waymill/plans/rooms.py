@@ -1,10 +1,13 @@
 """Queries of rooms, members and bookmarks, made of orders and events."""
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from waymill.operators import rooms as op
 from waymill.plans.derived import points, points_sql
-from waymill.plans.registry import query, table
+from waymill.plans.registry import SQL, query, table
+from waymill.scratch import shared_dir
 
 _MEMBERS = "SELECT user_id % 40 AS room_id, user_id, min(ts) AS joined_at, max(CASE WHEN event_type = 'click' THEN ts END) AS origin_set_at, max(CASE WHEN event_type = 'purchase' THEN event_id % 900 END) AS origin_node_id, max(CASE WHEN event_type = 'purchase' THEN event_id % 3 END) AS origin_build_id FROM events GROUP BY ALL"
 _BOOKMARKS = "SELECT event_id AS id, user_id % 40 AS room_id, user_id AS added_by, event_id % 500 AS poi_id, ts AS created_at FROM events WHERE event_type = 'view'"
@@ -137,3 +140,17 @@ def room_events(spark, sf_dir):
 @query(f"{_EVENTS_SQL} SELECT room_id, owner AS owner_id, members FROM (SELECT *, row_number() OVER (PARTITION BY room_id ORDER BY k DESC) AS last FROM f WHERE outcome <> 'NOT_FOUND') WHERE last = 1 AND len(members) > 0")
 def rooms_standing(spark, sf_dir):
     return op.standing(_comings(spark, sf_dir))
+
+
+@query(SQL["rate_limit_fixed_window"])
+def rate_limit_stream(spark, sf_dir):
+    """The same by a stream: events are dropped as files week by week, and each drop goes on where the last one ended."""
+    from waymill.streaming.limits import drained, limited_stream
+
+    place = f"{shared_dir(spark)}/requests-{uuid4().hex}"
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.date_trunc("second", "ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"))
+    weeks = e.agg(F.collect_set(F.date_trunc("week", "ts")).alias("w")).first().w
+    for week in sorted(weeks):
+        e.where(F.date_trunc("week", "ts") == F.lit(week)).write.mode("append").parquet(f"{place}/in")
+        drained(spark, lambda s: limited_stream(s, 3, 86_400), e.schema, f"{place}/in", f"{place}/out", f"{place}/checkpoint")
+    return spark.read.parquet(f"{place}/out").select(F.col("key").cast("long").alias("user_id"), F.col("id").alias("event_id"), "allowed")

@@ -104,6 +104,35 @@ def file_sha256(path: str) -> str:
     return h.hexdigest()
 
 
+def contents_sha256(spark: SparkSession, path: str) -> str:
+    """One hash of a file, or of all files of a folder by name, in any store that Spark reads.
+
+    Each file is hashed where it is read; what comes back is a hash a file. Where the same bytes are split over other files
+    the hash is another.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.substring_index("path", "/", -1).alias("name"), F.sha2("content", 256).alias("h"))
+    listed = F.array_sort(F.collect_list(F.concat_ws(":", "name", "h")))
+    return files.agg(F.sha2(F.array_join(listed, ",").cast("binary"), 256)).first()[0]
+
+
+def against(spark: SparkSession, new: str, old: str | None, header: list[str], encoding: str = CP949, least: float = 0.8) -> list[str]:
+    """``accepted`` for files or folders in any store that Spark reads: the header of every file, and sizes in all."""
+    sizes = lambda path: spark.read.format("binaryFile").load(path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    found = []
+    first = F.split(F.regexp_replace(F.substring_index(F.decode(F.substring("content", 1, 1 << 16), encoding), "\n", 1), "^\ufeff|\r$", ""), ",")
+    heads = spark.read.format("binaryFile").load(new).where("length > 0").select(F.transform(first, lambda c: F.trim(F.replace(c, F.lit('"'), F.lit("")))).alias("h"))
+    if heads.where(F.col("h") != F.array(*[F.lit(c) for c in header])).count() or heads.isEmpty():
+        found.append("header")
+    if old is not None and sizes(new) < least * sizes(old):
+        found.append("size")
+    return found
+
+
+def write_lines(df: DataFrame, path: str, header: str, encoding: str = CP949) -> None:
+    """A text column ``line`` written as it is, in a legacy encoding, with the header line atop each file."""
+    df.select(F.col("line").alias(header)).write.option("header", True).option("encoding", encoding).option("sep", "\u0001").option("quote", "\u0000").option("escape", "\u0000").option("emptyValue", "").csv(path)
+
+
 def accepted(new: str, old: str | None, header: list[str], name: str, encoding: str = "cp949", least: float = 0.8) -> list[str]:
     """What speaks against a fetched file: its name, its header, or its size against the one before."""
     against = []
