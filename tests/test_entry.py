@@ -5,10 +5,15 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
 
-def test_queries_without_the_corpus_folders(tmp_path):
+
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_queries_without_the_corpus_folders(tmp_path, pipeline):
+    """With the pipeline's module left behind, which imports what is gone, and without it."""
     root, copy = Path(__file__).resolve().parent.parent, tmp_path / "copy"
-    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", ".pytest_cache"))
+    gone = [] if pipeline else ["corpus_pipeline.py"]
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", ".pytest_cache", *gone))
     for folder in (None, copy / "waymill" / "llm"):
         if folder is not None:
             folder.mkdir()  # an emptied folder counts as none

@@ -170,3 +170,41 @@ def test_files_in_any_store_are_hashed_and_checked(spark, tmp_path):
     assert readers.against(spark, str(tmp_path / "a"), None, ["other"]) == ["header"]
     raw = readers.licences(spark, readers.Source("X", "x", str(tmp_path / "a"))).collect()
     assert len(raw) == 5 and {r.mgmt_no for r in raw} == {"가"}
+
+
+def test_tables_between_jobs_are_removed_with_their_scope(spark, tmp_path):
+    from waymill.scratch import scope, written
+
+    with pytest.raises(RuntimeError, match="stop"), scope(spark):
+        table = written(spark.range(5), "scoped")
+        kept = table.where("id > 2")
+        kept.write.parquet(str(tmp_path / "kept"))
+        folder = table.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert os.path.isdir(folder)
+        raise RuntimeError("stop")
+    assert not os.path.isdir(folder) and spark.read.parquet(str(tmp_path / "kept")).count() == 2
+
+
+def test_optional_filters_and_parallel_arrays(spark):
+    from waymill.operators import places, reports
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, v string")
+    assert [r.k for r in reports.filtered(df, k=None, v="b").collect()] == [2] and reports.filtered(df, k=None, v=None).count() == 3
+    arrays = spark.createDataFrame([(1, ["x", "y"], [7])], "k int, a array<string>, b array<int>")
+    assert [tuple(r) for r in reports.unnested(arrays, ["a", "b"]).collect()] == [(1, 1, "x", 7), (1, 2, "y", None)]
+    some = spark.createDataFrame([(1, "tea room", 0.0, 0.0, "ACTIVE", "c"), (2, "tea", 30.0, 40.0, "ACTIVE", "d"), (3, "tea", 1.0, 0.0, "CLOSED", "c"), (4, "a\\tea%", 9e5, 0.0, "ACTIVE", None), (5, "tea", None, None, "ACTIVE", "c")], "id long, name string, x double, y double, status string, category string")
+    found = lambda *a, **k: [(r.id, r.distance_m) for r in places.search(some, *a, **k).collect()]
+    assert found("tea") == [(4, None), (2, None), (5, None), (1, None)]
+    assert found("tea", (0.0, 0.0)) == [(1, 0.0), (2, 50.0), (4, 900000.0), (5, None)] and found("tea", (0.0, 0.0), 50) == [(1, 0.0), (2, 50.0)] and found("tea", (0.0, 0.0), 0, 2) == [(1, 0.0), (2, 50.0)]
+    assert found("t_a", closed=True, category="c") == [(3, None), (5, None), (1, None)] and found("tea", category=" ") == found("tea") and found("\\t") == [(4, None)]
+    assert [r.id for r in places.nearby(some, 0.0, 0.0, 100, closed=True).collect()] == [1, 3, 2] and [r.id for r in places.nearby(some, 0.0, 0.0, category="d").collect()] == [2]
+
+
+def test_details_know_sources_apart(spark):
+    from waymill.operators import places
+
+    rows = spark.createDataFrame([(1, "A", "x", 1, 2), (2, "B", "x", 2, 9), (3, "A", "y", None, None)], "id long, source string, source_id string, first_seen int, last_seen int")
+    runs = spark.createDataFrame([(1, "A", "d1"), (2, "B", "d2"), (3, "A", "d3")], "id int, source string, snapshot_date string")
+    findings = spark.createDataFrame([(1, "x", "R1", "WARN", "{}"), (3, "x", "R2", "ERROR", "{}"), (3, "x", "R1", "ERROR", None), (2, "x", "R9", "WARN", "{}"), (9, "x", "R1", "WARN", "{}")], "run_id int, target_id string, rule_code string, severity string, detail string")
+    got = {r.id: (r.first_date, r.last_date, [(f.run_id, f.rule_code) for f in r.findings]) for r in places.details(rows, runs, findings, 2).collect()}
+    assert got == {1: ("d1", "d2", [(3, "R1"), (3, "R2")]), 2: ("d2", None, [(2, "R9")]), 3: (None, None, [])}

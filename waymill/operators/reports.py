@@ -33,3 +33,18 @@ def expired(rows: DataFrame, ts: str, now: str, days: int = 30) -> DataFrame:
 
 def page(df: DataFrame, order: list[str], number: int, size: int) -> DataFrame:
     return df.orderBy(*order).offset(number * size).limit(size)
+
+
+def unnested(df: DataFrame, arrays: list[str]) -> DataFrame:
+    """Parallel arrays as rows with their ordinal ``ord`` from 1; where one is shorter its values are null."""
+    rest = [c for c in df.columns if c not in arrays]
+    each = df.select(*rest, F.posexplode(F.arrays_zip(*arrays)).alias("_k", "_z"))
+    return each.select(*rest, (F.col("_k") + 1).cast("long").alias("ord"), *[F.col(f"_z.{a}").alias(a) for a in arrays])
+
+
+def filtered(df: DataFrame, **wanted) -> DataFrame:
+    """Rows whose columns equal what is wanted; a column for which nothing is wanted is left alone."""
+    for name, value in wanted.items():
+        if value is not None:
+            df = df.where(F.col(name) == value)
+    return df

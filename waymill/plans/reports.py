@@ -58,8 +58,10 @@ def deterministic_sample(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.md5(F.col("c_custkey").cast("string")).alias("h")).orderBy("h").limit(25).select(F.concat(F.lit("x"), "h").alias("sample"))
 
 
-@query("SELECT u AS ord, a, b FROM (SELECT unnest(range(1, 4)) AS u, unnest(['p', 'q', 'r']) AS a, unnest([10, 20, 30]) AS b)")
+@query("""SELECT region, u AS ord, a, b FROM (SELECT n_regionkey AS region, unnest(range(1, count(*) + 1)) AS u, unnest(list(n_name ORDER BY n_nationkey)) AS a, unnest(list(n_nationkey ORDER BY n_nationkey)) AS b FROM nation GROUP BY 1)""")
 def arrays_in_order(spark, sf_dir):
-    """Parallel arrays unnested with their ordinal."""
-    one = spark.range(1).select(F.array(F.lit("p"), F.lit("q"), F.lit("r")).alias("a"), F.array(F.lit(10), F.lit(20), F.lit(30)).alias("b"))
-    return one.select(F.posexplode(F.arrays_zip("a", "b")).alias("k", "z")).select((F.col("k") + 1).cast("long").alias("ord"), "z.a", "z.b")
+    """Each region's nations as two parallel arrays, unnested with their ordinal."""
+    n = F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))
+    two = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(n.alias("n"))
+    two = two.select("region", F.transform("n", lambda x: x["n_name"]).alias("a"), F.transform("n", lambda x: x["n_nationkey"]).alias("b"))
+    return reports.unnested(two, ["a", "b"])
