@@ -208,3 +208,51 @@ def test_details_know_sources_apart(spark):
     findings = spark.createDataFrame([(1, "x", "R1", "WARN", "{}"), (3, "x", "R2", "ERROR", "{}"), (3, "x", "R1", "ERROR", None), (2, "x", "R9", "WARN", "{}"), (9, "x", "R1", "WARN", "{}")], "run_id int, target_id string, rule_code string, severity string, detail string")
     got = {r.id: (r.first_date, r.last_date, [(f.run_id, f.rule_code) for f in r.findings]) for r in places.details(rows, runs, findings, 2).collect()}
     assert got == {1: ("d1", "d2", [(3, "R1"), (3, "R2")]), 2: ("d2", None, [(2, "R9")]), 3: (None, None, [])}
+
+
+def test_lines_paths_and_reports(spark, tmp_path):
+    from waymill.operators import routes
+    from waymill.operators.spatial import in_box
+
+    lines = spark.createDataFrame([("2",), ("2성수지선",), ("9급행",), ("2",)], "line string")
+    buses = spark.createDataFrame([("100", "7번", "간선"), ("101", "8번", None)], "route string, name string, type string")
+    known = routes.dictionary(lines, buses)
+    got = {tuple(r) for r in known.collect()}
+    assert got == {("SUBWAY", "2", "2호선", None), ("SUBWAY", "2성수지선", "2호선 성수지선", "성수지선"), ("SUBWAY", "9급행", "9호선 급행", "급행"), ("BUS", "100", "7번", "간선"), ("BUS", "101", "8번", None)}
+    fresh = spark.createDataFrame([("BUS", "100", "9번", None), ("BUS", "102", "x", "y")], known.schema)
+    after = {(r.mode, r.source_id): r.name for r in ingest.overwrite(known, fresh, ["mode", "source_id"]).collect()}
+    assert len(after) == 6 and after["BUS", "100"] == "9번" and after["BUS", "101"] == "8번"
+    legs = spark.createDataFrame([(1, None, 1, "WALK", [[200000.0, 600000.0], [200100.0, 600000.0]]), (1, None, 2, "BOARD", [])], "o int, hour int, leg int, kind string, path array<array<double>>")
+    paths = {r.leg: r.path for r in routes.in_degrees(legs, ["o", "hour"]).collect()}
+    assert paths[1][0] == [127.0, 38.0] and paths[1][1][0] == pytest.approx(127.001139, abs=2e-6) and paths[2] == []
+    readers.write_report(known, str(tmp_path / "csv"))
+    readers.write_report(known, str(tmp_path / "json"), "json")
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 5 and spark.read.json(str(tmp_path / "json")).where("type = '간선'").first().name == "7번"
+    box = spark.createDataFrame([(1.0, 1.0), (3.0, 1.0), (None, 1.0)], "x double, y double")
+    assert [r[0] for r in box.select(in_box(F.col("x"), F.col("y"), 0.0, 0.0, 2.0, 2.0)).collect()] == [True, False, None]
+
+
+def test_clusters_hold_neighbours_and_are_bounded(spark):
+    from waymill.operators import parts
+
+    chains = [(1000 * c + i, 1000 * c + i + 1) for c in range(4) for i in range(60)]
+    hub = [(5000, 5001 + i) for i in range(50)]
+    edges = spark.createDataFrame(chains + hub + [(7000, 7000), (0, 1000)], "src long, dst long")
+    got = {r.node: r.cluster for r in parts.clusters(edges, 20).collect()}
+    assert set(got) == {n for e in chains + hub + [(7000, 7000)] for n in e}
+    sizes = {c: sum(v == c for v in got.values()) for c in set(got.values())}
+    assert max(sizes.values()) <= 20 and sum(got[a] != got[b] for a, b in chains) < len(chains) / 4
+    assert got == {r.node: r.cluster for r in parts.clusters(edges.repartition(7), 20).collect()}
+    assert {r.cluster for r in parts.clusters(edges.where("src >= 5000"), 1).collect()} == {n for e in hub for n in e} | {7000}
+
+
+def test_a_graph_divided_by_clusters_gives_the_kernels_rows(spark):
+    from waymill.operators import parts, search
+
+    rng = random.Random(8)
+    rows = [(i, i + 1, rng.randrange(1, 9)) for i in range(80)] + [(i + 1, i, rng.randrange(1, 9)) for i in range(80)] + [(rng.randrange(80), rng.randrange(80), 30) for _ in range(12)] + [(90, 91, 1)]
+    edges = spark.createDataFrame(rows, "src long, dst long, weight_sec int")
+    asked = spark.createDataFrame([(0, None, None), (40, None, [3, 79, 91]), (90, None, None), (91, None, None)], "origin long, hour int, targets array<long>")
+    ready = search.loaded(edges)
+    shown = lambda df: sorted((r.origin, r.target, r.seconds, r.settled, [tuple(s) for s in r.path]) for r in df.collect())
+    assert shown(parts.searched(parts.divided(ready.edges, None, 24), asked, True)) == shown(search.one_to_many(ready, asked, paths_too=True))

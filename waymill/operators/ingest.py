@@ -91,6 +91,11 @@ def insert_absent(known: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     return known.unionByName(fresh.join(known.select(key), key, "left_anti"))
 
 
+def overwrite(known: DataFrame, fresh: DataFrame, key: list[str]) -> DataFrame:
+    """A dictionary in which fresh entries replace known ones of the same key, whole."""
+    return fresh.unionByName(known.join(fresh.select(*key), key, "left_anti").select(*fresh.columns))
+
+
 def close_vanished(serving: DataFrame, run_id: int) -> DataFrame:
     """Open rows that the run didn't bring are closed; rows that a rule rejected weren't brought."""
     gone = (F.col("status") == "ACTIVE") & (F.col("last_seen") < run_id)

@@ -5,8 +5,8 @@ from uuid import uuid4
 from pyspark.sql import functions as F
 
 from waymill.functions.scalars import representative
-from waymill.operators import builds, graph, parts, routes, search, transfers
-from waymill.plans.derived import BUS_DAYS, BUS_SQL, GRAPH_SQL, ROOMS_SQL, assembled, bus_routes, bus_sections, built, calibrated, rooms, served
+from waymill.operators import builds, graph, ingest, parts, routes, search, transfers
+from waymill.plans.derived import BUS_DAYS, BUS_SQL, GRAPH_SQL, ROOMS_SQL, SERVED_SQL, assembled, bus_routes, bus_sections, built, calibrated, points, points_sql, rooms, served
 from waymill.plans.registry import query, table
 from waymill.scratch import shared_dir
 
@@ -264,6 +264,37 @@ def route_detail(spark, sf_dir):
     return legs.select("origin", "target", F.col("leg").cast("long").alias("leg"), "kind", "line", "seconds", "stops", F.round("distance_m", 6).alias("distance_m"), "to_name")
 
 
+_LINE_NAME = "CASE WHEN regexp_matches(line, '^[0-9]') THEN regexp_replace(line, '(급행|성수지선|신정지선)$', '') || '호선' || CASE WHEN line LIKE '%급행' THEN ' 급행' WHEN line LIKE '%지선' THEN ' ' || substr(line, 2) ELSE '' END ELSE regexp_extract(line, '([0-9]+)$', 1) || '번' END"
+_LINE_TYPE = "CASE WHEN line LIKE '%급행' THEN '급행' WHEN line LIKE '%지선' THEN substr(line, 2) WHEN NOT regexp_matches(line, '^[0-9]') THEN (SELECT type FROM br WHERE route = line) END"
+
+
+@query(f"{_WHOLE.format(search=_search_sql('mb', 19))} SELECT o AS origin, t AS target, leg, kind, CASE WHEN line IS NOT NULL THEN {_LINE_NAME} END AS label, {_LINE_TYPE} AS route_type, seconds FROM lg")
+def route_labels(spark, sf_dir):
+    """The legs of every cell's way with the names and types of their lines as people read them."""
+    legs = _found(spark, sf_dir, [19])[4]
+    out = routes.named(legs, routes.dictionary(served(spark, sf_dir), bus_routes(spark, sf_dir)))
+    return out.select("origin", "target", F.col("leg").cast("long").alias("leg"), "kind", "label", "route_type", "seconds")
+
+
+@query(f"WITH {BUS_SQL}, sv AS {SERVED_SQL}, l AS (SELECT DISTINCT line FROM sv UNION ALL SELECT route FROM br), f AS (SELECT CASE WHEN regexp_matches(line, '^[0-9]') THEN 'SUBWAY' ELSE 'BUS' END AS mode, line AS source_id, {_LINE_NAME} AS name, {_LINE_TYPE} AS type FROM l) SELECT * FROM f UNION ALL SELECT 'BUS', 'gone ' || n_nationkey, n_name, NULL FROM nation")
+def transit_routes(spark, sf_dir):
+    """The dictionary of lines after an upsert: what comes again is replaced, what doesn't stays."""
+    fresh = routes.dictionary(served(spark, sf_dir), bus_routes(spark, sf_dir))
+    old = fresh.select("mode", "source_id", F.lit("before").alias("name"), F.lit("before").alias("type"))
+    gone = table(spark, sf_dir, "nation").select(F.lit("BUS").alias("mode"), F.concat(F.lit("gone "), F.col("n_nationkey").cast("string")).alias("source_id"), F.col("n_name").alias("name"), F.lit(None).cast("string").alias("type"))
+    return ingest.overwrite(old.unionByName(gone), fresh, ["mode", "source_id"])
+
+
+@query(f"SELECT 'S' || id AS source_id, CASE WHEN id % 7 = 0 THEN x + 5 ELSE x END AS x, CASE WHEN id % 7 = 0 THEN y - 5 ELSE y END AS y, false AS stale FROM {points_sql('supplier')} UNION ALL SELECT 'T' || id, x + 5, y - 5, true FROM {points_sql('supplier')} WHERE id % 7 = 0")
+def stops_repaired(spark, sf_dir):
+    """Stops with known bad coordinates replaced, and the repairs whose stop isn't there."""
+    s = points(spark, sf_dir, "supplier")
+    stops = s.select(F.concat(F.lit("S"), "id").alias("source_id"), "x", "y")
+    bad = s.where("id % 7 = 0").select(F.explode(F.array(F.concat(F.lit("S"), "id"), F.concat(F.lit("T"), "id"))).alias("source_id"), (F.col("x") + 5).alias("x"), (F.col("y") - 5).alias("y"))
+    fixed, _, stale = graph.repaired(stops, bad)
+    return fixed.withColumn("stale", F.lit(False)).unionByName(stale.select("source_id", "x", "y", F.lit(True).alias("stale")))
+
+
 #: The same as SQL, which takes minutes from a thousandth of the given scale on; tests run it on the smallest tables.
 POINT_ROUTES_SQL = f"""{_G}, ds AS (SELECT id, x, y, source_id, name, mode FROM n WHERE kind = 'STOP' AND mode = 'SUBWAY'), tr AS (SELECT name AS trip, id AS a, lead(id, 3) OVER (ORDER BY source_id) AS b FROM ds),
 rn AS (SELECT DISTINCT a AS node FROM tr), tp AS (SELECT a AS o, b AS t FROM tr WHERE b IS NOT NULL), {_search_sql('rn', 8)}, {_LEGS}

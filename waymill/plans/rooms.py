@@ -154,3 +154,17 @@ def rate_limit_stream(spark, sf_dir):
         e.where(F.date_trunc("week", "ts") == F.lit(week)).write.mode("append").parquet(f"{place}/in")
         drained(spark, lambda s: limited_stream(s, 3, 86_400), e.schema, f"{place}/in", f"{place}/out", f"{place}/checkpoint")
     return spark.read.parquet(f"{place}/out").select(F.col("key").cast("long").alias("user_id"), F.col("id").alias("event_id"), "allowed")
+
+
+@query(SQL["daily_cap"])
+def daily_cap_stream(spark, sf_dir):
+    """The daily cap by a stream over drops of two weeks each; a day that two drops share is counted on."""
+    from waymill.streaming.limits import capped_stream, drained
+
+    place = f"{shared_dir(spark)}/capped-{uuid4().hex}"
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+    fortnight = F.floor(F.unix_seconds("ts") / (14 * 86_400))
+    for k in sorted(e.agg(F.collect_set(fortnight).alias("k")).first().k):
+        e.where(fortnight == k).write.mode("append").parquet(f"{place}/in")
+        drained(spark, lambda s: capped_stream(s, 50), e.schema, f"{place}/in", f"{place}/out", f"{place}/checkpoint")
+    return spark.read.parquet(f"{place}/out").where("kept").select(F.to_date("local_day").alias("local_day"), F.col("id").alias("event_id"))
