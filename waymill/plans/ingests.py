@@ -184,6 +184,11 @@ def _register_files(spark, sf_dir, current, path):
 def _ingested(spark, sf_dir):
     """(folder, ledger) of four runs from files: new, the same again, changed, and one whose files are gone."""
     folder = f"{shared_dir(spark)}/ingest-{uuid4().hex}"
+    with readers.legacy(spark):
+        return folder, _runs(spark, sf_dir, folder)
+
+
+def _runs(spark, sf_dir, folder):
     for name, current in (("before", False), ("now", True)):
         _register_files(spark, sf_dir, current, f"{folder}/files/{name}")
     for name in ("before", "before", "now", "gone"):
@@ -194,7 +199,7 @@ def _ingested(spark, sf_dir):
             raise ValueError(f"{source.path}: {found}")
         digest = "none" if gone else readers.contents_sha256(spark, source.path)
         ledger = runs.run_all(spark, folder, [runs.Input(source.code, digest, lambda source=source: readers.licences(spark, source))])
-    return folder, ledger
+    return ledger
 
 
 _VALID = "x_5186 IS NOT NULL AND trim(name) <> ''"

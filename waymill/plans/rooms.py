@@ -152,7 +152,7 @@ def rate_limit_stream(spark, sf_dir):
     weeks = e.agg(F.collect_set(F.date_trunc("week", "ts")).alias("w")).first().w
     for week in sorted(weeks):
         e.where(F.date_trunc("week", "ts") == F.lit(week)).write.mode("append").parquet(f"{place}/in")
-        drained(spark, lambda s: limited_stream(s, 3, 86_400), e.schema, f"{place}/in", f"{place}/out", f"{place}/checkpoint")
+        drained(spark, lambda s: limited_stream(s, 3, 86_400), e.schema, f"{place}/in", f"{place}/out", f"{place}/checkpoint", spark.sparkContext.defaultParallelism)
     return spark.read.parquet(f"{place}/out").select(F.col("key").cast("long").alias("user_id"), F.col("id").alias("event_id"), "allowed")
 
 
@@ -166,5 +166,5 @@ def daily_cap_stream(spark, sf_dir):
     fortnight = F.floor(F.unix_seconds("ts") / (14 * 86_400))
     for k in sorted(e.agg(F.collect_set(fortnight).alias("k")).first().k):
         e.where(fortnight == k).write.mode("append").parquet(f"{place}/in")
-        drained(spark, lambda s: capped_stream(s, 50), e.schema, f"{place}/in", f"{place}/out", f"{place}/checkpoint")
+        drained(spark, lambda s: capped_stream(s, 50), e.schema, f"{place}/in", f"{place}/out", f"{place}/checkpoint", spark.sparkContext.defaultParallelism)
     return spark.read.parquet(f"{place}/out").where("kept").select(F.to_date("local_day").alias("local_day"), F.col("id").alias("event_id"))

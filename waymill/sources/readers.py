@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -46,11 +48,25 @@ class Catalogue:
         return list(self._by_code)
 
 
+@contextlib.contextmanager
+def legacy(spark: SparkSession) -> Iterator[None]:
+    """Within it the session reads and writes CP949 and judges whole CSV rows, whatever it was configured with."""
+    wanted = {"spark.sql.legacy.javaCharsets": "true", "spark.sql.csv.parser.columnPruning.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def csv(spark: SparkSession, path: str, encoding: str = UTF8_BOM, schema: T.StructType | None = None, columns: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """An all-string CSV with a header; rows with too many or too few fields are skipped.
 
     With a schema the fields are taken by place. CP949 needs spark.sql.legacy.javaCharsets, and skipping
-    whole bad rows under a narrow selection spark.sql.csv.parser.columnPruning.enabled=false (see session).
+    whole bad rows under a narrow selection spark.sql.csv.parser.columnPruning.enabled=false (see session, or ``legacy``).
     """
     reader = spark.read.option("header", True).option("encoding", encoding).option("mode", "DROPMALFORMED")
     df = reader.schema(schema).option("enforceSchema", True).csv(path) if schema else reader.option("inferSchema", False).csv(path)

@@ -105,10 +105,15 @@ def capped_stream(rows: DataFrame, cap: int, zone: str = "Asia/Seoul", late: str
     return timed.groupBy("local_day").transformWithStateInPandas(Days(cap, zone), "local_day string, id long, kept boolean", "Append", "EventTime")
 
 
-def drained(spark: SparkSession, transform: Callable[[DataFrame], DataFrame], schema: T.StructType, inbox: str, out: str, checkpoint: str) -> None:
-    """Runs a stream over the files that were dropped in ``inbox`` since it last ran, and appends what it gives to ``out``."""
-    kept = {k: spark.conf.get(k, None) for k in STORE}
-    for k, v in STORE.items():
+def drained(spark: SparkSession, transform: Callable[[DataFrame], DataFrame], schema: T.StructType, inbox: str, out: str, checkpoint: str, partitions: int | None = None) -> None:
+    """Runs a stream over the files that were dropped in ``inbox`` since it last ran, and appends what it gives to ``out``.
+
+    State is dealt to ``partitions`` stores, as many as the session has shuffle partitions unless they are given; the first
+    run of a checkpoint decides.
+    """
+    wanted = STORE | ({} if partitions is None else {"spark.sql.shuffle.partitions": str(partitions)})
+    kept = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
         spark.conf.set(k, v)
     try:
         files = spark.readStream.schema(schema).parquet(inbox)
