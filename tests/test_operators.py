@@ -23,7 +23,7 @@ def test_parsers(spark):
     good = ["2019-03-07", "20190307", "2019-3-7", "2019-3-07 23:59:60", "\t2019-03-07 ", "2019-3-7 5:06:07", "20190307170000"]
     assert column(spark, good, s.parse_date) == [day] * len(good)
     assert column(spark, ["", "   ", "미상", "2019-02-30", "2019-3-7 5:06", "19-03-07", None], s.parse_date) == [None] * 7
-    assert column(spark, ["00:00:01", "01:02:03", "24:00:00", "25:14:00", "00:00:00", "12:30", "ab:cd:ef", " ", None], s.parse_hms) == [1, 3723, 86400, 90840] + [None] * 5
+    assert column(spark, ["00:00:07", "03:04:05", "24:00:09", "26:10:30", "00:00:00", "7:15", "xx:10:00", " ", None], s.parse_hms) == [7, 11045, 86409, 94230] + [None] * 5
     assert column(spark, ["영업/정상", "영업", " 영업/정상 ", "폐업", "휴업", None], s.is_active) == [True] * 3 + [False] * 3
     assert column(spark, [" 한식 · 분식 ", " · ", None], s.normalize_category) == ["한식분식", None, None]
     assert column(spark, ["2호선", " 9 호선 ", "경인선", "12호선"], s.normalize_line) == ["2", "9", None, None]
