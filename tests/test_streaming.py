@@ -45,6 +45,25 @@ def test_rate_limiter_equals_its_batch_twin(spark, tmp_path):
     assert got == {r.id: r.allowed for r in limited(whole, "key", "ts", 3, 500).collect()}
 
 
+def test_rate_limits_equal_their_sql_at_parts_of_seconds(spark, tmp_path):
+    """Windows begin and end at the nearest second, of two the even one, as the SQL's cast has it."""
+    import duckdb
+
+    from waymill.plans import rooms
+
+    at_ = lambda day, s: dt.datetime(2024, 1, 1) + dt.timedelta(days=day, seconds=s)
+    # A window that begins at 0.6 or 1.5 s ends at 1 or 2 s of the next day, one from 0.5 s at 0.
+    times = {0: [0.6, 0.7, 0.8], 1: [1.5, 1.6, 1.7], 2: [0.5, 0.6, 0.7], 3: [0.2, 0.9, 3.5]}
+    rows = [(u, at_(0, s)) for u, t in times.items() for s in t] + [(u, at_(1, s)) for u in times for s in (0.2, 0.5, 1.2, 1.8)]
+    rows = [(i, u, t, "click", 1.0) for i, (u, t) in enumerate(rows)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double").repartition(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.sql(rooms.SQL["rate_limit_fixed_window"]).fetchall())
+    assert sorted(map(tuple, rooms.rate_limit_fixed_window(spark, str(tmp_path)).collect())) == want
+    assert sorted(map(tuple, rooms.rate_limit_stream(spark, str(tmp_path)).collect())) == want
+
+
 def test_daily_cap_over_batches(spark, tmp_path):
     hour = 3600
     batches = [[(1, at(20 * hour)), (2, at(21 * hour))], [(4, at(23 * hour)), (3, at(22 * hour)), (5, at(40 * hour)), (6, None)], [(7, at(200 * hour))], [(8, at(200 * hour))]]

@@ -14,6 +14,11 @@ _BOOKMARKS = "SELECT event_id AS id, user_id % 40 AS room_id, user_id AS added_b
 _ROOMS = "SELECT user_id % 40 AS room_id, min(user_id) AS owner_id, min(ts) AS created_at FROM events GROUP BY 1"
 
 
+def _second():
+    """``ts`` to the nearest second, of two the even one, as a cast of its epoch to whole seconds gives it in the SQL."""
+    return F.timestamp_seconds(F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long"))
+
+
 def _members(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     buys = F.col("event_type") == "purchase"
@@ -90,7 +95,7 @@ r AS (SELECT user_id, event_id, k, t AS begun, 1 AS n, true AS allowed FROM e WH
   SELECT e.user_id, e.event_id, e.k, CASE WHEN e.t >= r.begun + 86400 THEN e.t ELSE r.begun END, CASE WHEN e.t >= r.begun + 86400 THEN 1 ELSE least(3, r.n + 1) END, e.t >= r.begun + 86400 OR r.n < 3 FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
 SELECT user_id, event_id, allowed FROM r""")
 def rate_limit_fixed_window(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", F.date_trunc("second", "ts").alias("ts"), "event_id")
+    e = table(spark, sf_dir, "events").select("user_id", _second().alias("ts"), "event_id")
     return op.limited(e, "user_id", "ts", 3, 86_400).select("user_id", "event_id", "allowed")
 
 
@@ -148,7 +153,7 @@ def rate_limit_stream(spark, sf_dir):
     from waymill.streaming.limits import drained, limited_stream
 
     place = f"{shared_dir(spark)}/requests-{uuid4().hex}"
-    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.date_trunc("second", "ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), _second().alias("ts"), F.col("event_id").alias("id"))
     weeks = e.agg(F.collect_set(F.date_trunc("week", "ts")).alias("w")).first().w
     for week in sorted(weeks):
         e.where(F.date_trunc("week", "ts") == F.lit(week)).write.mode("append").parquet(f"{place}/in")
