@@ -66,11 +66,33 @@ def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return joined.where(F.col("distance") <= radius).drop("_cx", "_cy")
 
 
+def places(right: DataFrame, right_key: str) -> DataFrame:
+    """(rx, ry, smallest key) of right rows: of those at one place no other can be the nearest."""
+    return right.where(F.col(right_key).isNotNull()).groupBy("rx", "ry").agg(F.min(right_key).alias(right_key))
+
+
+def distinct_places(left: DataFrame) -> DataFrame:
+    """(lx, ly) of left rows once each, in as many tasks as there are cores: few bytes that much work follows from."""
+    return left.select("lx", "ly").repartition(2 * left.sparkSession.sparkContext.defaultParallelism, "lx", "ly").distinct()
+
+
 def nearest(left: DataFrame, right: DataFrame, radius: float, left_key: str, right_key: str) -> DataFrame:
-    """For each left row with one in reach the nearest right row; of equals the smallest key."""
-    pairs = within(left, right, radius)
-    best = pairs.groupBy(left_key).agg(F.min_by(F.struct(right_key, "distance"), F.struct("distance", right_key)).alias("_b"))
-    return best.select(left_key, F.col(f"_b.{right_key}").alias(right_key), F.col("_b.distance").alias("distance"))
+    """For each left row with one in reach the nearest right row; of equals the smallest key.
+
+    A place is searched once, however many rows of either side are there: the work follows the places, and rows meet
+    what their place has found by equal coordinates.
+    """
+    given = left.select(left_key, F.col("lx").cast("double").alias("lx"), F.col("ly").cast("double").alias("ly"))
+    pairs = within(distinct_places(given), places(right, right_key), radius)
+    best = pairs.groupBy("lx", "ly").agg(F.min_by(F.struct(right_key, "distance"), F.struct("distance", right_key)).alias("_b"))
+    return _shared(given, best, left_key, right_key)
+
+
+def _shared(left: DataFrame, best: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """(left key, right key, distance) of left rows by the best ``_b`` of their place (lx, ly), the nearest of a repeated key's."""
+    every = left.join(best, ["lx", "ly"])
+    every = every.groupBy(left_key).agg(F.min_by("_b", F.struct("_b.distance", f"_b.{right_key}")).alias("_b"))
+    return every.select(left_key, F.col(f"_b.{right_key}").alias(right_key), F.col("_b.distance").alias("distance"))
 
 
 def _box(columns: tuple[str, str, str, str]) -> list[Column]:
@@ -120,23 +142,27 @@ def nearest_any(left: DataFrame, right: DataFrame, left_key: str, right_key: str
 
     Right points are dealt to blocks of neighbours of about ``size``, and those to at most BOXES groups. From the boxes around
     groups each left row gets those that may hold its nearest point, from the boxes around their blocks likewise, and
-    meets the points of those blocks alone: three joins on keys at any distance, none of all with all. Rows with a null, NaN or
+    meets the points of those blocks alone: joins on keys at any distance, none of all with all. As many blocks as there may be
+    groups are their own groups, and a place is searched once, however many rows are there. Rows with a null, NaN or
     infinite coordinate or a null key have no nearest row and are none; without right rows there is no row.
     """
-    there = placed(right, "rx", "ry").where(F.col(right_key).isNotNull()).groupBy("rx", "ry").agg(F.min(right_key).alias(right_key))
-    fine = blocks(there, "rx", "ry", size, right_key)
+    fine = blocks(places(placed(right, "rx", "ry"), right_key), "rx", "ry", size, right_key)
     last = fine.agg(F.max("block")).first()[0]
     per = 1 if last is None else -(-(last + 1) // BOXES)
     boxes = written(fine.groupBy("block").agg(*_box(("rx", "rx", "ry", "ry"))).withColumn("_big", F.expr(f"block div {per}")), "boxes")
     big = boxes.groupBy("_big").agg(*_box(("x0", "x1", "y0", "y1")))
-    asked = placed(left, "lx", "ly").where(F.col(left_key).isNotNull()).select(left_key, F.col("lx").cast("double").alias("lx"), F.col("ly").cast("double").alias("ly"))
-    least, surely = _spans(F, *(F.col(c) for c in ("lx", "ly", "x0", "x1", "y0", "y1")))
-    met = _in_reach(asked, big).join(boxes, "_big").select(left_key, "lx", "ly", "block", least.alias("least"), surely.alias("surely"))
-    met = met.groupBy(left_key, "lx", "ly").agg(F.min("surely").alias("surely"), F.collect_list(F.struct("least", "block")).alias("b"))
-    near = met.select(left_key, "lx", "ly", F.explode(F.filter("b", lambda b: b["least"] <= F.col("surely") * SLACK)).alias("b")).select(left_key, "lx", "ly", "b.block")
+    given = placed(left, "lx", "ly").where(F.col(left_key).isNotNull()).select(left_key, F.col("lx").cast("double").alias("lx"), F.col("ly").cast("double").alias("ly"))
+    near = _in_reach(distinct_places(given), big)
+    if per == 1:
+        near = near.select("lx", "ly", F.col("_big").alias("block"))
+    else:
+        least, surely = _spans(F, *(F.col(c) for c in ("lx", "ly", "x0", "x1", "y0", "y1")))
+        met = near.join(boxes, "_big").select("lx", "ly", "block", least.alias("least"), surely.alias("surely"))
+        met = met.groupBy("lx", "ly").agg(F.min("surely").alias("surely"), F.collect_list(F.struct("least", "block")).alias("b"))
+        near = met.select("lx", "ly", F.explode(F.filter("b", lambda b: b["least"] <= F.col("surely") * SLACK)).alias("b")).select("lx", "ly", "b.block")
     pairs = near.join(fine, "block").withColumn("distance", planar(F.col("lx"), F.col("ly"), F.col("rx"), F.col("ry")))
-    best = pairs.groupBy(left_key).agg(F.min_by(F.struct(right_key, "distance"), F.struct("distance", right_key)).alias("_b"))
-    return best.select(left_key, F.col(f"_b.{right_key}").alias(right_key), F.col("_b.distance").alias("distance"))
+    best = pairs.groupBy("lx", "ly").agg(F.min_by(F.struct(right_key, "distance"), F.struct("distance", right_key)).alias("_b"))
+    return _shared(given, best, left_key, right_key)
 
 
 def around(points: DataFrame, x: float, y: float, radius: int | None = None, limit: int | None = None) -> DataFrame:
