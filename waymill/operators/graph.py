@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from waymill.functions.crs import planar
 from waymill.functions.scalars import NO_SERVICE, base_line, board_wait, is_branch, number_of, representative, shifted_hours, walk_seconds
-from waymill.operators.spatial import nearest
+from waymill.operators.spatial import nearest, within
 from waymill.scratch import written
 
 ACCESS_METRES, TRANSFER_FALLBACK, SAME_LINE, BUS_ALIGHT = 1000.0, 180, 30, 1
@@ -52,12 +52,23 @@ def walk_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.select(node_id("WALK", F.lit("WALK"), sid, F.lit("")).alias("id"), F.lit("WALK").alias("kind"), F.lit("WALK").alias("mode"), sid.alias("source_id"), none.alias("line"), none.alias("name"), "x", "y")
 
 
-def walk_edges(edges: DataFrame) -> DataFrame:
-    """WALK edges (src, dst, length in metres), as given."""
-    at = lambda c: node_id("WALK", F.lit("WALK"), F.col(c).cast("string"), F.lit(""))
+def walk_edges(edges: DataFrame, named: bool = False) -> DataFrame:
+    """WALK edges (src, dst, length in metres), as given; ``named`` if src and dst are node ids already."""
+    at = lambda c: F.col(c) if named else node_id("WALK", F.lit("WALK"), F.col(c).cast("string"), F.lit(""))
     return _edge(edges, at("src"), at("dst"), "WALK", F.lit("WALK"), walk_seconds(F.col("length")), distance=F.col("length"))
 
 
+def walks_within(nodes: DataFrame, metres: float) -> DataFrame:
+    """WALK edges between every two WALK nodes (id, x, y) no further apart than ``metres``.
+
+    Places meet, and then the nodes at them, so that distances are computed once for all nodes that share their places.
+    """
+    at = nodes.repartition(2 * nodes.sparkSession.sparkContext.defaultParallelism, "x", "y").groupBy("x", "y").agg(F.collect_list("id").alias("ids"))
+    pairs = within(at.select(F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("ids").alias("a")), at.select(F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("ids").alias("b")), metres)
+    each = pairs.select("a", "distance", F.explode("b").alias("dst")).select(F.explode("a").alias("src"), "dst", F.col("distance").alias("length"))
+    return walk_edges(each.where("src <> dst"), named=True)
+
+
 def stop_nodes(stops: DataFrame, mode: str) -> DataFrame:
     """STOP nodes of (source_id, name, x, y), the mean place of each.
 
