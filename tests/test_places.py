@@ -41,3 +41,12 @@ def test_queries_of_edges_load_nothing_for_searches(spark, monkeypatch):
     monkeypatch.setattr(derived, "_BUILDS", {})
     monkeypatch.setattr(search, "loaded", lambda *a: pytest.fail("searches are not asked for"))
     assert graphs.transfer_edges(spark, HERE).count() and graphs.access_edges(spark, HERE).count() == 2 and graphs.csr_head(spark, HERE).count()
+
+
+def test_only_edges_with_hours_hold_them():
+    import pyarrow as pa
+
+    hours = [list(range(24)), None, [-1] * 24, None]
+    t = pa.table({"src": [2, 1, 1, 3], "dst": [3, 2, 3, 1], "edge": [9, 8, 7, 6], "weight_sec": pa.array([50, 60, 70, 80], pa.int32()), "by_hour": pa.array(hours, pa.list_(pa.int16()))})
+    g = search.Graph.of(t)
+    assert g.hours.shape == (2, 24) and g.weights(5).tolist() == [-1, 60, 5, 80] and g.weights(None).tolist() == [70, 60, 50, 80]
