@@ -22,7 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, Jaccard 0.8 and more) the smallest doc_id stays.
+    """Of each group of near duplicates the smallest doc_id stays: of texts whose SimHash fingerprints (as in op2) differ in two bits
+    or fewer, and of those with Jaccard 0.8 and more over five-word shingles, which SimHash misses in part.
 
     Null, empty and blank texts are copies of each other. Rows with a null doc_id all stay, of rows that repeat
     a kept doc_id the one that sorts first. An empty table stays empty; any column name may be there.

@@ -2,7 +2,7 @@ import numpy as np
 
 import corpus_pipeline
 from tests.llm.conftest import words
-from waymill.llm import shingles
+from waymill.llm import shingles, simhash
 
 
 def slow_set(text):
@@ -75,3 +75,51 @@ def test_bands_meet_at_the_limit():
         x = rng.integers(0, 2**63, 100, dtype=np.uint64)
         y = np.concatenate([x[:90], rng.integers(0, 2**63, 12, dtype=np.uint64)])
         assert (shingles.bands(x) == shingles.bands(y)).any()
+
+
+def test_a_large_loose_group_lists_no_pairs(spark, make_docs, monkeypatch):
+    """Texts that share buckets and are linked with few of each other: exact links, and no table with the square of the group."""
+    rng = np.random.default_rng(7)
+    base = words(rng, 300, 5000)
+    texts = [near(rng, base, int(rng.integers(7, 13))) for _ in range(260)]
+    rows = []
+    keep = shingles.written
+
+    def watched(df, name):
+        out = keep(df, name)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(shingles, "written", watched)
+    for most in (4096, 40):  # in one task, and by pairs of blocks
+        monkeypatch.setattr(shingles, "MEET", most)
+        rows.clear()
+        kept = {r.doc_id for r in shingles.one_of_each(make_docs(texts)).collect()}
+        assert kept == brute(list(enumerate(texts))) and len(kept) > 20
+        assert max(rows) <= len(texts) * shingles.BANDS
+
+
+def test_matrices_count_what_sets_share(monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(shingles, "SIDE", 7)
+    monkeypatch.setattr(shingles, "WIDE", 11)
+    sets = [np.unique(rng.choice(60, 30)) for _ in range(40)] + [np.arange(60)] * 3
+    c = np.array([*range(100, 140), 7, 7, 7])
+    u, v = shingles.linked(c, np.cumsum([0, *map(len, sets)]), np.concatenate(sets), 0.5)
+    edges = [(int(a), int(b)) for a, x in zip(c, sets) for b, y in zip(c, sets) if a != b and similarity(set(x.tolist()), set(y.tolist())) >= 0.5]
+    root = {int(x): int(x) for x in c}
+    for _ in range(50):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {int(x): int(x) for x in c} | dict(zip(u.tolist(), v.tolist()))
+    assert got == root
+
+
+def test_simhash_classes_are_linked(make_docs):
+    """A line that makes up nearly all of two texts gives them fingerprints within two bits, however little of their sets they share."""
+    rng = np.random.default_rng(9)
+    line = words(rng, 9, 5000)
+    texts = [" ".join([line] * 400 + [words(rng, 40, 5000)]) for _ in range(2)]
+    a, b = map(slow_set, texts)
+    assert similarity(a, b) < 0.8 and bin(simhash.fingerprint(texts[0].encode()) ^ simhash.fingerprint(texts[1].encode())).count("1") <= 2
+    assert [r.doc_id for r in shingles.one_of_each(make_docs([*texts, words(rng, 50, 5000)])).collect() if r.doc_id < 2] == [0]
