@@ -207,3 +207,18 @@ def test_learning_equals_plain_steps(make_docs):
         plain.weights += 0.05 * steps / np.sqrt(squares)
     assert np.abs(plain.weights - model.weights).max() < 2e-3
     assert every.sum() == pytest.approx(n_every) and ones.sum() == pytest.approx(n_ones)
+
+
+def test_weights_are_learned_on_every_training_document(make_docs):
+    """Both halves are learned from, each with the counts of the other alone; the final tables count all."""
+    rng = np.random.default_rng(11)
+    texts = [words(rng, 20, 30) for _ in range(80)]
+    docs = make_docs(texts).select("doc_id", "text")
+    train = [i for i in range(80) if lm.train_rule(i)]
+    dealt = lm.shards_of(docs, 3 * lm.HALVES * lm.SHARD).collect()
+    assert sorted(r.text for r in dealt) == sorted(texts[i] for i in train)
+    assert sorted((r.half, r.text) for r in dealt) == sorted((lm.half_of(i), texts[i]) for i in train)
+    code = lm.Code.of(np.bincount(np.frombuffer("".join(texts).encode(), np.uint8), minlength=256))
+    for tables, mine in zip(lm.bit_tables(docs, code), (train, [i for i in train if lm.half_of(i) == 0], [i for i in train if lm.half_of(i) == 1])):
+        for k, counts in lm.table_counts(code, *lm.counted(lm.keys_of([texts[i].encode() for i in mine])[0])):
+            assert (tables[k] == lm.quantised(counts.astype(float))).all()

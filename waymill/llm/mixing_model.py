@@ -7,10 +7,10 @@ learned online, and an adaptive map refines the result by the mixed prediction a
 A text's end is a byte that UTF-8 never has, so that the probabilities of all texts add up to one.
 
 Training is spread out and doesn't depend on how the table is cut into tasks. Tasks count their documents and equal
-blocks of their tables are added up. One part in SLICES of the training documents is counted apart: the
-weights take their online steps over it with the counts of the others, as steps over what has been
-counted would trust long contexts too much. The slice is dealt by hash of doc_id to shards of about SHARD bytes, each
-learns from its documents in an order of its own, their weights are averaged, and the final tables hold all.
+blocks of their tables are added up. The training documents are counted in two halves: the
+weights take their online steps over each half with the counts of the other, as steps over what has been
+counted would trust long contexts too much. So every training document is counted and learned from. A half is dealt by hash of doc_id to
+shards of about SHARD bytes, each learns from its documents in an order of its own, their weights are averaged, and the final tables hold all.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from waymill.llm.common import written
 #: Contexts: so many last bytes, or the word so far in lower case (0); and the bits of their tables.
 ORDERS, TABLE_BITS = (1, 2, 3, 4, 5, 0), (16, 18, 20, 21, 22, 22)
 WIDTH, END = 5, 255
-SLICES, SHARD = 16, 4_000_000
+HALVES, SHARD = 2, 4_000_000
 #: Bytes scored at once, decisions taken at once, and tokens that every task knows (the most frequent; 16 bytes each).
 PIECE, STEP, FREQUENT = 2_000_000, 16_384, 262_144
 #: Keys of pieces held before they are merged, and keys counted at once.
@@ -54,9 +54,9 @@ def train_rule(doc_id) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 7 != 2
 
 
-def apart(doc_id) -> bool:
-    """Whether a training document is in the slice that the weights are learned on."""
-    return zlib.crc32(("slice " + ("" if doc_id is None else str(doc_id))).encode()) % SLICES == 0
+def half_of(doc_id) -> int:
+    """The half of a training document: the weights are learned on it with the counts of the other."""
+    return zlib.crc32(("half " + ("" if doc_id is None else str(doc_id))).encode()) % HALVES
 
 
 # --- contexts -------------------------------------------------------------------------------------
@@ -334,19 +334,18 @@ def pieces(batches: Iterator[pa.RecordBatch], keep) -> Iterator[tuple[list, list
         yield ids, texts
 
 
-#: What is counted in one pass: tokens by hash, bytes by value, and the bytes of the slice under one key.
-TOKEN, BYTE, SLICE = 0, 1, 2
+#: What is counted in one pass: tokens by hash, and bytes by value.
+TOKEN, BYTE = 0, 1
 
 
 def corpus_counts(docs: DataFrame) -> DataFrame:
-    """(kind, key, c) over the training documents: tokens, bytes with the ends, and the size of the slice."""
+    """(kind, key, c) over the training documents: tokens, and bytes with the ends."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got, total, sliced = None, np.zeros(256, np.int64), 0
-        for ids, texts in pieces(batches, train_rule):
+        got, total = None, np.zeros(256, np.int64)
+        for _, texts in pieces(batches, train_rule):
             total += np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256)
             total[END] += len(texts)
-            sliced += sum(len(t) + 1 for i, t in zip(ids, texts) if apart(i))
             part = counted(token_hashes(texts)[0])
             got = part if got is None else summed(*(np.concatenate(x) for x in zip(got, part)))
             if len(got[0]) > 4_000_000:
@@ -356,7 +355,6 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
             yield sent(TOKEN, got[0].view(np.int64), got[1])
         if total.any():
             yield sent(BYTE, np.arange(256), total)
-            yield sent(SLICE, np.zeros(1), np.array([sliced]))
 
     def sent(kind: int, key: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.astype(np.int64)), pa.array(c.astype(np.int64))], ["kind", "key", "c"])
@@ -404,8 +402,8 @@ def unpacked_counts(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view(np.uint32).reshape(-1, 2).astype(np.float64)
 
 
-def bit_tables(docs: DataFrame, code: Code) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """The tables of all training documents, and those without the slice. Tasks send blocks of their
+def bit_tables(docs: DataFrame, code: Code) -> tuple[list[np.ndarray], ...]:
+    """The tables of all training documents, those of the first half and those of the other. Tasks send blocks of their
     tables; equal blocks stream through a task and are added up. A bounded number of blocks of fixed
     size reaches the driver."""
 
@@ -413,25 +411,24 @@ def bit_tables(docs: DataFrame, code: Code) -> tuple[list[np.ndarray], list[np.n
         return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for which, got in enumerate(task_keys(batches, lambda doc: int(apart(doc)) if train_rule(doc) else None)):
+        for which, got in enumerate(task_keys(batches, lambda doc: half_of(doc) if train_rule(doc) else None)):
             if got is None:
                 continue
             for k, table in table_counts(code, *got):
                 size = 1 << BLOCK_BITS
                 some = [(k * 65536 + (i >> BLOCK_BITS), which, packed_counts(table[i : i + size])) for i in range(0, len(table), size) if table[i : i + size].any()]
                 if some:
-                    yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in some], pa.int32()), pa.array([s[1] for s in some], pa.int32()), pa.array([s[2] for s in some], pa.binary())], ["block", "apart", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in some], pa.int32()), pa.array([s[1] for s in some], pa.int32()), pa.array([s[2] for s in some], pa.binary())], ["block", "half", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, sums = None, [None, None]
 
         def done():
-            rest = sums[0] if sums[0] is not None else np.zeros_like(sums[1])
-            whole = rest if sums[1] is None else rest + sums[1]
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([compress(quantised(whole))]), pa.array([compress(quantised(rest))])], ["block", "whole", "rest"])
+            one, other = (np.zeros_like(sums[1 - i]) if s is None else s for i, s in enumerate(sums))
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *[pa.array([compress(quantised(x))]) for x in (one + other, one, other)]], ["block", "whole", "one", "other"])
 
         for batch in batches:
-            for at, which, blob in zip(*(batch.column(c).to_pylist() for c in ("block", "apart", "counts"))):
+            for at, which, blob in zip(*(batch.column(c).to_pylist() for c in ("block", "half", "counts"))):
                 if at != block:
                     if block is not None:
                         yield done()
@@ -441,32 +438,34 @@ def bit_tables(docs: DataFrame, code: Code) -> tuple[list[np.ndarray], list[np.n
         if block is not None:
             yield done()
 
-    sent = docs.mapInArrow(count, "block int, apart int, counts binary")
-    sums = sent.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, whole binary, rest binary")
+    sent = docs.mapInArrow(count, "block int, half int, counts binary")
+    sums = sent.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, whole binary, one binary, other binary")
     none = quantised(np.zeros((1, 2)))[0]
-    whole, rest = ([np.full(1 << b, none, np.int16) for b in TABLE_BITS] for _ in range(2))
+    every = tuple([np.full(1 << b, none, np.int16) for b in TABLE_BITS] for _ in range(3))
     for block, *blobs in sums.toLocalIterator():
         at = (block % 65536) << BLOCK_BITS
-        for tables, blob in zip((whole, rest), blobs):
+        for tables, blob in zip(every, blobs):
             part = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(blob)), np.int16)
             tables[block // 65536][at : at + len(part)] = part
-    return whole, rest
+    return every
 
 
-def slice_of(docs: DataFrame, size: int) -> DataFrame:
-    """(shard, text) of the training documents in the slice of ``size`` bytes, by the rules of ``train_rule`` and ``apart``."""
+def shards_of(docs: DataFrame, size: int) -> DataFrame:
+    """(half, shard, text) of all training documents, ``size`` bytes, by the rules of ``train_rule`` and ``half_of``."""
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    mine = docs.where((F.crc32(name) % 7 != 2) & (F.crc32(F.concat(F.lit("slice "), name)) % SLICES == 0))
-    return mine.select(F.pmod(F.xxhash64(name), F.lit(max(1, -(-size // SHARD)))).alias("shard"), "text")
+    half = (F.crc32(F.concat(F.lit("half "), name)) % HALVES).cast("int")
+    shard = F.pmod(F.xxhash64(name), F.lit(max(1, -(-size // (HALVES * SHARD)))))
+    return docs.where(F.crc32(name) % 7 != 2).select(half.alias("half"), shard.alias("shard"), "text")
 
 
 def trained(docs: DataFrame, counts: DataFrame) -> Model:
-    """The model: weights learned online over each shard of the slice, and averaged by the shards' grams."""
-    found = {(r["kind"], r["key"]): r["c"] for r in counts.where(F.col("kind") != TOKEN).collect()}  # 257 rows
+    """The model: weights learned online over each shard, and averaged by the shards' grams."""
+    found = {(r["kind"], r["key"]): r["c"] for r in counts.where(F.col("kind") != TOKEN).collect()}  # 256 rows
     code = Code.of(np.array([found.get((BYTE, b), 0) for b in range(256)]))
-    whole, rest = bit_tables(docs, code)
-    model = Model.empty(code, rest)
-    shared = docs.sparkSession.sparkContext.broadcast(model.pack())
+    whole, *parts = bit_tables(docs, code)
+    model = Model.empty(code, whole)
+    # A shard of one half learns with the counts of the other.
+    shared = [docs.sparkSession.sparkContext.broadcast(Model.empty(code, tables).pack()) for tables in parts[::-1]]
 
     def learn(shard: pa.Table) -> pa.Table:
         texts = [t.as_py() for t in pc.cast(shard.column("text"), pa.binary())]
@@ -482,7 +481,7 @@ def trained(docs: DataFrame, counts: DataFrame) -> Model:
         if some:
             got.append(counted(keys_of(some)[0]))
         keys, times = summed(*(np.concatenate(x) for x in zip(*got)))
-        own = Model.unpack(code, shared.value)
+        own = Model.unpack(code, shared[shard.column("half")[0].as_py()].value)
         ones, every = own.learn(keys, times)
         return pa.table([pa.array([len(keys)], pa.int64()), pa.array([own.weights.astype(float).tobytes()]), pa.array([ones.tobytes()]), pa.array([every.tobytes()])], names)
 
@@ -497,15 +496,15 @@ def trained(docs: DataFrame, counts: DataFrame) -> Model:
 
     names = ["n", "weights", "ones", "every"]
     schema = "n long, weights binary, ones binary, every binary"
-    learned = slice_of(docs, found.get((SLICE, 0), 0)).groupBy("shard").applyInArrow(learn, schema)
+    learned = shards_of(docs, sum(c for (kind, _), c in found.items() if kind == BYTE)).groupBy("half", "shard").applyInArrow(learn, schema)
     part = learned.repartition(16).mapInArrow(add, schema)
     got = list(add(part.toArrow().to_batches()))  # of 16 rows of fixed size
     if got:
         weights, ones, every = (np.frombuffer(got[0].column(c)[0].as_py()) for c in names[1:])
         model.weights = weights.reshape(-1, GATES).astype(np.float32)
         model.refine = (ones.reshape(256, -1) + model.refine * 20) / (every.reshape(256, -1) + 20)
-    model.tables = whole
-    shared.unpersist()
+    for x in shared:
+        x.unpersist()
     return model
 
 
