@@ -256,3 +256,18 @@ def test_a_graph_divided_by_clusters_gives_the_kernels_rows(spark):
     ready = search.loaded(edges)
     shown = lambda df: sorted((r.origin, r.target, r.seconds, r.settled, [tuple(s) for s in r.path]) for r in df.collect())
     assert shown(parts.searched(parts.divided(ready.edges, None, 24), asked, True)) == shown(search.one_to_many(ready, asked, paths_too=True))
+
+
+def test_walk_edges_are_summed_without_being_made(spark):
+    """Counts, degrees and isolated nodes from places alone equal those of the edges, with many nodes at a place and none near one."""
+    rows = [(i, float(i % 7 * 300), float(i % 3 * 400)) for i in range(60)] + [(100, 90_000.0, 0.0), (101, 50_000.0, 0.0), (102, 50_000.0, 0.0)]
+    nodes = spark.createDataFrame(rows, "id long, x double, y double")
+    edges = graph.walks_within(nodes, 800.0)
+    want = {r.src: tuple(r)[1:] for r in edges.groupBy("src").agg(F.count("*"), F.sum("weight_sec"), F.max("weight_sec"), F.round(F.sum("distance_m"), 6)).collect()}
+    sums = graph.walk_sums(nodes, 800.0)
+    assert {r.src: (r.degree, r.seconds, r.most, round(r.metres, 6)) for r in sums.collect()} == want and 100 not in want and 101 in want
+    some = edges.limit(0)
+    assert sorted(graph.heads(some, sums).collect()) == sorted(graph.heads(edges).collect())
+    whole = nodes.withColumn("kind", F.lit("WALK")).withColumn("mode", F.lit("WALK"))
+    assert sorted(graph.counts(whole, some, sums).collect()) == sorted(graph.counts(whole, edges).collect())
+    assert [r.id for r in graph.isolated(whole, some, sums).collect()] == [100]

@@ -69,6 +69,22 @@ def walks_within(nodes: DataFrame, metres: float) -> DataFrame:
     return walk_edges(each.where("src <> dst"), named=True)
 
 
+def walk_sums(nodes: DataFrame, metres: float) -> DataFrame:
+    """(src, degree, seconds, most, metres) of the WALK nodes (id, x, y) that ``walks_within`` gives edges: their number and the
+    sums of their weights and lengths, and the largest weight.
+
+    Places are joined and never the nodes at them, so that the work grows with the places in reach and not with the edges. An id is at one place.
+    """
+    own = nodes.groupBy("id", "x", "y").agg(F.count("*").alias("times"))
+    at = own.groupBy("x", "y").agg(F.sum("times").alias("n"))
+    pairs = within(at.select(F.col("x").alias("lx"), F.col("y").alias("ly")), at.select(F.col("x").alias("rx"), F.col("y").alias("ry"), "n"), metres)
+    sec = walk_seconds(F.col("distance")).cast("long")
+    place = pairs.groupBy(F.col("lx").alias("x"), F.col("ly").alias("y")).agg(F.sum("n").alias("all"), F.sum(sec * F.col("n")).alias("every"), F.max(sec).alias("most"), F.sum(F.col("distance") * F.col("n")).alias("far"))
+    t = F.col("times")
+    sums = own.join(place, ["x", "y"]).where("all > times")
+    return sums.select(F.col("id").alias("src"), (t * (F.col("all") - t)).alias("degree"), (t * (F.col("every") - t * walk_seconds(F.lit(0.0)).cast("long"))).alias("seconds"), "most", (t * F.col("far")).alias("metres"))
+
+
 def stop_nodes(stops: DataFrame, mode: str) -> DataFrame:
     """STOP nodes of (source_id, name, x, y), the mean place of each.
 
@@ -234,24 +250,34 @@ def bus(sections: DataFrame, stops: DataFrame, headways: DataFrame) -> Part:
     return Part(used.unionByName(platforms), board.unionByName(alight).unionByName(ride_edges(legs, "BUS")))
 
 
-def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes that no edge touches."""
+def isolated(nodes: DataFrame, edges: DataFrame, walks: DataFrame | None = None) -> DataFrame:
+    """Nodes that no edge touches, those of ``walks`` (src, as ``walk_sums``) included."""
     touched = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
+    if walks is not None:
+        touched = touched.union(walks.select(F.col("src").alias("id"))).distinct()
     return nodes.join(touched, "id", "left_anti")
 
 
-def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(what, kind, mode, count) of nodes and edges; an edge has the mode of the stop that it serves, else WALK."""
+def counts(nodes: DataFrame, edges: DataFrame, walks: DataFrame | None = None) -> DataFrame:
+    """(what, kind, mode, count) of nodes and edges; an edge has the mode of the stop that it serves, else WALK.
+    Walk edges may be given by their sums (``walk_sums``)."""
     both = nodes.select(F.lit("NODE").alias("what"), "kind", "mode").unionByName(edges.select(F.lit("EDGE").alias("what"), "kind", "mode"))
-    return both.groupBy("what", "kind", "mode").agg(F.count("*").alias("count"))
+    out = both.groupBy("what", "kind", "mode").agg(F.count("*").alias("count"))
+    if walks is None:
+        return out
+    more = walks.agg(F.sum("degree").alias("count")).where("count > 0").select(F.lit("EDGE").alias("what"), F.lit("WALK").alias("kind"), F.lit("WALK").alias("mode"), "count")
+    return out.unionByName(more).groupBy("what", "kind", "mode").agg(F.sum("count").alias("count"))
 
 
-def heads(edges: DataFrame) -> DataFrame:
-    """(node, degree, head): where each node's edges begin in an array sorted by source.
+def heads(edges: DataFrame, walks: DataFrame | None = None) -> DataFrame:
+    """(node, degree, head): where each node's edges begin in an array sorted by source. Walk edges may be given by their sums.
 
     Sums run over the 4,096 ranges of ids first and inside each range then, so that no task has all nodes.
     """
-    degree = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree")).withColumn("block", F.shiftright("node", ID_BITS - BLOCK_BITS))
+    degree = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
+    if walks is not None:
+        degree = degree.unionByName(walks.select(F.col("src").alias("node"), "degree")).groupBy("node").agg(F.sum("degree").alias("degree"))
+    degree = degree.withColumn("block", F.shiftright("node", ID_BITS - BLOCK_BITS))
     blocks = degree.groupBy("block").agg(F.sum("degree").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     inside = F.coalesce(F.sum("degree").over(W.partitionBy("block").orderBy("node").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return degree.join(F.broadcast(blocks.select("block", "before")), "block").select("node", "degree", (F.col("before") + inside).alias("head"))
