@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from waymill.functions.crs import planar
 from waymill.functions.scalars import NO_SERVICE, base_line, board_wait, is_branch, number_of, representative, shifted_hours, walk_seconds
+from waymill.operators.search import WALKED
 from waymill.operators.spatial import nearest, within
 from waymill.scratch import written
 
@@ -69,6 +70,30 @@ def walks_within(nodes: DataFrame, metres: float) -> DataFrame:
     return walk_edges(each.where("src <> dst"), named=True)
 
 
+def walks_by_place(nodes: DataFrame, metres: float) -> tuple[DataFrame, DataFrame]:
+    """(edges for searches, the (id, x, y) of the nodes among them that stand for places): the ways of ``walks_within``, but of
+    places and not of the nodes at them.
+
+    A place of several nodes has one node where they all go out and one where they all come in, with negative ids; from and to
+    its own nodes no time passes and no edge is counted (``hops`` 0). So edges grow with the places in reach and the nodes, not with the square of
+    the nodes at a place. Walk edges have the id ``search.WALKED``; ``search.resolved`` gives those of a path theirs.
+    """
+    at = nodes.where("id IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL").groupBy("x", "y").agg(F.collect_set("id").alias("ids"))
+    # Minus zero is the place of zero.
+    of = lambda k: -(number_of(F.lit("PLACE"), *[(F.col(c) + 0.0).cast("string") for c in ("x", "y")]) * 2 + k)
+    one = F.size("ids") == 1
+    end = lambda k: F.when(one, F.get("ids", F.lit(0))).otherwise(of(k))
+    at = written(at.select("x", "y", "ids", end(1).alias("out"), end(2).alias("into")), "walk-places")
+    # Few bytes that much work follows from.
+    spread = at.repartition(2 * nodes.sparkSession.sparkContext.defaultParallelism, "x", "y")
+    pairs = within(spread.select(F.col("x").alias("lx"), F.col("y").alias("ly"), "out"), at.select(F.col("x").alias("rx"), F.col("y").alias("ry"), "into"), metres)
+    edge = lambda df, src, dst, seconds, hops: df.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(WALKED).cast("long").alias("edge"), seconds.cast("int").alias("weight_sec"), F.lit(None).cast("array<short>").alias("by_hour"), F.lit(hops).cast("byte").alias("hops"))
+    several = at.where(~one)
+    each = several.select("out", "into", F.explode("ids").alias("id"))
+    edges = edge(pairs.where("out <> into"), "out", "into", walk_seconds(F.col("distance")), 1).unionByName(edge(each, "id", "out", F.lit(0), 0)).unionByName(edge(each, "into", "id", F.lit(0), 0))
+    return edges, several.select(F.explode(F.array("out", "into")).alias("id"), "x", "y")
+
+
 def walk_sums(nodes: DataFrame, metres: float) -> DataFrame:
     """(src, degree, seconds, most, metres) of the WALK nodes (id, x, y) that ``walks_within`` gives edges: their number and the
     sums of their weights and lengths, and the largest weight.

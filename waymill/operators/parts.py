@@ -86,7 +86,7 @@ def divided(edges: DataFrame, places: DataFrame | None = None, size: int = PART_
     Each node also has an edge to itself that never runs, so that every part knows all its nodes.
     """
     e = numbered(edges)
-    hours = ["by_hour"] * ("by_hour" in e.columns)
+    hours = [c for c in ("by_hour", "hops") if c in e.columns]
     nodes = written(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "part-nodes")
     count = max(1, -(-nodes.count() // size))
     part = lambda c: F.pmod(F.xxhash64(c), F.lit(count)).cast("int").alias("part")
@@ -101,7 +101,7 @@ def divided(edges: DataFrame, places: DataFrame | None = None, size: int = PART_
     owners = written(owners, "part-owners")
     of = lambda c, p: owners.select(F.col("node").alias(c), F.col("part").alias(p))
     rows = e.select("src", "dst", "edge", "weight_sec", *hours).join(of("src", "part"), "src").join(of("dst", "to_part"), "dst")
-    still = owners.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(-1).cast("long").alias("edge"), F.lit(NO_SERVICE).cast("int").alias("weight_sec"), *[F.lit(None).cast(e.schema[h].dataType).alias(h) for h in hours], "part", F.col("part").alias("to_part"))
+    still = owners.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(-1).cast("long").alias("edge"), F.lit(NO_SERVICE).cast("int").alias("weight_sec"), *[F.lit(1 if h == "hops" else None).cast(e.schema[h].dataType).alias(h) for h in hours], "part", F.col("part").alias("to_part"))
     whole = rows.select(*still.columns).unionByName(still)
     folder = f"{shared_dir(edges.sparkSession)}/parts-{uuid4().hex}"
     whole.repartition("part").write.partitionBy("part").parquet(folder)
@@ -191,7 +191,7 @@ def _tight(s: Search, who: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np
     edges = g.back[slots]
     w, before = s.weight[edges], s.key[who[which], g.source[edges]]
     fits = (w >= 0) & (before != NO_LABEL)
-    fits &= np.where(fits, before, 0) + (np.maximum(w, 0).astype(np.int64) << HOP_BITS) + 1 == s.key[who, node][which]
+    fits &= np.where(fits, before, 0) + g.added(s.weight, edges) == s.key[who, node][which]
     which, first = np.unique(which[fits], return_index=True)
     return which, edges[fits][first]
 
@@ -217,7 +217,7 @@ def _labelled(folder: str) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _searches(batches, folder):
-            inside = np.flatnonzero(s.loaded.owner == s.loaded.part)
+            inside = np.flatnonzero((s.loaded.owner == s.loaded.part) & (np.arange(len(s.loaded.owner)) >= s.loaded.graph.places))
             who, j = np.nonzero(s.key[:, inside] != NO_LABEL)
             columns = [s.origins[who], np.full(len(who), s.hour, np.int32), s.loaded.graph.ids[inside[j]], s.key[who, inside[j]]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in LABELS.split(", ")])
@@ -305,19 +305,20 @@ def walked(parts: Parts, known: DataFrame, ends: DataFrame, spread: int) -> Data
     here = ["part", "hour", "origin"]
     every = ends.select("origin", "hour", F.col("node").alias("target"))
     now = every.withColumn("node", F.col("target")).where("node <> origin")
-    segments = None
+    segments, rounds = None, 0
     while not now.isEmpty():
         at = now.join(parts.owners, "node").withColumn("kind", F.lit(1))
         seeds = known.join(at.select(*here).distinct(), here, "left_semi").withColumn("kind", F.lit(0))
         found = _dealt(seeds.unionByName(at, allowMissingColumns=True), parts, spread).mapInArrow(_walks(parts.folder), WALKED)
-        found = written(found, "search-segments")
+        found = written(found.withColumn("before", F.lit(rounds)), "search-segments")
+        rounds -= 1
         segments = found if segments is None else segments.unionByName(found)
         now = found.where("next IS NOT NULL").select("origin", "hour", "target", F.col("next").alias("node")).where("node <> origin")
     none = F.array().cast("array<struct<edge:bigint,node:bigint,seconds:bigint>>")
     if segments is None:
         return every.withColumn("path", none)
-    # Labels fall from segment to segment on the way back, so that they order them.
-    grown = segments.groupBy("origin", "hour", "target").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "steps"))), lambda s: s["steps"])).alias("path"))
+    # The way back is a segment a round; labels may be equal at both ends of an edge to a place.
+    grown = segments.groupBy("origin", "hour", "target").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("before", "steps"))), lambda s: s["steps"])).alias("path"))
     return every.join(grown, ["origin", "hour", "target"], "left").withColumn("path", F.coalesce("path", none))
 
 

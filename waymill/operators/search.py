@@ -11,20 +11,27 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waymill.functions.scalars import number_of
-from waymill.scratch import cut, written
+from waymill.scratch import cut, filesystem, shared_dir, written
 
 #: Edges of a graph that is broadcast, some 28 bytes each, and numbers of their hours, two bytes each: 170 and 96 MB at most.
 BROADCAST_EDGES, BROADCAST_HOURS = 6_000_000, 48_000_000
+#: How many times that a task reads from the shared folder, an hour at a time: some 70 bytes an edge while it is read and 30 then.
+READ_TIMES = 3
+#: The id of walk edges between places (``graph.walks_by_place``), which paths replace by those of the edges between nodes.
+WALKED = -1
 #: Labels that a task holds at once.
 STATES = 4_000_000
 HOP_BITS = 20
@@ -49,10 +56,12 @@ class Graph:
     source: np.ndarray
     back_head: np.ndarray
     back: np.ndarray
+    hops: np.ndarray | None = None  # what each edge counts, one where there are none
+    places: int = 0  # the first nodes, of negative ids, stand for places
 
     @classmethod
     def of(cls, table: pa.Table) -> Graph:
-        """The graph of a table of src, dst, edge, weight_sec and perhaps by_hour."""
+        """The graph of a table of src, dst, edge, weight_sec and perhaps by_hour and hops."""
         src, dst, edge, weight = (table.column(c).to_numpy() for c in ("src", "dst", "edge", "weight_sec"))
         ids = np.unique(np.concatenate([src, dst]))
         a, b = np.searchsorted(ids, src), np.searchsorted(ids, dst)
@@ -66,10 +75,11 @@ class Graph:
             row = np.cumsum(there) - 1
             hours = hours[row[order[hourly]]]
             hours = hours.astype(np.int16 if not hours.size or hours.max() < 32_000 else np.int32)
+        hops = table.column("hops").to_numpy()[order].astype(np.int8) if "hops" in table.column_names else None
         a, b, weight, edge = a[order], b[order], weight[order], edge[order]
         back = np.argsort(b, kind="stable").astype(np.int32)
         places = np.arange(len(ids) + 1)
-        return cls(ids, np.searchsorted(a, places), b.astype(np.int32), edge, weight.astype(np.int32), hours, hourly, a.astype(np.int32), np.searchsorted(b[back], places), back)
+        return cls(ids, np.searchsorted(a, places), b.astype(np.int32), edge, weight.astype(np.int32), hours, hourly, a.astype(np.int32), np.searchsorted(b[back], places), back, hops, 0 if hops is None else int(np.searchsorted(ids, 0)))
 
     def weights(self, hour: int | None) -> np.ndarray:
         """The weights of all edges in an hour; those without hours have their base weight."""
@@ -79,6 +89,12 @@ class Graph:
         out[self.hourly] = self.hours[:, hour]
         return out
 
+    def added(self, weight: np.ndarray, edges: np.ndarray | None = None) -> np.ndarray:
+        """What edges add to a label by weights of all edges: seconds above the bits that count edges."""
+        some = weight if edges is None else weight[edges]
+        hops = 1 if self.hops is None else self.hops if edges is None else self.hops[edges]
+        return (np.maximum(some, 0).astype(np.int64) << HOP_BITS) + hops
+
     def index(self, nodes) -> np.ndarray:
         """Places of node ids, -1 for those that no edge touches."""
         nodes = np.asarray(nodes, np.int64)
@@ -139,7 +155,7 @@ def settle(g: Graph, weight: np.ndarray, key: np.ndarray, wait: np.ndarray, unfi
             good = w >= 0
             edges, which, w = edges[good], which[good], w[good]
             begin = now[which]
-            new = key[begin] + (w.astype(np.int64) << HOP_BITS) + 1
+            new = key[begin] + g.added(weight, edges)
             to = begin - begin % n + g.to[edges]
             better = new < key[to]
             to, new = to[better], new[better]
@@ -158,7 +174,10 @@ def settle(g: Graph, weight: np.ndarray, key: np.ndarray, wait: np.ndarray, unfi
 
 
 def paths(g: Graph, weight: np.ndarray, key: np.ndarray, origin: int, wanted: np.ndarray) -> list[list[tuple[int, int, int]]]:
-    """For each wanted node (edge id, node id, seconds so far) of its path's edges in order, by the labels of one source."""
+    """For each wanted node (edge id, node id, seconds so far) of its path's edges in order, by the labels of one source.
+
+    Where a way leads through places, the step is the one between nodes, and the smallest node before counts as everywhere.
+    """
     out: list[list[tuple[int, int, int]]] = [[] for _ in wanted]
     now, who = wanted.copy(), np.arange(len(wanted))
     while len(now):
@@ -166,20 +185,46 @@ def paths(g: Graph, weight: np.ndarray, key: np.ndarray, origin: int, wanted: np
         now, who = now[moving], who[moving]
         if not len(now):
             break
-        slots, which = _fan(g.back_head, now)
-        edges = g.back[slots]
-        w, before = weight[edges], key[g.source[edges]]
-        tight = (w >= 0) & (before != NO_LABEL)
-        tight &= np.where(tight, before, 0) + (np.maximum(w, 0).astype(np.int64) << HOP_BITS) + 1 == key[now][which]
-        edges, which = edges[tight], which[tight]
-        _, first = np.unique(which, return_index=True)
-        edges = edges[first]
-        for i, e, v in zip(who.tolist(), edges.tolist(), now.tolist()):
-            out[i].append((int(g.edge[e]), int(g.ids[v]), int(key[v] >> HOP_BITS)))
-        now = g.source[edges].astype(now.dtype)
+        edge, source = _before(g, weight, key, now)
+        for i, e, v in zip(who.tolist(), edge.tolist(), now.tolist()):
+            out[i].append((e, int(g.ids[v]), int(key[v] >> HOP_BITS)))
+        now = source.astype(now.dtype)
     return [steps[::-1] for steps in out]
 
 
+def _before(g: Graph, weight: np.ndarray, key: np.ndarray, now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(edge id, node) that each node has its label from: the smallest node, then the smallest id. Places are looked through."""
+    at, who, through = now, np.arange(len(now)), False
+    found: list[tuple[np.ndarray, ...]] = []
+    while len(at):
+        slots, which = _fan(g.back_head, at)
+        edges = g.back[slots]
+        before = key[g.source[edges]]
+        tight = (weight[edges] >= 0) & (before != NO_LABEL)
+        tight &= np.where(tight, before, 0) + g.added(weight, edges) == key[at][which]
+        edges, which = edges[tight], who[which[tight]]
+        source = g.source[edges]
+        real = source >= g.places
+        found.append((which[real], source[real], np.full(int(real.sum()), WALKED) if through else g.edge[edges[real]]))
+        at, who, through = source[~real], which[~real], True
+    which, source, edge = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((edge, source, which))
+    _, first = np.unique(which[order], return_index=True)
+    return edge[order][first], source[order][first]
+
+
+def resolved(path: Column, origin: Column) -> Column:
+    """A path without its steps at places, its walk edges with the ids of the edges between nodes (``graph.walk_edges``)."""
+    steps = F.filter(path, lambda s: s["node"] >= 0)
+
+    def named(s: Column, i: Column) -> Column:
+        before = F.get(steps, i - 1)
+        text = [F.coalesce(before["node"], origin).cast("string"), s["node"].cast("string"), F.lit("WALK"), F.lit(""), (s["seconds"] - F.coalesce(before["seconds"], F.lit(0))).cast("string")]
+        return F.struct(F.when(s["edge"] == WALKED, number_of(*text)).otherwise(s["edge"]).alias("edge"), s["node"].alias("node"), s["seconds"].alias("seconds"))
+
+    return F.transform(steps, named).cast(PATH)
+
+
 def numbered(edges: DataFrame) -> DataFrame:
     """Edges with an id ``edge``: theirs, or one of what they are."""
     if "edge" in edges.columns:
@@ -189,7 +234,8 @@ def numbered(edges: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Loaded:
-    """A graph ready for any number of searches: its written edges, and the broadcast kernel graph or, if it is too large, its parts."""
+    """A graph ready for any number of searches: its written edges, and the broadcast kernel graph or, if it is too large, its
+    parts. With neither, tasks read the edges of an hour themselves."""
 
     edges: DataFrame
     shared: Broadcast | None
@@ -197,17 +243,17 @@ class Loaded:
 
 
 def loaded(edges: DataFrame, places: DataFrame | None = None) -> Loaded:
-    """Edges written once with the columns that searches read, broadcast if they are few enough and else divided into
-    parts, by the places (id, x, y) of nodes where they are given."""
+    """Edges written once with the columns that searches read, broadcast if they are few enough; up to ``READ_TIMES`` as many are
+    read by tasks; more are divided into parts, by the places (id, x, y) of nodes where they are given."""
     from waymill.operators import parts
 
     e = numbered(edges)
-    columns = ["src", "dst", "edge", "weight_sec"] + ["by_hour"] * ("by_hour" in e.columns)
+    columns = ["src", "dst", "edge", "weight_sec"] + [c for c in ("by_hour", "hops") if c in e.columns]
     e = written(e.select(*columns), "search-edges")
     timed = F.count("by_hour") if "by_hour" in e.columns else F.lit(0)
     size = e.agg(F.count("*").alias("n"), (timed * 24).alias("hours")).first()
     if size.n > BROADCAST_EDGES or size.hours > BROADCAST_HOURS:
-        return Loaded(e, None, parts.divided(e, places))
+        return Loaded(e, None, parts.divided(e, places) if size.n > READ_TIMES * BROADCAST_EDGES else None)
     return Loaded(e, e.sparkSession.sparkContext.broadcast(Graph.of(e.toArrow())))
 
 
@@ -227,22 +273,49 @@ def one_to_many(edges: DataFrame | Loaded, origins: DataFrame, targets: list[int
     every = F.max(F.col("targets").isNull())
     asked = asked.groupBy("origin", "hour").agg(F.when(~every, F.array_sort(F.array_distinct(F.flatten(F.collect_list("targets"))))).alias("targets"))
     asked = written(asked.where("origin IS NOT NULL"), "search-origins")
-    return parts.searched(at.parts, asked, paths_too) if at.shared is None else kernel(at.shared, asked, paths_too)
+    out = parts.searched(at.parts, asked, paths_too) if at.parts is not None else kernel(at.shared or _by_hour(at.edges, asked), asked, paths_too)
+    if paths_too and "hops" in at.edges.columns:
+        out = out.withColumn("path", resolved(F.col("path"), F.col("origin")))
+    return out
 
 
-def kernel(shared: Broadcast, asked: DataFrame, paths_too: bool) -> DataFrame:
-    """one_to_many by the broadcast graph: tasks search the origins of an hour together."""
+def _by_hour(edges: DataFrame, asked: DataFrame) -> str:
+    """The folder of all edges with their weights in each hour that is asked for, a partition for each."""
+    folder = f"{shared_dir(edges.sparkSession)}/search-hours-{uuid4().hex}"
+    w = hour_weight(edges)
+    every = edges.join(F.broadcast(asked.select("hour").distinct()))
+    every.select(F.coalesce("hour", F.lit(-1)).alias("hour"), "src", "dst", "edge", w.cast("int").alias("weight_sec"), *["hops"] * ("hops" in edges.columns)).write.partitionBy("hour").parquet(folder)
+    return folder
+
+
+#: The graph that a task's process has read last, by its folder and hour.
+_READ: dict[tuple[str, int], Graph] = {}
+
+
+def _read(folder: str, hour: int) -> Graph:
+    if (folder, hour) not in _READ:
+        _READ.clear()
+        system, root = filesystem(folder)
+        found = system.get_file_info(fs.FileSelector(f"{root}/hour={hour}"))
+        files = sorted(f.path for f in found if f.path.endswith(".parquet"))
+        _READ[folder, hour] = Graph.of(pa.concat_tables([pq.read_table(f, filesystem=system, partitioning=None) for f in files]))
+    return _READ[folder, hour]
+
+
+def kernel(shared: Broadcast | str, asked: DataFrame, paths_too: bool) -> DataFrame:
+    """one_to_many by the whole graph, broadcast or in the folder of ``_by_hour``: tasks search the origins of an hour together."""
+    given = isinstance(shared, str)
     context = asked.sparkSession.sparkContext
     schema = "origin long, hour int, target long, seconds long, settled long" + f", path {PATH}" * paths_too
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = shared.value
-        n = max(1, len(g.ids))
         for arrow in batches:
             batch = arrow.to_pandas()
             hours = batch.hour.astype("Float64").fillna(-1).astype(int)
             for hour, some in batch.groupby(hours):
-                weight = g.weights(None if hour < 0 else int(hour))
+                g = _read(shared, int(hour)) if given else shared.value
+                n = max(1, len(g.ids))
+                weight = g.base if given else g.weights(None if hour < 0 else int(hour))
                 some = some[g.index(some.origin.to_numpy()) >= 0]
                 for i in range(0, len(some), max(1, STATES // n)):
                     yield from found(g, weight, None if hour < 0 else int(hour), some.iloc[i : i + max(1, STATES // n)])
@@ -256,6 +329,7 @@ def kernel(shared: Broadcast, asked: DataFrame, paths_too: bool) -> DataFrame:
         for i, (origin, source, wanted) in enumerate(zip(some.origin, sources, given)):
             mine = key[i]
             reached = mine != NO_LABEL
+            reached[: g.places] = False
             at = np.flatnonzero(reached) if wanted is None else wanted[wanted >= 0]
             at = at[reached[at]]
             whole = wanted is None or len(at) < len(wanted)
@@ -267,18 +341,25 @@ def kernel(shared: Broadcast, asked: DataFrame, paths_too: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, NAMES[: len(columns)])
 
     tasks = max(1, min(asked.count(), context.defaultParallelism * 2))
-    return asked.repartition(tasks, "hour", F.pmod(F.xxhash64("origin"), F.lit(max(1, tasks // 4)))).mapInArrow(run, schema)
+    # A search in a large graph is work enough for a task.
+    batches = tasks if given else max(1, tasks // 4)
+    return asked.repartition(tasks, "hour", F.pmod(F.xxhash64("origin"), F.lit(batches))).mapInArrow(run, schema)
 
 
 def _state(*more: str) -> list[str]:
     return ["origin", "hour", *more]
 
 
+def hour_weight(edges: DataFrame) -> Column:
+    """The weight of edges in the hour of a column ``hour``; a null hour takes the base weight."""
+    base = F.col("weight_sec")
+    return base if "by_hour" not in edges.columns else F.when(F.col("hour").isNull(), base).otherwise(F.coalesce(F.get("by_hour", F.col("hour")), base))
+
+
 def hourly(edges: DataFrame, asked: DataFrame) -> DataFrame:
     """(hour, src, dst, edge, w) of the edges open in the hours asked for, of which there are 25 at most."""
     hours = asked.select("hour").distinct()
-    base = F.col("weight_sec")
-    w = base if "by_hour" not in edges.columns else F.when(F.col("hour").isNull(), base).otherwise(F.coalesce(F.get("by_hour", F.col("hour")), base))
+    w = hour_weight(edges)
     return edges.join(F.broadcast(hours)).select(F.coalesce("hour", F.lit(-1)).alias("hour"), "src", "dst", "edge", w.cast("long").alias("w")).where("w >= 0")
 
 
