@@ -60,13 +60,19 @@ def section_hours(sections: DataFrame, keys: list[str], hours: list[str], days:
     """by_hour of bus sections given a column of seconds for each hour and a row for each day (0: no bus).
 
     ``days`` is how many days the file holds for this kind of day. An hour's weight is the median of the
-    days that ran if they are more than half of all ``days``; a section that ran on few days is closed.
+    days that ran if they are more than half of all ``days``; a section that ran on few days is closed. A section is one row
+    with its days, so that rows are not multiplied by hours.
     """
-    long = sections.select(*keys, F.posexplode(F.array(*[F.col(h).try_cast("double") for h in hours])).alias("hour", "v"))
-    each = long.groupBy(*keys, "hour").agg(F.percentile(F.when(F.col("v") > 0, F.col("v")), F.lit(0.5)).alias("m"), F.count_if(F.col("v") > 0).alias("ran"))
-    weight = F.when(F.col("ran") > days * 0.5, F.bround("m").cast("int")).otherwise(NO_SERVICE)
-    out = each.withColumn("weight", weight).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("hour", "weight"))).alias("w"))
-    return out.select(*keys, F.transform("w", lambda s: s["weight"]).alias("by_hour"))
+    days_of = sections.groupBy(*keys).agg(F.collect_list(F.array(*[F.col(h).try_cast("double") for h in hours])).alias("d"))
+    ran = lambda i: F.array_sort(F.filter(F.transform("d", lambda d: F.get(d, F.lit(i))), lambda v: v > 0))
+    each = days_of.select(*keys, F.array(*[ran(i) for i in range(len(hours))]).alias("ran"))
+
+    def weight(ran: Column) -> Column:
+        n = F.size(ran)
+        middle = (F.get(ran, ((n - 1) / 2).cast("int")) + F.get(ran, (n / 2).cast("int"))) / 2
+        return F.when(n > days * 0.5, F.bround(middle).cast("int")).otherwise(NO_SERVICE)
+
+    return each.select(*keys, F.transform("ran", weight).alias("by_hour"))
 
 
 def known_headways(sections: DataFrame, headway: DataFrame, key: str = "route") -> tuple[DataFrame, DataFrame]:
