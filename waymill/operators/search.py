@@ -335,7 +335,9 @@ def kernel(shared: Broadcast | str, asked: DataFrame, paths_too: bool) -> DataFr
             whole = wanted is None or len(at) < len(wanted)
             last = (mine[reached] >> HOP_BITS).max() if whole else (mine[at] >> HOP_BITS).max() if len(at) else 0
             k = len(at)
-            columns = [pa.array([origin] * k, pa.int64()), pa.array([hour] * k, pa.int32()), pa.array(g.ids[at], pa.int64()), pa.array(mine[at] >> HOP_BITS, pa.int64()), pa.array([int((mine[reached] >> HOP_BITS <= last).sum())] * k, pa.int64())]
+            hours = pa.nulls(k, pa.int32()) if hour is None else pa.array(np.full(k, hour, np.int32))
+            settled = int((mine[reached] >> HOP_BITS <= last).sum())
+            columns = [pa.array(np.full(k, origin, np.int64)), hours, pa.array(g.ids[at], pa.int64()), pa.array(mine[at] >> HOP_BITS, pa.int64()), pa.array(np.full(k, settled, np.int64))]
             if paths_too:
                 columns.append(pa.array([[dict(zip(("edge", "node", "seconds"), step)) for step in p] for p in paths(g, weight, mine, int(source), at)], pa.list_(STEP)))
             yield pa.RecordBatch.from_arrays(columns, NAMES[: len(columns)])
