@@ -54,3 +54,21 @@ def test_parts_of_a_graph_by_places_give_the_same_times(spark):
 def test_edges_grow_with_places_and_not_with_their_nodes(spark):
     nodes = spark.createDataFrame([(i, float(i % 2 * 700), 0.0) for i in range(2000)], "id long, x double, y double")
     assert graph.walks_by_place(nodes, 800.0)[0].count() == 2 * 2000 + 4
+
+
+def test_a_build_stores_walks_by_places_and_reads_the_same_edges(spark, tmp_path):
+    """Ten nodes at each of 40 places: 159,600 walk edges of 1,600 pairs of places."""
+    from waymill.operators import builds
+
+    nodes = graph.walk_nodes(spark.createDataFrame([(i, float(i % 40), -0.0) for i in range(400)] + [(1000, 9e6, 0.0), (1001, None, 0.0)], "id long, x double, y double"))
+    edges = graph.walks_within(nodes.select("id", "x", "y"), 800.0)
+    bus = nodes.limit(0).select(F.col("id").alias("edge"), F.col("id").alias("src"), F.col("id").alias("dst"), "kind", "mode", "line", F.lit(1).alias("weight_sec"), F.lit(None).cast("array<short>").alias("by_hour"), F.lit(0.0).alias("distance_m"))
+    places = graph.places_in_reach(nodes.select("id", "x", "y"), 800.0)
+    builds.publish(spark, f"{tmp_path}/a", lambda: graph.Part(nodes, edges))
+    builds.publish(spark, f"{tmp_path}/b", lambda: graph.Part(nodes, bus, places), check=lambda part: part.edges.columns == edges.columns or 1 / 0)
+    one, two = (builds.ledger(spark, f"{tmp_path}/{n}").select("nodes", "edges", "counts").first() for n in "ab")
+    assert one == two and one.edges == 400 * 399
+    part = builds.active(spark, f"{tmp_path}/b")[1]
+    assert sorted(map(tuple, part.edges.select("edge", "src", "dst", "weight_sec", "distance_m").collect())) == sorted(map(tuple, edges.select("edge", "src", "dst", "weight_sec", "distance_m").collect()))
+    folder = builds.ledger(spark, f"{tmp_path}/b").first().folder
+    assert sum(spark.read.parquet(f"{folder}/{t}").count() for t in ("edges", "places")) == 1601

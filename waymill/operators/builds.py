@@ -3,6 +3,9 @@
 A reader takes the build that the pointer names and never sees half a build: nodes and edges are complete before the
 pointer moves, and a pointer is a file that is renamed into place under the next version's name, which only one
 writer can do. What failed or was replaced stays readable until it is pruned.
+
+A walk network may be stored by its places in reach of each other (``graph.Part``): its edges grow with the square of the nodes
+at a place, and readers make them from the places and nodes of the build.
 """
 
 from __future__ import annotations
@@ -63,10 +66,13 @@ def publish(spark: SparkSession, folder: str, make: Callable[[], graph.Part], ch
         part = make()
         part.nodes.write.parquet(f"{place}/nodes")
         part.edges.write.parquet(f"{place}/edges")
-        done = read(spark, place)
+        if part.places is not None:
+            part.places.write.parquet(f"{place}/places")
+        done = stored(spark, place)
         if check is not None:
-            check(done)
-        counted = counts_json(graph.counts(done.nodes, done.edges)).first()
+            check(read(spark, place))
+        sums = None if done.places is None else graph.walk_sums(walks(done), 0.0, done.places)
+        counted = counts_json(graph.counts(done.nodes, done.edges, sums)).first()
         _point(spark, folder, build)
     except Exception as e:
         _note(spark, folder, build, 1, "FAILED", folder=place, message=f"{type(e).__name__}: {e}"[:500])
@@ -114,8 +120,21 @@ def prune(spark: SparkSession, folder: str, keep: int) -> list[int]:
     return gone
 
 
+def stored(spark: SparkSession, place: str) -> graph.Part:
+    """A build as it is stored: walk edges by places if it was published so."""
+    at, system = _path(spark, f"{place}/places")
+    places = spark.read.parquet(f"{place}/places") if system.exists(at) else None
+    return graph.Part(spark.read.parquet(f"{place}/nodes"), spark.read.parquet(f"{place}/edges"), places)
+
+
+def walks(part: graph.Part) -> DataFrame:
+    return part.nodes.where("kind = 'WALK'").select("id", "x", "y")
+
+
 def read(spark: SparkSession, place: str) -> graph.Part:
-    return graph.Part(spark.read.parquet(f"{place}/nodes"), spark.read.parquet(f"{place}/edges"))
+    """A build with all its edges."""
+    part = stored(spark, place)
+    return part if part.places is None else graph.Part(part.nodes, part.edges.unionByName(graph.walks_between(walks(part), part.places)))
 
 
 def active(spark: SparkSession, folder: str) -> tuple[int, graph.Part] | None:

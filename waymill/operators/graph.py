@@ -70,6 +70,21 @@ def walks_within(nodes: DataFrame, metres: float) -> DataFrame:
     return walk_edges(each.where("src <> dst"), named=True)
 
 
+def places_in_reach(nodes: DataFrame, metres: float) -> DataFrame:
+    """(lx, ly, rx, ry, distance) of every two places of nodes (id, x, y) no further apart than ``metres``, each with itself too."""
+    at = nodes.repartition(2 * nodes.sparkSession.sparkContext.defaultParallelism, "x", "y").select("x", "y").distinct()
+    return within(at.select(F.col("x").alias("lx"), F.col("y").alias("ly")), at.select(F.col("x").alias("rx"), F.col("y").alias("ry")), metres).select("lx", "ly", "rx", "ry", "distance")
+
+
+def walks_between(nodes: DataFrame, places: DataFrame) -> DataFrame:
+    """The WALK edges of ``walks_within`` from the places in reach of each other (``places_in_reach``) and the nodes (id, x, y) at them."""
+    at = nodes.groupBy("x", "y").agg(F.collect_list("id").alias("ids"))
+    both = places.join(at.toDF("lx", "ly", "a"), ["lx", "ly"]).join(at.toDF("rx", "ry", "b"), ["rx", "ry"])
+    spread = both.repartition(2 * nodes.sparkSession.sparkContext.defaultParallelism, "lx", "ly", "rx", "ry")
+    each = spread.select("a", "distance", F.explode("b").alias("dst")).select(F.explode("a").alias("src"), "dst", F.col("distance").alias("length"))
+    return walk_edges(each.where("src <> dst"), named=True)
+
+
 def walks_by_place(nodes: DataFrame, metres: float) -> tuple[DataFrame, DataFrame]:
     """(edges for searches, the (id, x, y) of the nodes among them that stand for places): the ways of ``walks_within``, but of
     places and not of the nodes at them.
@@ -94,15 +109,17 @@ def walks_by_place(nodes: DataFrame, metres: float) -> tuple[DataFrame, DataFram
     return edges, several.select(F.explode(F.array("out", "into")).alias("id"), "x", "y")
 
 
-def walk_sums(nodes: DataFrame, metres: float) -> DataFrame:
+def walk_sums(nodes: DataFrame, metres: float, places: DataFrame | None = None) -> DataFrame:
     """(src, degree, seconds, most, metres) of the WALK nodes (id, x, y) that ``walks_within`` gives edges: their number and the
     sums of their weights and lengths, and the largest weight.
 
     Places are joined and never the nodes at them, so that the work grows with the places in reach and not with the edges. An id is at one place.
+    Where the ``places_in_reach`` are known they may be given.
     """
     own = nodes.groupBy("id", "x", "y").agg(F.count("*").alias("times"))
     at = own.groupBy("x", "y").agg(F.sum("times").alias("n"))
-    pairs = within(at.select(F.col("x").alias("lx"), F.col("y").alias("ly")), at.select(F.col("x").alias("rx"), F.col("y").alias("ry"), "n"), metres)
+    to = at.select(F.col("x").alias("rx"), F.col("y").alias("ry"), "n")
+    pairs = within(at.select(F.col("x").alias("lx"), F.col("y").alias("ly")), to, metres) if places is None else places.join(to, ["rx", "ry"])
     sec = walk_seconds(F.col("distance")).cast("long")
     place = pairs.groupBy(F.col("lx").alias("x"), F.col("ly").alias("y")).agg(F.sum("n").alias("all"), F.sum(sec * F.col("n")).alias("every"), F.max(sec).alias("most"), F.sum(F.col("distance") * F.col("n")).alias("far"))
     t = F.col("times")
@@ -205,10 +222,12 @@ def access_edges(stops: DataFrame, walk: DataFrame, metres: float = ACCESS_METRE
 
 @dataclass(frozen=True)
 class Part:
-    """Nodes and edges of one mode."""
+    """Nodes and edges of one mode. Where ``places`` in reach are given, the edges between the WALK nodes at them aren't in ``edges``, but
+    follow from them (``walks_between``)."""
 
     nodes: DataFrame
     edges: DataFrame
+    places: DataFrame | None = None
 
 
 def joined(*parts: Part) -> Part:
