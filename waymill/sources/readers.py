@@ -135,9 +135,12 @@ def against(spark: SparkSession, new: str, old: str | None, header: list[str], e
     """``accepted`` for files or folders in any store that Spark reads: the header of every file, and sizes in all."""
     sizes = lambda path: spark.read.format("binaryFile").load(path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     found = []
-    first = F.split(F.regexp_replace(F.substring_index(F.decode(F.substring("content", 1, 1 << 16), encoding), "\n", 1), "^\ufeff|\r$", ""), ",")
+    # The line is cut as bytes, so that no character is. No byte within a character of these encodings is a line's end.
+    line = F.encode(F.substring_index(F.decode(F.substring("content", 1, 1 << 16), "ISO-8859-1"), "\n", 1), "ISO-8859-1")
+    first = F.split(F.regexp_replace(F.decode(line, encoding), "^\ufeff|\r$", ""), ",")
     heads = spark.read.format("binaryFile").load(new).where("length > 0").select(F.transform(first, lambda c: F.trim(F.replace(c, F.lit('"'), F.lit("")))).alias("h"))
-    if heads.where(F.col("h") != F.array(*[F.lit(c) for c in header])).count() or heads.isEmpty():
+    seen = heads.agg(F.count("*").alias("n"), F.count_if(F.col("h") != F.array(*[F.lit(c) for c in header])).alias("others")).first()
+    if seen.others or not seen.n:
         found.append("header")
     if old is not None and sizes(new) < least * sizes(old):
         found.append("size")
