@@ -88,6 +88,17 @@ def nearest(left: DataFrame, right: DataFrame, radius: float, left_key: str, rig
     return _shared(given, best, left_key, right_key)
 
 
+def sums_within(left: DataFrame, right: DataFrame, radius: float, left_key: str) -> DataFrame:
+    """(left key, n, mean): how many right rows (rx, ry) each left row has in reach, and how far they are on average. Rows without one are left out.
+
+    Places meet, those of right rows with their number of rows, so that the work follows the places and not the pairs of rows.
+    """
+    there = right.groupBy("rx", "ry").agg(F.count("*").alias("_n"))
+    pairs = within(distinct_places(left), there, radius)
+    sums = pairs.groupBy("lx", "ly").agg(F.sum("_n").alias("n"), F.sum(F.col("distance") * F.col("_n")).alias("_far"))
+    return left.join(sums, ["lx", "ly"]).select(left_key, "n", (F.col("_far") / F.col("n")).alias("mean"))
+
+
 def _shared(left: DataFrame, best: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """(left key, right key, distance) of left rows by the best ``_b`` of their place (lx, ly), the nearest of a repeated key's."""
     every = left.join(best, ["lx", "ly"])
