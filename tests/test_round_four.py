@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from waymill.operators import spatial
+from waymill.operators import graph, spatial
 
 
 def _join_rows(df):
@@ -33,3 +33,21 @@ def test_rows_in_reach_are_summed_by_places(spark):
     assert _join_rows(out) <= 3002
     got = {r.k: (r.n, r.mean) for r in out.collect()}
     assert got == {k: (2000, 50.0) if k % 3 != 1 else (3000, 200 / 3) for k in range(3000)}
+
+
+def test_walk_speed_equals_that_of_the_edges(spark):
+    rows = [(i, float(i % 7 * 130), float(i % 3 * 177)) for i in range(90)] + [(900, 90_000.0, 0.0), (901, 50_000.0, 0.0), (902, 50_000.0, -0.0), (903, None, 0.0), (5, 5 * 130.0, 2 * 177.0)]
+    nodes = spark.createDataFrame(rows, "id long, x double, y double")
+    rides = spark.createDataFrame([(1, 900, 5, None), (900, 1, 7, [-1] * 24)], "src long, dst long, weight_sec int, by_hour array<short>")
+    made = graph.walks_within(nodes, 500.0).select(*rides.columns)
+    want = graph.max_speed(nodes, rides.unionByName(made), 8).first()
+    got = graph.max_speed(nodes, rides, 8, graph.walk_speed(nodes, 500.0)).first()
+    assert got == want and got.n > 1000 and graph.walk_speed(nodes, 500.0).first().speed == graph.max_speed(nodes, made, 8).first().speed
+    assert graph.walk_speed(nodes.where("id = 900"), 500.0).first() == (None, 0)
+
+
+def test_walk_speed_makes_no_edges(spark):
+    """A thousand nodes at one place have 999,000 edges."""
+    nodes = spark.range(1000).select("id", F.lit(1.0).alias("x"), F.lit(2.0).alias("y"))
+    out = graph.walk_speed(nodes, 500.0)
+    assert out.first().n == 999_000 and _join_rows(out) <= 9

@@ -333,11 +333,26 @@ def open_edges(edges: DataFrame, hour: int | None) -> DataFrame:
     return edges.select("src", "dst", w.cast("long").alias("w")).where("w >= 0")
 
 
-def max_speed(nodes: DataFrame, edges: DataFrame, hour: int | None) -> DataFrame:
-    """One row (speed, n): the fastest of the n edges that run in an hour and take time, in metres a second between their ends."""
+def walk_speed(nodes: DataFrame, metres: float) -> DataFrame:
+    """One row (speed, n) of the walk edges that ``walks_within`` makes of WALK nodes (id, x, y), as ``max_speed`` has it of edges.
+
+    Places are joined and never the nodes at them. An id is at one place; one that comes again stands at both ends of its edges as often.
+    """
+    own = nodes.repartition(2 * nodes.sparkSession.sparkContext.defaultParallelism, "x", "y").groupBy("x", "y", "id").agg((F.count("*") * F.count("*")).alias("t"))
+    at = own.groupBy("x", "y").agg(F.sum("t").alias("n"), F.sum(F.col("t") * F.col("t")).alias("loops"))
+    pairs = within(at.select(F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("n").alias("a"), "loops"), at.select(F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("n").alias("b")), metres)
+    here = (F.col("lx") == F.col("rx")) & (F.col("ly") == F.col("ry"))
+    made = pairs.withColumn("n", F.col("a") * F.col("b") - F.when(here, F.col("loops")).otherwise(0)).where("n > 0")
+    return made.agg(F.max(F.col("distance") / walk_seconds(F.col("distance"))).alias("speed"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def max_speed(nodes: DataFrame, edges: DataFrame, hour: int | None, walks: DataFrame | None = None) -> DataFrame:
+    """One row (speed, n): the fastest of the n edges that run in an hour and take time, in metres a second between their ends.
+    Walk edges may be given by their own row (``walk_speed``)."""
     p = nodes.select("id", "x", "y")
     both = open_edges(edges, hour).where("w > 0").join(p.toDF("src", "ax", "ay"), "src").join(p.toDF("dst", "bx", "by"), "dst")
-    return both.agg(F.max(planar(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) / F.col("w")).alias("speed"), F.count("*").alias("n"))
+    out = both.agg(F.max(planar(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) / F.col("w")).alias("speed"), F.count("*").alias("n"))
+    return out if walks is None else out.unionByName(walks).agg(F.max("speed").alias("speed"), F.sum("n").alias("n"))
 
 
 def repaired(stops: DataFrame, fixes: DataFrame) -> tuple[DataFrame, int, DataFrame]:
